@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -186,12 +187,13 @@ def fit_deskew(
     return picked
 
 
-def fit_yeo_johnson(df: DataFrame, cols: list[str], rounds: int = 6) -> dict[str, float]:
+def fit_yeo_johnson(df: DataFrame, cols: list[str], rounds: int = 4) -> dict[str, float]:
     """Maximum-likelihood lambda per column.
 
     The likelihood is smooth with one maximum, so it is evaluated on a grid of
     lambdas in one aggregate (all columns together) and the grid is narrowed
-    around the best point, or moved when the best point lies on its edge.
+    around the best point, or moved when the best point lies on its edge. A
+    parabola through the last three points gives the rest.
     """
     base = {}
     for c in cols:
@@ -200,8 +202,9 @@ def fit_yeo_johnson(df: DataFrame, cols: list[str], rounds: int = 6) -> dict[str
         base[f"j:{c}"] = F.sum(F.signum(x) * F.log1p(F.abs(x)))
     got = one_row(df, base)
     grids = {c: (0.0, 0.5) for c in cols}  # centre, step
-    narrow = 0
-    while narrow < rounds:
+    peak: dict[str, float] = {}
+    done = 0
+    while done < rounds:
         points = {c: [mid + step * i for i in range(-6, 7)] for c, (mid, step) in grids.items()}
         spread = one_row(
             df,
@@ -224,8 +227,14 @@ def fit_yeo_johnson(df: DataFrame, cols: list[str], rounds: int = 6) -> dict[str
             on_edge = best in (0, len(lams) - 1) and abs(lams[best]) < 50
             moved |= on_edge
             grids[c] = (lams[best], step if on_edge else step / 5)
-        narrow += 0 if moved else 1
-    return {c: mid for c, (mid, _) in grids.items()}
+            peak[c] = lams[best]
+            if 0 < best < len(lams) - 1:
+                left, mid, right = score[best - 1 : best + 2]
+                bend = left - 2 * mid + right
+                if math.isfinite(bend) and bend < 0:
+                    peak[c] += 0.5 * step * (left - right) / bend
+        done += 0 if moved else 1
+    return peak
 
 
 def apply_deskew(df: DataFrame, state: dict[str, dict]) -> DataFrame:
@@ -290,16 +299,55 @@ def _uniform_edges(df: DataFrame, cols: list[str], n_bins: int) -> dict[str, lis
     return out
 
 
+MICRO_BINS = 2048
+
+
+def _lloyd(centres: list[float], means: list[float], sizes: list[int], tol: float) -> list[float]:
+    """Lloyd iterations over a histogram (bin means and sizes, in order)."""
+    for _ in range(300):
+        mids = [(a + b) / 2 for a, b in zip(centres, centres[1:])]
+        sums, counts = [0.0] * len(centres), [0] * len(centres)
+        for m, n in zip(means, sizes):
+            i = bisect_right(mids, m)
+            sums[i] += m * n
+            counts[i] += n
+        new = [s / n if n else c for s, n, c in zip(sums, counts, centres)]
+        shift = sum((a - b) ** 2 for a, b in zip(new, centres))
+        centres = sorted(new)
+        if shift <= tol:
+            break
+    return centres
+
+
 def _kmeans_edges(df: DataFrame, start: dict[str, list[float]], n_bins: int, rounds: int = 300):
-    """One-dimensional Lloyd iterations, all columns in one aggregate per round.
+    """One-dimensional k-means; edges are the midpoints between sorted centres.
 
-    Centres start in the middle of the uniform bins; edges are the midpoints
-    between sorted centres.
+    Centres start in the middle of the uniform bins. The first iterations run on
+    a fine histogram of the column (one aggregate, a bounded number of bins);
+    the last ones run on the table itself, all columns in one aggregate per
+    round, until the centres rest.
     """
     centres = {
         c: [(a + b) / 2 for a, b in zip(e, e[1:])] for c, e in start.items() if e[0] < e[-1]
     }
     spread = one_row(df, {c: F.var_pop(col(c)) for c in centres}) if centres else {}
+    if centres:
+        cells = []
+        for c in centres:
+            lo, hi = start[c][0], start[c][-1]
+            slot = F.floor((col(c) - F.lit(lo)) / F.lit((hi - lo) / MICRO_BINS)).cast("int")
+            cells.append(F.struct(F.lit(c).alias("c"), slot.alias("slot"), col(c).alias("x")))
+        histogram = (
+            df.select(F.explode(F.array(*cells)).alias("cell"))
+            .groupBy("cell.c", "cell.slot")
+            .agg(F.avg("cell.x").alias("mean"), F.count("*").alias("n"))
+            .collect()
+        )
+        for c in centres:
+            bins = sorted((r["mean"], r["n"]) for r in histogram if r["c"] == c)
+            centres[c] = _lloyd(
+                centres[c], [m for m, _ in bins], [n for _, n in bins], 1e-4 * spread[c]
+            )
     moving = set(centres)
     for _ in range(rounds):
         if not moving:
