@@ -19,6 +19,7 @@ if __name__ == "__main__":
     d = f"/root/testdata/sf{sf}"
     spark = get_session(
         "check", "local[8]", spark__sql__shuffle__partitions="8", spark__ui__enabled="false",
+        spark__ui__showConsoleProgress="false",
         spark__driver__memory="12g", spark__driver__host="127.0.0.1",
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -181,6 +181,26 @@ def select_droppable_columns(spark, d):
     return columns.droppable_columns(profile_columns(df))
 
 
+@query(
+    "choose_columns",
+    """
+    SELECT 'normalize_text' AS action, c AS "column" FROM (VALUES ('o_orderstatus'), ('o_orderpriority')) v(c)
+    UNION ALL SELECT 'handle_missing', c FROM (VALUES ('o_orderstatus'), ('o_totalprice'), ('o_orderpriority')) v(c)
+    UNION ALL SELECT 'remove_outliers', c FROM (VALUES ('o_orderkey'), ('o_custkey')) v(c)
+    UNION ALL SELECT 'encode_categorical', 'o_orderstatus' FROM orders GROUP BY 1
+              HAVING count(DISTINCT o_orderstatus) <= 20
+    UNION ALL SELECT 'encode_categorical', 'o_orderpriority' FROM orders GROUP BY 1
+              HAVING count(DISTINCT o_orderpriority) * 2 <= 20
+    """,
+)
+def choose_columns(spark, d):
+    """Columns each action picks by itself when a plan names none."""
+    df = dirty_orders(spark, d)
+    names = ["normalize_text", "handle_missing", "remove_outliers", "encode_categorical"]
+    rows = [(a, c) for a in names for c in columns.choose_columns(a, df, "o_totalprice")]
+    return spark.createDataFrame(rows, "action string, column string")
+
+
 # ---------------------------------------------------------------- missing values
 @query(
     "impute_median",

@@ -165,7 +165,7 @@ def clf_metrics(spark, d):
 _SCORES = {
     "A": "l_discount * 8 + l_tax",
     "N": "l_quantity / 50",
-    "R": "CASE WHEN l_returnflag = 'R' THEN 0.2 ELSE 0.0 END + (l_partkey % 97) / 100.0",
+    "R": "CASE WHEN l_returnflag = 'R' THEN 20 ELSE 0 END + l_partkey % 97",
 }
 
 

@@ -107,30 +107,30 @@ def _blocked(queries: DataFrame, train: DataFrame, k: int, payload: str, skip_se
         return pd.DataFrame(out)
 
     keys = ["cell", "block", "chunk"]
+    # Both sides may stem from one table: give one of them attributes of its own.
+    train = train.select(*[F.col(c).alias(c) for c in train.columns])
     partial = (
         queries.groupBy(*keys).cogroup(train.groupBy(*keys)).applyInPandas(nearest, schema)
     )
     return smallest(partial, ["qid"], [F.asc("distance"), F.asc("tid")], k)
 
 
+def _copies(df: DataFrame, own: str, n_own, other: str, n_other, key: str) -> DataFrame:
+    """Give every row its own slot and one copy per slot of the other side."""
+    return df.withColumn(own, F.pmod(F.xxhash64(key), n_own).cast("int")).withColumn(
+        other, F.explode(F.sequence(F.lit(0), n_other.cast("int") - 1))
+    )
+
+
 def _spread(queries: DataFrame, train: DataFrame, blocks: dict, chunks: dict):
     """Copy queries to the blocks of their cell, and train rows to its query chunks."""
     spark = train.sparkSession
-    rows = [(c, blocks[c], chunks.get(c, 0)) for c in blocks]
+    rows = [(c, blocks[c], chunks[c]) for c in blocks if chunks.get(c)]
     plan = F.broadcast(spark.createDataFrame(rows, "cell int, n_blocks int, n_chunks int"))
-    q = (
-        queries.join(plan, "cell")
-        .withColumn("chunk", F.pmod(F.xxhash64("qid"), F.col("n_chunks")).cast("int"))
-        .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-        .drop("n_blocks", "n_chunks")
-    )
-    t = (
-        train.join(plan.where("n_chunks > 0"), "cell")
-        .withColumn("block", F.pmod(F.xxhash64("tid"), F.col("n_blocks")).cast("int"))
-        .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1)))
-        .drop("n_blocks", "n_chunks")
-    )
-    return q, t
+    n_blocks, n_chunks = F.col("n_blocks"), F.col("n_chunks")
+    q = _copies(queries.join(plan, "cell"), "chunk", n_chunks, "block", n_blocks, "qid")
+    t = _copies(train.join(plan, "cell"), "block", n_blocks, "chunk", n_chunks, "tid")
+    return q.drop("n_blocks", "n_chunks"), t.drop("n_blocks", "n_chunks")
 
 
 def knn_join(
@@ -268,14 +268,15 @@ def knn_impute(df: DataFrame, key: str, columns: list[str], k: int = 5) -> DataF
     for c in columns:
         if not missing[c] or missing[c] == total:
             continue
-        zero = F.lit(0)
-        q = base.where(col(c).isNull()).select("qid", "vec", zero.alias("cell"))
+        cell = F.lit(0).alias("cell")
+        q = base.where(col(c).isNull()).select("qid", "vec", cell)
         t = base.where(col(c).isNotNull()).select(
-            F.col("qid").alias("tid"), "vec", col(c).cast("double").alias("payload"), zero.alias("cell")
+            F.col("qid").alias("tid"), "vec", col(c).cast("double").alias("payload"), cell
         )
-        blocks = {0: -(-(total - missing[c]) // BLOCK_ROWS)}
-        chunks = {0: -(-missing[c] // CHUNK_ROWS)}
-        left, right = _spread(q, t, blocks, chunks)
+        n_blocks = F.lit(-(-(total - missing[c]) // BLOCK_ROWS))
+        n_chunks = F.lit(-(-missing[c] // CHUNK_ROWS))
+        left = _copies(q, "chunk", n_chunks, "block", n_blocks, "qid")
+        right = _copies(t, "block", n_blocks, "chunk", n_chunks, "tid")
         found = knn_mean(_blocked(left, right, k, "payload", False, _top_nan_euclidean))
         found = found.select(F.col("qid").alias("__q"), F.col("prediction").alias("__fill"))
         kept = [col(x) for x in out.columns]

@@ -1,4 +1,8 @@
-"""Bring loosely structured plan JSON into the plan schema, over many plans at once."""
+"""Bring loosely structured plan JSON into the plan schema, over many plans at once.
+
+The ``_outer`` explodes matter: for the plain ones Spark adds a filter on the
+exploded list and pushes it down, which would repeat the parsing below it.
+"""
 
 from __future__ import annotations
 
@@ -32,9 +36,11 @@ def _is_object(c: Column) -> Column:
 
 def plan_actions(plans: DataFrame, plan_id: str = "plan_id", body: str = "plan_json") -> DataFrame:
     """One row per action: alternative keys resolved, defaults set, stray text left out."""
-    top = F.from_json(F.col(body), _TOP)
-    rows = plans.select(
-        F.col(plan_id).alias("plan_id"), F.posexplode(_items(top["actions"])).alias("step", "raw")
+    listed = plans.select(
+        F.col(plan_id).alias("plan_id"), F.from_json(F.col(body), _TOP)["actions"].alias("actions")
+    )
+    rows = listed.select(
+        "plan_id", F.posexplode_outer(_items(F.col("actions"))).alias("step", "raw")
     ).where(_is_object(F.col("raw")))
     item = rows.withColumn("a", F.from_json("raw", _ITEM))
     names = F.when(F.ltrim("a.target_columns").startswith("["), F.col("a.target_columns"))
@@ -60,11 +66,13 @@ def plan_notes(
     plans: DataFrame, kind: str = "diagnostics", plan_id: str = "plan_id", body: str = "plan_json"
 ) -> DataFrame:
     """Diagnostics or prognostics as rows; a bare string is a note."""
-    top = F.from_json(F.col(body), _TOP)
-    rows = plans.select(
-        F.col(plan_id).alias("plan_id"), F.posexplode(_items(top[kind])).alias("position", "raw")
+    listed = plans.select(
+        F.col(plan_id).alias("plan_id"), F.from_json(F.col(body), _TOP)[kind].alias("notes")
     )
-    a = F.from_json("raw", _ITEM)
+    rows = listed.select(
+        "plan_id", F.posexplode_outer(_items(F.col("notes"))).alias("position", "raw")
+    ).where(F.col("raw").isNotNull()).withColumn("a", F.from_json("raw", _ITEM))
+    a = F.col("a")
     obj = _is_object(F.col("raw"))
     named = [a["code"]] if kind == "diagnostics" else [a["code"], a["name"]]
     bare_code = F.lit("note") if kind == "diagnostics" else F.col("raw")

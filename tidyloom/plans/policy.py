@@ -17,7 +17,7 @@ Rules that look at a whole plan use one aggregate per plan.
 
 from __future__ import annotations
 
-from functools import reduce
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -74,124 +74,131 @@ def prepare(plans: DataFrame, contexts: DataFrame) -> DataFrame:
     )
 
 
-def _note(when: Column, text: Column) -> Column:
-    return F.when(when, F.array_append("changes", text)).otherwise(F.col("changes"))
+@dataclass
+class Change:
+    """What a row rule does: where it fires, how it is logged, and its new values.
+
+    Rules read the plan as it came in. Each acts on one kind of action, so they
+    never compete for a row and all of them fit in one projection.
+    """
+
+    hit: Column
+    note: Column | None = None
+    noted: Column | None = None
+    remove: Column | None = None
+    params: Column | None = None
+    target_columns: Column | None = None
+
+
+def _params(key: str, default: str) -> Column:
+    return F.coalesce(F.col("params")[key], F.lit(default))
 
 
-def clip_rule(p: DataFrame) -> DataFrame:
+def clip_rule() -> list[Change]:
     """No clipping for trees; elsewhere the IQR factor is at least 3."""
     is_clip = F.col("action") == "clip_outliers"
     gone = is_clip & F.col("is_tree")
     k = F.coalesce(F.col("params")["iqr_k"].try_cast("double"), F.lit(1.5))
     low = is_clip & ~F.col("is_tree") & (k < SAFE_IQR_K)
-    text = F.when(gone, "rm clip_outliers(tree)").otherwise(
-        F.concat(F.lit("clip_k:"), k.cast("string"), F.lit(f"->{SAFE_IQR_K}"))
-    )
-    return p.withColumns(
-        {
-            "keep": F.col("keep") & ~gone,
-            "changes": _note(gone | low, text),
-            "params": F.when(low, put(F.col("params"), "iqr_k", F.lit(str(SAFE_IQR_K)))).otherwise(
-                F.col("params")
-            ),
-        }
-    )
+    raised = F.concat(F.lit("clip_k:"), k.cast("string"), F.lit(f"->{SAFE_IQR_K}"))
+    return [
+        Change(gone, F.lit("rm clip_outliers(tree)"), remove=gone),
+        Change(low, raised, params=put(F.col("params"), "iqr_k", F.lit(str(SAFE_IQR_K)))),
+    ]
 
 
-def bin_rule(p: DataFrame) -> DataFrame:
+def bin_rule() -> list[Change]:
+    """Binning loses signal and is always taken out."""
     gone = F.col("action") == "bin_numeric"
-    return p.withColumns(
-        {"keep": F.col("keep") & ~gone, "changes": _note(gone, F.lit("rm bin_numeric"))}
-    )
+    return [Change(gone, F.lit("rm bin_numeric"), remove=gone)]
 
 
-def drop_rule(p: DataFrame) -> DataFrame:
+def drop_rule() -> list[Change]:
     """Only redundant or leaking columns may be dropped."""
     safe = F.array_union("redundant_features", "leakage_cols")
-    is_drop = F.col("action") == "drop_column"
     allowed = F.filter("target_columns", lambda c: F.array_contains(safe, c))
     blocked = F.filter("target_columns", lambda c: ~F.array_contains(safe, c))
-    hit = is_drop & (F.size(blocked) > 0)
-    return p.withColumns(
-        {
-            "keep": F.col("keep") & ~(hit & (F.size(allowed) == 0)),
-            "changes": _note(hit, F.concat(F.lit("block_drop:"), F.array_join(blocked, ","))),
-            "target_columns": F.when(hit, allowed).otherwise(F.col("target_columns")),
-        }
-    )
+    hit = (F.col("action") == "drop_column") & (F.size(blocked) > 0)
+    return [
+        Change(
+            hit,
+            F.concat(F.lit("block_drop:"), F.array_join(blocked, ",")),
+            remove=hit & (F.size(allowed) == 0),
+            target_columns=allowed,
+        )
+    ]
 
 
-def impute_rule(p: DataFrame) -> DataFrame:
+def impute_rule() -> list[Change]:
     """Trees and nearest-neighbour classifiers impute the median; linear models fill the mode."""
     is_fill = F.col("action") == "handle_missing"
-    now = F.coalesce(F.col("params")["strategy"], F.lit("impute"))
+    now = _params("strategy", "impute")
     soft = is_fill & now.isin(CHAINED)
     tree = soft & F.col("is_tree")
     knn = soft & ~F.col("is_tree") & F.col("is_knn_classifier")
-    # The first rule that fires ends the chain; a tree or knn plan that already
-    # uses the median still reaches the linear branch only if it is linear.
     linear = (
         is_fill & ~tree & ~knn & F.col("is_linear") & ~F.col("is_knn")
         & F.col("params")["cat_missing_strategy"].isNull()
     )
-    text = (
-        F.when(tree, F.concat(F.lit("impute:"), now, F.lit("->median(tree)")))
-        .when(knn, F.concat(F.lit("impute:"), now, F.lit("->median(knn_clf)")))
-        .otherwise("cat_missing:fill_mode(linear)")
-    )
-    params = (
-        F.when(tree | knn, put(F.col("params"), "strategy", F.lit("median")))
-        .when(linear, put(F.col("params"), "cat_missing_strategy", F.lit("fill_mode")))
-        .otherwise(F.col("params"))
-    )
-    return p.withColumns({"changes": _note(tree | knn | linear, text), "params": params})
-
-
-def select_rule(p: DataFrame) -> DataFrame:
+    family_name = F.when(tree, "tree").otherwise("knn_clf")
+    softened = F.concat(F.lit("impute:"), now, F.lit("->median("), family_name, F.lit(")"))
+    return [
+        Change(tree | knn, softened, params=put(F.col("params"), "strategy", F.lit("median"))),
+        Change(
+            linear,
+            F.lit("cat_missing:fill_mode(linear)"),
+            params=put(F.col("params"), "cat_missing_strategy", F.lit("fill_mode")),
+        ),
+    ]
+
+
+def select_rule() -> list[Change]:
     """``select_features`` may drop redundant columns only; its automatic filters are off.
 
     ``drop_columns`` is a comma-separated parameter.
     """
-    is_select = F.col("action") == "select_features"
-    asked = F.filter(
-        F.split(F.coalesce(F.col("params")["drop_columns"], F.lit("")), ","), lambda c: c != ""
-    )
+    hit = F.col("action") == "select_features"
+    asked = F.array_remove(F.split(_params("drop_columns", ""), ","), "")
     allowed = F.filter(asked, lambda c: F.array_contains("redundant_features", c))
     blocked = F.filter(asked, lambda c: ~F.array_contains("redundant_features", c))
-    fixed = put(F.col("params"), "drop_columns", F.array_join(allowed, ","))
-    fixed = put(fixed, "variance_threshold", F.lit("0.0"))
-    fixed = put(fixed, "correlation_threshold", F.lit("1.0"))
-    return p.withColumns(
-        {
-            "changes": _note(
-                is_select & (F.size(blocked) > 0),
-                F.concat(F.lit("block_select:"), F.array_join(blocked, ",")),
-            ),
-            "params": F.when(is_select, fixed).otherwise(F.col("params")),
-        }
-    )
+    fixed = F.map_concat(
+        F.map_filter(
+            "params",
+            lambda k, v: ~k.isin("drop_columns", "variance_threshold", "correlation_threshold"),
+        ),
+        F.create_map(
+            F.lit("drop_columns"), F.array_join(allowed, ","),
+            F.lit("variance_threshold"), F.lit("0.0"),
+            F.lit("correlation_threshold"), F.lit("1.0"),
+        ),
+    )
+    text = F.concat(F.lit("block_select:"), F.array_join(blocked, ","))
+    return [Change(hit, text, noted=hit & (F.size(blocked) > 0), params=fixed)]
+
 
+def _family_method() -> Column:
+    return F.when(F.col("is_tree"), "ordinal").otherwise("one_hot")
 
-def method_rule(p: DataFrame, known_family_only: bool = False) -> DataFrame:
+
+def method_rule() -> list[Change]:
     """The method of a global encoding follows the model family."""
-    wanted = F.when(F.col("is_tree"), "ordinal").otherwise("one_hot")
-    now = F.coalesce(F.col("params")["method"], F.lit("unknown"))
-    hit = (F.col("action") == "encode_categorical") & (now != wanted)
-    if known_family_only:
-        hit = hit & (F.col("is_tree") | F.col("is_linear"))
-    return p.withColumns(
-        {
-            "changes": _note(hit, F.concat(F.lit("encoding:"), now, F.lit("->"), wanted)),
-            "params": F.when(hit, put(F.col("params"), "method", wanted)).otherwise(F.col("params")),
-        }
-    )
+    now = _params("method", "unknown")
+    hit = (F.col("action") == "encode_categorical") & (now != _family_method())
+    text = F.concat(F.lit("encoding:"), now, F.lit("->"), _family_method())
+    return [Change(hit, text, params=put(F.col("params"), "method", _family_method()))]
+
 
+def method_rule_known_family() -> list[Change]:
+    """The milder form for plans without column semantics: unknown families are left alone."""
+    (change,) = method_rule()
+    change.hit = change.hit & (F.col("is_tree") | F.col("is_linear"))
+    return [change]
 
-def default_method_rule(p: DataFrame) -> DataFrame:
+
+def default_method_rule() -> list[Change]:
+    """Columns a per-column encoding does not list follow the family too."""
     hit = F.col("action") == "encode_categorical_per_column"
-    wanted = F.when(F.col("is_tree"), "ordinal").otherwise("one_hot")
-    new = F.when(hit, put(F.col("params"), "default_method", wanted)).otherwise(F.col("params"))
-    return p.withColumn("params", new)
+    return [Change(hit, params=put(F.col("params"), "default_method", _family_method()))]
 
 
 ROW_RULES = (
@@ -206,7 +213,23 @@ ROW_RULES = (
 
 
 def apply_row_rules(p: DataFrame, rules=ROW_RULES) -> DataFrame:
-    return reduce(lambda d, rule: rule(d), rules, p)
+    """All row rules in one projection."""
+    changes = [c for rule in rules for c in rule()]
+    keep, new = F.col("keep"), {}
+    for c in changes:
+        if c.remove is not None:
+            keep = keep & ~c.remove
+    for field in ("params", "target_columns"):
+        value = None
+        for c in changes:
+            fresh = getattr(c, field)
+            if fresh is not None:
+                value = F.when(c.hit, fresh) if value is None else value.when(c.hit, fresh)
+        if value is not None:
+            new[field] = value.otherwise(F.col(field))
+    notes = [F.when(c.hit if c.noted is None else c.noted, c.note) for c in changes if c.note is not None]
+    new |= {"keep": keep, "changes": F.array_compact(F.array(*notes))}
+    return p.withColumns(new)
 
 
 # ---------------------------------------------------------------- whole-plan rules
@@ -272,6 +295,30 @@ def completeness_rule(p: DataFrame, profile: DataFrame) -> DataFrame:
     return moved.drop("at").unionByName(new)
 
 
+def known_targets(plans: DataFrame, profile: DataFrame) -> DataFrame:
+    """Strike target columns the plan's table does not have; ``all`` means no restriction.
+
+    The lists are exploded and met with the profile on (plan, column), so the
+    columns of a table are never gathered into one value.
+    """
+    cells = plans.select(
+        "plan_id", "step", F.posexplode("target_columns").alias("__pos", "column")
+    )
+    whole = F.exists("target_columns", lambda c: F.lower(c) == "all")
+    real = cells.join(profile.select("plan_id", "column"), ["plan_id", "column"], "left_semi")
+    kept = F.transform(F.array_sort(F.collect_list(F.struct("__pos", "column"))), lambda x: x["column"])
+    lists = real.groupBy("plan_id", "step").agg(kept.alias("__kept"))
+    empty = F.array().cast("array<string>")
+    found = F.when(whole, empty).otherwise(F.coalesce("__kept", empty))
+    out = plans.join(lists, ["plan_id", "step"], "left")
+    return out.withColumns(
+        {
+            "invented": F.when(~whole, F.array_except("target_columns", found)).otherwise(empty),
+            "target_columns": found,
+        }
+    ).drop("__kept")
+
+
 # ---------------------------------------------------------------- encodings
 def _ordered(c: Column) -> Column:
     return _any_word(F.lower(c), ORDERED_WORDS)

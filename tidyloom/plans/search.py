@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +25,7 @@ def _score_all(df: DataFrame, candidates: list[tuple[str, dict]], parallel: int,
         return name, float(row[metric]), float(row[f"{metric}_std"])
 
     with ThreadPoolExecutor(max_workers=parallel) as pool:
-        rows = list(pool.map(one, candidates))
+        rows = list(pool.map(inheritable_thread_target(df.sparkSession)(one), candidates))
     return df.sparkSession.createDataFrame(rows, "name string, value double, sd double")
 
 

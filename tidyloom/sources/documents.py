@@ -27,17 +27,15 @@ def is_json(c: Column) -> Column:
     one-element list nothing can follow.
     """
     boxed = F.try_parse_json(F.concat(F.lit("["), c, F.lit("]")))
-    single = boxed.isNotNull() & F.try_variant_get(boxed, "$[1]", "variant").isNull()
-    return F.coalesce(single & (F.length(F.trim(c)) > 0), F.lit(False))
+    return F.coalesce(F.size(boxed.cast("array<variant>")) == 1, F.lit(False))
 
 
 def fenced_block(c: Column) -> Column:
     """Content of the first fenced code block, NULL when there is none."""
-    for fence in ("```json", "```"):
-        pattern = rf"(?s){fence}\s*\n?(.*?)```"
-        hit = F.when(c.rlike(pattern), strip(F.regexp_extract(c, pattern, 1)))
-        block = hit if fence == "```json" else F.coalesce(block, hit)
-    return block
+    fenced = F.coalesce(
+        F.regexp_substr(c, F.lit("(?s)```json.*?```")), F.regexp_substr(c, F.lit("(?s)```.*?```"))
+    )
+    return strip(F.regexp_replace(fenced, "^```(json)?|```$", ""))
 
 
 def outer_braces(c: Column) -> Column:
@@ -83,37 +81,60 @@ def _close_all(values: pd.Series) -> pd.Series:
     return values.map(close_brackets, na_action="ignore")
 
 
-def recover_json(c: Column) -> Column:
-    """The JSON text inside a noisy answer, or NULL.
+def recover_json(df: DataFrame, column: str, out: str) -> DataFrame:
+    """Add ``out``: the JSON text inside a noisy answer, or NULL.
 
     In order: the text itself, a fenced block, the outermost braces, the same
-    with syntax mended, and - for what is left - with brackets closed. Only
-    that residue is sent to Python.
+    with syntax mended, and - for what is left - with brackets closed. A text
+    that is fine already is NULL to all later steps, and only the residue is
+    sent to Python. Every step is a column of its own, used by the next ones,
+    so no expression is repeated.
     """
-    text = strip(c)
-    block = fenced_block(text)
-    inner = F.coalesce(block, text)
-    braces = outer_braces(inner)
-    simple = [text, block, braces, mend_syntax(braces)]
-    found = F.coalesce(*[F.when(is_json(v), v) for v in simple])
+    text, good = F.col("__text"), F.col("__good")
+    df = df.withColumn("__text", strip(F.col(column)))
+    df = df.withColumn("__good", F.when(is_json(text), text))
+    df = df.withColumn("__rest", F.when(good.isNull(), text))
+    df = df.withColumn("__block", fenced_block(F.col("__rest")))
+    df = df.withColumn("__inner", F.coalesce("__block", "__rest"))
+    df = df.withColumn("__braces", outer_braces(F.col("__inner")))
+    df = df.withColumn("__mended", mend_syntax(F.col("__braces")))
+    variants = F.filter(F.array("__block", "__braces", "__mended"), lambda v: is_json(v))
+    df = df.withColumn("__good", F.coalesce(good, F.try_element_at(variants, F.lit(1))))
     close = F.pandas_udf(_close_all, "string")
-    cut = [mend_syntax(braces), mend_syntax(from_first_brace(inner))]
-    closed = [close(F.when(found.isNull(), v)) for v in cut]
-    return F.coalesce(found, *[F.when(is_json(v), v) for v in closed])
+    left = good.isNull()
+    df = df.withColumn("__cut", F.when(left, mend_syntax(from_first_brace(F.col("__inner")))))
+    df = df.withColumns(
+        {
+            "__closed": close(F.when(left, F.col("__mended"))),
+            "__cut": close(F.col("__cut")),
+        }
+    )
+    closed = F.filter(F.array("__closed", "__cut"), lambda v: is_json(v))
+    df = df.withColumn(out, F.coalesce(good, F.try_element_at(closed, F.lit(1))))
+    return df.drop(
+        "__text", "__good", "__rest", "__block", "__inner", "__braces", "__mended", "__cut", "__closed"
+    )
 
 
-def tolerant_json(c: Column) -> Column:
-    """Plan text as stored; without NUL bytes; or up to its last closing brace."""
-    clean = strip(F.translate(c, "\u0000", ""))
-    cut = F.regexp_extract(clean, r"(?s)^(.*\})", 1)
-    return F.coalesce(*[F.when(is_json(v), v) for v in (c, clean, F.when(cut != "", cut))])
+def tolerant_json(df: DataFrame, column: str, out: str) -> DataFrame:
+    """Add ``out``: the text as stored; without NUL bytes; or up to its last closing brace."""
+    whole = F.col(column)
+    df = df.withColumn("__good", F.when(is_json(whole), whole))
+    df = df.withColumn(
+        "__clean", F.when(F.col("__good").isNull(), strip(F.translate(whole, "\u0000", "")))
+    )
+    df = df.withColumn("__short", F.regexp_substr("__clean", F.lit("(?s)^.*\\}")))
+    variants = F.filter(F.array("__clean", "__short"), lambda v: is_json(v))
+    df = df.withColumn(out, F.coalesce("__good", F.try_element_at(variants, F.lit(1))))
+    return df.drop("__good", "__clean", "__short")
 
 
 def read_plan_files(spark: SparkSession, path) -> DataFrame:
     """``file, plan_json`` (NULL where a file cannot be read as JSON)."""
-    return spark.read.text(path, wholetext=True).select(
-        F.col("_metadata.file_name").alias("file"), tolerant_json(F.col("value")).alias("plan_json")
+    files = spark.read.text(path, wholetext=True).select(
+        F.col("_metadata.file_name").alias("file"), "value"
     )
+    return tolerant_json(files, "value", "plan_json").drop("value")
 
 
 def parse_context(c: Column) -> Column:

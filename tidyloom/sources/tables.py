@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidyloom.functions.scalar import col, nan_to_null, text_columns
@@ -120,17 +120,19 @@ def load_raw(
     return relabel_values(df, target, label_map) if label_map is not None else df
 
 
-def scan_results(spark: SparkSession, path: str, prefix: str = "results_", skip=("cv5",)) -> DataFrame:
+def scan_results(
+    spark: SparkSession, path, prefix: str = "results_", skip=("cv5",), name: Column | None = None
+) -> DataFrame:
     """All result files under a glob, with the run tag taken from the file name.
 
+    ``name`` replaces the file name where the tag stands elsewhere in the path.
     The file order is the ingestion order (``seq``), as later files win.
     """
-    name = F.regexp_replace(F.col("_metadata.file_name"), r"\.csv.*$", "")
-    df = (
-        spark.read.option("header", True).option("inferSchema", True).csv(path)
-        .withColumn("tag", F.regexp_replace(name, f"^{prefix}", ""))
-        .withColumn("seq", F.concat_ws("/", "tag", F.lpad(F.monotonically_increasing_id().cast("string"), 20, "0")))
-    )
+    source = F.col("_metadata.file_name") if name is None else name
+    tag = F.regexp_replace(F.regexp_replace(source, r"\.csv.*$", ""), f"^{prefix}", "")
+    row = F.lpad(F.monotonically_increasing_id().cast("string"), 20, "0")
+    df = spark.read.option("header", True).option("inferSchema", True).csv(path)
+    df = df.withColumn("tag", tag).withColumn("seq", F.concat_ws("/", "tag", row))
     return df.where(~F.col("tag").isin(list(skip)))
 
 
