@@ -24,15 +24,14 @@ def collapse_whitespace(c: Column) -> Column:
 
 
 @lru_cache(maxsize=1)
-def _combining_table() -> dict[int, None]:
-    return {cp: None for cp in range(0x300, 0x110000) if unicodedata.combining(chr(cp))}
+def _combining_marks() -> re.Pattern:
+    marks = "".join(chr(cp) for cp in range(0x300, 0x110000) if unicodedata.combining(chr(cp)))
+    return re.compile(f"[{re.escape(marks)}]+")
 
 
 def _fold_accents(values: pd.Series) -> pd.Series:
-    table = _combining_table()
-    return values.map(
-        lambda v: unicodedata.normalize("NFKD", v).translate(table), na_action="ignore"
-    )
+    drop = _combining_marks().sub
+    return values.map(lambda v: drop("", unicodedata.normalize("NFKD", v)), na_action="ignore")
 
 
 def remove_accents(c: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,8 +12,11 @@ from tidyloom.functions.scalar import col
 
 # Expressions per aggregate job: beyond this the generated plan gets unwieldy.
 CHUNK = 400
-# Distinct values an exact ``percentile`` may hold in one aggregation buffer.
-HASH_LIMIT = 200_000
+# An exact ``percentile`` keeps a map of distinct values per task and merges the
+# maps in one. That is cheap when the table has few rows (the maps together hold
+# at most that many entries) or few distinct values.
+ROW_LIMIT = 4_000_000
+DISTINCT_LIMIT = 10_000
 # Values that may be gathered for the last step of a quantile search.
 GATHER_LIMIT = 20_000
 _SKETCH_ACCURACY = 20_000
@@ -35,15 +39,17 @@ def _sketch_points(p: float) -> list[float]:
 
 
 def exact_quantiles(
-    df: DataFrame, wanted: dict[str, list[float]], hash_limit: int = HASH_LIMIT
+    df: DataFrame,
+    wanted: dict[str, list[float]],
+    row_limit: int = ROW_LIMIT,
+    distinct_limit: int = DISTINCT_LIMIT,
 ) -> dict[str, list[float | None]]:
     """Exact, linearly interpolated quantiles of many columns.
 
-    Spark's ``percentile`` keeps every distinct value in one buffer. That is
-    used only for columns whose estimated distinct count is within
-    ``hash_limit``. For the others each order statistic is found by narrowing:
-    a mergeable sketch proposes pivots, exact counts below each pivot say
-    between which two the wanted rank lies, and the search goes on inside that
+    Columns within the limits use Spark's ``percentile``, a group of columns
+    per job. For the others each order statistic is found by narrowing: a
+    mergeable sketch proposes pivots, exact counts below each pivot say between
+    which two the wanted rank lies, and the search goes on inside that
     interval. Every pass is a plain aggregate with a small state, and a value
     that repeats often ends the search at once.
     """
@@ -53,111 +59,125 @@ def exact_quantiles(
     first = {}
     for c in cols:
         x = col(c).cast("double")
-        first[f"n:{c}"] = F.count(x)
-        first[f"d:{c}"] = F.approx_count_distinct(x)
+        first |= {f"n:{c}": F.count(x), f"d:{c}": F.approx_count_distinct(x)}
     stats = one_row(df, first)
 
-    small = [c for c in cols if stats[f"d:{c}"] <= hash_limit]
-    out: dict[str, list[float | None]] = {}
-    if small:
-        probs = {c: F.array(*[F.lit(float(p)) for p in wanted[c]]) for c in small}
-        got = one_row(df, {c: F.percentile(col(c).cast("double"), probs[c]) for c in small})
-        for c in small:
-            out[c] = list(got[c]) if got[c] is not None else [None] * len(wanted[c])
+    groups: list[list[str]] = [[]]
+    room = row_limit
+    large = []
+    for c in cols:
+        n, distinct = stats[f"n:{c}"], stats[f"d:{c}"]
+        if n > row_limit and distinct > distinct_limit:
+            large.append(c)
+            continue
+        size = min(n, distinct * 100)
+        if groups[-1] and size > room:
+            groups.append([])
+            room = row_limit
+        groups[-1].append(c)
+        room -= size
 
-    large = [c for c in cols if c not in out]
+    out: dict[str, list[float | None]] = {}
+    for group in filter(None, groups):
+        exprs = {}
+        for c in group:
+            probs = F.array(*[F.lit(float(p)) for p in wanted[c]])
+            exprs[c] = F.percentile(col(c).cast("double"), probs)
+        got = one_row(df, exprs)
+        out |= {c: [None] * len(wanted[c]) if got[c] is None else list(got[c]) for c in group}
     if large:
-        ranks: dict[str, set[int]] = {}
-        for c in large:
-            n = stats[f"n:{c}"]
-            ranks[c] = set()
-            for p in wanted[c]:
-                h = p * (n - 1)
-                ranks[c] |= {math.floor(h), math.ceil(h)}
-        found = order_statistics(df, ranks, {c: stats[f"n:{c}"] for c in large})
-        for c in large:
-            n = stats[f"n:{c}"]
-            vals = []
-            for p in wanted[c]:
-                h = p * (n - 1)
-                lo, hi = found[c, math.floor(h)], found[c, math.ceil(h)]
-                vals.append(lo + (hi - lo) * (h - math.floor(h)))
-            out[c] = vals
+        counts = {c: stats[f"n:{c}"] for c in large}
+        places = {c: [p * (counts[c] - 1) for p in wanted[c]] for c in large}
+        ranks = {
+            c: {math.floor(h) for h in hs} | {math.ceil(h) for h in hs} for c, hs in places.items()
+        }
+        found = order_statistics(df, ranks, counts)
+        for c, hs in places.items():
+            ends = [(found[c, math.floor(h)], found[c, math.ceil(h)], h % 1) for h in hs]
+            out[c] = [lo + (hi - lo) * part for lo, hi, part in ends]
     return out
 
 
+@dataclass(frozen=True)
+class _Interval:
+    """Open interval of one column, with the counts at or below its low end and inside."""
+
+    column: str
+    low: float | None
+    high: float | None
+    below: int
+    size: int
+
+    def inside(self) -> Column:
+        x = col(self.column).cast("double")
+        cond = x.isNotNull()
+        if self.low is not None:
+            cond = cond & (x > self.low)
+        if self.high is not None:
+            cond = cond & (x < self.high)
+        return F.when(cond, x)
+
+
 def order_statistics(
     df: DataFrame,
     ranks: dict[str, set[int]],
     counts: dict[str, int],
     gather_limit: int = GATHER_LIMIT,
 ) -> dict[tuple[str, int], float]:
-    """The k-th smallest non-NULL value (0-based) for several ``(column, k)``."""
-    # An open interval (low, high) with the count of values at or below `low`
-    # and the count strictly inside.
-    open_: dict[tuple[str, int], tuple] = {
-        (c, k): (None, None, 0, counts[c]) for c, ks in ranks.items() for k in ks
-    }
-    found: dict[tuple[str, int], float] = {}
-
-    def inside(c: str, low, high) -> Column:
-        x = col(c).cast("double")
-        cond = x.isNotNull()
-        if low is not None:
-            cond = cond & (x > low)
-        if high is not None:
-            cond = cond & (x < high)
-        return F.when(cond, x)
+    """The k-th smallest non-NULL value (0-based) for several ``(column, k)``.
 
+    Ranks that lie in the same interval share its sketch, pivots and counts.
+    """
+    open_ = {_Interval(c, None, None, 0, counts[c]): set(ks) for c, ks in ranks.items()}
+    found: dict[tuple[str, int], float] = {}
     while open_:
-        gather = {t: s for t, s in open_.items() if s[3] <= gather_limit}
-        if gather:
+        small = {iv: ks for iv, ks in open_.items() if iv.size <= gather_limit}
+        if small:
             got = one_row(
                 df,
-                {
-                    f"{c}|{k}": F.sort_array(F.collect_list(inside(c, s[0], s[1])))
-                    for (c, k), s in gather.items()
-                },
+                {str(i): F.sort_array(F.collect_list(iv.inside())) for i, iv in enumerate(small)},
             )
-            for (c, k), s in gather.items():
-                found[c, k] = got[f"{c}|{k}"][k - s[2]]
-                del open_[c, k]
+            for i, (iv, ks) in enumerate(small.items()):
+                found |= {(iv.column, k): got[str(i)][k - iv.below] for k in ks}
+                del open_[iv]
             continue
 
+        spots = {
+            iv: sorted({q for k in ks for q in _sketch_points((k - iv.below) / max(iv.size - 1, 1))})
+            for iv, ks in open_.items()
+        }
         sketches = one_row(
             df,
             {
-                f"{c}|{k}": F.percentile_approx(
-                    inside(c, s[0], s[1]),
-                    _sketch_points((k - s[2]) / max(s[3] - 1, 1)),
-                    _SKETCH_ACCURACY,
-                )
-                for (c, k), s in open_.items()
+                str(i): F.percentile_approx(iv.inside(), qs, _SKETCH_ACCURACY)
+                for i, (iv, qs) in enumerate(spots.items())
             },
         )
-        pivots = {t: sorted(set(sketches[f"{t[0]}|{t[1]}"])) for t in open_}
+        pivots = {iv: sorted(set(sketches[str(i)])) for i, iv in enumerate(open_)}
         exprs = {}
-        for (c, k), values in pivots.items():
-            x = col(c).cast("double")
-            for i, v in enumerate(values):
-                exprs[f"{c}|{k}|lt|{i}"] = F.count_if(x < v)
-                exprs[f"{c}|{k}|le|{i}"] = F.count_if(x <= v)
+        for i, (iv, values) in enumerate(pivots.items()):
+            x = col(iv.column).cast("double")
+            for j, v in enumerate(values):
+                exprs |= {f"{i}<{j}": F.count_if(x < v), f"{i}={j}": F.count_if(x <= v)}
         tally = one_row(df, exprs)
-        for (c, k), values in pivots.items():
-            low, high, below, size = open_.pop((c, k))
-            top = below + size
-            upper = None
-            for i, v in enumerate(values):
-                lt, le = tally[f"{c}|{k}|lt|{i}"], tally[f"{c}|{k}|le|{i}"]
-                if lt <= k < le:
-                    found[c, k] = v
-                    break
-                if le <= k:
-                    low, below = v, le
-                elif upper is None:
-                    high, upper = v, lt
-            else:
-                open_[c, k] = (low, high, below, (top if upper is None else upper) - below)
+        nearer: dict[_Interval, set[int]] = {}
+        for i, (iv, values) in enumerate(pivots.items()):
+            for k in open_[iv]:
+                hit = next(
+                    (v for j, v in enumerate(values) if tally[f"{i}<{j}"] <= k < tally[f"{i}={j}"]), None
+                )
+                if hit is not None:
+                    found[iv.column, k] = hit
+                    continue
+                low, below, high, top = iv.low, iv.below, iv.high, iv.below + iv.size
+                for j, v in enumerate(values):
+                    if tally[f"{i}={j}"] <= k:
+                        low, below = v, tally[f"{i}={j}"]
+                    else:
+                        high, top = v, tally[f"{i}<{j}"]
+                        break
+                nearer.setdefault(_Interval(iv.column, low, high, below, top - below), set()).add(k)
+        open_ = nearer
     return found
 
 

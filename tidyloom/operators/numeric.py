@@ -302,18 +302,41 @@ def _uniform_edges(df: DataFrame, cols: list[str], n_bins: int) -> dict[str, lis
 MICRO_BINS = 2048
 
 
-def _lloyd(centres: list[float], means: list[float], sizes: list[int], tol: float) -> list[float]:
-    """Lloyd iterations over a histogram (bin means and sizes, in order)."""
+def _next_centres(old: list[float], clusters: list[tuple]) -> tuple[list[float], float]:
+    """New centres from (count, sum, min, max) per cluster, and how far they moved.
+
+    An empty cluster restarts at the point farthest from its own centre, which
+    on a line is the end of some cluster.
+    """
+    stats = [[n, s] for n, s, _, _ in clusters]
+    ends = sorted(
+        (
+            (abs(v - old[i]), v, i)
+            for i, (n, _, lo, hi) in enumerate(clusters)
+            if n > 1
+            for v in {lo, hi}
+        ),
+        reverse=True,
+    )
+    for i, (n, _, _, _) in enumerate(clusters):
+        if not n and ends:
+            _, v, donor = ends.pop(0)
+            stats[donor][0] -= 1
+            stats[donor][1] -= v
+            stats[i] = [1, v]
+    new = sorted(s / n if n else c for (n, s), c in zip(stats, old))
+    return new, sum((a - b) ** 2 for a, b in zip(new, old))
+
+
+def _lloyd(centres: list[float], bins: list[tuple], tol: float) -> list[float]:
+    """Iterations over a histogram: (mean, count) per bin, in order."""
     for _ in range(300):
         mids = [(a + b) / 2 for a, b in zip(centres, centres[1:])]
-        sums, counts = [0.0] * len(centres), [0] * len(centres)
-        for m, n in zip(means, sizes):
-            i = bisect_right(mids, m)
-            sums[i] += m * n
-            counts[i] += n
-        new = [s / n if n else c for s, n, c in zip(sums, counts, centres)]
-        shift = sum((a - b) ** 2 for a, b in zip(new, centres))
-        centres = sorted(new)
+        clusters = [[0, 0.0, math.inf, -math.inf] for _ in centres]
+        for m, n in bins:
+            c = clusters[bisect_right(mids, m)]
+            c[:] = [c[0] + n, c[1] + m * n, min(c[2], m), max(c[3], m)]
+        centres, shift = _next_centres(centres, clusters)
         if shift <= tol:
             break
     return centres
@@ -345,9 +368,7 @@ def _kmeans_edges(df: DataFrame, start: dict[str, list[float]], n_bins: int, rou
         )
         for c in centres:
             bins = sorted((r["mean"], r["n"]) for r in histogram if r["c"] == c)
-            centres[c] = _lloyd(
-                centres[c], [m for m, _ in bins], [n for _, n in bins], 1e-4 * spread[c]
-            )
+            centres[c] = _lloyd(centres[c], bins, 1e-4 * spread[c])
     moving = set(centres)
     for _ in range(rounds):
         if not moving:
@@ -357,15 +378,12 @@ def _kmeans_edges(df: DataFrame, start: dict[str, list[float]], n_bins: int, rou
             mids = [(a + b) / 2 for a, b in zip(centres[c], centres[c][1:])]
             which = bucket_of(col(c), mids)
             for i in range(len(centres[c])):
-                exprs[f"{c}|{i}"] = F.avg(F.when(which == i, col(c)))
+                x = F.when(which == i, col(c))
+                exprs[f"{c}|{i}"] = F.struct(F.count(x), F.sum(x), F.min(x), F.max(x))
         got = one_row(df, exprs)
         for c in list(moving):
-            new = [
-                old if got[f"{c}|{i}"] is None else got[f"{c}|{i}"]
-                for i, old in enumerate(centres[c])
-            ]
-            shift = sum((a - b) ** 2 for a, b in zip(new, centres[c]))
-            centres[c] = sorted(new)
+            clusters = [tuple(got[f"{c}|{i}"]) for i in range(len(centres[c]))]
+            centres[c], shift = _next_centres(centres[c], clusters)
             if shift <= 1e-4 * spread[c]:
                 moving.discard(c)
     return {

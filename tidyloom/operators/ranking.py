@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidyloom.functions.scalar import col
 from tidyloom.session import cut_lineage
 
 BUCKETS = 16384
@@ -50,11 +51,9 @@ def bucketed_rank(
         extra[total] = F.sum("__size").over(group)
     shifts = sizes.withColumns(extra).drop("__size")
     local = Window.partitionBy(*keys).orderBy(*order)
-    return (
-        df.join(shifts, keys)
-        .withColumn(out, F.col("__shift") + F.row_number().over(local))
-        .drop("__shift")
-    )
+    rank = F.col("__shift") + F.row_number().over(local)
+    kept = [col(c) for c in df.columns] + ([F.col(total)] if total else [])
+    return df.join(shifts, keys).select(*kept, rank.alias(out))
 
 
 def smallest(df: DataFrame, by: list[str], order: list, k: int) -> DataFrame:
