@@ -13,6 +13,7 @@ from tidyloom.catalog.common import (
     rounded,
     table,
 )
+from tidyloom.functions.scalar import nan_to_null
 from tidyloom.operators import chained, columns, dedup, encode, missing, numeric, texts
 from tidyloom.operators.profile import profile_columns
 from tidyloom.plans import PlanCleaner, run_fixed
@@ -121,6 +122,17 @@ def drop_leakage_align(spark, d):
     return columns.align(df, ["l_quantity", "l_weight", "l_orderkey", "l_returnflag"])
 
 
+@query(
+    "nan_to_null",
+    "SELECT event_id, CASE WHEN event_id % 3 <> 0 THEN value END AS value FROM events",
+)
+def nan_as_null(spark, d):
+    df = table(spark, d, "events").selectExpr(
+        "event_id", "CASE WHEN event_id % 3 = 0 THEN CAST('NaN' AS DOUBLE) ELSE value END AS value"
+    )
+    return nan_to_null(df)
+
+
 @query(
     "drop_missing_rows",
     f"""

@@ -27,6 +27,7 @@ from tidyloom.operators.ranking import hash_order, smallest
 BLOCK_ROWS = 8192
 CHUNK_ROWS = 16384
 MAX_PIVOTS = 256
+MOSTLY_DISTINCT = 0.9
 _SLAB = 256
 _SLACK = 1e-9
 
@@ -50,20 +51,34 @@ def _pick(dist: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 
 
 def _top_euclidean(q: np.ndarray, t: np.ndarray, ids: np.ndarray, k: int):
-    """Per query row: (positions, distances) of its k nearest rows of the block."""
+    """Per query row: (positions, distances) of its k nearest rows of the block.
+
+    A fast form of the squared distance shortlists a few rows; their distances
+    are then taken exactly. Rows that might be missing from the shortlist (many
+    near-equal distances) are searched in full.
+    """
     norm_t = (t * t).sum(1)
+    wide = min(len(t), 4 * k + 8)
     for start in range(0, len(q), _SLAB):
         part = q[start : start + _SLAB]
         norm_q = (part * part).sum(1)
         sq = norm_q[:, None] + norm_t[None, :] - 2 * part @ t.T
-        kth = np.partition(sq, min(k, sq.shape[1]) - 1, axis=1)[:, min(k, sq.shape[1]) - 1]
-        # The fast form only shortlists; distances are then taken exactly.
         margin = _SLACK * (norm_q + norm_t.max(initial=0.0) + 1.0)
+        short = np.argpartition(sq, wide - 1, axis=1)[:, :wide]
+        exact = ((t[short] - part[:, None, :]) ** 2).sum(2)
+        order = np.lexsort((ids[short], exact), axis=1)[:, :k]
+        rows = np.arange(len(part))[:, None]
+        best, dist = short[rows, order], exact[rows, order]
+        last = np.take_along_axis(sq, short, 1).max(1)
+        sure = (wide == len(t)) | (dist[:, -1] + margin < last - margin)
         for i in range(len(part)):
-            near = np.flatnonzero(sq[i] <= kth[i] + margin[i])
-            d = np.sqrt(((t[near] - part[i]) ** 2).sum(1))
-            best = _pick(d, ids[near], k)
-            yield start + i, near[best], d[best]
+            if sure[i]:
+                yield start + i, best[i], np.sqrt(dist[i])
+                continue
+            near = np.flatnonzero(sq[i] <= dist[i, -1] + margin[i])
+            d = ((t[near] - part[i]) ** 2).sum(1)
+            pick = _pick(d, ids[near], k)
+            yield start + i, near[pick], np.sqrt(d[pick])
 
 
 def _top_nan_euclidean(q: np.ndarray, t: np.ndarray, ids: np.ndarray, k: int):
@@ -161,7 +176,16 @@ def knn_join(
         col(train_vector).cast(vector).alias("vec"),
         col(payload).alias("payload"),
     )
-    n = t.count()
+    need = k + int(skip_self)
+    sizes = one_row(
+        t, {"n": F.count(F.lit(1)), "k": F.approx_count_distinct(F.xxhash64("vec"))}
+    )
+    n = sizes["n"]
+    if n * MOSTLY_DISTINCT > sizes["k"]:
+        # Of equal vectors only the smallest ids can ever be among the nearest;
+        # the others go before anything is shuffled by cell.
+        t = smallest(t, ["vec"], [F.asc("tid")], need)
+        n = min(n, sizes["k"] * need)
     if n_pivots is None:
         n_pivots = max(1, min(MAX_PIVOTS, math.isqrt(max(n, 1)) // 4))
     whole = isinstance(t.schema["tid"].dataType, T.IntegralType)
@@ -172,7 +196,6 @@ def knn_join(
         return q.select("qid").join(t.select("tid"), F.lit(False)).select(
             "qid", "tid", F.lit(0.0).alias("distance"), F.lit(None).alias("payload")
         )
-    need = k + int(skip_self)
 
     id_type = t.schema["tid"].dataType.simpleString()
     load_type = t.schema["payload"].dataType.simpleString()

@@ -237,6 +237,7 @@ def _summary(p: DataFrame) -> DataFrame:
     kept = F.col("keep")
     return p.groupBy("plan_id").agg(
         F.max("step").alias("last"),
+        F.max("is_tree").alias("is_tree"),
         F.max("is_linear").alias("is_linear"),
         F.max("is_knn").alias("is_knn"),
         F.max(kept & (F.col("action") == "scale_features")).alias("scales"),
@@ -279,11 +280,11 @@ def completeness_rule(p: DataFrame, profile: DataFrame) -> DataFrame:
 
     Later steps move up by one; no sort is needed.
     """
-    texts = profile.where(F.col("is_text")).select("plan_id").distinct()
-    todo = _summary(p).where(~F.col("encodes")).join(texts, "plan_id", "left_semi")
-    todo = todo.join(
-        p.groupBy("plan_id").agg(F.max("is_tree").alias("is_tree")), "plan_id"
-    ).withColumn("at", F.coalesce("fill_at", "last") + 1)
+    texts = profile.where(F.col("is_text")).select("plan_id")
+    todo = (
+        _summary(p).where(~F.col("encodes")).join(texts, "plan_id", "left_semi")
+        .withColumn("at", F.coalesce("fill_at", "last") + 1)
+    )
     moved = p.join(todo.select("plan_id", "at"), "plan_id", "left").withColumn(
         "step", F.col("step") + F.coalesce((F.col("step") >= F.col("at")).cast("int"), F.lit(0))
     )
