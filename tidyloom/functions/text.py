@@ -6,6 +6,7 @@ import re
 import unicodedata
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -24,14 +25,21 @@ def collapse_whitespace(c: Column) -> Column:
 
 
 @lru_cache(maxsize=1)
-def _combining_marks() -> re.Pattern:
-    marks = "".join(chr(cp) for cp in range(0x300, 0x110000) if unicodedata.combining(chr(cp)))
-    return re.compile(f"[{re.escape(marks)}]+")
+def _is_combining() -> np.ndarray:
+    flags = np.zeros(0x110000, dtype=bool)
+    for cp in range(0x300, 0x110000):
+        flags[cp] = unicodedata.combining(chr(cp)) > 0
+    return flags
+
+
+def _without_marks(text: str) -> str:
+    flags = _is_combining()
+    points = np.frombuffer(unicodedata.normalize("NFKD", text).encode("utf-32-le"), dtype="<u4")
+    return points[~flags[points]].tobytes().decode("utf-32-le")
 
 
 def _fold_accents(values: pd.Series) -> pd.Series:
-    drop = _combining_marks().sub
-    return values.map(lambda v: drop("", unicodedata.normalize("NFKD", v)), na_action="ignore")
+    return values.map(_without_marks, na_action="ignore")
 
 
 def remove_accents(c: Column) -> Column:

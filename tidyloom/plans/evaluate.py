@@ -24,7 +24,7 @@ from tidyloom.operators.metrics import (
     over_folds,
     regression_metrics,
 )
-from tidyloom.operators.neighbors import knn_join, knn_mean, knn_vote
+from tidyloom.operators.neighbors import knn_join, knn_mean
 from tidyloom.operators.sampling import FOLDS, SEED, assign_folds
 from tidyloom.plans.model import PlanCleaner
 from tidyloom.plans.preparation import apply_preparation, fit_preparation
@@ -94,15 +94,13 @@ def _knn_predict(train: DataFrame, test: DataFrame, key: str, task: str) -> Data
     if task == "regression":
         guess = knn_mean(found)
         return test.join(guess, test[key] == guess["qid"]).select(key, "label", "prediction")
-    votes = knn_vote(found).select("qid", "prediction")
-    counts = found.groupBy("qid", "payload").agg(F.count("*").alias("n"))
-    share = counts.groupBy("qid").agg(
-        F.map_from_entries(
-            F.collect_list(F.struct(F.col("payload").cast("int"), F.col("n") / KNN_K))
-        ).alias("share")
+    votes = found.groupBy("qid", "payload").agg(F.count("*").alias("n"))
+    part = F.struct(F.col("payload").cast("int"), F.col("n") / KNN_K)
+    guess = votes.groupBy("qid").agg(
+        F.min(F.struct((-F.col("n")).alias("n"), "payload"))["payload"].alias("prediction"),
+        F.map_from_entries(F.collect_list(part)).alias("share"),
     )
-    out = test.join(votes, test[key] == votes["qid"]).drop("qid")
-    return out.join(share, out[key] == share["qid"]).select(key, "label", "prediction", "share")
+    return test.join(guess, test[key] == guess["qid"]).select(key, "label", "prediction", "share")
 
 
 def fold_predictions(
@@ -116,8 +114,12 @@ def fold_predictions(
     prep: dict | None = None,
     options: dict | None = None,
     classes: list[str] | None = None,
+    held: list[DataFrame] | None = None,
 ) -> DataFrame:
-    """Fit on the other folds, predict this one. Nothing is learned from its rows."""
+    """Fit on the other folds, predict this one. Nothing is learned from its rows.
+
+    ``held`` collects frames that were persisted for the caller to release.
+    """
     carry = [key, target, "fold"]
     train, test = df.where(F.col("fold") != fold), df.where(F.col("fold") == fold)
     if plan is not None:
@@ -136,6 +138,10 @@ def fold_predictions(
 
     train, test = ready(train), ready(test)
     if model == "knn":
+        # The neighbour join reads both sides several times.
+        if held is not None:
+            train, test = train.persist(), test.persist()
+            held += [train, test]
         return _knn_predict(train, test, key, task).withColumn("fold", F.lit(fold))
     n_classes = len(classes or [])
     if task == "classification":
@@ -175,9 +181,12 @@ def cross_validate(
     placed = placed.persist()
     classes = class_list(placed, target) if task == "classification" else None
     spark = df.sparkSession
+    held: list[DataFrame] = [placed]
 
     def one(f):
-        return fold_predictions(placed, f, key, target, task, plan, model, prep, options, classes)
+        return fold_predictions(
+            placed, f, key, target, task, plan, model, prep, options, classes, held
+        )
 
     with ThreadPoolExecutor(max_workers=parallel) as pool:
         parts = list(pool.map(inheritable_thread_target(spark)(one), range(folds)))
@@ -186,6 +195,9 @@ def cross_validate(
     scored = parts[0].select(*cols)
     for p in parts[1:]:
         scored = scored.unionByName(p.select(*cols))
+    # Several metrics read the predictions.
+    scored = scored.persist()
+    held.append(scored)
     if task == "regression":
         per_fold = regression_metrics(scored, ["fold"])
         out = over_folds(per_fold, ["mae", "rmse", "r2"])
@@ -197,7 +209,8 @@ def cross_validate(
             names.append("roc_auc")
         out = over_folds(per_fold, names)
     row = out.first()
-    placed.unpersist()
+    for frame in held:
+        frame.unpersist()
     return spark.createDataFrame([row], out.schema)
 
 
