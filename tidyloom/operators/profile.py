@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidyloom.functions.scalar import col, is_numeric, is_text, numeric_columns, text_columns
+from tidyloom.functions.scalar import col, is_numeric, is_text, text_columns
 from tidyloom.operators.aggregates import exact_quantiles, missing_counts, one_row, value_counts
 from tidyloom.operators.dedup import duplicate_row_count
 from tidyloom.operators.numeric import outlier_cells
