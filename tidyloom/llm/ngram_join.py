@@ -38,7 +38,7 @@ def choose_bands(threshold: float, recall: float, most_hashes: int = 128) -> tup
     """``(bands, rows)``: the most rows for which enough bands stay affordable."""
     best = None
     for rows in range(1, 33):
-        bands = math.ceil(math.log(1 - recall) / math.log(1 - threshold**rows))
+        bands = math.ceil(math.log1p(-recall) / math.log1p(-(threshold**rows)))
         if bands * rows <= most_hashes:
             best = (bands, rows)
     if best is None:

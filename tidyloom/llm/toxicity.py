@@ -6,10 +6,10 @@ tokens become a lattice of plain letters with a cost for each kind of noise, and
 a Viterbi search finds the reading that is likeliest together with a character
 trigram model, counted over all documents. The restored text is then scored.
 
-The score is a logistic function of whether telling words occur and of the sum
-of their log-likelihood ratios. Telling words and weights are learned from at most about ``fit_rows``
-labelled documents, equal texts counted once; the classifier sees restored words
-only, never label, language, source or key.
+The score is a logistic regression over telling words and stems that several
+words of a text share. They are chosen by their likelihood ratio, which is also where
+their weights start from, and fitted on at most about ``fit_rows`` labelled documents, equal texts counted once; the
+classifier sees restored words only, never label, language, source or key.
 
 NULL and empty texts get the score of a text without telling words; rows that
 repeat are scored each; without labels every score is one half below; an empty
@@ -42,13 +42,17 @@ LEET = {
     "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l",
     "*": "aeiou", "#": "aeiou",
 }
-REPLACE, DROP_MARK, DROP_LEET, DROP_REPEAT, DROP_DOUBLE = 1.0, 0.7, 3.0, 0.5, 3.0
+REPLACE, DROP_MARK, DROP_LEET, DROP_REPEAT, DROP_DOUBLE = 1.0, 0.7, 6.0, 0.5, 8.0
+#: Cost of taking a telling word as a whole instead of letter by letter.
+WHOLE_WORD = 8.0
 LONGEST = 40
 BEAM = 64
 CACHE_TOKENS = 400_000
 FIT_ROWS = 20_000
 #: Evidence (G²) from which a word counts as telling, and its least number of texts.
 EVIDENCE, LEAST_TEXTS = 18.0, 3
+#: Lengths of the stems that count when several distinct words share them.
+STEMS = (4, 5, 6, 7)
 EDGE = re.compile(r"^([^\w\s])\1+|([^\w\s])\2+$|[.,;:?!\"')\]}>]+$|^[\"'(\[{<]+(?=\w)")
 THRICE = re.compile(r"(.)\1\1")
 
@@ -132,8 +136,8 @@ def readings(token: str) -> list[list[tuple[str, float]]]:
     return out
 
 
-def viterbi(token: str, cost: np.ndarray) -> str:
-    """The cheapest reading of a token; states are the last two plain letters."""
+def viterbi(token: str, cost: np.ndarray) -> tuple[float, str]:
+    """The cheapest reading of a token and its cost; states are the last two plain letters."""
     states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
     for options in readings(token):
         new: dict[tuple[int, int], tuple[float, str]] = {}
@@ -149,15 +153,45 @@ def viterbi(token: str, cost: np.ndarray) -> str:
         if len(new) > BEAM:
             new = dict(sorted(new.items(), key=lambda s: s[1])[:BEAM])
         states = new
-    return min((total + cost[a, b, 0], text) for (a, b), (total, text) in states.items())[1]
+    return min((total + cost[a, b, 0], text) for (a, b), (total, text) in states.items())
+
+
+def noise_of(token: str, word: str) -> float:
+    """Cheapest noise that turns ``word`` into ``token`` (infinite if none does)."""
+    best = [0.0] + [math.inf] * len(word)
+    for options in readings(token):
+        new = [math.inf] * len(best)
+        for letter, noise in options:
+            if not letter:
+                new = [min(x, y + noise) for x, y in zip(new, best)]
+            else:
+                for j, c in enumerate(word):
+                    if c == letter:
+                        new[j + 1] = min(new[j + 1], best[j] + noise)
+        best = new
+    return best[-1]
 
 
 class Restorer(dict):
-    """Plain form of lower-case tokens, remembered within a Python worker."""
+    """Plain form of lower-case tokens, remembered within a Python worker.
+
+    ``known`` words may also be taken as a whole, at a fixed cost.
+    """
 
-    def __init__(self, cost: np.ndarray):
+    def __init__(self, cost: np.ndarray, known: list[str] = ()):
         super().__init__()
         self.cost = cost
+        self.known = [(w, set(w)) for w in sorted(known)]
+
+    def decode(self, core: str) -> str:
+        total, plain = viterbi(core, self.cost)
+        letters = {c for c in core if c in CODE}
+        for word, own in self.known:
+            if len(word) <= len(core) and letters <= own:
+                whole = WHOLE_WORD + noise_of(core, word)
+                if whole < total:
+                    total, plain = whole, word
+        return plain
 
     def __missing__(self, token: str) -> str:
         if len(self) >= CACHE_TOKENS:
@@ -171,8 +205,8 @@ class Restorer(dict):
         plain = core
         if not core.isalpha() or THRICE.search(core):
             letters = sum(c in CODE for c in core)
-            if letters and len(core) <= LONGEST and not core.isdigit():
-                plain = viterbi(core, self.cost)
+            if letters and len(core) <= LONGEST:
+                plain = self.decode(core)
             elif len(core) > LONGEST:
                 plain = THRICE.sub(r"\1", core)
         self[token] = plain
@@ -200,41 +234,85 @@ class Restorer(dict):
 # --- classifier --------------------------------------------------------------------------
 
 
-def logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 0.1) -> np.ndarray:
-    """Weights of a ridge logistic regression by Newton steps (intercept first)."""
+def logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, start: np.ndarray, ridge: float = 0.3) -> np.ndarray:
+    """Weights of a logistic regression by Newton steps (intercept first).
+
+    They are drawn towards ``start``; the intercept is free. Rows stand for ``n``
+    cases each. A step is halved until the loss falls.
+    """
     x = np.column_stack([np.ones(len(x)), x])
-    w = np.zeros(x.shape[1])
-    keep = ridge * np.eye(len(w))
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (n * p * (1 - p))[:, None]).T @ x + keep, x.T @ (n * (y - p)) - keep @ w)
-        w += step
-        if np.abs(step).max() < 1e-9:
+    start = np.concatenate([[0.0], start])
+    w = start.copy()
+    keep = np.full(len(w), ridge)
+    keep[0] = 1e-6
+
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return float((n * (np.logaddexp(0, z) - y * z)).sum() + (keep * (w - start) ** 2).sum() / 2)
+
+    now = loss(w)
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
+        slope = x.T @ (n * (p - y)) + keep * (w - start)
+        step = np.linalg.solve((x * (n * p * (1 - p))[:, None]).T @ x + np.diag(keep), slope)
+        while loss(w - step) > now and np.abs(step).max() > 1e-9:
+            step /= 2
+        w, before, now = w - step, now, loss(w - step)
+        if before - now < 1e-9:
             break
     return w
 
 
+def features(words: set[str]) -> list[str]:
+    """The words, and each stem that two (three) or more of them begin with."""
+    stems = Counter(w[:k] for w in words for k in STEMS if len(w) > k)
+    return sorted([*words, *(f"{p} x{n}" for p, m in stems.items() for n in (2, 3) if m >= n)])
+
+
 class Model:
-    """Character costs, telling words with their weights, and the score's weights."""
+    """Character costs, and a logistic regression over telling features."""
 
-    def __init__(self, cost: np.ndarray, weights: dict[str, float], fit: np.ndarray):
-        self.cost, self.weights, self.fit = cost, weights, fit
+    def __init__(self, cost: np.ndarray, weights: dict[str, float], intercept: float):
+        self.cost, self.weights, self.intercept = cost, weights, intercept
         self.key = uuid.uuid4().hex
+        self.stems = {f.split(" ")[0] for f in weights if " " in f}
+
+    def words(self) -> list[str]:
+        return [f for f in self.weights if " " not in f]
+
+
+class Marker(dict):
+    """The telling parts of a word: itself, and its stems (mostly nothing)."""
+
+    def __init__(self, model: Model):
+        super().__init__()
+        self.model = model
+
+    def __missing__(self, word: str) -> tuple:
+        if len(self) >= CACHE_TOKENS:
+            self.clear()
+        m = self.model
+        stems = tuple(word[:k] for k in STEMS if len(word) > k and word[:k] in m.stems)
+        self[word] = found = (m.weights.get(word, 0.0), stems) if stems or word in m.weights else ()
+        return found
 
-    def features(self, words: set[str]) -> tuple[float, float]:
-        hits = [self.weights[w] for w in words if w in self.weights]
-        return float(bool(hits)), sum(hits) / 10
+    def log_odds(self, words: set[str]) -> float:
+        hits = [h for h in map(self.__getitem__, words) if h]
+        weights = self.model.weights
+        stems = Counter(s for _, own in hits for s in own)
+        shared = (weights.get(f"{p} x{n}", 0.0) for p, m in stems.items() for n in (2, 3) if m >= n)
+        return self.model.intercept + math.fsum(w for w, _ in hits) + math.fsum(shared)
 
 
-_RESTORERS: dict[str, Restorer] = {}
+_WORKER: dict[str, tuple[Restorer, Marker]] = {}
 
 
-def worker_restorer(model: Model) -> Restorer:
-    """One restorer in each Python worker, for the latest model."""
-    if model.key not in _RESTORERS:
-        _RESTORERS.clear()
-        _RESTORERS[model.key] = Restorer(model.cost)
-    return _RESTORERS[model.key]
+def worker_tools(model: Model) -> tuple[Restorer, Marker]:
+    """One restorer and marker in each Python worker, for the latest model."""
+    if model.key not in _WORKER:
+        _WORKER.clear()
+        _WORKER[model.key] = Restorer(model.cost, model.words()), Marker(model)
+    return _WORKER[model.key]
 
 
 def fit_toxicity(
@@ -258,16 +336,17 @@ def fit_toxicity(
         restorer = Restorer(sent.value)
         for b in batches:
             texts = b.column(0).to_pylist()
-            words = pa.array([sorted(restorer.words(t)) for t in texts], pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([b.column(1), words], ["toxic", "words"])
+            words = pa.array([features(restorer.words(t)) for t in texts], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), words], ["toxic", "same", "words"])
 
-    restored = rows.select("text", "toxic").mapInArrow(restore, "toxic int, words array<string>")
-    distinct = restored.groupBy("words").agg(F.max("toxic").alias("toxic"))
-    texts = cut_lineage(distinct.where("toxic is not null"))
+    marked = rows.select("text", "toxic", F.sha2(F.coalesce("text", F.lit("")), 256).alias("same"))
+    restored = marked.mapInArrow(restore, "toxic int, same string, words array<string>")
+    distinct = restored.groupBy("same").agg(F.max("toxic").alias("toxic"), F.first("words").alias("words"))
+    texts = cut_lineage(distinct.drop("same"))
     total = {r["toxic"]: r["count"] for r in texts.groupBy("toxic").count().collect()}
     bad, good = total.get(1, 0), total.get(0, 0)
     if not bad or not good:
-        return Model(cost, {}, np.array([math.log((bad + 0.5) / (good + 0.5)), 0.0, 0.0]))
+        return Model(cost, {}, math.log((bad + 0.5) / (good + 0.5)))
     by_word = texts.select("toxic", F.explode("words").alias("w")).groupBy("w").agg(
         F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b")
     )
@@ -283,16 +362,21 @@ def fit_toxicity(
     )
     ratio = F.log((a + 0.5) / F.lit(bad + 1)) - F.log((b + 0.5) / F.lit(good + 1))
     telling = by_word.where((a >= LEAST_TEXTS) & (ratio > 0) & (evidence >= EVIDENCE))
-    # No more than fit_rows texts stand behind these words.
-    weights = {r["w"]: r["r"] for r in telling.select("w", ratio.alias("r")).collect()}
-    model = Model(cost, weights, np.zeros(3))
-    cells: Counter = Counter()
-    for r in texts.select("toxic", F.array_intersect("words", F.array(*[F.lit(w) for w in sorted(weights)]).cast("array<string>")).alias("hits")).collect():
-        hit, amount = model.features(set(r["hits"]))
-        cells[(hit, round(amount, 2), r["toxic"])] += 1
-    keys = np.array(list(cells), float)
-    model.fit = logistic(keys[:, :2], keys[:, 2], np.array(list(cells.values()), float))
-    return model
+    # All of this comes from no more than about fit_rows texts.
+    known: dict[tuple, tuple[str, float]] = {}
+    for r in sorted(telling.select("w", "a", "b", ratio.alias("r")).collect(), key=lambda r: r["w"]):
+        # Of stems that begin alike and are seen equally often one is enough.
+        stem, _, times = r["w"].partition(" ")
+        known.setdefault((stem[: STEMS[0]], times, r["a"], r["b"]) if times else (stem,), (r["w"], r["r"]))
+    place = {f: i for i, (f, _) in enumerate(known.values())}
+    start = np.array([r for _, r in known.values()])
+    lists = F.array(*[F.lit(f) for f in place]).cast("array<string>")
+    cases = texts.groupBy("toxic", F.array_intersect("words", lists).alias("hits")).count().collect()
+    x = np.zeros((len(cases), len(place)))
+    for row, case in zip(x, cases):
+        row[[place[f] for f in case["hits"]]] = 1
+    fit = logistic(x, np.array([c["toxic"] for c in cases]), np.array([c["count"] for c in cases], float), start)
+    return Model(cost, dict(zip(place, fit[1:].tolist())), float(fit[0]))
 
 
 def scorer(spark, model: Model):
@@ -302,9 +386,9 @@ def scorer(spark, model: Model):
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
         m = sent.value
-        restorer = worker_restorer(m)
-        x = np.array([m.features(restorer.words(t)) for t in texts], float).reshape(-1, 2)
-        return pd.Series(1 / (1 + np.exp(-(m.fit[0] + x @ m.fit[1:]))))
+        restorer, marker = worker_tools(m)
+        z = np.array([marker.log_odds(restorer.words(t)) for t in texts], float)
+        return pd.Series(1 / (1 + np.exp(-np.clip(z, -500, 500))))
 
     return score
 
