@@ -16,6 +16,7 @@ ODD = [
 
 def test_chunks_give_the_ids_of_whole_texts():
     by_chunk, whole = ChunkTokenizer(default_tokenizer(), cache=5), ChunkTokenizer(default_tokenizer(), False)
+    assert by_chunk.direct
     assert list(by_chunk.encode(ODD)) == list(whole.encode(ODD))
 
 
@@ -44,6 +45,12 @@ def test_long_documents_go_to_the_cheapest_sequence():
     assert parts[:3] == [(0, 0, 40, 0, 0), (1, 0, 30, 1, 0), (2, 0, 24, 1, 30)]
 
 
+def test_chunks_of_documents_give_the_ids_of_whole_texts(spark, tables):
+    texts = [r.text for r in spark.read.parquet(f"{tables}/documents.parquet").collect()]
+    by_chunk, whole = ChunkTokenizer(default_tokenizer()), ChunkTokenizer(default_tokenizer(), False)
+    assert list(by_chunk.encode(texts)) == list(whole.encode(texts))
+
+
 def check(rows, texts, tokenizer):
     ids = {}
     for key, text in texts.items():

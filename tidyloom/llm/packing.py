@@ -25,6 +25,7 @@ import os
 import re
 from array import array
 from collections.abc import Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pandas as pd
@@ -41,6 +42,17 @@ GATHER = 64
 WORD_AND_MARKS = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-^`{-~]*)")
 #: Weight of the linear term: about six model widths, here for a width of 1024.
 LINEAR = 6144.0
+PROBES = ["word", "tokenization", "é", "straße", "größe", "año", "слово", "語", "ﬁ", "ß", "zzzzqx"]
+
+
+def byte_signs() -> dict[int, str]:
+    """The printable sign that byte-level vocabularies write for each byte."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(other)}
+
+
+BYTE_SIGNS = byte_signs()
 
 
 def default_tokenizer() -> str:
@@ -53,7 +65,9 @@ class ChunkTokenizer:
     """Token ids of whole texts as little-endian unsigned 32-bit bytes.
 
     Ids are remembered for chunks, and for the words that chunks of letters with
-    closing marks begin with, so the tokenizer sees each new word once.
+    closing marks begin with. A new word of letters goes to the tokenizer's model
+    directly if that gives the same ids (which is tried out first), else through
+    the whole tokenizer.
     """
 
     def __init__(self, path: str, chunked: bool = True, cache: int = CACHE_CHUNKS):
@@ -65,6 +79,13 @@ class ChunkTokenizer:
         self.cache = cache
         self.chunks: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
+        self.direct = chunked and [self._word(w) for w in PROBES] == self._ids(PROBES)
+
+    def _word(self, word: str) -> bytes:
+        """Ids of a lower-case word of letters, straight from the model."""
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(BYTE_SIGNS)
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(word)]).tobytes()
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -81,9 +102,13 @@ class ChunkTokenizer:
         if len(self.parts) + len(new) > self.cache:
             self.parts.clear()
             new = {p for pair in cut.values() for p in pair}
-        listed = list(new)
-        self.parts.update(zip(listed, self._ids(listed)))
         parts = self.parts
+        if self.direct:
+            words = {w for w in new if w.isalpha() and is_normalized("NFC", w) and "\u03a3" not in w}
+            new -= words
+            parts.update((w, self._word(w)) for w in words)
+        listed = list(new)
+        parts.update(zip(listed, self._ids(listed)))
         self.chunks.update((c, parts[w] + parts[m]) for c, (w, m) in cut.items())
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
