@@ -203,6 +203,76 @@ def test_policy_strikes_numeric_encodings(spark):
     assert [(r["column"], r["method"], r["changed"]) for r in out] == [("cat_low", "ordinal", True)]
 
 
+@pytest.fixture(scope="module")
+def settled(spark):
+    """The fixture plan through every rule, with its column encodings and a feature selection."""
+    rows = [
+        (m, i, a, "", cols, params)
+        for m in MODELS
+        for i, (a, cols, params) in enumerate(
+            [*BASE, ("select_features", [], {"drop_columns": "num_b,cat_low", "variance_threshold": "0.2"})], start=1
+        )
+    ]
+    plans = spark.createDataFrame(
+        rows,
+        "plan_id string, step long, action string, rationale string, target_columns array<string>, params map<string,string>",
+    )
+    contexts = spark.createDataFrame(
+        [(m, m, ["num_b"], []) for m in MODELS],
+        "plan_id string, downstream_model string, redundant_features array<string>, leakage_cols array<string>",
+    )
+    columns = [("num_a", False, None, False), ("num_b", False, None, False), ("cat_low", True, 2, False),
+               ("wide", True, 150, False), ("wider", True, 180, False), ("target", False, None, True)]
+    profile = spark.createDataFrame(
+        [(m, c, t, not t, n, y) for m in MODELS for c, t, n, y in columns],
+        "plan_id string, column string, is_text boolean, is_numeric boolean, n_unique long, is_target boolean",
+    )
+    semantics = spark.createDataFrame(
+        [(m, c, "nominal") for m in MODELS for c in ("cat_low", "wide", "wider")],
+        "plan_id string, column string, semantics string",
+    )
+    own = spark.createDataFrame(
+        [(m, 2, c, "ordinal") for m in MODELS for c in ("cat_low", "num_b")],
+        "plan_id string, step long, column string, method string",
+    )
+    return policy.enforce(plans, contexts, profile, own, semantics)
+
+
+def test_enforced_encodings_strike_numbers_and_keep_the_budget(settled):
+    plans = policy.to_plans(settled, MODELS)
+    log = {r["plan_id"]: r["changes"] for r in policy.change_log(settled).collect()}
+
+    def method(m):
+        step = next(a for a in plans[m]["actions"] if a["action"] == "encode_categorical_per_column")
+        return step["params"]["column_encodings"]
+
+    assert all("num_b" not in method(m) and "encoding:strike num_b" in log[m] for m in MODELS)
+    assert method("RandomForest") == {"cat_low": "ordinal", "wide": "ordinal", "wider": "ordinal"}
+    # 2 numbers, 2 + 150 + 180 one-hot columns: over 200 until the widest is ordinal.
+    assert method("LogisticRegression") == {"cat_low": "one_hot", "wide": "one_hot", "wider": "ordinal"}
+    assert "budget:wider->ordinal" in log["LogisticRegression"] and "encoding:cat_low->one_hot" in log["Ridge"]
+
+
+def test_enforced_plans_run(spark, settled):
+    plans = policy.to_plans(settled, MODELS)
+    for m in MODELS:
+        step = next(a for a in plans[m]["actions"] if a["action"] == "select_features")
+        assert step["params"] == {"drop_columns": ["num_b"], "variance_threshold": 0.0, "correlation_threshold": 1.0}
+    df = spark.createDataFrame(
+        [(1.0, 10, "x", "u"), (2.0, 20, "y", "v"), (None, 30, "x", "w")], "num_a double, num_b long, cat_low string, wide string"
+    ).withColumn("wider", F.col("wide"))
+    for m in ("Ridge", "RandomForest", "KNN"):
+        out = PlanCleaner(plans[m]).fit(df).transform(df)
+        assert "num_b" not in out.columns and out.where("num_a is null").count() == 0
+        _, log = run_plan(df, plans[m], audit=False)
+        assert {r["status"] for r in log.steps} == {"applied"}
+
+
+def test_typed_params():
+    got = policy.typed_params({"iqr_k": "3.0", "n": "5", "flag": "true", "columns": "a,b", "ops": '["strip"]', "m": "one_hot", "x": None})
+    assert got == {"iqr_k": 3.0, "n": 5, "flag": True, "columns": ["a", "b"], "ops": ["strip"], "m": "one_hot"}
+
+
 # ---------------------------------------------------------------- documents
 @pytest.mark.parametrize(
     "text, want",

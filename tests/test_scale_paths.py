@@ -22,12 +22,11 @@ def skewed(spark):
 def test_quantiles_by_narrowing(skewed):
     df, pdf = skewed
     probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.999, 1.0]
-    plain = exact_quantiles(df, {"v": probs, "w": probs})
-    narrow = exact_quantiles(df, {"v": probs, "w": probs}, row_limit=10, distinct_limit=10)
+    gathered = exact_quantiles(df, {"v": probs, "w": probs})
+    narrowed = exact_quantiles(df, {"v": probs, "w": probs}, gather_limit=10)
+    assert narrowed == gathered
     for c in ("v", "w"):
-        want = np.quantile(pdf[c], probs)
-        assert plain[c] == pytest.approx(list(want))
-        assert narrow[c] == pytest.approx(list(want))
+        assert gathered[c] == pytest.approx(list(np.quantile(pdf[c], probs)))
 
 
 def test_order_statistics_gather_only_a_little(skewed):
@@ -74,8 +73,9 @@ def test_large_vocabulary_matches_the_small_one(spark, monkeypatch):
     large = encode.apply_encoding(df, encode.fit_encoding(df, {"k": "ordinal"}))
     assert small.exceptAll(large).count() == 0
     assert rare.exceptAll(encode.apply_rare(df, encode.fit_rare(df, ["k"], min_abs=6, min_pct=0))).count() == 0
-    with pytest.raises(ValueError):
-        encode.fit_encoding(df, {"k": "one_hot"})
+    wide = encode.apply_encoding(df, encode.fit_encoding(df, {"k": "one_hot"}))
+    code = {r["id"]: int(r["k__ord"]) for r in small.collect()}
+    assert all(list(r["k__codes"].indices) == [code[r["id"]]] for r in wide.collect())
 
 
 # ---------------------------------------------------------------- chained imputation
@@ -128,6 +128,19 @@ def test_chained_matches_the_rounds_on_rows(spark, limit):
         assert np.allclose(got.to_numpy(), want, rtol=1e-6, atol=1e-6)
 
 
+def test_chained_stops_alike_on_both_ways(spark):
+    data = _gaps()
+    cols = ["a", "b", "c", "d"]
+    pdf = pd.DataFrame(data, columns=cols)
+    df = spark.createDataFrame(pdf).select(*[F.when(~F.isnan(c), F.col(c)).alias(c) for c in cols])
+    for tol in (1e-3, 0.05, 1.0):
+        one, other = (chained.fit_chained(df.repartition(3), cols, tol=tol, max_patterns=n) for n in (512, 0))
+        assert len(one["steps"]) == len(other["steps"])
+        for (j, icept, coef), (k, icept2, coef2) in zip(one["steps"], other["steps"]):
+            assert j == k and icept == pytest.approx(icept2, abs=1e-9) and coef == pytest.approx(coef2, abs=1e-9)
+    assert len(one["steps"]) < 40
+
+
 def test_chained_fills_patterns_never_seen(spark):
     train = spark.createDataFrame([(1.0, 2.0), (2.0, None), (3.0, 6.0), (4.0, 8.1)], "a double, b double")
     state = chained.fit_chained(train, ["a", "b"])
@@ -190,7 +203,26 @@ def test_knn_impute_against_brute_force(spark):
     assert np.allclose(got, want)
 
 
+def test_held_out_rows_take_nothing_from_held_out_rows(spark):
+    from tidyloom.plans.preparation import apply_preparation, fit_preparation
+
+    train = spark.createDataFrame([(i, float(i), float(2 * i)) for i in range(30)], "id long, a double, b double")
+    state = fit_preparation(train, {"missing_num": "knn"}, ["id"], "id")
+
+    def filled(other):
+        test = spark.createDataFrame([(100, 7.0, None), (101, 7.0, other)], "id long, a double, b double")
+        rows = apply_preparation(test, state, ["id"]).collect()
+        return {r["id"]: list(r["features"]) for r in rows}[100]
+
+    assert filled(900.0) == filled(-900.0) == [7.0, 14.0]
+
+
 # ---------------------------------------------------------------- numbers
+def test_more_distinct_is_exact(spark):
+    df = spark.range(500).select(F.lit(1.5).alias("one"), (F.col("id") % 10).alias("ten"), (F.col("id") % 11).alias("eleven"), "id")
+    assert numeric.more_distinct(df, ["one", "ten", "eleven", "id"], 10) == {"eleven", "id"}
+
+
 def test_yeo_johnson_lambda_is_the_likelihood_maximum(spark):
     rng = np.random.default_rng(4)
     v = rng.lognormal(0, 0.8, 2000) - 0.5
@@ -260,3 +292,96 @@ def test_results_do_not_depend_on_partitioning(spark):
         assert fit(one) == fit(many)
     a, b = (profile.profile_columns(d) for d in (one, many))
     assert a.exceptAll(b).count() == 0
+
+
+# ---------------------------------------------------------------- no size switches
+def _wide(spark, n):
+    return spark.range(3 * n).select(
+        "id", F.concat(F.lit("word"), F.col("id") % n).alias("word"), (F.col("id") % 7).cast("double").alias("x"),
+        (F.col("id") % n * 0.01 + F.col("id") % 7).alias("y"),
+    )
+
+
+def test_one_hot_of_a_wide_vocabulary(spark):
+    from tidyloom.plans import PlanCleaner
+
+    df = _wide(spark, 5000)
+    plan = {"actions": [{"action": "encode_categorical", "params": {"method": "one_hot", "columns": ["word"]}}]}
+    model = PlanCleaner(plan, carry=["id"]).fit(df)
+    new = spark.createDataFrame([(1, "word17", 0.0, 0.0), (2, "never seen", 0.0, 0.0)], df.schema)
+    rows = {r["id"]: r for r in model.transform(new).collect()}
+    name = next(c for c in model.columns if "word" in c)
+    assert rows[1][name].size == 5000 and rows[1][name].numNonzeros() == 1
+    assert rows[2][name].numNonzeros() == 0
+
+
+def test_cross_validation_with_a_wide_text_column(spark):
+    from tidyloom.plans.evaluate import cross_validate
+
+    row = cross_validate(_wide(spark, 1200), "id", "y", "regression", None, "ridge", folds=2).first()
+    assert row["r2"] > 0.5
+
+
+def test_eager_one_hot_has_no_upper_limit(spark):
+    df = _wide(spark, 1010)
+    out, diff, _ = encode.encode_categorical(df, {"columns": ["word"], "method": "one_hot", "max_categories": 2000}, False)
+    assert len(diff["created_columns"]) == 1010 and len(out.columns) == 3 + 1010
+
+
+def test_large_vocabulary_codes_with_a_hot_value(spark):
+    df = _wide(spark, 1100).withColumn("word", F.when(F.col("id") % 3 == 0, "word5").otherwise(F.col("word")))
+    frame = encode.code_frame(df, "word")
+    got = encode.with_codes(df, "word", frame, "code")
+    assert got.count() == df.count()
+    want = {r["value"]: r["code"] for r in frame.collect()}
+    assert all(r["code"] == want[r["word"]] for r in got.collect())
+
+
+def test_findings_list_everything(spark):
+    from tidyloom.operators.findings import flag_constant_features
+
+    df = spark.range(5).select("id", *[F.lit(i).alias(f"c{i}") for i in range(30)])
+    found = flag_constant_features(df, "id")
+    assert "c29" in str(found)
+
+
+def test_missing_classes_are_left_out_below_and_above_the_cap(spark):
+    df = spark.range(60).select("id", F.when(F.col("id") % 4 != 0, F.col("id") % 2).alias("y"))
+    for cap in (1000, 60, 30):
+        assert sampling.stratified_cap(df, "y", "id", cap).where("y is null").count() == 0
+
+
+def test_running_counts_over_slices(spark):
+    df = spark.range(2000).select((F.col("id") % 2).alias("g"), (F.col("id") % 777).alias("v"), F.lit(1).alias("n"))
+    points = df.groupBy("g", "v").agg(F.sum("n").alias("n"))
+    rows = ranking.running_counts(points, ["g"], "v", ["n"]).collect()
+    for g in (0, 1):
+        total = 0
+        for r in sorted((r for r in rows if r["g"] == g), key=lambda r: r["v"]):
+            assert r["n_before"] == total
+            total += r["n"]
+        assert total == 1000
+
+
+def test_checkpoints_need_a_shared_folder_off_local():
+    from types import SimpleNamespace
+
+    from tidyloom.session import ensure_checkpoint_dir
+
+    context = SimpleNamespace(
+        getCheckpointDir=lambda: None, getConf=lambda: {}, master="spark://host:7077", setCheckpointDir=print
+    )
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        ensure_checkpoint_dir(SimpleNamespace(sparkContext=context))
+
+
+def test_infrastructure_errors_stop_a_plan(spark, monkeypatch):
+    from tidyloom.plans import run_plan
+    from tidyloom.plans.runner import EAGER
+
+    def lost(*_):
+        raise ConnectionError("executor lost")
+
+    monkeypatch.setitem(EAGER, "deduplicate", lost)
+    with pytest.raises(ConnectionError):
+        run_plan(spark.range(3), {"actions": [{"action": "deduplicate"}]}, audit=False)

@@ -102,29 +102,42 @@ def cv_ridge(spark, d):
 
 @query("cv_logistic")
 def cv_logistic(spark, d):
-    df = _parts(spark, d).drop("p_brand")
-    return cross_validate(df, "p_partkey", "grade", "classification", fallback_plan(), "logreg", folds=3)
+    return cross_validate(_parts(spark, d), "p_partkey", "grade", "classification", fallback_plan(), "logreg")
 
 
 @query("cv_forest")
 def cv_forest(spark, d):
-    options = {"trees": 20, "depth": 6}
-    df = _parts(spark, d).drop("p_brand")
-    return cross_validate(df, "p_partkey", "grade", "classification", None, "rf", options=options, folds=3)
+    return cross_validate(_parts(spark, d), "p_partkey", "grade", "classification", None, "rf")
+
+
+@query("cv_forest_regression")
+def cv_forest_regression(spark, d):
+    df = _parts(spark, d).drop("grade")
+    return cross_validate(df, "p_partkey", "p_retailprice", "regression", None, "rf")
 
 
 @query("cv_boosting")
 def cv_boosting(spark, d):
-    df = _parts(spark, d).drop("grade", "p_brand")
-    return cross_validate(
-        df, "p_partkey", "p_retailprice", "regression", None, "gbm", options={"rounds": 10}, folds=3
-    )
+    df = _parts(spark, d).drop("grade")
+    return cross_validate(df, "p_partkey", "p_retailprice", "regression", None, "gbm")
+
+
+@query("cv_boosting_classes")
+def cv_boosting_classes(spark, d):
+    """Two classes, so the boosted trees give probabilities and a ROC AUC."""
+    df = _parts(spark, d).withColumn("grade", F.when(F.col("grade") == "high", "high").otherwise("other"))
+    return cross_validate(df, "p_partkey", "grade", "classification", None, "gbm")
 
 
 @query("cv_nearest")
 def cv_nearest(spark, d):
-    df = _parts(spark, d).drop("p_brand")
-    return cross_validate(df, "p_partkey", "grade", "classification", None, "knn", folds=3)
+    return cross_validate(_parts(spark, d), "p_partkey", "grade", "classification", None, "knn")
+
+
+@query("cv_nearest_regression")
+def cv_nearest_regression(spark, d):
+    df = _parts(spark, d).drop("grade")
+    return cross_validate(df, "p_partkey", "p_retailprice", "regression", None, "knn")
 
 
 @query("plan_search")
@@ -134,7 +147,7 @@ def plan_search(spark, d):
     bins = {"actions": [{"action": "bin_numeric", "params": {"columns": ["p_size"]}}]}
     df = _parts(spark, d).drop("grade")
     plans = {"fixed": fixed_plan(), "clip": clip, "bins": bins}
-    out = search_plans(df, plans, "p_partkey", "p_retailprice", "regression", "ridge", folds=3)
+    out = search_plans(df, plans, "p_partkey", "p_retailprice", "regression", "ridge")
     return rounded(out, value=6, sd=6, delta=6)
 
 
@@ -142,8 +155,6 @@ def plan_search(spark, d):
 def preparation_search(spark, d):
     """Part of the preparation grid, every configuration cross-validated."""
     space = {"missing_num": ["median", "mean"], "outlier": ["none", "iqr_3.0"]}
-    df = _parts(spark, d).drop("grade", "p_brand")
-    out = search_preparation(
-        df, "p_partkey", "p_retailprice", "regression", "ridge", space=space, folds=3
-    )
+    df = _parts(spark, d).drop("grade")
+    out = search_preparation(df, "p_partkey", "p_retailprice", "regression", "ridge", space=space)
     return rounded(out, value=6, sd=6, delta=6)

@@ -7,10 +7,13 @@ grows with the data.
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidyloom.catalog.common import query, table
-from tidyloom.plans import policy
+from tidyloom.catalog.common import DIRTY_ORDERS_SQL, dirty_orders, query, table
+from tidyloom.plans import PlanCleaner, policy
 from tidyloom.plans.normalise import column_encodings, plan_actions, plan_notes
 from tidyloom.plans.provenance import plan_quality
 from tidyloom.plans.runner import CANONICAL_ORDER, order_actions
@@ -338,7 +341,8 @@ def policy_order(spark, d):
     f"""
     WITH x AS ({_PROFILE.format(orders='orders')}), f AS ({_FAMILY}),
     e AS (SELECT o_custkey AS plan_id, 'col' || CAST(o_orderkey AS VARCHAR) AS "column",
-                 CASE o_orderkey % 2 WHEN 0 THEN 'ordinal' ELSE 'one_hot' END AS method FROM orders WHERE o_orderkey % 3 <> 0),
+                 CASE WHEN o_orderkey % 3 = 0 THEN NULL WHEN o_orderkey % 2 = 0 THEN 'ordinal' ELSE 'one_hot' END AS method
+          FROM orders),
     own AS (SELECT e.* FROM e JOIN x USING (plan_id, "column") WHERE is_text),
     r AS (SELECT plan_id, "column", CASE WHEN contains(lower(semantics), 'ordered')
                  OR n_unique > CASE WHEN is_tree THEN 10 ELSE 200 END OR is_tree THEN 'ordinal' ELSE 'one_hot' END AS choice
@@ -350,11 +354,11 @@ def policy_order(spark, d):
 )
 def policy_encoding(spark, d):
     profile = _profile(spark, d)
-    encodings = table(spark, d, "orders").where("o_orderkey % 3 <> 0").selectExpr(
+    encodings = table(spark, d, "orders").selectExpr(
         "o_custkey AS plan_id",
         "CAST(1 AS BIGINT) AS step",
         "concat('col', o_orderkey) AS column",
-        "CASE o_orderkey % 2 WHEN 0 THEN 'ordinal' ELSE 'one_hot' END AS method",
+        "CASE WHEN o_orderkey % 3 = 0 THEN NULL WHEN o_orderkey % 2 = 0 THEN 'ordinal' ELSE 'one_hot' END AS method",
     )
     semantics = profile.where("semantics IS NOT NULL").select("plan_id", "column", "semantics")
     contexts = _contexts(spark, d)
@@ -389,6 +393,81 @@ def policy_budget(spark, d):
     return policy.budget_rule(_contexts(spark, d), semantics, profile.drop("semantics"))
 
 
+# ---------------------------------------------------------------- from rules to rows
+_FAMILIES = {"linear": "LogisticRegression", "tree": "RandomForest", "near": "KNN"}
+
+
+def _family_sql(name: str) -> str:
+    """One family's cleaning of the dirty orders, statistics from even keys, rows with odd keys."""
+    center = "avg(o_totalprice)" if name == "linear" else "quantile_cont(o_totalprice, 0.5)"
+    mode = "(SELECT {c} FROM t WHERE ev AND {c} IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)"
+    gap = mode if name == "linear" else "'None'"
+    clip = "tp" if name == "tree" else "least(greatest(tp, q1 - 3.0 * (q3 - q1)), q3 + 3.0 * (q3 - q1))"
+    status = "coalesce(sc.code, -1)" if name == "tree" else "CAST(st = 'F' AS DOUBLE)"
+    value = "({c} - (avg({c}) FILTER (WHERE ev) OVER ())) / (stddev_pop({c}) FILTER (WHERE ev) OVER ())"
+    scaled = {c: value.format(c=c) if name == "linear" else c for c in ("tp", "pr", "st")}
+    return f"""
+    (WITH t AS (SELECT *, o_orderkey % 2 = 0 AS ev FROM ({DIRTY_ORDERS_SQL})),
+    f AS (SELECT o_orderkey, ev, coalesce(o_totalprice, (SELECT {center} FROM t WHERE ev)) AS tp,
+          coalesce(o_orderpriority, {gap.format(c="o_orderpriority")}) AS pr,
+          coalesce(o_orderstatus, {gap.format(c="o_orderstatus")}) AS st FROM t),
+    b AS (SELECT quantile_cont(tp, 0.25) AS q1, quantile_cont(tp, 0.75) AS q3 FROM f WHERE ev),
+    pc AS (SELECT pr, row_number() OVER (ORDER BY pr) - 1 AS code FROM (SELECT DISTINCT pr FROM f WHERE ev)),
+    sc AS (SELECT st, row_number() OVER (ORDER BY st) - 1 AS code FROM (SELECT DISTINCT st FROM f WHERE ev)),
+    e AS (SELECT o_orderkey, ev, {clip} AS tp, CAST(coalesce(pc.code, -1) AS DOUBLE) AS pr, CAST({status} AS DOUBLE) AS st
+          FROM f LEFT JOIN pc USING (pr) LEFT JOIN sc USING (st), b),
+    z AS (SELECT o_orderkey, ev, {scaled["tp"]} AS tp, {scaled["pr"]} AS pr, {scaled["st"]} AS st FROM e)
+    SELECT '{name}' AS family, o_orderkey, round(tp, 6) AS total, round(pr, 6) AS priority, round(st, 6) AS status
+    FROM z WHERE NOT ev)"""
+
+
+@query("enforced_clean", " UNION ALL ".join(_family_sql(n) for n in _FAMILIES))
+def enforced_clean(spark, d):
+    """One written plan for three model families: rules, fit on even keys, applied to odd ones."""
+    steps = [
+        (1, "handle_missing", {"strategy": "impute"}),
+        (2, "clip_outliers", {"method": "iqr", "iqr_k": "1.5"}),
+        (3, "bin_numeric", {"n_bins": "5"}),
+        (4, "encode_categorical_per_column", {"default_method": "one_hot"}),
+    ]
+    plans = spark.createDataFrame(
+        [(f, i, a, "as written", [], p) for f in _FAMILIES for i, a, p in steps],
+        "plan_id string, step bigint, action string, rationale string, target_columns array<string>, params map<string,string>",
+    )
+    contexts = spark.createDataFrame(
+        [(f, m, [], []) for f, m in _FAMILIES.items()],
+        "plan_id string, downstream_model string, redundant_features array<string>, leakage_cols array<string>",
+    )
+    df = dirty_orders(spark, d).select("o_orderkey", "o_totalprice", "o_orderstatus", "o_orderpriority")
+    counts = df.agg(*[F.count_distinct(c).alias(c) for c in ("o_orderstatus", "o_orderpriority")]).first()
+    columns = [("o_totalprice", False, None, None), ("o_orderstatus", True, counts[0], "nominal"),
+               ("o_orderpriority", True, counts[1], "Ordered scale")]
+    profile = spark.createDataFrame(
+        [(f, c, text, not text, n, False) for f in _FAMILIES for c, text, n, _ in columns],
+        "plan_id string, column string, is_text boolean, is_numeric boolean, n_unique bigint, is_target boolean",
+    )
+    semantics = spark.createDataFrame(
+        [(f, c, s) for f in _FAMILIES for c, _, _, s in columns if s], "plan_id string, column string, semantics string"
+    )
+    own = spark.createDataFrame(
+        [(f, 4, c, "ordinal") for f in _FAMILIES for c in ("o_totalprice", "o_orderstatus")],
+        "plan_id string, step bigint, column string, method string",
+    )
+    enforced = policy.enforce(plans, contexts, profile, own, semantics)
+    parts = []
+    for name, plan in policy.to_plans(enforced, list(_FAMILIES)).items():
+        model = PlanCleaner(plan, carry=["o_orderkey"]).fit(df.where("o_orderkey % 2 = 0"))
+        out = model.transform(df.where("o_orderkey % 2 = 1"))
+        status = "o_orderstatus__ord" if name == "tree" else "o_orderstatus__F"
+        parts.append(
+            out.select(
+                F.lit(name).alias("family"), "o_orderkey", F.round("o_totalprice", 6).alias("total"),
+                F.round("o_orderpriority__ord", 6).alias("priority"), F.round(status, 6).alias("status"),
+            )
+        )
+    return reduce(DataFrame.unionByName, parts)
+
+
 # ---------------------------------------------------------------- plan quality and documents
 @query(
     "plan_quality",
@@ -397,8 +476,9 @@ def policy_budget(spark, d):
     t AS (SELECT plan_id, action, count(*) AS n FROM a GROUP BY 1, 2),
     p AS (SELECT plan_id, CAST(sum(n) AS BIGINT) AS np, string_agg(action || ':' || n, ';' ORDER BY action || ':' || n) AS types
           FROM t GROUP BY 1),
-    s AS (SELECT plan_id, count(*) FILTER (WHERE step % 3 = 0) AS ap, count(*) FILTER (WHERE step % 3 = 1) AS sk,
-                 count(*) FILTER (WHERE step % 3 = 2) AS fa FROM a WHERE action <> 'bin_numeric' GROUP BY 1)
+    s AS (SELECT plan_id, count(*) FILTER (WHERE step % 3 = 0 AND action <> 'bin_numeric') AS ap,
+                 count(*) FILTER (WHERE step % 3 = 1 AND action <> 'bin_numeric') AS sk,
+                 count(*) FILTER (WHERE step % 3 = 2 AND action <> 'bin_numeric') AS fa FROM a GROUP BY 1)
     SELECT plan_id, np AS n_actions_proposed, coalesce(ap, 0) AS n_actions_applied, coalesce(sk, 0) AS n_actions_skipped,
            coalesce(fa, 0) AS n_actions_failed,
            round(coalesce(sk + fa, 0) / greatest(np, coalesce(ap + sk + fa, 0)), 4) AS rejection_rate,
@@ -413,9 +493,9 @@ def quality_of_plans(spark, d):
     status = F.element_at(
         F.array(F.lit("applied"), F.lit("skipped"), F.lit("failed")), (F.col("step") % 3 + 1).cast("int")
     )
-    steps = plans.where(F.col("action") != "bin_numeric").select(
-        "plan_id", F.col("action").alias("action_name"), status.alias("status")
-    )
+    # Binning left no status behind.
+    known = F.when(F.col("action") != "bin_numeric", status)
+    steps = plans.select("plan_id", F.col("action").alias("action_name"), known.alias("status"))
     latency = table(spark, d, "customer").select(
         F.col("c_custkey").alias("plan_id"), F.col("c_acctbal").alias("latency_seconds")
     )

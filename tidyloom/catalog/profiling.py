@@ -438,17 +438,21 @@ def survey_frequencies(spark, d):
     return rounded(survey.frequencies(survey.accepted(df, "status", "done"), "c_mktsegment"), share=8)
 
 
+_ITEMS = [f"sus_{i}" for i in range(1, 11)]
+
+
 @query(
     "survey_item_summary",
     f"""
     WITH t AS (SELECT {', '.join(_ANSWERS)} FROM customer)
-    SELECT 'sus_1' AS item, round(avg(sus_1), 8) AS mean, round(stddev_samp(sus_1), 8) AS sd, count(sus_1) AS n FROM t
-    UNION ALL SELECT 'sus_2', round(avg(sus_2), 8), round(stddev_samp(sus_2), 8), count(sus_2) FROM t
+    {' UNION ALL '.join(
+        f"SELECT '{c}' AS item, round(avg({c}), 8) AS mean, round(stddev_samp({c}), 8) AS sd, count({c}) AS n FROM t"
+        for c in _ITEMS)}
     """,
 )
 def survey_item_summary(spark, d):
     df = table(spark, d, "customer").selectExpr(*_ANSWERS)
-    return rounded(survey.item_summary(df, ["sus_1", "sus_2"]), mean=8, sd=8)
+    return rounded(survey.item_summary(df, _ITEMS), mean=8, sd=8)
 
 
 @query(
@@ -462,5 +466,5 @@ def survey_item_summary(spark, d):
 )
 def usability_score(spark, d):
     df = table(spark, d, "customer").selectExpr(*_ANSWERS)
-    out = survey.usability_score(df, [f"sus_{i}" for i in range(1, 11)])
+    out = survey.usability_score(df, _ITEMS)
     return out.select("c_custkey", F.col("score").cast("double").alias("score"))

@@ -112,11 +112,12 @@ def imputation_mae_chained(spark, d):
         "l_orderkey * 8 + l_linenumber AS k", "l_quantity", "l_extendedprice", "l_discount"
     )
     rows = []
-    for rate in _RATES:
-        gaps = sampling.inject_missing(df, "l_quantity", "k", rate)
-        cols = ["l_quantity", "l_extendedprice", "l_discount"]
-        filled = apply_chained(gaps, fit_chained(gaps, cols), closed_form=True)
-        rows.append(("l_quantity", rate, sampling.imputation_error(filled, "l_quantity")))
+    cols = sampling.complete_numeric(df, ["l_quantity", "l_extendedprice", "l_discount"])
+    for c in cols:
+        for rate in _RATES:
+            gaps = sampling.inject_missing(df, c, "k", rate)
+            filled = apply_chained(gaps, fit_chained(gaps, cols), closed_form=True)
+            rows.append((c, rate, sampling.imputation_error(filled, c)))
     return spark.createDataFrame(rows, "column string, missing_rate double, mae double")
 
 
@@ -518,8 +519,8 @@ def union_results(spark, d):
 @query(
     "first_available",
     """
-    WITH a AS (SELECT l_orderkey AS o_orderkey, max(l_tax) AS v FROM lineitem WHERE l_quantity > 40 GROUP BY 1),
-    b AS (SELECT c_custkey AS o_custkey, c_acctbal AS v FROM customer WHERE c_nationkey < 12)
+    WITH a AS (SELECT l_orderkey AS o_orderkey, max(CASE WHEN l_quantity > 40 THEN l_tax END) AS v FROM lineitem GROUP BY 1),
+    b AS (SELECT c_custkey AS o_custkey, CASE WHEN c_nationkey < 12 THEN c_acctbal END AS v FROM customer)
     SELECT o.o_orderkey, coalesce(a.v, b.v, -1.0) AS latency
     FROM orders o LEFT JOIN a USING (o_orderkey) LEFT JOIN b USING (o_custkey)
     """,
@@ -527,11 +528,12 @@ def union_results(spark, d):
 def first_available(spark, d):
     runs = table(spark, d, "orders").select("o_orderkey", "o_custkey")
     a = (
-        table(spark, d, "lineitem").where("l_quantity > 40")
-        .groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.max("l_tax").alias("latency"))
+        table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey"))
+        .agg(F.max(F.when(F.col("l_quantity") > 40, F.col("l_tax"))).alias("latency"))
     )
-    b = table(spark, d, "customer").where("c_nationkey < 12").select(
-        F.col("c_custkey").alias("o_custkey"), F.col("c_acctbal").alias("latency")
+    b = table(spark, d, "customer").select(
+        F.col("c_custkey").alias("o_custkey"),
+        F.when(F.col("c_nationkey") < 12, F.col("c_acctbal")).alias("latency"),
     )
     general = spark.range(1).select(F.lit(-1.0).alias("latency"))
     sources = [(a, ["o_orderkey"]), (b, ["o_custkey"]), (general, [])]
@@ -559,7 +561,17 @@ def knn_vote(spark, d):
     return neighbors.knn_vote(found)
 
 
-@query("knn_impute_supplier")
+@query(
+    "knn_impute_supplier",
+    """
+    WITH t AS (SELECT s_suppkey, CAST(s_nationkey AS DOUBLE) AS nation,
+               CASE WHEN s_suppkey % 6 = 0 THEN NULL ELSE s_acctbal END AS s_acctbal FROM supplier),
+    n AS (SELECT q.s_suppkey, g.s_acctbal AS v FROM t q JOIN t g ON q.s_acctbal IS NULL AND g.s_acctbal IS NOT NULL
+          QUALIFY row_number() OVER (PARTITION BY q.s_suppkey ORDER BY abs(q.nation - g.nation), g.s_suppkey) <= 5),
+    m AS (SELECT s_suppkey, avg(v) AS v FROM n GROUP BY 1)
+    SELECT s_suppkey, nation, round(coalesce(s_acctbal, v), 6) AS s_acctbal FROM t LEFT JOIN m USING (s_suppkey)
+    """,
+)
 def knn_impute_supplier(spark, d):
     """Gaps of supplier balances filled from the nearest suppliers."""
     df = table(spark, d, "supplier").selectExpr(
@@ -567,4 +579,4 @@ def knn_impute_supplier(spark, d):
         "CAST(s_nationkey AS DOUBLE) AS nation",
         "CASE WHEN s_suppkey % 6 = 0 THEN NULL ELSE s_acctbal END AS s_acctbal",
     )
-    return neighbors.knn_impute(df, "s_suppkey", ["nation", "s_acctbal"])
+    return rounded(neighbors.knn_impute(df, "s_suppkey", ["nation", "s_acctbal"]), s_acctbal=6)

@@ -6,14 +6,18 @@ Output goes to a fresh folder under the session's checkpoint directory.
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidyloom.catalog.common import DIRTY_ORDERS_SQL, dirty_orders, query, rounded, table
 from tidyloom.plans import PlanCleaner
 from tidyloom.plans.model import PlanModel
 from tidyloom.session import ensure_checkpoint_dir
 from tidyloom.sources import cached_table, load_raw, preview, read_csv, scan_results, write_csv, write_json
+from tidyloom.sources.tables import SEPARATORS
 from tidyloom.streaming import clean_stream, write_stream
 
 
@@ -21,25 +25,42 @@ def _folder(spark, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+_ORDER_COLUMNS = "o_orderkey, o_orderstatus, o_totalprice, o_orderpriority"
+
+
 @query(
     "csv_round_trip",
-    f"""
-    SELECT o_orderkey, o_orderstatus, o_totalprice, o_orderpriority FROM ({DIRTY_ORDERS_SQL})
-    """,
+    " UNION ALL ".join(
+        f"SELECT '{name}' AS sep, {_ORDER_COLUMNS} FROM ({DIRTY_ORDERS_SQL})"
+        for name in ("comma", "semicolon", "tab", "bar")
+    ),
 )
 def csv_round_trip(spark, d):
-    """Write with missing values, read back with detected separator and inferred types."""
-    path = _folder(spark, "csv")
+    """Written with each delimiter, read back with the detected one and inferred types."""
     df = dirty_orders(spark, d).select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
-    write_csv(df.withColumn("o_orderpriority", F.coalesce("o_orderpriority", F.lit("N/A"))), path)
-    # The writer trims nothing, the reader keeps blanks inside values.
-    back = read_csv(spark, path)
-    return back.withColumn(
-        "o_orderpriority",
-        F.when(F.col("o_orderkey") % 13 == 0, F.lit(None))
-        .when(F.col("o_orderkey") % 5 == 0, F.concat(F.lit("  "), F.trim("o_orderpriority"), F.lit("  ")))
-        .otherwise(F.col("o_orderpriority")),
-    )
+    parts = []
+    for name, sep in zip(("comma", "semicolon", "tab", "bar"), SEPARATORS):
+        path = _folder(spark, f"csv-{name}")
+        write_csv(df, path, sep=sep)
+        parts.append(read_csv(spark, path).select(F.lit(name).alias("sep"), *df.columns))
+    return reduce(DataFrame.unionByName, parts)
+
+
+_HARD_TEXTS = """
+    SELECT doc_id, n_chars, CASE doc_id % 8 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN '  a b '
+        WHEN 3 THEN 'say "' || text || '"' WHEN 4 THEN chr(92) || text || chr(92) WHEN 5 THEN 'N/A' WHEN 6
+        THEN ',;|' || chr(9) || text ELSE text END AS text FROM documents
+"""
+
+
+@query("csv_texts", _HARD_TEXTS)
+def csv_texts(spark, d):
+    """Texts with line breaks, quotes, outer blanks, delimiters; NULL and empty stay apart."""
+    table(spark, d, "documents").createOrReplaceTempView("documents")
+    path = _folder(spark, "csv-texts")
+    write_csv(spark.sql(_HARD_TEXTS), path)
+    kinds = T.StructType.fromDDL("doc_id bigint, n_chars bigint, text string")
+    return read_csv(spark, path, ",", na_values=[], schema=kinds, multi_line=True)
 
 
 @query(
@@ -102,15 +123,14 @@ def scan_result_files(spark, d):
 )
 def load_raw_orders(spark, d):
     df = table(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_custkey", "o_orderstatus")
-    n = df.count()
     return load_raw(
-        df, "o_orderstatus", "classification", "o_orderkey", ["o_custkey"], n, {"F": "1", "O": "0"}
+        df, "o_orderstatus", "classification", "o_orderkey", ["o_custkey"], label_map={"F": "1", "O": "0"}
     )
 
 
-@query("preview_documents")
+@query("preview_documents", "SELECT doc_id, lang, n_chars FROM documents ORDER BY doc_id LIMIT 8")
 def preview_documents(spark, d):
-    return preview(table(spark, d, "documents"), 8).select("doc_id", "lang", "n_chars")
+    return preview(table(spark, d, "documents"), 8, ["doc_id"]).select("doc_id", "lang", "n_chars")
 
 
 _STREAM_PLAN = {

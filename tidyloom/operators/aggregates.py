@@ -12,13 +12,8 @@ from tidyloom.functions.scalar import col
 
 # Expressions per aggregate job: beyond this the generated plan gets unwieldy.
 CHUNK = 400
-# An exact ``percentile`` keeps a map of distinct values per task and merges the
-# maps in one. That is cheap when the table has few rows (the maps together hold
-# at most that many entries) or few distinct values.
-ROW_LIMIT = 4_000_000
-DISTINCT_LIMIT = 10_000
-# Values that may be gathered for the last step of a quantile search.
-GATHER_LIMIT = 20_000
+# Values that may be gathered, over all columns, for the last step of a quantile search.
+GATHER_LIMIT = 50_000
 _SKETCH_ACCURACY = 20_000
 
 
@@ -39,62 +34,34 @@ def _sketch_points(p: float) -> list[float]:
 
 
 def exact_quantiles(
-    df: DataFrame,
-    wanted: dict[str, list[float]],
-    row_limit: int = ROW_LIMIT,
-    distinct_limit: int = DISTINCT_LIMIT,
+    df: DataFrame, wanted: dict[str, list[float]], gather_limit: int = GATHER_LIMIT
 ) -> dict[str, list[float | None]]:
-    """Exact, linearly interpolated quantiles of many columns.
-
-    Columns within the limits use Spark's ``percentile``, a group of columns
-    per job. For the others each order statistic is found by narrowing: a
-    mergeable sketch proposes pivots, exact counts below each pivot say between
-    which two the wanted rank lies, and the search goes on inside that
-    interval. Every pass is a plain aggregate with a small state, and a value
-    that repeats often ends the search at once.
+    """Exact, linearly interpolated quantiles of many columns, for tables of any size.
+
+    Each order statistic is found by narrowing: a mergeable sketch proposes
+    pivots, exact counts below each pivot say between which two the wanted rank
+    lies, and the search goes on inside that interval until its values are few
+    enough to be gathered. Every pass is a plain aggregate with a small state,
+    and a value that repeats often ends the search at once. The first sketch
+    comes with the counts.
     """
     cols = list(wanted)
     if not cols:
         return {}
     first = {}
+    spots = {c: sorted({q for p in wanted[c] for q in _sketch_points(p)}) for c in cols}
     for c in cols:
         x = col(c).cast("double")
-        first |= {f"n:{c}": F.count(x), f"d:{c}": F.approx_count_distinct(x)}
+        first |= {f"n:{c}": F.count(x), f"s:{c}": F.percentile_approx(x, spots[c], _SKETCH_ACCURACY)}
     stats = one_row(df, first)
-
-    groups: list[list[str]] = [[]]
-    room = row_limit
-    large = []
-    for c in cols:
-        n, distinct = stats[f"n:{c}"], stats[f"d:{c}"]
-        if n > row_limit and distinct > distinct_limit:
-            large.append(c)
-            continue
-        size = min(n, distinct * 100)
-        if groups[-1] and size > room:
-            groups.append([])
-            room = row_limit
-        groups[-1].append(c)
-        room -= size
-
-    out: dict[str, list[float | None]] = {}
-    for group in filter(None, groups):
-        exprs = {}
-        for c in group:
-            probs = F.array(*[F.lit(float(p)) for p in wanted[c]])
-            exprs[c] = F.percentile(col(c).cast("double"), probs)
-        got = one_row(df, exprs)
-        out |= {c: [None] * len(wanted[c]) if got[c] is None else list(got[c]) for c in group}
-    if large:
-        counts = {c: stats[f"n:{c}"] for c in large}
-        places = {c: [p * (counts[c] - 1) for p in wanted[c]] for c in large}
-        ranks = {
-            c: {math.floor(h) for h in hs} | {math.ceil(h) for h in hs} for c, hs in places.items()
-        }
-        found = order_statistics(df, ranks, counts)
-        for c, hs in places.items():
-            ends = [(found[c, math.floor(h)], found[c, math.ceil(h)], h % 1) for h in hs]
-            out[c] = [lo + (hi - lo) * part for lo, hi, part in ends]
+    counts = {c: stats[f"n:{c}"] for c in cols if stats[f"n:{c}"]}
+    places = {c: [p * (counts[c] - 1) for p in wanted[c]] for c in counts}
+    ranks = {c: {math.floor(h) for h in hs} | {math.ceil(h) for h in hs} for c, hs in places.items()}
+    found = order_statistics(df, ranks, counts, gather_limit, {c: stats[f"s:{c}"] for c in counts})
+    out: dict[str, list[float | None]] = {c: [None] * len(wanted[c]) for c in cols}
+    for c, hs in places.items():
+        ends = [(found[c, math.floor(h)], found[c, math.ceil(h)], h % 1) for h in hs]
+        out[c] = [lo + (hi - lo) * part for lo, hi, part in ends]
     return out
 
 
@@ -123,37 +90,47 @@ def order_statistics(
     ranks: dict[str, set[int]],
     counts: dict[str, int],
     gather_limit: int = GATHER_LIMIT,
+    sketches: dict[str, list[float]] | None = None,
 ) -> dict[tuple[str, int], float]:
     """The k-th smallest non-NULL value (0-based) for several ``(column, k)``.
 
     Ranks that lie in the same interval share its sketch, pivots and counts.
+    ``sketches`` may give the first pivots of the columns. At most
+    ``gather_limit`` values are gathered at once, the smallest intervals first.
     """
     open_ = {_Interval(c, None, None, 0, counts[c]): set(ks) for c, ks in ranks.items()}
+    known = {iv: (sketches or {}).get(iv.column) for iv in open_}
     found: dict[tuple[str, int], float] = {}
     while open_:
-        small = {iv: ks for iv, ks in open_.items() if iv.size <= gather_limit}
+        small, room = [], gather_limit
+        for iv in sorted(open_, key=lambda v: v.size):
+            room -= iv.size
+            if room < 0:
+                break
+            small.append(iv)
         if small:
             got = one_row(
                 df,
                 {str(i): F.sort_array(F.collect_list(iv.inside())) for i, iv in enumerate(small)},
             )
-            for i, (iv, ks) in enumerate(small.items()):
-                found |= {(iv.column, k): got[str(i)][k - iv.below] for k in ks}
-                del open_[iv]
+            for i, iv in enumerate(small):
+                found |= {(iv.column, k): got[str(i)][k - iv.below] for k in open_.pop(iv)}
             continue
 
         spots = {
             iv: sorted({q for k in ks for q in _sketch_points((k - iv.below) / max(iv.size - 1, 1))})
             for iv, ks in open_.items()
+            if not known.get(iv)
         }
-        sketches = one_row(
+        fresh = one_row(
             df,
             {
                 str(i): F.percentile_approx(iv.inside(), qs, _SKETCH_ACCURACY)
                 for i, (iv, qs) in enumerate(spots.items())
             },
         )
-        pivots = {iv: sorted(set(sketches[str(i)])) for i, iv in enumerate(open_)}
+        known |= {iv: fresh[str(i)] for i, iv in enumerate(spots)}
+        pivots = {iv: sorted(set(known[iv])) for iv in open_}
         exprs = {}
         for i, (iv, values) in enumerate(pivots.items()):
             x = col(iv.column).cast("double")
@@ -178,6 +155,7 @@ def order_statistics(
                         break
                 nearer.setdefault(_Interval(iv.column, low, high, below, top - below), set()).add(k)
         open_ = nearer
+        known = {}
     return found
 
 

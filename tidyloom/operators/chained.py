@@ -8,7 +8,9 @@ products of the observed values per pattern - one aggregate over the table -
 therefore determine all rounds exactly, and the rounds run on small matrices.
 
 Tables with very many patterns take the other exact way: one pass per
-regression, in which each partition returns its own Gram matrix.
+regression, in which each partition returns its own Gram matrix. Both ways stop
+by the same rule, a bound on how far a round moves any imputed value, so they
+give the same fit.
 """
 
 from __future__ import annotations
@@ -83,16 +85,23 @@ def _pattern_moments(df: DataFrame, cols: list[str], means: np.ndarray) -> dict[
     return out
 
 
-def _start_maps(patterns, p: int) -> dict[str, np.ndarray]:
-    """Affine maps (1, observed) -> current row; missing cells start at the mean (0)."""
-    maps = {}
-    for m in patterns:
-        a = np.eye(p + 1)
-        for j, flag in enumerate(m, start=1):
-            if flag == "1":
-                a[j, j] = 0.0
-        maps[m] = a
-    return maps
+def _start_map(pattern: str) -> np.ndarray:
+    """Affine map (1, observed) -> current row; missing cells start at the mean (0)."""
+    return np.diag([1.0, *(float(flag == "0") for flag in pattern)])
+
+
+def _advance(a: np.ndarray, pattern: str, steps) -> None:
+    """Take the map of a pattern through some regressions."""
+    for j, icept, coef in steps:
+        if pattern[j - 1] == "1":
+            a[j] = np.asarray(coef) @ np.delete(a, [0, j], axis=0)
+            a[j, 0] += icept
+
+
+def _moved(before: np.ndarray, after: np.ndarray, reach: np.ndarray) -> float:
+    """No imputed value of the pattern's rows has moved further than this."""
+    d = np.abs(after - before)
+    return float(np.sum(d[:, 0] + d[:, 1:] @ reach))
 
 
 def fit_chained(
@@ -118,11 +127,12 @@ def fit_chained(
     state = {"columns": list(cols), "means": means.tolist(), "steps": [], "maps": None}
     if len(cols) == 1 or not any(missing):
         rounds = min(rounds, 1)
+    # The sketch only chooses between two ways to the same numbers.
     if got["patterns"] > max_patterns:
-        return _fit_by_passes(df, state, order, rounds)
+        return _fit_by_passes(df, state, order, rounds, tol * widest, reach)
 
     moments = _pattern_moments(df, cols, means)
-    maps = _start_maps(moments, len(cols))
+    maps = {m: _start_map(m) for m in moments}
     grams = {m: maps[m] @ s @ maps[m].T for m, s in moments.items()}
     for _ in range(rounds):
         before = {m: a.copy() for m, a in maps.items()}
@@ -130,16 +140,13 @@ def fit_chained(
             others = [k for k in range(1, len(cols) + 1) if k != j]
             seen = [g for m, g in grams.items() if m[j - 1] == "0"]
             coef, icept = bayesian_ridge(sum(seen), j, others)
-            state["steps"].append([j, icept, coef.tolist()])
+            step = [j, icept, coef.tolist()]
+            state["steps"].append(step)
             for m, a in maps.items():
                 if m[j - 1] == "1":
-                    a[j] = coef @ a[others]
-                    a[j, 0] += icept
+                    _advance(a, m, [step])
                     grams[m] = a @ moments[m] @ a.T
-        change = 0.0
-        for m, a in maps.items():
-            d = np.abs(a - before[m])
-            change = max(change, float(np.sum(d[:, 0] + d[:, 1:] @ reach)))
+        change = max(_moved(before[m], a, reach) for m, a in maps.items()) if maps else 0.0
         # The bound holds for every row, so stopping is never too early.
         if change < tol * widest:
             break
@@ -148,7 +155,9 @@ def fit_chained(
     return state
 
 
-def _fit_by_passes(df: DataFrame, state: dict, order: list[int], rounds: int) -> dict:
+def _fit_by_passes(
+    df: DataFrame, state: dict, order: list[int], rounds: int, enough: float, reach: np.ndarray
+) -> dict:
     cols = state["columns"]
     width = len(cols) + 1
     block = df.select(*[col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
@@ -171,11 +180,33 @@ def _fit_by_passes(df: DataFrame, state: dict, order: list[int], rounds: int) ->
             flat[r["pos"]] = r["v"]
         return flat.reshape(width, width)
 
+    def change_of(steps, done: int) -> float:
+        """How far the regressions after the first ``done`` move any pattern met."""
+
+        def run(batches):
+            most, met = 0.0, set()
+            for pdf in batches:
+                gaps = np.unique(np.isnan(pdf.to_numpy(dtype=float)), axis=0)
+                new = {"".join("1" if g else "0" for g in row) for row in gaps} - met
+                met |= new
+                for m in new:
+                    a = _start_map(m)
+                    _advance(a, m, steps[:done])
+                    before = a.copy()
+                    _advance(a, m, steps[done:])
+                    most = max(most, _moved(before, a, reach))
+            yield pd.DataFrame({"v": [most]})
+
+        return block.mapInPandas(run, "v double").agg(F.max("v")).first()[0] or 0.0
+
     for _ in range(rounds):
+        done = len(state["steps"])
         for j in order:
             others = [k for k in range(1, width) if k != j]
             coef, icept = bayesian_ridge(gram_of(list(state["steps"]), j), j, others)
             state["steps"].append([j, icept, coef.tolist()])
+        if change_of(list(state["steps"]), done) < enough:
+            break
     return state
 
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import OneHotEncoder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidyloom.functions.scalar import col
 from tidyloom.operators.aggregates import value_counts
@@ -15,6 +17,8 @@ LITERAL_LIMIT = 64
 # Categories brought to the driver. Within Spark's per-group limit (1000), so
 # finding out that a column has more costs no full sort.
 DRIVER_LIMIT = 999
+# Tasks that share a value of a joined vocabulary.
+SALTS = 8
 
 
 def as_category(c: Column, missing_token: str | None = None) -> Column:
@@ -22,6 +26,15 @@ def as_category(c: Column, missing_token: str | None = None) -> Column:
     return text if missing_token is None else F.coalesce(text, F.lit(missing_token))
 
 
+def can_hash(kind: T.DataType) -> bool:
+    """Whether Spark hashes this type (no maps, nor anything that holds one)."""
+    if isinstance(kind, T.StructType):
+        return all(can_hash(f.dataType) for f in kind)
+    if isinstance(kind, T.ArrayType):
+        return can_hash(kind.elementType)
+    return not isinstance(kind, (T.MapType, T.UserDefinedType))
+
+
 def unique_names(names: list[str], taken=()) -> list[str]:
     """Spark resolves names without case: a second spelling gets a number."""
     seen = {t.lower() for t in taken}
@@ -87,7 +100,8 @@ def join_codes(df: DataFrame, value: Column, codes, out: str) -> DataFrame:
 
     A list (at most ``DRIVER_LIMIT`` entries) is broadcast. A table that never
     came to the driver is joined without a hint: Spark broadcasts it only if
-    its measured size allows, else shuffles and splits skewed keys at run time.
+    its measured size allows. Else both sides are shuffled, each value dealt to
+    ``SALTS`` tasks, so that no task gets all rows of a frequent value.
     """
     if isinstance(codes, list):
         rows = [(v, i) for i, v in enumerate(codes)]
@@ -96,7 +110,14 @@ def join_codes(df: DataFrame, value: Column, codes, out: str) -> DataFrame:
     else:
         frame = codes
     right = frame.select(F.col("value").alias("__value"), F.col("code").alias(out))
-    return df.join(right, value == F.col("__value"), "left").drop("__value")
+    if isinstance(codes, list):
+        return df.join(right, value == F.col("__value"), "left").drop("__value")
+    right = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    hashed = [col(f.name) for f in df.schema if can_hash(f.dataType)]
+    salt = F.pmod(F.xxhash64(*hashed), F.lit(SALTS))
+    return df.join(right, (value == F.col("__value")) & (salt == F.col("__salt")), "left").drop(
+        "__value", "__salt"
+    )
 
 
 def with_codes(df: DataFrame, source: str, codes, out: str, missing_token=None) -> DataFrame:
@@ -122,8 +143,8 @@ def encode_categorical(df: DataFrame, params: dict, audit: bool = True):
         raise ValueError("encode_categorical requires 'method' in {one_hot, ordinal}")
     if unknown not in ("ignore", "error"):
         raise ValueError("encode_categorical 'handle_unknown' must be 'ignore' or 'error'")
-    if not 1 <= limit <= DRIVER_LIMIT:
-        raise ValueError(f"encode_categorical 'max_categories' must be in 1..{DRIVER_LIMIT}")
+    if limit < 1:
+        raise ValueError("encode_categorical 'max_categories' must be at least 1")
     if order not in ("alphabetical", "frequency"):
         raise ValueError("encode_categorical 'ordinal_order': alphabetical or frequency")
     for c in wanted:
@@ -193,23 +214,25 @@ def encode_categorical(df: DataFrame, params: dict, audit: bool = True):
 def fit_encoding(
     df: DataFrame, methods: dict[str, str], missing_token: str = "None", sep: str = "__"
 ) -> dict:
-    """State for encoding each column as ``ordinal`` (unknown -> -1) or ``one_hot`` (unknown -> 0s)."""
+    """State for encoding each column as ``ordinal`` (unknown -> -1) or ``one_hot`` (unknown -> 0s).
+
+    One-hot codes of a vocabulary that is too large for the driver become one
+    column of sparse vectors instead of a column per category.
+    """
     cats = fit_categories(df, list(methods), missing_token=missing_token)
     state = {"columns": [], "missing_token": missing_token, "frames": {}}
     taken = list(df.columns)
     for c, method in methods.items():
         entry = {"column": c, "method": method}
         if len(cats[c]) > DRIVER_LIMIT:
-            if method == "one_hot":
-                raise ValueError(
-                    f"one-hot of '{c}' would make more than {DRIVER_LIMIT} columns; "
-                    "group rare categories first or encode it as ordinal"
-                )
             state["frames"][c] = code_frame(df, c, missing_token=missing_token)
             entry["categories"] = None
         else:
             entry["categories"] = cats[c]
-        if method == "one_hot":
+        if method == "one_hot" and entry["categories"] is None:
+            entry["width"] = state["frames"][c].count()
+            names = unique_names([f"{c}{sep}codes"], taken)
+        elif method == "one_hot":
             names = unique_names([f"{c}{sep}{v}" for v in cats[c]], taken)
         else:
             names = unique_names([f"{c}__ord"], taken)
@@ -228,7 +251,13 @@ def apply_encoding(df: DataFrame, state: dict) -> DataFrame:
         if c not in df.columns:
             df = df.withColumn(c, F.lit(""))
         gone.append(c)
-        if e["method"] == "one_hot":
+        if e["method"] == "one_hot" and e["categories"] is None:
+            name, code = e["names"][0], f"__code_{c}"
+            df = with_codes(df, c, state["frames"][c], code, token)
+            df = sparse_codes(df, code, name, e["width"])
+            new[name] = col(name)
+            gone += [code, name]
+        elif e["method"] == "one_hot":
             value = as_category(col(c), token)
             for n, v in zip(e["names"], e["categories"]):
                 new[n] = (value == F.lit(v)).cast("double")
@@ -241,6 +270,13 @@ def apply_encoding(df: DataFrame, state: dict) -> DataFrame:
     return append_columns(df, new, gone)
 
 
+def sparse_codes(df: DataFrame, code: str, out: str, width: int) -> DataFrame:
+    """A sparse vector of ``width`` with a one at ``code``; all zeros where there is none."""
+    top = df.sparkSession.range(width - 1, width).select(F.col("id").cast("double").alias(code))
+    encoder = OneHotEncoder(inputCols=[code], outputCols=[out], dropLast=True, handleInvalid="keep").fit(top)
+    return encoder.transform(df.withColumn(code, F.coalesce(col(code), F.lit(width)).cast("double")))
+
+
 def encoding_methods(
     df: DataFrame,
     encodings: dict[str, str],

@@ -26,7 +26,7 @@ from tidyloom.operators.ranking import hash_order, smallest
 
 BLOCK_ROWS = 8192
 CHUNK_ROWS = 16384
-MAX_PIVOTS = 256
+MAX_PIVOTS = 2048
 MOSTLY_DISTINCT = 0.9
 _SLAB = 256
 _SLACK = 1e-9
@@ -82,19 +82,42 @@ def _top_euclidean(q: np.ndarray, t: np.ndarray, ids: np.ndarray, k: int):
 
 
 def _top_nan_euclidean(q: np.ndarray, t: np.ndarray, ids: np.ndarray, k: int):
-    """Distance over coordinates present in both rows, scaled up to all coordinates."""
-    seen_t = ~np.isnan(t)
-    zero_t = np.where(seen_t, t, 0.0)
-    for i in range(len(q)):
-        seen_q = ~np.isnan(q[i])
-        both = seen_t & seen_q
-        n = both.sum(1)
-        gap = np.where(both, zero_t - np.where(seen_q, q[i], 0.0), 0.0)
+    """Distance over coordinates present in both rows, scaled up to all coordinates.
+
+    Shortlists by masked products and then takes exact distances, as above.
+    """
+    seen = ~np.isnan(t)
+    full = np.where(seen, t, 0.0)
+    mask = seen.astype(float)
+    width = t.shape[1]
+
+    def exact(row: np.ndarray, near: np.ndarray) -> np.ndarray:
+        here = ~np.isnan(row)
+        both = seen[near] & here
+        gap = np.where(both, full[near] - np.where(here, row, 0.0), 0.0)
+        return (gap**2).sum(1) * (width / both.sum(1))
+
+    wide = min(len(t), 4 * k + 8)
+    for start in range(0, len(q), _SLAB):
+        part = q[start : start + _SLAB]
+        here = ~np.isnan(part)
+        own = np.where(here, part, 0.0)
+        shared = here.astype(float) @ mask.T
+        sizes = (own**2) @ mask.T + here.astype(float) @ (full**2).T
         with np.errstate(divide="ignore", invalid="ignore"):
-            d = np.sqrt((gap**2).sum(1) * (t.shape[1] / n))
-        near = np.flatnonzero(n > 0)
-        best = _pick(d[near], ids[near], k)
-        yield i, near[best], d[near][best]
+            sq = np.where(shared > 0, (sizes - 2 * own @ full.T) * (width / shared), np.inf)
+        margin = _SLACK * width * (sizes.max(1) + 1.0)
+        short = np.argpartition(sq, wide - 1, axis=1)[:, :wide]
+        last = np.take_along_axis(sq, short, 1).max(1)
+        for i in range(len(part)):
+            near = short[i][np.isfinite(sq[i, short[i]])]
+            d = exact(part[i], near)
+            pick = _pick(d, ids[near], k)
+            if wide < len(t) and len(pick) and d[pick[-1]] + margin[i] >= last[i] - margin[i]:
+                near = np.flatnonzero(sq[i] <= d[pick[-1]] + margin[i])
+                d = exact(part[i], near)
+                pick = _pick(d, ids[near], k)
+            yield start + i, near[pick], np.sqrt(d[pick])
 
 
 def _blocked(queries: DataFrame, train: DataFrame, k: int, payload: str, skip_self: bool, finder):
@@ -106,7 +129,7 @@ def _blocked(queries: DataFrame, train: DataFrame, k: int, payload: str, skip_se
     )
 
     def nearest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = {"qid": [], "tid": [], "distance": [], "payload": []}
+        rows, places, dists = [], [], []
         if len(left) and len(right):
             q, t = _matrix(left["vec"]), _matrix(right["vec"])
             qid, tid = left["qid"].to_numpy(), right["tid"].to_numpy()
@@ -115,11 +138,14 @@ def _blocked(queries: DataFrame, train: DataFrame, k: int, payload: str, skip_se
                 if skip_self:
                     other = tid[pos] != qid[i]
                     pos, d = pos[other][:k], d[other][:k]
-                out["qid"] += [qid[i]] * len(pos)
-                out["tid"] += list(tid[pos])
-                out["distance"] += list(d)
-                out["payload"] += list(load[pos])
-        return pd.DataFrame(out)
+                rows.append(np.full(len(pos), i))
+                places.append(pos)
+                dists.append(d)
+        if not rows:
+            return pd.DataFrame({"qid": [], "tid": [], "distance": [], "payload": []})
+        row, pos = np.concatenate(rows), np.concatenate(places)
+        dist = np.concatenate(dists)
+        return pd.DataFrame({"qid": qid[row], "tid": tid[pos], "distance": dist, "payload": load[pos]})
 
     keys = ["cell", "block", "chunk"]
     # Both sides may stem from one table: give one of them attributes of its own.
@@ -193,9 +219,8 @@ def knn_join(
     picked = t.orderBy(order, "tid").limit(n_pivots).select("vec").collect()
     pivots = np.unique(np.array([r["vec"] for r in picked], dtype=float), axis=0)
     if not len(pivots):
-        return q.select("qid").join(t.select("tid"), F.lit(False)).select(
-            "qid", "tid", F.lit(0.0).alias("distance"), F.lit(None).alias("payload")
-        )
+        fields = [q.schema["qid"], t.schema["tid"], T.StructField("distance", T.DoubleType()), t.schema["payload"]]
+        return train.sparkSession.createDataFrame([], T.StructType(fields))
 
     id_type = t.schema["tid"].dataType.simpleString()
     load_type = t.schema["payload"].dataType.simpleString()
@@ -273,31 +298,37 @@ def knn_mean(neighbours: DataFrame) -> DataFrame:
     return neighbours.groupBy("qid").agg(F.avg("payload").alias("prediction"))
 
 
-def knn_impute(df: DataFrame, key: str, columns: list[str], k: int = 5) -> DataFrame:
+def knn_impute(
+    df: DataFrame, key: str, columns: list[str], k: int = 5, donors: DataFrame | None = None
+) -> DataFrame:
     """Fill each gap with the mean of its k nearest donors (nan-euclidean distance).
 
-    A row with nothing in common with any donor gets the column mean. This
-    distance obeys no triangle inequality, so no cell can be skipped; the work
-    is still split into bounded blocks.
+    ``donors`` are the rows values are taken from (the training rows); by default
+    the table itself. A row with nothing in common with any donor gets the
+    donors' column mean. This distance obeys no triangle inequality, so no cell
+    can be skipped; the work is still split into bounded blocks.
     """
     from tidyloom.operators.aggregates import missing_counts
 
-    total, missing = missing_counts(df, columns)
-    means = one_row(df, {c: F.avg(col(c).cast("double")) for c in columns})
-    base = df.select(
-        col(key).alias("qid"), features_to_vector(columns).alias("vec"), *[col(c) for c in columns]
+    givers = df if donors is None else donors
+    total, absent = missing_counts(givers, columns)
+    _, gaps = (total, absent) if donors is None else missing_counts(df, columns)
+    means = one_row(givers, {c: F.avg(col(c).cast("double")) for c in columns})
+    base = df.select(col(key).alias("qid"), features_to_vector(columns).alias("vec"), *[col(c) for c in columns])
+    source = givers.select(
+        col(key).alias("tid"), features_to_vector(columns).alias("vec"), *[col(c) for c in columns]
     )
     out = df
     for c in columns:
-        if not missing[c] or missing[c] == total:
+        if not gaps[c] or absent[c] == total:
             continue
         cell = F.lit(0).alias("cell")
         q = base.where(col(c).isNull()).select("qid", "vec", cell)
-        t = base.where(col(c).isNotNull()).select(
-            F.col("qid").alias("tid"), "vec", col(c).cast("double").alias("payload"), cell
+        t = source.where(col(c).isNotNull()).select(
+            "tid", "vec", col(c).cast("double").alias("payload"), cell
         )
-        n_blocks = F.lit(-(-(total - missing[c]) // BLOCK_ROWS))
-        n_chunks = F.lit(-(-missing[c] // CHUNK_ROWS))
+        n_blocks = F.lit(-(-(total - absent[c]) // BLOCK_ROWS))
+        n_chunks = F.lit(-(-gaps[c] // CHUNK_ROWS))
         left = _copies(q, "chunk", n_chunks, "block", n_blocks, "qid")
         right = _copies(t, "block", n_blocks, "chunk", n_chunks, "tid")
         found = knn_mean(_blocked(left, right, k, "payload", False, _top_nan_euclidean))

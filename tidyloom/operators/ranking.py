@@ -79,21 +79,15 @@ def global_row_number(df: DataFrame, order: list, out: str) -> DataFrame:
     return numbered.withColumn(out, F.col(out) - 1).drop("__part")
 
 
-def running_counts(df: DataFrame, by: list[str], value: str, sums: list[str], buckets: int = 256):
+def running_counts(df: DataFrame, by: list[str], value: str, sums: list[str]) -> DataFrame:
     """Add ``<s>_before``: the sum of ``s`` over rows of the group with a smaller value.
 
-    ``df`` must be pre-aggregated to one row per ``(by, value)``. Bucket edges
-    come from a sketch, so the running window never covers more than one slice.
+    ``df`` must be pre-aggregated to one row per ``(by, value)``. The rows are
+    range-partitioned, so slices come in the number that the data ask for, and
+    the running window never covers more than one slice.
     """
-    probs = [i / buckets for i in range(1, buckets)]
-    edges = df.agg(F.percentile_approx(value, probs, 10_000)).first()[0] or []
-    edges = sorted(set(edges))
-    if edges:
-        grid = F.array(*[F.lit(float(e)) for e in edges])
-        bucket = F.size(F.filter(grid, lambda e: e <= F.col(value)))
-    else:
-        bucket = F.lit(0)
-    placed = df.withColumn("__b", bucket)
+    spread = df.repartitionByRange(*by, value).withColumn("__b", F.spark_partition_id())
+    placed = cut_lineage(spread)
     slices = placed.groupBy(*by, "__b").agg(*[F.sum(s).alias(f"__t_{s}") for s in sums])
     earlier = Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     slices = slices.select(

@@ -28,13 +28,14 @@ def _ranked(df: DataFrame, by: list[str], key: str, seed: int, total: str | None
 def stratified_cap(df: DataFrame, target: str, key: str, cap: int, seed: int = SEED) -> DataFrame:
     """At most about ``cap`` rows: max(1, round(n_class * cap / n)) of each class.
 
-    Rows without a class are left out once the cap applies. The quota needs the
-    exact rank in a seeded order; a large class is ranked bucket by bucket.
+    Rows without a class are left out, whether or not the cap applies. The quota
+    needs the exact rank in a seeded order; a large class is ranked bucket by
+    bucket.
     """
     n = df.count()
-    if n <= cap:
-        return df
     classed = df.where(col(target).isNotNull())
+    if n <= cap:
+        return classed
     ranked = _ranked(classed, [target], key, seed, total="__class")
     quota = F.greatest(F.lit(1), F.bround(F.col("__class") * F.lit(cap) / F.lit(n)))
     return ranked.where(F.col("__rank") <= quota).drop("__rank", "__class")

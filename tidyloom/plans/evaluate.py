@@ -60,7 +60,8 @@ def balanced_weights(train: DataFrame, label: str, n_classes: int):
 
 def build_estimator(model: str, task: str, n_rows: int, n_classes: int, options: dict | None = None):
     """Spark ML estimator with the penalties a single-node library would use by default."""
-    o = {"trees": 100, "depth": 10, "rounds": 50, **(options or {})}
+    # 30 is the deepest tree Spark grows.
+    o = {"trees": 100, "depth": 30, "rounds": 50, **(options or {})}
     if task == "regression":
         if model == "ridge":
             # A unit penalty on the summed squared error is 1/n on the mean.
@@ -76,7 +77,7 @@ def build_estimator(model: str, task: str, n_rows: int, n_classes: int, options:
     else:
         if model == "logreg":
             return LogisticRegression(
-                regParam=1.0 / max(n_rows, 1), standardization=False, maxIter=100, weightCol="w"
+                regParam=1.0 / max(n_rows, 1), standardization=False, maxIter=2000, weightCol="w"
             )
         if model == "rf":
             return RandomForestClassifier(
@@ -188,8 +189,19 @@ def cross_validate(
             placed, f, key, target, task, plan, model, prep, options, classes, held
         )
 
-    with ThreadPoolExecutor(max_workers=parallel) as pool:
-        parts = list(pool.map(inheritable_thread_target(spark)(one), range(folds)))
+    try:
+        with ThreadPoolExecutor(max_workers=parallel) as pool:
+            parts = list(pool.map(inheritable_thread_target(spark)(one), range(folds)))
+        scores = _fold_scores(parts, task, classes, held)
+        row = scores.first()
+    finally:
+        for frame in held:
+            frame.unpersist()
+    return spark.createDataFrame([row], scores.schema)
+
+
+def _fold_scores(parts: list[DataFrame], task: str, classes, held: list[DataFrame]) -> DataFrame:
+    """Mean and sd of each metric over the folds' predictions."""
     has_share = all("share" in p.columns for p in parts)
     cols = ["fold", "label", "prediction", *(["share"] if has_share else [])]
     scored = parts[0].select(*cols)
@@ -200,18 +212,13 @@ def cross_validate(
     held.append(scored)
     if task == "regression":
         per_fold = regression_metrics(scored, ["fold"])
-        out = over_folds(per_fold, ["mae", "rmse", "r2"])
-    else:
-        per_fold = classification_metrics(scored, ["fold"])
-        names = ["accuracy", "f1_weighted", "f1_macro"]
-        if has_share:
-            per_fold = per_fold.join(one_vs_rest_auc(long_scores(scored, len(classes)), ["fold"]), "fold")
-            names.append("roc_auc")
-        out = over_folds(per_fold, names)
-    row = out.first()
-    for frame in held:
-        frame.unpersist()
-    return spark.createDataFrame([row], out.schema)
+        return over_folds(per_fold, ["mae", "rmse", "r2"])
+    per_fold = classification_metrics(scored, ["fold"])
+    names = ["accuracy", "f1_weighted", "f1_macro"]
+    if has_share:
+        per_fold = per_fold.join(one_vs_rest_auc(long_scores(scored, len(classes)), ["fold"]), "fold")
+        names.append("roc_auc")
+    return over_folds(per_fold, names)
 
 
 def long_scores(scored: DataFrame, n_classes: int) -> DataFrame:

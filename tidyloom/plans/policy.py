@@ -17,6 +17,7 @@ Rules that look at a whole plan use one aggregate per plan.
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -233,67 +234,77 @@ def apply_row_rules(p: DataFrame, rules=ROW_RULES) -> DataFrame:
 
 
 # ---------------------------------------------------------------- whole-plan rules
-def _summary(p: DataFrame) -> DataFrame:
-    kept = F.col("keep")
-    return p.groupBy("plan_id").agg(
-        F.max("step").alias("last"),
-        F.max("is_tree").alias("is_tree"),
-        F.max("is_linear").alias("is_linear"),
-        F.max("is_knn").alias("is_knn"),
-        F.max(kept & (F.col("action") == "scale_features")).alias("scales"),
-        F.max(kept & F.col("action").isin(ENCODERS)).alias("encodes"),
-        F.min(F.when(kept & (F.col("action") == "handle_missing"), F.col("step"))).alias("fill_at"),
+def whole_plan_rules(p: DataFrame, profile: DataFrame | None = None) -> DataFrame:
+    """Complete a plan and scale it for linear models, in one pass over its rows.
+
+    A plan without an encoding gets one, after imputation or at the end, if its
+    table has text columns (asked only with a ``profile``); later steps move up by
+    one. A linear model's plan gets one ``scale_features`` at the end. The new
+    rows come out of the plan's last row, so the plans are read and shuffled once.
+    """
+    plan, kept = Window.partitionBy("plan_id"), F.col("keep")
+    marked = p.withColumns(
+        {
+            "__last": F.max("step").over(plan),
+            "__scales": F.max(kept & (F.col("action") == "scale_features")).over(plan),
+            "__encodes": F.max(kept & F.col("action").isin(ENCODERS)).over(plan),
+            "__fill": F.min(F.when(kept & (F.col("action") == "handle_missing"), F.col("step"))).over(plan),
+            "__end": F.row_number().over(plan.orderBy(F.desc("step"), "action")) == 1,
+        }
     )
+    bare = F.lit(False)
+    if profile is not None:
+        texts = profile.where(F.col("is_text")).select("plan_id").distinct().withColumn("__text", F.lit(True))
+        marked = marked.join(texts, "plan_id", "left")
+        bare = F.coalesce(F.col("__text"), F.lit(False)) & ~F.col("__encodes")
+    at = F.coalesce("__fill", "__last") + 1
+    moved = F.when(bare & (F.col("step") >= at), F.col("step") + 1).otherwise(F.col("step"))
+    scaled = F.col("is_linear") & ~F.col("is_knn") & ~F.col("__scales")
+
+    def row(changed: dict[str, Column]) -> Column:
+        return F.struct(
+            *[
+                changed.get(f.name, F.col(f"`{f.name}`")).cast(f.dataType).alias(f.name)
+                for f in p.schema
+            ]
+        )
 
+    def injected(step: Column, action: str, why: str, params: Column) -> Column:
+        return row(
+            {
+                "step": step,
+                "action": F.lit(action),
+                "rationale": F.lit(why),
+                "target_columns": F.array(),
+                "params": params,
+                "keep": F.lit(True),
+                "changes": F.array(F.lit(f"inject:{action}")),
+            }
+        )
 
-def _added(rows: DataFrame, like: DataFrame, step: Column, action: str, why: str, params: dict):
-    flat = [x for k, v in params.items() for x in (F.lit(k), v)]
-    made = F.create_map(*flat).cast("map<string,string>")
-    new = rows.select(
-        "plan_id",
-        step.alias("step"),
-        F.lit(action).alias("action"),
-        F.lit(why).alias("rationale"),
-        F.array().cast("array<string>").alias("target_columns"),
-        made.alias("params"),
-        F.lit(True).alias("keep"),
-        F.array(F.lit(f"inject:{action}")).alias("changes"),
+    default = F.create_map(F.lit("default_method"), _family_method())
+    rows = F.array(
+        row({"step": moved}),
+        F.when(
+            F.col("__end") & bare,
+            injected(at, "encode_categorical_per_column", "encoding was left out", default),
+        ),
+        F.when(
+            F.col("__end") & scaled,
+            injected(F.col("__last") + bare.cast("int") + 1, "scale_features", "scaling for a linear model", F.create_map()),
+        ),
     )
-    return new.withColumns(
-        {
-            f.name: F.lit(None).cast(f.dataType)
-            for f in like.schema
-            if f.name not in new.columns
-        }
-    ).select(like.columns)
+    return marked.select(F.explode(F.array_compact(rows)).alias("r")).select("r.*")
 
 
 def scale_rule(p: DataFrame) -> DataFrame:
     """Linear models get one ``scale_features`` at the end of their plan."""
-    todo = _summary(p).where(F.col("is_linear") & ~F.col("is_knn") & ~F.col("scales"))
-    step = F.col("last") + 1
-    return p.unionByName(_added(todo, p, step, "scale_features", "scaling for a linear model", {}))
+    return whole_plan_rules(p)
 
 
 def completeness_rule(p: DataFrame, profile: DataFrame) -> DataFrame:
-    """A plan without an encoding gets one, after imputation or at the end, if text remains.
-
-    Later steps move up by one; no sort is needed.
-    """
-    texts = profile.where(F.col("is_text")).select("plan_id")
-    todo = (
-        _summary(p).where(~F.col("encodes")).join(texts, "plan_id", "left_semi")
-        .withColumn("at", F.coalesce("fill_at", "last") + 1)
-    )
-    moved = p.join(todo.select("plan_id", "at"), "plan_id", "left").withColumn(
-        "step", F.col("step") + F.coalesce((F.col("step") >= F.col("at")).cast("int"), F.lit(0))
-    )
-    default = F.when(F.col("is_tree"), "ordinal").otherwise("one_hot")
-    new = _added(
-        todo, p, F.col("at"), "encode_categorical_per_column", "encoding was left out",
-        {"default_method": default},
-    )
-    return moved.drop("at").unionByName(new)
+    """A plan without an encoding gets one (and nothing else)."""
+    return whole_plan_rules(p.withColumn("is_linear", F.lit(False)), profile)
 
 
 def known_targets(plans: DataFrame, profile: DataFrame) -> DataFrame:
@@ -413,13 +424,98 @@ def budget_rule(contexts: DataFrame, semantics: DataFrame, profile: DataFrame) -
 
 
 # ---------------------------------------------------------------- everything
-def enforce(plans: DataFrame, contexts: DataFrame, profile: DataFrame | None = None) -> DataFrame:
-    """All rules on the plan rows; the result keeps ``changes`` for the log."""
-    p = apply_row_rules(prepare(plans, contexts))
-    if profile is not None:
-        p = completeness_rule(p, profile)
-    p = scale_rule(p)
-    return p
+def enforce(
+    plans: DataFrame,
+    contexts: DataFrame,
+    profile: DataFrame | None = None,
+    encodings: DataFrame | None = None,
+    semantics: DataFrame | None = None,
+) -> DataFrame:
+    """All rules on the plan rows; the result keeps ``changes`` for the log.
+
+    With a ``profile`` plans are completed. With ``semantics`` as well, the methods
+    of per-column encodings are settled (``encodings`` are the plan's own), kept
+    within the budget and written into the parameter ``column_encodings``.
+    """
+    p = whole_plan_rules(apply_row_rules(prepare(plans, contexts)), profile)
+    if profile is None or semantics is None:
+        return p
+    return settle_encodings(p, contexts, profile, encodings, semantics)
+
+
+def settle_encodings(
+    p: DataFrame, contexts: DataFrame, profile: DataFrame, encodings: DataFrame | None, semantics: DataFrame
+) -> DataFrame:
+    """Write the final method of each column, and what was changed, into the encoding steps."""
+    is_encoder = F.col("keep") & (F.col("action") == "encode_categorical_per_column")
+    steps = p.where(is_encoder).select("plan_id", "step")
+    if encodings is None:
+        encodings = p.sparkSession.createDataFrame([], "plan_id string, step bigint, column string, method string")
+        encodings = encodings.select(*[F.col(c).cast(p.schema[c].dataType) for c in ("plan_id", "step")], "column", "method")
+    ruled = encoding_rule(encodings, contexts, semantics, profile, steps)
+    budget = budget_rule(contexts, semantics, profile).where("demoted").select("plan_id", "column", "demoted")
+    settled = ruled.join(budget, ["plan_id", "column"], "left").withColumn(
+        "demoted", F.coalesce("demoted", F.lit(False)) & (F.col("method") == "one_hot")
+    )
+    note = F.when(F.col("demoted"), F.concat(F.lit("budget:"), "column", F.lit("->ordinal"))).when(
+        F.col("changed"), F.concat(F.lit("encoding:"), "column", F.lit("->"), "method")
+    )
+    numbers = profile.where("is_numeric").select("plan_id", "column")
+    struck = encodings.join(numbers, ["plan_id", "column"], "left_semi").select(
+        "plan_id", "step", "column", F.lit(None).cast("string").alias("method"),
+        F.concat(F.lit("encoding:strike "), "column").alias("note"),
+    )
+    final = F.when(F.col("demoted"), "ordinal").otherwise(F.col("method"))
+    cells = settled.select("plan_id", "step", "column", final.alias("method"), note.alias("note")).unionByName(struck)
+    # Columns of one plan's table: as many as a plan can name.
+    listed = F.array_sort(F.collect_list(F.struct("column", "method", "note")))
+    per = cells.groupBy("plan_id", "step").agg(listed.alias("__cells"))
+    known = F.filter("__cells", lambda x: x["method"].isNotNull())
+    methods = F.map_from_entries(F.transform(known, lambda x: F.struct(x["column"], x["method"])))
+    notes = F.array_compact(F.transform("__cells", lambda x: x["note"]))
+    out = p.join(per, ["plan_id", "step"], "left")
+    hit = is_encoder & F.col("__cells").isNotNull()
+    return out.withColumns(
+        {
+            "params": F.when(hit, put(F.col("params"), "column_encodings", F.to_json(methods))).otherwise(F.col("params")),
+            "changes": F.when(hit, F.concat("changes", notes)).otherwise(F.col("changes")),
+        }
+    ).select(*p.columns)
+
+
+# Parameters that hold lists; in a plan table they are comma-separated or JSON.
+LIST_PARAMS = ["columns", "drop_columns", "exclude_columns", "ops"]
+
+
+def typed_params(params: dict[str, str] | None) -> dict:
+    """Text values of a plan table as the values actions take."""
+    out = {}
+    for k, v in (params or {}).items():
+        if v is None:
+            continue
+        try:
+            out[k] = json.loads(v)
+        except ValueError:
+            out[k] = v
+        if k in LIST_PARAMS and not isinstance(out[k], list):
+            out[k] = [c for c in str(v).split(",") if c]
+    return out
+
+
+def to_plans(p: DataFrame, plan_ids: list) -> dict:
+    """Enforced plans by id, as ``PlanCleaner`` and ``run_plan`` take them."""
+    rows = kept_actions(p).where(F.col("plan_id").isin(list(plan_ids))).collect()
+    plans: dict = {i: {"actions": []} for i in plan_ids}
+    for r in sorted(rows, key=lambda r: r["step"]):
+        plans[r["plan_id"]]["actions"].append(
+            {
+                "action": r["action"],
+                "rationale": r["rationale"],
+                "target_columns": list(r["target_columns"] or []),
+                "params": typed_params(r["params"]),
+            }
+        )
+    return plans
 
 
 def kept_actions(p: DataFrame) -> DataFrame:

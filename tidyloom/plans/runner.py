@@ -2,6 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.errors import (
+    AnalysisException,
+    ArithmeticException,
+    DateTimeException,
+    IllegalArgumentException,
+    NumberFormatException,
+    SparkRuntimeException,
+)
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +43,20 @@ CANONICAL_ORDER = [
 ]
 _LATER = 9
 
+# What a step that does not fit its table raises. Anything else (a lost
+# executor, a full disk) is no fault of the plan and stops the run.
+BAD_STEP = (
+    AnalysisException,
+    ArithmeticException,
+    DateTimeException,
+    IllegalArgumentException,
+    NumberFormatException,
+    SparkRuntimeException,
+    ValueError,
+    TypeError,
+    KeyError,
+)
+
 EAGER = {
     "fix_column_names": fix_column_names,
     "cast_type": cast_type,
@@ -115,7 +137,7 @@ def run_plan(
     reorder: bool = False,
     audit: bool = True,
 ) -> tuple[DataFrame, ProvenanceLog]:
-    """Apply a plan; a failing action is logged and left out.
+    """Apply a plan; an action that does not fit its table is logged and left out.
 
     ``audit=False`` skips the counting jobs and keeps the frame lazy.
     """
@@ -151,7 +173,7 @@ def run_plan(
             current = after
             if name == "fix_column_names" and target is not None:
                 target = standard_name(target)
-        except Exception as error:  # noqa: BLE001 - a bad step must not stop the plan
+        except BAD_STEP as error:
             entry.setdefault("params", action.get("params") or {})
             entry |= {"status": "failed", "error": str(error)}
         log.add_step(log_step(**entry))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,7 @@ def get_session(app_name: str = "tidyloom", master: str | None = None, **conf) -
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     if master:
         builder = builder.master(master)
@@ -27,15 +29,19 @@ def get_session(app_name: str = "tidyloom", master: str | None = None, **conf) -
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Directory for reliable checkpoints.
 
-    The cluster's ``spark.checkpoint.dir`` wins; a private folder is only made
-    where nothing is configured (local runs and tests).
+    The cluster's ``spark.checkpoint.dir`` wins. A private folder is only made
+    where nothing is configured and everything runs in one process (tests); on a
+    cluster the executors would not see it, so that is an error.
     """
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current:
         return current
-    configured = context.getConf().get("spark.checkpoint.dir")
-    path = configured or tempfile.mkdtemp(prefix="tidyloom-checkpoint-")
+    path = context.getConf().get("spark.checkpoint.dir")
+    if not path:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        path = tempfile.mkdtemp(prefix="tidyloom-checkpoint-")
     context.setCheckpointDir(path)
     return context.getCheckpointDir()
 

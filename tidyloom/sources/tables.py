@@ -16,6 +16,7 @@ from tidyloom.operators.sampling import plain_cap, stratified_cap
 # Cells read as missing unless the caller names others.
 NA_TOKENS = ["NA", "N/A", "null", "NULL", ""]
 SEPARATORS = [",", ";", "\t", "|"]
+NULL_MARKER = "\\N"
 
 
 def detect_separator(spark: SparkSession, path: str, lines: int = 20) -> str:
@@ -70,16 +71,20 @@ def read_csv(
     encoding: str = "UTF-8",
     na_values=None,
     schema=None,
+    multi_line: bool = False,
 ) -> DataFrame:
     """CSV with a header. Several missing-value markers; types given or inferred.
 
     With a schema the file is read once; without, one extra pass infers types.
+    ``multi_line`` is for values that hold line breaks; a file is then one task.
+    Blanks around a value belong to it.
     """
     if sep is None:
         sep = detect_separator(spark, path)
     reader = (
         spark.read.option("header", True).option("sep", sep).option("encoding", encoding)
-        .option("multiLine", False).option("escape", '"')
+        .option("multiLine", multi_line).option("escape", '"').option("nullValue", NULL_MARKER)
+        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
     )
     raw = nullify_tokens(reader.csv(path), na_values)
     if schema is None:
@@ -90,16 +95,27 @@ def read_csv(
     )
 
 
-def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    df.write.mode(mode).option("header", True).csv(path)
+def write_csv(df: DataFrame, path: str, mode: str = "overwrite", sep: str = ",") -> None:
+    """Quotes inside values are doubled, blanks kept, NULL written as ``NULL_MARKER``.
+
+    So NULL and an empty text stay apart; ``read_csv`` reads the marker as NULL
+    whatever other markers are asked for.
+    """
+    writer = (
+        df.write.mode(mode).option("header", True).option("sep", sep).option("escape", '"')
+        .option("nullValue", NULL_MARKER).option("emptyValue", '""')
+        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+    )
+    writer.csv(path)
 
 
 def write_json(df: DataFrame, path: str, mode: str = "append") -> None:
     df.write.mode(mode).json(path)
 
 
-def preview(df: DataFrame, rows: int = 500) -> DataFrame:
-    return df.limit(rows)
+def preview(df: DataFrame, rows: int = 500, order_by=()) -> DataFrame:
+    """The first rows; with ``order_by`` they are always the same ones."""
+    return (df.orderBy(*order_by) if order_by else df).limit(rows)
 
 
 def load_raw(
