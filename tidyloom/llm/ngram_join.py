@@ -52,7 +52,7 @@ def choose_bands(threshold: float, recall: float, most_hashes: int = 128) -> tup
 class Grams:
     """Sets of hashed word n-grams; word hashes are remembered in a worker."""
 
-    def __init__(self, n: int, cache: int = 400_000):
+    def __init__(self, n: int, cache: int = 200_000):
         self.n, self.cache = n, cache
         self.known: dict[str, int] = {}
 
@@ -124,8 +124,8 @@ def signatures(rows: DataFrame, n: int, bands: int, per_band: int, seed: int) ->
         grams = worker_grams(n)
         for batch in batches:
             sid, size, hashes = [], [], []
-            for text in batch.column(1).to_pylist():
-                g = grams.of(text)
+            for text in batch.column(1):
+                g = grams.of(text.as_py())
                 sid.append(set_id(g))
                 size.append(len(g))
                 hashes.append(band_hashes(g, a, b, bands).view(np.int64))
@@ -145,9 +145,9 @@ def gram_sets(rows: DataFrame, n: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = worker_grams(n)
         for batch in batches:
-            sids, texts = batch.column(0), batch.column(1).to_pylist()
+            sids, texts = batch.columns
             for i in range(0, len(texts), 256):
-                found = [grams.of(t).tobytes() for t in texts[i : i + 256]]
+                found = [grams.of(t.as_py()).tobytes() for t in texts[i : i + 256]]
                 yield pa.RecordBatch.from_arrays([sids.slice(i, 256), pa.array(found, pa.binary())], ["sid", "grams"])
 
     return rows.mapInArrow(run, "sid bigint, grams binary")

@@ -8,9 +8,9 @@ power of two in it, so that nothing is padded. Pieces go in descending order to
 the lowest-cost sequence that still has room for them; where none has, the piece
 is cut at the room of the lowest-cost open sequence and its rest queues again.
 
-Tokenizing remembers blank-separated chunks and words in each Python worker; their
-ids do not depend on their neighbours in the word-level vocabularies this is
-meant for (``chunked=False`` tokenizes whole texts). Groups are bounded, so no task grows
+Tokenizing goes by blank-separated chunks, which each Python worker remembers for a
+while; their ids do not depend on their neighbours in the word-level vocabularies
+this is meant for (``chunked=False`` tokenizes whole texts). Groups are bounded, so no task grows
 with the data, and all placement follows from ids and hashes, so a lost task
 gives the same rows again.
 
@@ -36,8 +36,9 @@ from pyspark.sql import functions as F
 from tidyloom.llm.common import col
 
 MAX_LEN = 4096
-CACHE_CHUNKS = 800_000
-GATHER = 64
+#: Chunks and words remembered in a Python worker (other operators share its memory).
+CACHE_CHUNKS = 120_000
+GATHER = 128
 #: Letters and then ASCII marks, where word-level tokenizers always cut.
 WORD_AND_MARKS = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-^`{-~]*)")
 #: Weight of the linear term: about six model widths, here for a width of 1024.
@@ -61,13 +62,37 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class Recent(dict):
+    """Results of a function, remembered while they are asked for.
+
+    When more than ``limit`` entries are new, those not asked for since the last
+    time are forgotten.
+    """
+
+    def __init__(self, make, limit: int):
+        super().__init__()
+        self.make, self.limit, self.older = make, limit, {}
+
+    def __missing__(self, key: str) -> bytes:
+        found = self.older.get(key)
+        if found is None:
+            found = self.make(key)
+        self[key] = found
+        return found
+
+    def rotate(self) -> None:
+        if len(self) > self.limit:
+            self.older = dict(self)
+            self.clear()
+
+
 class ChunkTokenizer:
     """Token ids of whole texts as little-endian unsigned 32-bit bytes.
 
-    Ids are remembered for chunks, and for the words that chunks of letters with
-    closing marks begin with. A new word of letters goes to the tokenizer's model
-    directly if that gives the same ids (which is tried out first), else through
-    the whole tokenizer.
+    A blank-separated chunk of letters with closing marks is its word's ids and
+    its marks' ids; chunks and words are remembered. A new word goes to the
+    tokenizer's model directly if that gives the same ids (which is tried out
+    first), anything else through the whole tokenizer.
     """
 
     def __init__(self, path: str, chunked: bool = True, cache: int = CACHE_CHUNKS):
@@ -75,57 +100,43 @@ class ChunkTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.chunked = chunked
-        self.cache = cache
-        self.chunks: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-        self.direct = chunked and [self._word(w) for w in PROBES] == self._ids(PROBES)
+        self.chunks = Recent(self._chunk, cache)
+        self.words = Recent(self._word, cache)
+        self.marks = Recent(self._ids, cache)
+        self.direct = chunked and [self._model_ids(w) for w in PROBES] == [self._ids(w) for w in PROBES]
 
-    def _word(self, word: str) -> bytes:
+    def _ids(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _model_ids(self, word: str) -> bytes:
         """Ids of a lower-case word of letters, straight from the model."""
         if not word.isascii():
             word = word.encode().decode("latin-1").translate(BYTE_SIGNS)
-        return array("I", [t.id for t in self.tokenizer.model.tokenize(word)]).tobytes()
+        return array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [array("I", e.ids).tobytes() for e in found]
+    def _word(self, word: str) -> bytes:
+        plain = word.isascii() or (is_normalized("NFC", word) and word.isalpha())
+        return self._model_ids(word) if self.direct and plain else self._ids(word)
 
-    def _learn(self, chunks: set[str]) -> None:
-        cut = {}
-        for c in chunks:
-            found = WORD_AND_MARKS.fullmatch(c)
-            word, marks = found.groups() if found else (c, "")
+    def _chunk(self, chunk: str) -> bytes:
+        split = WORD_AND_MARKS.fullmatch(chunk)
+        if split is None or "\u03a3" in chunk:
             # A capital sigma is lowered by its place in a word, not so in a tokenizer.
-            cut[c] = (word.lower() if found and "\u03a3" not in word else word, marks)
-        new = {p for pair in cut.values() for p in pair}.difference(self.parts)
-        if len(self.parts) + len(new) > self.cache:
-            self.parts.clear()
-            new = {p for pair in cut.values() for p in pair}
-        parts = self.parts
-        if self.direct:
-            words = {w for w in new if w.isalpha() and is_normalized("NFC", w) and "\u03a3" not in w}
-            new -= words
-            parts.update((w, self._word(w)) for w in words)
-        listed = list(new)
-        parts.update(zip(listed, self._ids(listed)))
-        self.chunks.update((c, parts[w] + parts[m]) for c, (w, m) in cut.items())
+            return self._ids(chunk)
+        word, marks = split.groups()
+        found = self.words[word.lower()]
+        return found + self.marks[marks] if marks else found
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         if not self.chunked:
-            for text in texts:
-                yield self._ids([text])[0]
+            yield from map(self._ids, texts)
             return
-        for i in range(0, len(texts), GATHER):
-            lists = [t.replace("\n", " ").split(" ") for t in texts[i : i + GATHER]]
-            met = set().union(*lists)
-            new = met.difference(self.chunks)
-            if len(self.chunks) + len(new) > self.cache:
-                self.chunks.clear()
-                new = met
-            self._learn(new)
-            for chunks in lists:
-                yield b"".join(map(self.chunks.__getitem__, chunks))
+        for text in texts:
+            for known in (self.chunks, self.words, self.marks):
+                known.rotate()
+            yield b"".join(map(self.chunks.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 _TOKENIZERS: dict[tuple, ChunkTokenizer] = {}
@@ -138,6 +149,12 @@ def worker_tokenizer(path: str, chunked: bool) -> ChunkTokenizer:
     return _TOKENIZERS[path, chunked]
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def token_pieces(
     df: DataFrame, id_col: str, text_col: str, tokenizer: str, end_id: int, max_len: int, chunked: bool
 ) -> DataFrame:
@@ -149,7 +166,7 @@ def token_pieces(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = worker_tokenizer(tokenizer, chunked)
         end = np.asarray([end_id], "<u4").tobytes()
-        for batch in batches:
+        for batch in slices(batches, GATHER):
             keys, texts = batch.column(0), batch.column(1).to_pylist()
             row, start, size, ids, held = [], [], [], [], 0
             for i, encoded in enumerate(tok.encode([t or "" for t in texts])):

@@ -47,7 +47,8 @@ REPLACE, DROP_MARK, DROP_LEET, DROP_REPEAT, DROP_DOUBLE = 1.0, 0.7, 6.0, 0.5, 8.
 WHOLE_WORD = 8.0
 LONGEST = 40
 BEAM = 64
-CACHE_TOKENS = 400_000
+#: Tokens remembered in a Python worker (other operators share its memory).
+CACHE_TOKENS = 100_000
 FIT_ROWS = 20_000
 #: Evidence (G²) from which a word counts as telling, and its least number of texts.
 EVIDENCE, LEAST_TEXTS = 18.0, 3
@@ -90,9 +91,9 @@ def count_trigrams(df: DataFrame, text_col: str = "text") -> np.ndarray:
                 words.clear()
 
         for b in batches:
-            for text in b.column(0).to_pylist():
-                words.update((text or "").lower().split())
-                if len(words) > 300_000:
+            for text in b.column(0):
+                words.update((text.as_py() or "").lower().split())
+                if len(words) > 150_000:
                     flush()
         flush()
         at = np.flatnonzero(total)
