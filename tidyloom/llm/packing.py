@@ -8,8 +8,8 @@ power of two in it, so that nothing is padded. Pieces go in descending order to
 the lowest-cost sequence that still has room for them; where none has, the piece
 is cut at the room of the lowest-cost open sequence and its rest queues again.
 
-Tokenizing goes by blank-separated chunks, which each Python worker remembers for a
-while; their ids do not depend on their neighbours in the word-level vocabularies
+Tokenizing goes by blank-separated chunks and remembers words in each Python
+worker; their ids do not depend on their neighbours in the word-level vocabularies
 this is meant for (``chunked=False`` tokenizes whole texts). Groups are bounded, so no task grows
 with the data, and all placement follows from ids and hashes, so a lost task
 gives the same rows again.
@@ -22,7 +22,6 @@ from __future__ import annotations
 
 import heapq
 import os
-import re
 from array import array
 from collections.abc import Iterator
 from unicodedata import is_normalized
@@ -30,17 +29,21 @@ from unicodedata import is_normalized
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidyloom.llm.common import col
 
 MAX_LEN = 4096
-#: Chunks and words remembered in a Python worker (other operators share its memory).
-CACHE_CHUNKS = 120_000
-GATHER = 128
-#: Letters and then ASCII marks, where word-level tokenizers always cut.
-WORD_AND_MARKS = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-^`{-~]*)")
+#: Words remembered in a Python worker (other operators share its memory).
+CACHE_WORDS = 100_000
+#: Bytes of text tokenized at once.
+GATHER_BYTES = 4_000_000
+#: A chunk as a word and ASCII marks after it, where word-level tokenizers always cut.
+WORD_AND_MARKS = r"(?s)^(?P<w>.*?)(?P<m>[!-&(-/:-@\[-^`{-~]*)$"
+#: What is left to the whole tokenizer: anything but Latin, and letters lowered by rules of their own.
+UNUSUAL = r"[^\x{0}-\x{24f}]|\x{130}"
 #: Weight of the linear term: about six model widths, here for a width of 1024.
 LINEAR = 6144.0
 PROBES = ["word", "tokenization", "é", "straße", "größe", "año", "слово", "語", "ﬁ", "ß", "zzzzqx"]
@@ -89,20 +92,20 @@ class Recent(dict):
 class ChunkTokenizer:
     """Token ids of whole texts as little-endian unsigned 32-bit bytes.
 
-    A blank-separated chunk of letters with closing marks is its word's ids and
-    its marks' ids; chunks and words are remembered. A new word goes to the
-    tokenizer's model directly if that gives the same ids (which is tried out
-    first), anything else through the whole tokenizer.
+    Texts are cut at blanks and line ends and the distinct chunks of a batch looked
+    up once; the ids of all texts are then gathered from those of their chunks. A
+    chunk of letters with closing marks is its word's ids and its marks' ids. A new
+    word goes to the tokenizer's model directly if that gives the same ids (which
+    is tried out first), anything unusual through the whole tokenizer.
     """
 
-    def __init__(self, path: str, chunked: bool = True, cache: int = CACHE_CHUNKS):
+    def __init__(self, path: str, chunked: bool = True, cache: int = CACHE_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.chunked = chunked
-        self.chunks = Recent(self._chunk, cache)
         self.words = Recent(self._word, cache)
         self.marks = Recent(self._ids, cache)
         self.direct = chunked and [self._model_ids(w) for w in PROBES] == [self._ids(w) for w in PROBES]
@@ -117,26 +120,50 @@ class ChunkTokenizer:
         return array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
 
     def _word(self, word: str) -> bytes:
-        plain = word.isascii() or (is_normalized("NFC", word) and word.isalpha())
+        plain = word.isascii() or is_normalized("NFC", word)
         return self._model_ids(word) if self.direct and plain else self._ids(word)
 
-    def _chunk(self, chunk: str) -> bytes:
-        split = WORD_AND_MARKS.fullmatch(chunk)
-        if split is None or "\u03a3" in chunk:
-            # A capital sigma is lowered by its place in a word, not so in a tokenizer.
-            return self._ids(chunk)
-        word, marks = split.groups()
-        found = self.words[word.lower()]
-        return found + self.marks[marks] if marks else found
+    def _parts(self, chunks: pa.Array) -> tuple[list[bytes], np.ndarray]:
+        """Pieces of ids, and for each chunk the numbers of its two pieces (0 is empty)."""
+        cut = pc.extract_regex(chunks, WORD_AND_MARKS)
+        usual = pc.and_not(pc.utf8_is_alpha(cut.field("w")), pc.match_substring_regex(chunks, UNUSUAL))
+        usual = usual.to_numpy(zero_copy_only=False)
+        pieces, first = [b""], np.zeros((len(chunks), 2), np.int64)
+        plain = pa.array(usual)
+        for column, values, known in (
+            (0, pc.utf8_lower(cut.field("w").filter(plain)), self.words),
+            (1, cut.field("m").filter(plain), self.marks),
+        ):
+            coded = values.dictionary_encode()
+            first[usual, column] = len(pieces) + coded.indices.to_numpy()
+            pieces += [known[v] if v else b"" for v in coded.dictionary.to_pylist()]
+        other = np.flatnonzero(~usual)
+        first[other, 0] = len(pieces) + np.arange(len(other))
+        pieces += [self._ids(c) if c else b"" for c in chunks.take(pa.array(other)).to_pylist()]
+        return pieces, first
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         if not self.chunked:
             yield from map(self._ids, texts)
             return
-        for text in texts:
-            for known in (self.chunks, self.words, self.marks):
-                known.rotate()
-            yield b"".join(map(self.chunks.__getitem__, text.replace("\n", " ").split(" ")))
+        for known in (self.words, self.marks):
+            known.rotate()
+        lists = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " "), " ")
+        flat = lists.flatten().dictionary_encode()
+        pieces, first = self._parts(flat.dictionary.cast(pa.string()))
+        size = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
+        begin = np.cumsum(size) - size
+        pool = np.frombuffer(b"".join(pieces), "<u4")
+        met = first[flat.indices.to_numpy()]
+        length = size[met]
+        ends = np.concatenate([[0], np.cumsum(length.sum(1))])[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+        met, length = met.ravel(), length.ravel()
+        some = np.flatnonzero(length)
+        met, length = met[some], length[some]
+        at = np.repeat(begin[met] - (np.cumsum(length) - length), length)
+        ids = pool[at + np.arange(len(at))]
+        for i in range(len(texts)):
+            yield ids[ends[i] : ends[i + 1]].tobytes()
 
 
 _TOKENIZERS: dict[tuple, ChunkTokenizer] = {}
@@ -149,34 +176,39 @@ def worker_tokenizer(path: str, chunked: bool) -> ChunkTokenizer:
     return _TOKENIZERS[path, chunked]
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Parts of the batches with about ``most`` bytes of text (column 1)."""
     for batch in batches:
-        for i in range(0, batch.num_rows, rows):
-            yield batch.slice(i, rows)
+        size = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+        part = np.cumsum(size, dtype=np.int64) // most
+        edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(edges[:-1], edges[1:]):
+            if b > a:
+                yield batch.slice(a, b - a)
 
 
 def token_pieces(
-    df: DataFrame, id_col: str, text_col: str, tokenizer: str, end_id: int, max_len: int, chunked: bool
+    df: DataFrame, id_col: str, text_col: str, tokenizer: str, end_id: int, max_len: int, chunked: bool, width: int
 ) -> DataFrame:
-    """``id_col, start, doc_tokens, ids``: documents cut to at most ``max_len`` ids."""
+    """``id_col, start, doc_tokens, ids``: documents cut to at most ``max_len`` ids of ``width`` bytes."""
 
     kind = pa.from_numpy_dtype(np.int64)
     id_type = df.schema[id_col].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = worker_tokenizer(tokenizer, chunked)
-        end = np.asarray([end_id], "<u4").tobytes()
-        for batch in slices(batches, GATHER):
+        end = np.asarray([end_id], f"<u{width}").tobytes()
+        for batch in slices(batches, GATHER_BYTES):
             keys, texts = batch.column(0), batch.column(1).to_pylist()
             row, start, size, ids, held = [], [], [], [], 0
             for i, encoded in enumerate(tok.encode([t or "" for t in texts])):
-                encoded += end
-                n = len(encoded) // 4
+                encoded = np.frombuffer(encoded, "<u4").astype(f"<u{width}").tobytes() + end
+                n = len(encoded) // width
                 for a in range(0, n, max_len):
                     row.append(i)
                     start.append(a)
                     size.append(n)
-                    ids.append(encoded[4 * a : 4 * (a + max_len)])
+                    ids.append(encoded[width * a : width * (a + max_len)])
                 held += len(encoded)
                 if held > 16_000_000 or i + 1 == len(texts):
                     yield pa.RecordBatch.from_arrays(
@@ -240,21 +272,25 @@ def pack_documents(
     """
     groups = max(1, -(-df.count() // docs_per_group))
     path = tokenizer or default_tokenizer()
-    pieces = token_pieces(df, id_col, text_col, path, end_id, max_len, chunked)
+    # Ids travel in two bytes where the vocabulary allows.
+    width = 2 if worker_tokenizer(path, chunked).tokenizer.get_vocab_size() <= 65_536 else 4
+    pieces = token_pieces(df, id_col, text_col, path, end_id, max_len, chunked, width)
     dealt = pieces.withColumn("grp", group_of(groups))
     kind = dict(pieces.dtypes)["id"]
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["id", "start", "doc_tokens", "ids"], kind="stable")
         ids = pdf["ids"].tolist()
-        parts = assign([len(b) // 4 for b in ids], max_len, linear)
-        piece = np.array([p[0] for p in parts], np.int64)
+        keys = list(zip(pdf["id"].isna(), pdf["id"].fillna(0), pdf["start"], pdf["doc_tokens"], ids))
+        order = sorted(range(len(ids)), key=keys.__getitem__)
+        parts = assign([len(ids[i]) // width for i in order], max_len, linear)
+        piece = np.array([order[p[0]] for p in parts], np.int64)
+        wide = [np.frombuffer(b, f"<u{width}").astype("<u4").tobytes() for b in ids]
         base = int(pdf["grp"].iloc[0]) << 24
         return pd.DataFrame({
             "id": pdf["id"].take(piece).array,
             "start": pdf["start"].to_numpy()[piece] + [p[1] for p in parts],
             "length": [p[2] for p in parts],
-            "ids": [ids[i][4 * a : 4 * (a + n)] for i, a, n, _, _ in parts],
+            "ids": [wide[i][4 * p[1] : 4 * (p[1] + p[2])] for i, p in zip(piece, parts)],
             "doc_tokens": pdf["doc_tokens"].to_numpy()[piece],
             "sequence_id": [base + p[3] for p in parts],
             "offset": [p[4] for p in parts],
