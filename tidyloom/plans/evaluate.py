@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidyloom.functions.scalar import col
-from tidyloom.operators.encode import literal_codes
+from tidyloom.operators.encode import DRIVER_LIMIT, code_frame, fit_categories, with_codes
 from tidyloom.operators.metrics import (
     classification_metrics,
     one_vs_rest_auc,
@@ -31,31 +31,27 @@ from tidyloom.plans.preparation import apply_preparation, fit_preparation
 
 SCALED_MODELS = ("logreg", "ridge", "knn")
 KNN_K = 5
-CLASS_LIMIT = 999
 
 
-def class_list(df: DataFrame, target: str) -> list[str]:
-    rows = (
-        df.where(col(target).isNotNull())
-        .groupBy(col(target).cast("string").alias("v"))
-        .agg(F.count("*").alias("n"))
-        .orderBy("v")
-        .limit(CLASS_LIMIT + 1)
-        .collect()
-    )
-    if len(rows) > CLASS_LIMIT:
-        raise ValueError(f"'{target}' has more than {CLASS_LIMIT} classes")
-    return [r["v"] for r in rows]
+def class_codes(df: DataFrame, target: str):
+    """Codes of the classes in alphabetical order, and how many there are.
+
+    A list of classes where the driver may hold them, else a table to join.
+    """
+    found = fit_categories(df.select(col(target)), [target])[target]
+    if len(found) <= DRIVER_LIMIT:
+        return found, len(found)
+    frame = code_frame(df, target)
+    return frame, frame.count()
 
 
-def balanced_weights(train: DataFrame, label: str, n_classes: int):
-    """n / (classes * class size), as an expression over the label."""
-    sizes = {r[label]: r["n"] for r in train.groupBy(label).agg(F.count("*").alias("n")).collect()}
-    total = sum(sizes.values())
-    weight = F.lit(1.0)
-    for y, n in sizes.items():
-        weight = F.when(F.col(label) == y, total / (n_classes * n)).otherwise(weight)
-    return weight, total
+def balanced_weights(train: DataFrame, label: str, n_classes: int) -> tuple[DataFrame, int]:
+    """Add ``w``, which is n / (classes * class size); also returns n."""
+    total = train.count()
+    sizes = train.groupBy(F.col(label).alias("__y")).agg(F.count("*").alias("__n"))
+    weight = F.lit(float(total)) / (F.lit(n_classes) * F.col("__n"))
+    weighted = train.join(sizes, F.col(label) == F.col("__y")).withColumn("w", weight)
+    return weighted.drop("__y", "__n"), total
 
 
 def build_estimator(model: str, task: str, n_rows: int, n_classes: int, options: dict | None = None):
@@ -114,7 +110,7 @@ def fold_predictions(
     model: str,
     prep: dict | None = None,
     options: dict | None = None,
-    classes: list[str] | None = None,
+    classes: tuple | None = None,
     held: list[DataFrame] | None = None,
 ) -> DataFrame:
     """Fit on the other folds, predict this one. Nothing is learned from its rows.
@@ -128,13 +124,14 @@ def fold_predictions(
         train, test = cleaner.transform(train), cleaner.transform(test)
     config = {"scaling": "standard" if model in SCALED_MODELS else "none", **(prep or {})}
     state = fit_preparation(train, config, carry, key)
-    if task == "classification":
-        label = literal_codes(col(target).cast("string"), classes).cast("double")
-    else:
-        label = col(target).cast("double")
+    codes, n_classes = classes or (None, 0)
 
     def ready(d):
-        out = apply_preparation(d, state, carry).withColumn("label", label)
+        out = apply_preparation(d, state, carry)
+        if task == "classification":
+            out = with_codes(out, target, codes, "__label").withColumn("label", F.col("__label").cast("double"))
+        else:
+            out = out.withColumn("label", col(target).cast("double"))
         return out.select(key, "fold", "label", "features").where(F.col("label").isNotNull())
 
     train, test = ready(train), ready(test)
@@ -144,10 +141,8 @@ def fold_predictions(
             train, test = train.persist(), test.persist()
             held += [train, test]
         return _knn_predict(train, test, key, task).withColumn("fold", F.lit(fold))
-    n_classes = len(classes or [])
     if task == "classification":
-        weight, n = balanced_weights(train, "label", n_classes)
-        train = train.withColumn("w", weight)
+        train, n = balanced_weights(train, "label", n_classes)
     else:
         n = train.count()
     fitted = build_estimator(model, task, n, n_classes, options).fit(train)
@@ -180,7 +175,7 @@ def cross_validate(
     """
     placed = assign_folds(df, key, target if task == "classification" else None, folds)
     placed = placed.persist()
-    classes = class_list(placed, target) if task == "classification" else None
+    classes = class_codes(placed, target) if task == "classification" else None
     spark = df.sparkSession
     held: list[DataFrame] = [placed]
 
@@ -216,7 +211,7 @@ def _fold_scores(parts: list[DataFrame], task: str, classes, held: list[DataFram
     per_fold = classification_metrics(scored, ["fold"])
     names = ["accuracy", "f1_weighted", "f1_macro"]
     if has_share:
-        per_fold = per_fold.join(one_vs_rest_auc(long_scores(scored, len(classes)), ["fold"]), "fold")
+        per_fold = per_fold.join(one_vs_rest_auc(long_scores(scored, classes[1]), ["fold"]), "fold")
         names.append("roc_auc")
     return over_folds(per_fold, names)
 
