@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidyloom.catalog.common import query, rounded, table
 from tidyloom.operators import metrics, neighbors, sampling, scorecard
+from tidyloom.plans import PlanCleaner
 
 _M = 2147483647
 
@@ -121,6 +123,53 @@ def imputation_mae_chained(spark, d):
     return spark.createDataFrame(rows, "column string, missing_rate double, mae double")
 
 
+@query(
+    "imputation_mae_plan",
+    f"""
+    WITH h AS (SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY {_hash('o_orderkey')}, o_orderkey)
+                      <= floor((SELECT count(*) FROM orders) * CAST(0.1 AS DOUBLE)) AS hit FROM orders),
+    m AS (SELECT quantile_cont(o_totalprice, 0.5) AS med FROM h WHERE NOT hit)
+    SELECT round(avg(abs(med - o_totalprice)), 4) AS mae, count(*) AS n_cells FROM h, m WHERE hit
+    """,
+)
+def imputation_mae_plan(spark, d):
+    """The error of a plan: gaps injected, the table cleaned by it, truth and result met by key."""
+    df = table(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority")
+    gaps = sampling.inject_missing(df, "o_totalprice", "o_orderkey", 0.1)
+    holes = gaps.drop("__injected", "__truth")
+    plan = {
+        "actions": [
+            {"action": "handle_missing", "params": {"strategy": "median"}},
+            {"action": "encode_categorical_per_column", "params": {"default_method": "ordinal"}},
+        ]
+    }
+    cleaned = PlanCleaner(plan, carry=["o_orderkey"]).fit(holes).transform(holes)
+    error = sampling.imputation_error_by_key(df, cleaned, "o_orderkey", "o_totalprice", gaps.where("__injected"))
+    return rounded(error, mae=4)
+
+
+@query(
+    "report_order",
+    """
+    WITH t AS (SELECT o_orderstatus AS dataset, o_orderpriority AS model,
+               ['C1_manual', 'C0_raw', 'C4_expanded', 'C3_context'][CAST(o_orderkey % 4 AS INTEGER) + 1] AS condition,
+               count(*) AS n FROM orders GROUP BY 1, 2, 3)
+    SELECT dataset, model, condition, n, row_number() OVER (ORDER BY dataset, model,
+           CASE condition WHEN 'C0_raw' THEN 0 WHEN 'C1_manual' THEN 1 ELSE 9 END, condition) AS position FROM t
+    """,
+)
+def report_order(spark, d):
+    """Results in the order of a report; the position is read off the ordered rows."""
+    names = F.array(*[F.lit(c) for c in ("C1_manual", "C0_raw", "C4_expanded", "C3_context")])
+    runs = table(spark, d, "orders").groupBy(
+        F.col("o_orderstatus").alias("dataset"), F.col("o_orderpriority").alias("model"),
+        F.element_at(names, (F.col("o_orderkey") % 4 + 1).cast("int")).alias("condition"),
+    ).agg(F.count("*").alias("n"))
+    placed = scorecard.report_order(runs).withColumn("at", F.monotonically_increasing_id())
+    position = F.row_number().over(Window.orderBy("at")).cast("bigint")
+    return placed.withColumn("position", position).drop("at")
+
+
 @query(
     "inject_missing",
     f"""

@@ -78,10 +78,6 @@ def sample_skew(c: Column) -> Column:
     return F.when(n > 2, F.skewness(x) * F.try_divide(F.sqrt(n * (n - 1.0)), n - 2.0))
 
 
-def severity(ratio: Column, warn: float, crit: float) -> Column:
-    return F.when(ratio >= crit, "critical").when(ratio >= warn, "warning").otherwise("info")
-
-
 def relabel(c: Column, mapping: dict) -> Column:
     """Dictionary relabelling; values without an entry keep their text form."""
     text = c.cast("string")

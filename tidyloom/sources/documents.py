@@ -86,9 +86,9 @@ def recover_json(df: DataFrame, column: str, out: str) -> DataFrame:
 
     In order: the text itself, a fenced block, the outermost braces, the same
     with syntax mended, and - for what is left - with brackets closed. A text
-    that is fine already is NULL to all later steps, and only the residue is
-    sent to Python. Every step is a column of its own, used by the next ones,
-    so no expression is repeated.
+    that is fine already is NULL to all later steps; the last one is a Python
+    function, which gets those rows as NULL. Every step is a column of its own,
+    used by the next ones, so no expression is repeated.
     """
     text, good = F.col("__text"), F.col("__good")
     df = df.withColumn("__text", strip(F.col(column)))
