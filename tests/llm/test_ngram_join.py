@@ -93,6 +93,16 @@ def test_groups_copies_and_blocks(spark):
         assert got == want
 
 
+def test_keys_of_several_texts(spark):
+    """Repeated and NULL keys stand for unlike texts, some of them near-copies of others."""
+    rnd = random.Random(11)
+    groups = [variants(rnd, 6) for _ in range(8)]
+    rows = [(rnd.choice([None, None, 4, 9]), t) for g in groups for t in g] + [(k, t) for k, t in zip(range(20, 28), map(min, groups))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = sorted(((r.doc_id, r.class_id, r.n_links) for r in ngram_join(df).collect()), key=str)
+    assert got == brute(rows)
+
+
 def test_query_against_all_pairs(spark, tables):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{tables}/documents.parquet").collect()]
     got = sorted(((r.doc_id, r.class_id, r.n_links) for r in QUERIES["op7_ngram_join"](spark, tables).collect()), key=str)

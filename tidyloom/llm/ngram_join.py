@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidyloom.llm.common import col
@@ -115,7 +115,7 @@ def set_id(grams: np.ndarray) -> int:
 
 
 def signatures(rows: DataFrame, n: int, bands: int, per_band: int, seed: int) -> DataFrame:
-    """``id, sid, size, bands`` for rows of ``id, text``."""
+    """``id, mark, sid, size, bands`` for rows of ``id, text, mark``."""
     draw = np.random.default_rng(seed)
     a = draw.integers(0, 2**64, bands * per_band, np.uint64, endpoint=False) | np.uint64(1)
     b = draw.integers(0, 2**64, bands * per_band, np.uint64, endpoint=False)
@@ -132,23 +132,27 @@ def signatures(rows: DataFrame, n: int, bands: int, per_band: int, seed: int) ->
             flat = pa.array(np.concatenate(hashes) if hashes else np.empty(0, np.int64))
             ends = pa.array(np.arange(0, bands * len(sid) + 1, bands, dtype=np.int32))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sid, pa.int64()), pa.array(size, pa.int64()), pa.ListArray.from_arrays(ends, flat)],
-                ["id", "sid", "size", "bands"],
+                [batch.column(0), batch.column(2), pa.array(sid, pa.int64()), pa.array(size, pa.int64()),
+                 pa.ListArray.from_arrays(ends, flat)],
+                ["id", "mark", "sid", "size", "bands"],
             )
 
-    return rows.mapInArrow(run, "id bigint, sid bigint, size bigint, bands array<bigint>")
+    return rows.mapInArrow(run, "id bigint, mark bigint, sid bigint, size bigint, bands array<bigint>")
 
 
 def gram_sets(rows: DataFrame, n: int) -> DataFrame:
-    """``sid, grams`` (little-endian 64-bit hashes) for rows of ``sid, text``."""
+    """``sid, grams`` (little-endian 64-bit hashes) for rows of ``sid, text`` whose text has this set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = worker_grams(n)
         for batch in batches:
             sids, texts = batch.columns
             for i in range(0, len(texts), 256):
-                found = [grams.of(t.as_py()).tobytes() for t in texts[i : i + 256]]
-                yield pa.RecordBatch.from_arrays([sids.slice(i, 256), pa.array(found, pa.binary())], ["sid", "grams"])
+                found = [(s, grams.of(t.as_py())) for s, t in zip(sids[i : i + 256].to_pylist(), texts[i : i + 256])]
+                found = [(s, g.tobytes()) for s, g in found if set_id(g) == s]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([s for s, _ in found], pa.int64()), pa.array([g for _, g in found], pa.binary())], ["sid", "grams"]
+                )
 
     return rows.mapInArrow(run, "sid bigint, grams binary")
 
@@ -279,25 +283,34 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("label"))
 
 
+def text_mark(text: Column) -> Column:
+    """Hash by which rows of one key are told apart."""
+    return F.xxhash64(text.cast("string"))
+
+
 # --- the join ----------------------------------------------------------------------------
 
 
 def ngram_join(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8,
-    recall: float = 0.999, block: int = BLOCK, seed: int = 17,
+    recall: float = 0.999, block: int = BLOCK, seed: int = 17, marks: bool = False,
 ) -> DataFrame:
     """``id_col, class_id, n_links`` for each row.
 
     ``class_id`` is the smallest key of the row's component, ``n_links`` the number
-    of other rows at least ``threshold`` similar to it.
+    of other rows at least ``threshold`` similar to it. With ``marks`` come the hash
+    of the row's text (``text_mark``) and that of the component's chosen row, whose
+    key is ``class_id`` (``class_mark``): keys may repeat or be NULL.
     """
     bands, per_band = choose_bands(threshold, recall)
     rows = df.select(
-        F.coalesce(col(id_col).cast("bigint"), F.lit(NO_KEY)).alias("id"), col(text_col).cast("string").alias("text")
+        F.coalesce(col(id_col).cast("bigint"), F.lit(NO_KEY)).alias("id"),
+        col(text_col).cast("string").alias("text"),
+        text_mark(col(text_col)).alias("mark"),
     )
     signed = cut_lineage(signatures(rows, n, bands, per_band, seed))
     members = signed.groupBy("sid").agg(
-        F.min("id").alias("first"), F.count("*").alias("copies"), F.max("bands").alias("bands")
+        F.min(F.struct("id", "mark")).alias("first"), F.count("*").alias("copies"), F.max("bands").alias("bands")
     )
     members = cut_lineage(members)
     buckets = members.where(F.size("bands") > 0).select(
@@ -325,9 +338,10 @@ def ngram_join(
 
     keys = "key bigint, band int, sid bigint, block bigint, lo bigint, hi bigint"
     chosen = cut_lineage(dealt.groupBy("key", "lo", "hi").applyInArrow(choose, keys))
-    # The sets of those members only, made from one document of each.
-    wanted = chosen.select("sid").distinct().join(members.select("sid", "first"), "sid")
-    source = rows.join(wanted.withColumnRenamed("first", "id"), "id").select("sid", "text")
+    # The sets of those members only, made from one document of each: found by key and
+    # text, as a key may stand for several texts.
+    wanted = chosen.select("sid").distinct().join(members.select("sid", "first.id", "first.mark"), "sid")
+    source = rows.join(wanted, ["id", "mark"]).select("sid", "text")
     sets = gram_sets(source, n).dropDuplicates(["sid"])
     parts = chosen.join(sets, "sid").join(members.select("sid", "copies", "bands"), "sid")
 
@@ -341,11 +355,12 @@ def ngram_join(
     known = members.select("sid", "first", "copies").join(links, "sid", "left").join(
         labels.withColumnRenamed("node", "sid"), "sid", "left"
     ).withColumn("label", F.coalesce("label", "sid"))
-    classes = known.groupBy("label").agg(F.min("first").alias("class_id"))
+    classes = known.groupBy("label").agg(F.min("first").alias("chosen"))
     told = known.join(classes, "label").select(
-        "sid", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
+        "sid", "chosen", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
     )
     no_key = F.lit(NO_KEY)
-    return signed.select("id", "sid").join(told, "sid").select(
-        F.nullif("id", no_key).alias(id_col), F.nullif("class_id", no_key).alias("class_id"), "n_links"
+    own = [F.col("mark").alias("text_mark"), F.col("chosen.mark").alias("class_mark")] if marks else []
+    return signed.select("id", "mark", "sid").join(told, "sid").select(
+        F.nullif("id", no_key).alias(id_col), F.nullif("chosen.id", no_key).alias("class_id"), "n_links", *own
     )
