@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tidyloom.catalog.common import table
 from tidyloom.llm.mixing import mixed_documents
-from tidyloom.llm.ngram_join import ngram_join
+from tidyloom.llm.ngram_join import ngram_join, text_mark
 from tidyloom.llm.packing import pack_documents
 from tidyloom.llm.toxicity import fit_toxicity, score_toxicity, training_labels
 from tidyloom.session import ensure_checkpoint_dir
@@ -28,12 +28,17 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of copies and near-copies the document with the smallest key stays."""
-    classes = ngram_join(docs)
-    copies = classes.where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id")
-    kept = docs.join(copies.distinct(), "doc_id", "left_anti").select(docs.columns)
-    once = kept.withColumn("__text", F.xxhash64("text")).dropDuplicates(["doc_id", "__text"])
-    return once.select(docs.columns)
+    """Of each group of copies and near-copies one row stays: of the smallest key (NULL first).
+
+    Rows are told apart by key and text, as keys may repeat or be NULL.
+    """
+    classes = ngram_join(docs, marks=True)
+    chosen = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("text_mark") == F.col("class_mark"))
+    copies = classes.where(~chosen).select(F.col("doc_id").alias("__id"), F.col("text_mark").alias("__mark"))
+    marked = docs.withColumn("__text", text_mark(F.col("text")))
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__mark"))
+    kept = marked.join(copies.distinct(), same, "left_anti")
+    return kept.dropDuplicates(["doc_id", "__text"]).select(docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

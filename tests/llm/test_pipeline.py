@@ -76,3 +76,15 @@ def test_odd_documents(spark):
     assert kept.columns == docs.columns and kept.count() == 2
     assert corpus_pipeline.mixing(spark, docs, "").columns == docs.columns
     assert corpus_pipeline.near_copies(spark, docs.where("false"), "").count() == 0
+
+
+def test_keys_of_several_texts(spark):
+    base = [f"w{i}" for i in range(60)]
+    near = [" ".join([*base[:i], "x", *base[i + 1 :]]) for i in (0, 59)]
+    other = " ".join(f"q{i}" for i in range(60))
+    data = [(1, " ".join(base)), (5, near[0]), (5, other), (5, other), (None, "a b c d e f g"), (None, "A b c d e f g!"), (None, "A b c d e f g!"), (None, "lone")]
+    for rows in (data, [*data, (None, near[1])]):
+        docs = spark.createDataFrame([(k, t, "s") for k, t in rows], "doc_id long, text string, source string").repartition(3)
+        kept = sorted(((r.doc_id, (r.text or "").lower().strip("!")) for r in corpus_pipeline.near_copies(spark, docs, "").collect()), key=str)
+        first = (1, " ".join(base)) if rows is data else (None, near[1])
+        assert kept == sorted([first, (5, other), (None, "a b c d e f g"), (None, "lone")], key=str)
