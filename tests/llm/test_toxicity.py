@@ -62,6 +62,26 @@ def test_known_words(cost):
     assert Restorer(cost, ["scim"])["sc1m"] == "scim" and Restorer(cost * 0, ["scim"])["sc*m"] != "scim"
 
 
+def test_tokens_of_any_length(cost):
+    r = Restorer(cost, ["idiot", "moron", "stupid"])
+    assert r["st" + "u" * 41 + "pid"] == r["st" + "u" * 5000 + "pid"] == "stupid"
+    assert "stupid" in r.words(".".join("everyplaceisastupidholeandeverymoronseems"))
+    assert "moron" in r.words(" ".join("every" * 20 + "moron"))
+    assert r["iidiot"] == "idiot" and r["stuupid"] == "stupid" and r["loser-moron"] == "loser moron"
+    assert len(viterbi("m0r0n-" * 3000, cost, split=True)[1].split()) == 3000
+
+
+def test_words_set_apart_by_blanks(cost):
+    r = Restorer(cost, ["idiot", "moron", "scum", "stupid"])
+    for text, plain in {
+        "i d i o t m o r o n": {"idiot", "moron"}, "the idi ot said": {"idiot"}, "the st u pid place": {"stupid"},
+        "s c u m": {"scum"}, "every i d 1 o t.": {"idiot"}, "1d1 ot": {"idiot"}, "t h e i d i o t": {"the", "idiot"},
+    }.items():
+        assert plain <= r.words(text), text
+    assert Restorer(cost, ["thisplace"]).words("this place") == {"this", "place"}
+    assert not {"a", "as"} & Restorer(cost, ["ass"]).words("c l a s s") - {"a"}
+
+
 def test_marker_finds_the_features_of_the_model(spark):
     docs, labels = corpus(spark)
     model = fit_toxicity(docs, labels)

@@ -1,10 +1,13 @@
 """Toxicity of texts whose words may be obfuscated.
 
 A word is taken as a noisy form of a plain one: letters replaced by digits and
-symbols, letters repeated, letters set apart by blanks or marks. Suspicious
-tokens become a lattice of plain letters with a cost for each kind of noise, and
-a Viterbi search finds the reading that is likeliest together with a character
-trigram model, counted over all documents. The restored text is then scored.
+symbols, letters repeated or doubled, letters or pieces set apart by blanks or
+marks. Suspicious tokens of any length, runs of single letters, and tokens that
+make up a telling word one after the other become a lattice of plain letters with
+a cost for each kind of noise, in which a mark or blank is dropped or a border of
+words. A Viterbi search finds the reading that is likeliest together with a
+character trigram model, counted over all documents. The restored text is then
+scored.
 
 The score is a logistic regression over telling words and stems that several
 words of a text share. They are chosen by their likelihood ratio, which is also where
@@ -19,6 +22,7 @@ table gives no rows; other columns pass through.
 from __future__ import annotations
 
 import math
+import os
 import re
 import uuid
 from collections import Counter
@@ -43,9 +47,12 @@ LEET = {
     "*": "aeiou", "#": "aeiou",
 }
 REPLACE, DROP_MARK, DROP_LEET, DROP_REPEAT, DROP_DOUBLE = 1.0, 0.7, 6.0, 0.5, 8.0
+#: Cost of dropping a blank beside a piece of several characters.
+JOIN = 6.0
 #: Cost of taking a telling word as a whole instead of letter by letter.
 WHOLE_WORD = 8.0
-LONGEST = 40
+#: Characters after which a search moves what all its states share to its result.
+SETTLE = 64
 BEAM = 64
 #: Tokens remembered in a Python worker (other operators share its memory).
 CACHE_TOKENS = 100_000
@@ -55,7 +62,8 @@ EVIDENCE, LEAST_TEXTS = 18.0, 3
 #: Lengths of the stems that count when several distinct words share them.
 STEMS = (4, 5, 6, 7)
 EDGE = re.compile(r"^([^\w\s])\1+|([^\w\s])\2+$|[.,;:?!\"')\]}>]+$|^[\"'(\[{<]+(?=\w)")
-THRICE = re.compile(r"(.)\1\1")
+TWICE = re.compile(r"(.)\1")
+MORE = re.compile(r"(.)\1{3,}")
 
 
 # --- language model ----------------------------------------------------------------------
@@ -137,10 +145,38 @@ def readings(token: str) -> list[list[tuple[str, float]]]:
     return out
 
 
-def viterbi(token: str, cost: np.ndarray) -> tuple[float, str]:
-    """The cheapest reading of a token and its cost; states are the last two plain letters."""
+def borders(token: str) -> list[float | None]:
+    """Cost of reading each character as a border of words (None for letters)."""
+    return [None if c in CODE else 0.0 if c == " " else DROP_LEET if c in LEET else DROP_MARK for c in token]
+
+
+def joined(token: str) -> list[list[tuple[str, float]]]:
+    """The lattice of a token or of several with blanks between them."""
+    out = readings(token)
+    for i, c in enumerate(token):
+        if c == " " and not (token[i - 2 : i - 1] in ("", " ") and token[i + 2 : i + 3] in ("", " ")):
+            out[i] = [("", JOIN)]
+    return out
+
+
+def viterbi(
+    token: str, cost: np.ndarray, known: dict[str, list[str]] | None = None, split: bool = False
+) -> tuple[float, str]:
+    """The cheapest reading of a token and its cost; states are the last two plain letters.
+
+    With ``split`` marks and blanks may be borders of words, blanks in the result.
+    Words of ``known`` (lists by first letter) may stand between borders as a whole.
+    """
     states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-    for options in readings(token):
+    # Words being taken as a whole: how many of their letters are read.
+    whole: dict[tuple[str, int], tuple[float, str]] = {}
+    ends, settled = borders(token) if split else [None] * len(token), []
+    fresh = True  # whether a border has just been read
+    for i, options in enumerate(joined(token) if split else readings(token)):
+        if known and fresh and (0, 0) in states:
+            total, text = states[0, 0]
+            for word in {w for letter, _ in options for w in known.get(letter, ())}:
+                whole[word, 0] = total + WHOLE_WORD, text
         new: dict[tuple[int, int], tuple[float, str]] = {}
         for (a, b), (total, text) in states.items():
             for letter, noise in options:
@@ -151,10 +187,34 @@ def viterbi(token: str, cost: np.ndarray) -> tuple[float, str]:
                     key, value, plain = (a, b), total + noise, text
                 if key not in new or (value, plain) < new[key]:
                     new[key] = (value, plain)
+            if ends[i] is not None:
+                done = (total + ends[i] + cost[a, b, 0], text + " ") if b else (total + ends[i], text)
+                if (0, 0) not in new or done < new[0, 0]:
+                    new[0, 0] = done
+        taken: dict[tuple[str, int], tuple[float, str]] = {}
+        for (word, n), (total, text) in whole.items():
+            for letter, noise in options:
+                if not letter or word[n : n + 1] == letter:
+                    key, value = (word, n + len(letter)), (total + noise, text)
+                    if key not in taken or value < taken[key]:
+                        taken[key] = value
+            if n == len(word) and ends[i] is not None:
+                done = (total + ends[i], text + word + " ")
+                if (0, 0) not in new or done < new[0, 0]:
+                    new[0, 0] = done
         if len(new) > BEAM:
             new = dict(sorted(new.items(), key=lambda s: s[1])[:BEAM])
-        states = new
-    return min((total + cost[a, b, 0], text) for (a, b), (total, text) in states.items())
+        states, whole, fresh = new, taken, ends[i] is not None
+        if i % SETTLE == SETTLE - 1:
+            texts = [t for _, t in (*states.values(), *whole.values())]
+            n = len(os.path.commonprefix(texts))
+            settled.append(texts[0][:n])
+            states = {k: (v, t[n:]) for k, (v, t) in states.items()}
+            whole = {k: (v, t[n:]) for k, (v, t) in whole.items()}
+    last = [(total + (cost[a, b, 0] if b or not split else 0.0), text) for (a, b), (total, text) in states.items()]
+    last += [(total, text + word) for (word, n), (total, text) in whole.items() if n == len(word)]
+    total, text = min(last)
+    return total, "".join(settled) + text
 
 
 def noise_of(token: str, word: str) -> float:
@@ -173,26 +233,50 @@ def noise_of(token: str, word: str) -> float:
     return best[-1]
 
 
+class Starts(dict):
+    """Beginnings of known words that a token, put behind another beginning, may spell."""
+
+    def __init__(self, known: list[str]):
+        super().__init__()
+        self.begun = {w[:i] for w in known for i in range(len(w) + 1)}
+
+    def __missing__(self, key: tuple[str, str]) -> frozenset[str]:
+        if len(self) >= CACHE_TOKENS:
+            self.clear()
+        before, token = key
+        if token.isalpha() and not TWICE.search(token) and CODE.keys() >= set(token):
+            whole = before + token  # its only reading
+            self[key] = out = frozenset([whole]) & self.begun
+            return out
+        found = {before}
+        for options in readings(MORE.sub(r"\1\1\1", token)):
+            found = {f + letter for f in found for letter, _ in options} & self.begun
+            if not found:
+                break
+        self[key] = out = frozenset(found - {before})
+        return out
+
+
 class Restorer(dict):
     """Plain form of lower-case tokens, remembered within a Python worker.
 
-    ``known`` words may also be taken as a whole, at a fixed cost.
+    A form of several words has blanks between them. ``known`` words may also be
+    taken as a whole, at a fixed cost.
     """
 
     def __init__(self, cost: np.ndarray, known: list[str] = ()):
         super().__init__()
         self.cost = cost
-        self.known = [(w, set(w)) for w in sorted(known)]
+        self.known: dict[str, list[str]] = {}
+        for w in sorted(known):
+            self.known.setdefault(w[:1], []).append(w)
+        self.complete = frozenset(known)
+        self.starts = Starts(list(known))
+        self.runs: dict[str, str] = {}
 
     def decode(self, core: str) -> str:
-        total, plain = viterbi(core, self.cost)
-        letters = {c for c in core if c in CODE}
-        for word, own in self.known:
-            if len(word) <= len(core) and letters <= own:
-                whole = WHOLE_WORD + noise_of(core, word)
-                if whole < total:
-                    total, plain = whole, word
-        return plain
+        core = MORE.sub(r"\1\1\1", core)
+        return viterbi(core, self.cost, self.known, split=True)[1].strip()
 
     def __missing__(self, token: str) -> str:
         if len(self) >= CACHE_TOKENS:
@@ -204,30 +288,63 @@ class Restorer(dict):
                 break
             core = cut
         plain = core
-        if not core.isalpha() or THRICE.search(core):
-            letters = sum(c in CODE for c in core)
-            if letters and len(core) <= LONGEST:
-                plain = self.decode(core)
-            elif len(core) > LONGEST:
-                plain = THRICE.sub(r"\1", core)
+        if (not core.isalpha() or TWICE.search(core)) and any(c in CODE for c in core):
+            plain = self.decode(core)
         self[token] = plain
         return plain
 
+    def run(self, tokens: list[str]) -> str:
+        """Plain form of tokens that may belong together."""
+        text = " ".join(tokens)
+        if text not in self.runs:
+            if len(self.runs) >= CACHE_TOKENS // 10:
+                self.runs.clear()
+            self.runs[text] = self.decode(text)
+        return self.runs[text]
+
+    def pieces(self, tokens: list[str], begin: set[str]) -> list[tuple[int, int]]:
+        """Ranges of tokens that spell a known word one after the other."""
+        out, starts = [], self.starts
+        for i, t in enumerate(tokens):
+            if t not in begin:
+                continue
+            found, j = starts["", t], i + 1
+            while found and j < len(tokens):
+                found = frozenset().union(*(starts[f, tokens[j]] for f in found))
+                j += 1
+                if found & self.complete:
+                    out.append((i, j))
+        return out
+
     def words(self, text: str | None) -> set[str]:
-        """Distinct restored words, with letters set apart by blanks put together."""
+        """Distinct restored words, with those set apart by blanks put together."""
         tokens = (text or "").lower().split()
-        plain = set(map(self.__getitem__, set(tokens)))
-        if any(len(t) == 1 for t in tokens):
-            run: list[str] = []
-            for t in [*tokens, ".."]:
-                if len(t) == 1:
-                    run.append(t)
-                    continue
-                if len(run) >= 4 and len(set(run)) > 2:
-                    whole = "".join(run)
-                    for s in (whole, whole[1:], whole[:-1]):
-                        plain.add(self[s] if len(s) <= LONGEST else s)
-                run = []
+        distinct = set(tokens)
+        plain: set[str] = set()
+        for t in distinct:
+            form = self[t]
+            plain.update(form.split()) if " " in form else plain.add(form)
+        single = {t for t in distinct if len(t) == 1 or (len(t) == 2 and not t.isalnum())}
+        ranges = []
+        if single:
+            # The run of single characters in which a token stands is read as one.
+            edges, i = {}, 0
+            while i < len(tokens):
+                j = i
+                while j < len(tokens) and tokens[j] in single:
+                    j += 1
+                if j - i >= 2:
+                    edges |= {k: (i, j) for k in range(i, j)}
+                if j - i >= 3 and sum(t[0] in CODE for t in tokens[i:j]) >= 2:
+                    ranges.append((i, j))
+                i = max(j, i + 1)
+        else:
+            edges = {}
+        begin = {t for t in distinct if self.starts["", t]} if self.complete else set()
+        for i, j in self.pieces(tokens, begin) if begin else ():
+            ranges.append((edges.get(i, (i, j))[0], edges.get(j - 1, (i, j))[1]))
+        for i, j in set(ranges):
+            plain.update(self.run(tokens[i:j]).split())
         plain.discard("")
         return plain
 
