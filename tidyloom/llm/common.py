@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidyloom.session import ensure_checkpoint_dir
+
 LEHMER = 2147483647
 
 
@@ -33,3 +39,28 @@ def values(spark: SparkSession, names: list[str], rows: list[tuple]) -> DataFram
     """A small local relation of integers (fitted parameters, one row per node)."""
     body = ", ".join("(" + ", ".join(f"{int(v)}L" for v in r) + ")" for r in rows)
     return spark.sql(f"SELECT * FROM VALUES {body} AS t({', '.join(names)})")
+
+
+def stored(df: DataFrame, **options: str) -> DataFrame:
+    """``df`` written as a table in the shared checkpoint folder and read again.
+
+    Later reads need neither the executors that made it nor its inputs.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    df.write.options(**options).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def pack(values: np.ndarray) -> bytes:
+    """An array of numbers as compressed bytes (all first bytes, then all second ones, ...)."""
+    values = np.ascontiguousarray(values)
+    raw = values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def unpack(data: bytes, kind: type) -> np.ndarray:
+    """The array that ``pack`` was given."""
+    size = int.from_bytes(data[:8], "little")
+    raw = np.frombuffer(pa.decompress(data[8:], size, "zstd"), np.uint8) if size else np.zeros(0, np.uint8)
+    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()

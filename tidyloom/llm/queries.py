@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidyloom.catalog.common import table
-from tidyloom.llm import chat, licences, mixing
+from tidyloom.llm import chat, filter_audit, licences, mixing
 from tidyloom.llm.fingerprints import edited_fingerprints
 from tidyloom.llm.kd_shards import kd_shards
 from tidyloom.llm.neighbours import nearest_inner
@@ -123,3 +123,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_archives(spark, manifest, root, payloads=False).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
     )
+
+
+@query("op11_filter_audit", filter_audit.oracle())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
