@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidyloom.catalog.common import table
 from tidyloom.llm import chat, filter_audit, licences, mixing
+from tidyloom.llm.context_tree import ctw_scores
 from tidyloom.llm.fingerprints import edited_fingerprints
 from tidyloom.llm.kd_shards import kd_shards
 from tidyloom.llm.neighbours import nearest_inner
@@ -128,3 +129,9 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op11_filter_audit", filter_audit.oracle())
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op13_context_tree")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
+    return ctw_scores(table(spark, sf_dir, "documents"), held)
