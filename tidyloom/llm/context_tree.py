@@ -37,14 +37,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidyloom.llm.common import col, pack, stored, unpack
-from tidyloom.llm.words import blocks, coded, listed, one_array, one_row, raw, shard_words, tokens
+from tidyloom.llm.words import WordList, blocks, listed, one_array, one_row, pieces, raw, shard_words, tokens
 
 DEPTH = 5
 #: Depth from which on subtrees lie in one bucket each.
 ROOT = 3
 END = b"\n"
 #: Positions that are sorted at a time, and distinct grams aimed at in a bucket.
-SLICE, BUCKET_GRAMS = 4 << 20, 400_000
+SLICE, BUCKET_GRAMS = 1 << 20, 400_000
 #: One in so many grams is counted apart to tell how many distinct ones there are.
 SAMPLED = 64
 HALF = math.log(0.5)
@@ -239,22 +239,26 @@ def shard_grams(rows: DataFrame, depth: int) -> DataFrame:
         for shard, part in blocks(batches, 2):
             held = one_array(part.column("held"), None)
             learned = ~held.to_numpy(zero_copy_only=False).astype(bool)
-            texts, n, words = plain(one_array(part.column("text")))
-            code, distinct = coded(words)
-            times = np.bincount(code, np.repeat(learned, n), len(distinct)).astype(np.int64)
+            words, codes, text = WordList(), [], []
             parts: list[tuple[np.ndarray, np.ndarray]] = []
-            for at, _, owner, grams in grams_of(texts, depth):
-                parts.append(counted(grams, learned[at + owner]))
-                while len(parts) > 1 and len(parts[-1][0]) * 2 > len(parts[-2][0]):
-                    parts[-2:] = [merged(parts[-2:])]
+            for first, piece in pieces(part, "text"):
+                texts, n, found = plain(one_array(piece.column("text")))
+                codes.append(words.add(found)[np.repeat(learned[first : first + len(piece)], n)])
+                text.append(END.join(texts.cast(pa.binary()).to_pylist()))
+                for at, _, owner, grams in grams_of(texts, depth):
+                    parts.append(counted(grams, learned[first + at + owner]))
+                    while len(parts) > 1 and len(parts[-1][0]) * 2 > len(parts[-2][0]):
+                        parts[-2:] = [merged(parts[-2:])]
+            place, distinct = words.joined()
+            times = sum(np.bincount(p[c], minlength=len(distinct)) for p, c in zip(place, codes))
+            text = END.join(text)
             keys, count = merged(parts)
             sample = keys[spread(keys) % np.uint64(SAMPLED) == 0]
             docs = pa.StructArray.from_arrays([one_array(part.column("id"), None), held], ["id", "held"])
-            text = END.join(texts.cast(pa.binary()).to_pylist())
             values = [
                 pa.array([shard], pa.int64()), listed(docs), pa.array([int(learned.sum())], pa.int64()),
                 pa.array([pa.compress(text, "zstd", asbytes=True)], pa.binary()), pa.array([len(text)], pa.int64()),
-                listed(distinct), listed(pa.array(times)), pa.array([pack_sorted(keys)], pa.binary()),
+                listed(distinct), listed(pa.array(times, pa.int64())), pa.array([pack_sorted(keys)], pa.binary()),
                 pa.array([pack(count)], pa.binary()), listed(pa.array(sample.view(np.int64))),
             ]
             yield one_row(list(SHARDS), values)
@@ -456,22 +460,28 @@ def ctw_scores(
             different, each = np.unique(grams, return_inverse=True)
             scores[begin:end] = np.bincount(owner, value[np.searchsorted(keys, different)][each], end - begin)
             length[begin:end] = np.bincount(owner, minlength=end - begin)
-        all_tokens, n_words = tokens(texts)
-        code, distinct = coded(all_tokens)
-        count = np.zeros(len(distinct), np.int64)
+        count = np.zeros(row["distinct"], np.int64)
         count[at[is_word]] = found.column("c").filter(pa.array(is_word)).to_numpy()
-        owner = np.repeat(np.arange(len(docs)), n_words)
         one_end = math.log10((learned + 1) / (n + v + 1))
-        base = np.bincount(owner, np.log10((count[code] + 1) / (n + v + 1)), len(docs)) + one_end
-        n_known = np.bincount(owner[count[code] > 0], minlength=len(docs)) + (learned > 0)
+        words, parts, base, n_known, n_words = WordList(), [], [], [], []
+        for _, piece in pieces(pa.table({"text": texts}), "text"):
+            all_tokens, each = tokens(one_array(piece.column("text")))
+            parts.append(words.add(all_tokens))
+            n_words.append(each)
+        for place, code, each in zip(words.joined()[0], parts, n_words):
+            seen = count[place][code]
+            owner = np.repeat(np.arange(len(each)), each)
+            base.append(np.bincount(owner, np.log10((seen + 1) / (n + v + 1)), len(each)) + one_end)
+            n_known.append(np.bincount(owner[seen > 0], minlength=len(each)) + (learned > 0))
+        n_words = np.concatenate(n_words)
         return pa.table({
             "doc_id": pa.array([d["id"] for d in docs], pa.int64()), "held_out": pa.array([d["held"] for d in docs], pa.bool_()),
-            "n_tokens": pa.array(n_words + 1, pa.int64()), "n_known": pa.array(n_known, pa.int64()),
-            "train_tokens": pa.array([n] * len(docs), pa.int64()), "base_score": base, "score": scores,
+            "n_tokens": pa.array(n_words + 1, pa.int64()), "n_known": pa.array(np.concatenate(n_known), pa.int64()),
+            "train_tokens": pa.array([n] * len(docs), pa.int64()), "base_score": np.concatenate(base), "score": scores,
             "code_length": -scores / math.log10(2) / length,
         })
 
-    texts = shards.select("shard", "docs", "text", "size", "grams")
+    texts = shards.select("shard", "docs", "text", "size", "grams", F.size("words").alias("distinct"))
     return texts.groupBy("shard").cogroup(found.groupBy("of")).applyInArrow(
         score,
         "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, "

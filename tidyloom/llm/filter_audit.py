@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidyloom.llm.common import col, pack, stored, unpack
-from tidyloom.llm.words import blocks, coded, listed, numbered, one_array, one_row, raw, shard_words, tokens
+from tidyloom.llm.words import WordList, blocks, listed, numbered, one_array, one_row, pieces, raw, shard_words, tokens
 
 FILTERS = "ABCDE"
 A, B, C, D, E = (1 << i for i in range(5))
@@ -54,16 +54,16 @@ def text_flags(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.where(100 * capitals > 10 * points, C, 0) + np.where(total(marked[data]) > 0, D, 0)
 
 
-def count_cells(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
-    """Rows of the matrix with the shard's own word numbers, and its words."""
-    words, n = tokens(texts)
-    code, distinct = coded(words)
-    width = max(1, len(distinct))
-    cells = np.sort(np.repeat(np.arange(len(n)), n) * width + code)
+def count_cells(texts: pa.Array, words: WordList) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Nonzero cells of each text, their columns (by the piece's own words) and how often."""
+    found, n = tokens(texts)
+    code = words.add(found)
+    width = int(code.max(initial=0)) + 1
+    cells = np.sort(np.repeat(np.arange(len(n)) * width, n) + code)
     new = np.flatnonzero(np.diff(cells, prepend=-1))
-    row, column = cells[new] // width, cells[new] % width
-    indptr = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(n)))])
-    return indptr, column, np.diff(new, append=len(cells)), distinct
+    row, column = np.divmod(cells[new], width)
+    times = np.diff(new, append=len(cells))
+    return np.bincount(row, minlength=len(n)), column.astype(np.int32), times.astype(np.int32)
 
 
 def shard_cells(df: DataFrame, id_col: str, text_col: str, part_col: str) -> DataFrame:
@@ -71,15 +71,22 @@ def shard_cells(df: DataFrame, id_col: str, text_col: str, part_col: str) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard, rows in blocks(batches, 2):
-            texts = one_array(rows.column("text"))
-            indptr, column, n, distinct = count_cells(texts)
-            flags = text_flags(*raw(texts))
-            digests = [hashlib.sha256(t).digest() for t in texts.cast(pa.binary()).to_pylist()]
+            words, parts, flags, digests = WordList(), [], [], []
+            for _, piece in pieces(rows, "text"):
+                texts = one_array(piece.column("text"))
+                parts.append(count_cells(texts, words))
+                flags.append(text_flags(*raw(texts)))
+                digests += [hashlib.sha256(t).digest() for t in texts.cast(pa.binary()).to_pylist()]
+            place, distinct = words.joined()
+            indptr = np.concatenate([[0], np.cumsum(np.concatenate([n for n, _, _ in parts]))])
+            column = np.concatenate([p[c] for p, (_, c, _) in zip(place, parts)])
+            times = np.concatenate([t for _, _, t in parts])
             docs = pa.StructArray.from_arrays(
-                [one_array(rows.column("id"), None), one_array(rows.column("part")), pa.array(digests, pa.binary()), pa.array(flags, pa.int32())],
+                [one_array(rows.column("id"), None), one_array(rows.column("part")), pa.array(digests, pa.binary()),
+                 pa.array(np.concatenate(flags), pa.int32())],
                 ["id", "part", "digest", "flags"],
             )
-            cells = [pack(x.astype(np.int32)) for x in (indptr, column, n)]
+            cells = [pack(x.astype(np.int32)) for x in (indptr, column, times)]
             values = [pa.array([shard], pa.int64()), listed(docs), *(pa.array([x], pa.binary()) for x in cells), listed(distinct)]
             yield one_row(["shard", "docs", "indptr", "indices", "data", "words"], values)
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidyloom.catalog.common import table
-from tidyloom.llm import chat, filter_audit, licences, mixing
+from tidyloom.llm import chat, conversation_repair, filter_audit, licences, mixing
 from tidyloom.llm.context_tree import ctw_scores
 from tidyloom.llm.fingerprints import edited_fingerprints
 from tidyloom.llm.kd_shards import kd_shards
@@ -135,3 +135,9 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
     return ctw_scores(table(spark, sf_dir, "documents"), held)
+
+
+@query("op12_conversation_repair")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = conversation_repair.damaged(table(spark, sf_dir, "conversations"))
+    return conversation_repair.repair_conversations(rows).drop("roles")

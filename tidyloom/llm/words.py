@@ -21,6 +21,8 @@ from tidyloom.llm.common import stored
 
 #: Text of a shard, in bytes: more is begun anew (a longer text is a shard by itself).
 SHARD_BYTES = 32 << 20
+#: Text that is split into words at a time.
+PIECE_BYTES = 2 << 20
 
 
 def blocks(batches: Iterator[pa.RecordBatch], text: int, limit: int = SHARD_BYTES) -> Iterator[tuple[int, pa.Table]]:
@@ -69,12 +71,40 @@ def tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return flat.filter(full), np.bincount(parent.filter(full).to_numpy(), minlength=len(texts))
 
 
-def coded(words: pa.Array) -> tuple[np.ndarray, pa.Array]:
-    """The place of each token in the list of distinct words, and that list."""
-    if not len(words):
-        return np.zeros(0, np.int64), pa.array([], pa.string())
-    found = words.dictionary_encode()
-    return found.indices.to_numpy().astype(np.int64), found.dictionary
+def pieces(rows: pa.Table, text: str) -> Iterator[tuple[int, pa.Table]]:
+    """The rows in slices of about ``PIECE_BYTES`` of text, and where each begins."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(rows.column(text)), 0).to_numpy())
+    at = 0
+    while at < len(rows):
+        done = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, done + PIECE_BYTES, "right")))
+        yield at, rows.slice(at, to - at)
+        at = to
+
+
+class WordList:
+    """The distinct words of a shard, gathered piece by piece."""
+
+    def __init__(self):
+        self.parts: list[pa.Array] = []
+
+    def add(self, words: pa.Array) -> np.ndarray:
+        """The place of each token among the distinct ones of this piece."""
+        if not len(words):
+            self.parts.append(pa.array([], pa.string()))
+            return np.zeros(0, np.int32)
+        found = words.dictionary_encode()
+        self.parts.append(found.dictionary)
+        return found.indices.to_numpy()
+
+    def joined(self) -> tuple[list[np.ndarray], pa.Array]:
+        """For each piece the places of its words in the whole list, and the list."""
+        every = pa.concat_arrays(self.parts) if self.parts else pa.array([], pa.string())
+        if not len(every):
+            return [np.zeros(0, np.int32) for _ in self.parts], every
+        found = every.dictionary_encode()
+        ends = np.cumsum([len(p) for p in self.parts])
+        return np.split(found.indices.to_numpy(), ends[:-1]), found.dictionary
 
 
 def one_row(names: list[str], values: list[pa.Array]) -> pa.RecordBatch:
