@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidyloom.llm.queries import QUERIES
 from tidyloom.llm.toxicity import (
-    CODE, Marker, Restorer, costs, features, noise_of, count_trigrams, fit_toxicity, logistic, readings, score_toxicity, viterbi,
+    CODE, Restorer, Scorer, costs, features, noise_of, count_trigrams, fit_toxicity, log_odds, logistic, readings, score_toxicity, viterbi,
 )
 
 PLAIN = "the idiot said this place is a total scum hole and every moron here seems worthless stupid trash loser clown".split()
@@ -89,7 +89,7 @@ def test_marker_finds_the_features_of_the_model(spark):
     model.stems = {"seem", "seems"}
     for words in ({"seems", "seemly", "idiot"}, {"seems1", "seems2", "seems3"}, {"x"}, set()):
         z = model.intercept + sum(model.weights.get(f, 0.0) for f in features(words))
-        assert Marker(model).log_odds(words) == pytest.approx(z)
+        assert log_odds(model, words) == pytest.approx(z)
 
 
 def test_logistic_is_at_its_minimum():
@@ -157,3 +157,44 @@ def test_equal_texts_count_once(spark):
     many = docs.unionByName(copies)
     more = labels.union(spark.range(1000, 1201).select("id", F.lit(1)))
     assert set(fit_toxicity(many, more).weights) <= {"idiot", "moron", "stupid"}
+
+
+def test_batches_score_like_single_texts(spark):
+    """Whole texts of the table and made-up ones: the same as restoring all words of each text."""
+    docs, labels = corpus(spark)
+    model = fit_toxicity(docs, labels)
+    model.weights |= {"seem x2": 1.5, "ston x3": 2.5, "scum": 2.0, "trash": 1.0, "loser": 1.5}
+    model.stems = {"seem", "ston"}
+    rnd = random.Random(2)
+    noise = {"i": "1!|", "o": "0", "s": "5$", "e": "3", "a": "4@", "t": "7+", "u": "*#"}
+
+    def mask(word):
+        kind = rnd.randrange(8)
+        if kind == 0:
+            return " ".join(word)
+        if kind == 1:
+            return ".".join(word)
+        if kind == 2:
+            return "".join(c * rnd.choice((1, 1, 2, 3, 6)) for c in word)
+        if kind == 3:
+            k = rnd.randrange(1, max(2, len(word)))
+            return word[:k] + " " + word[k:]
+        if kind == 4:
+            return "(" + word + ")!!"
+        return "".join(rnd.choice(noise.get(c, c) + c) for c in word)
+
+    some = ["idiot", "moron", "stupid", "scum", "trash", "loser", "seemly", "seems", "stones", "stoning", "stone", "the", "a", "is", "I", "x-y", "№1", "idіоt", "ｍｏｒｏｎ", "Ünter"]
+    texts = [" ".join(mask(rnd.choice(some)) if rnd.random() < 0.5 else rnd.choice(some) for _ in range(rnd.randrange(12))) for _ in range(400)]
+    texts += [None, "", "  ", "idi", "ot", "i d i o t", "s c", "a " * 5000 + "i d i o t"]
+    texts += [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    restorer, scorer = Restorer(model.cost, model.words()), Scorer(model)
+    want = [1 / (1 + np.exp(-log_odds(model, restorer.words(t)))) for t in texts]
+    z = scorer.scores(texts)
+    assert np.allclose(1 / (1 + np.exp(-z)), want, rtol=0, atol=1e-12)
+    assert len({round(w, 6) for w in want}) > 20
+
+
+def test_letters_of_other_scripts(cost):
+    r = Restorer(cost, ["idiot", "moron"])
+    assert r["іdiоt"] == "idiot" and r["ｍｏｒｏｎ"] == "moron" and r["mоr0n"] == "moron"
+    assert r["слово"] == "слово"

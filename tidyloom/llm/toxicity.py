@@ -46,6 +46,16 @@ LEET = {
     "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l",
     "*": "aeiou", "#": "aeiou",
 }
+# Letters of other scripts that look like plain ones; full-width forms.
+LOOKALIKE = {
+    "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ј": "j", "ѕ": "s", "ԁ": "d",
+    "һ": "h", "к": "k", "м": "m", "т": "t", "α": "a", "ε": "e", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p",
+    "τ": "t", "υ": "u",
+}
+WIDE = {chr(0xFF41 + i): chr(97 + i) for i in range(26)}
+SEEMS = LOOKALIKE | WIDE
+#: Cost of reading a look-alike.
+ALIKE = 0.5
 REPLACE, DROP_MARK, DROP_LEET, DROP_REPEAT, DROP_DOUBLE = 1.0, 0.7, 6.0, 0.5, 8.0
 #: Cost of dropping a blank beside a piece of several characters.
 JOIN = 6.0
@@ -53,9 +63,10 @@ JOIN = 6.0
 WHOLE_WORD = 8.0
 #: Characters after which a search moves what all its states share to its result.
 SETTLE = 64
-BEAM = 64
-#: Tokens remembered in a Python worker (other operators share its memory).
-CACHE_TOKENS = 100_000
+#: Characters remembered in each store of a Python worker (other operators share its memory).
+CACHE_CHARS = 4_000_000
+#: Text whose tokens are looked up together, in characters.
+PIECE_CHARS = 4 << 20
 FIT_ROWS = 20_000
 #: Evidence (G²) from which a word counts as telling, and its least number of texts.
 EVIDENCE, LEAST_TEXTS = 18.0, 3
@@ -63,6 +74,8 @@ EVIDENCE, LEAST_TEXTS = 18.0, 3
 STEMS = (4, 5, 6, 7)
 EDGE = re.compile(r"^([^\w\s])\1+|([^\w\s])\2+$|[.,;:?!\"')\]}>]+$|^[\"'(\[{<]+(?=\w)")
 TWICE = re.compile(r"(.)\1")
+RUNS = re.compile(r"(.)\1+")
+ODD = re.compile(f"[{''.join(SEEMS)}]")
 MORE = re.compile(r"(.)\1{3,}")
 
 
@@ -126,28 +139,31 @@ def costs(cube: np.ndarray, blend: float = 5.0) -> np.ndarray:
 # --- channel -----------------------------------------------------------------------------
 
 
+def options(token: str, i: int) -> list[tuple[str, float]]:
+    """Plain letters for one observed character of a token ('' drops it)."""
+    c = token[i]
+    if c in CODE:
+        found = [(c, 0.0)]
+        if i and token[i - 1] == c:
+            thrice = token[i - 2 : i + 1] == c * 3 or token[i - 1 : i + 2] == c * 3
+            found.append(("", DROP_REPEAT if thrice else DROP_DOUBLE))
+        return found
+    if c in SEEMS:
+        return [(SEEMS[c], ALIKE)]
+    if c in LEET:
+        return [*((x, REPLACE + math.log(len(LEET[c]))) for x in LEET[c]), ("", DROP_LEET)]
+    return [("", DROP_MARK)]
+
+
 def readings(token: str) -> list[list[tuple[str, float]]]:
-    """The lattice: for each observed character its plain letters ('' drops it)."""
-    out = []
-    for i, c in enumerate(token):
-        options = []
-        if c in CODE:
-            options.append((c, 0.0))
-            if i and token[i - 1] == c:
-                thrice = token[i - 2 : i + 1] == c * 3 or token[i - 1 : i + 2] == c * 3
-                options.append(("", DROP_REPEAT if thrice else DROP_DOUBLE))
-        elif c in LEET:
-            options += [(x, REPLACE + math.log(len(LEET[c]))) for x in LEET[c]]
-            options.append(("", DROP_LEET))
-        else:
-            options.append(("", DROP_MARK))
-        out.append(options)
-    return out
+    """The lattice: for each observed character its plain letters."""
+    return [options(token, i) for i in range(len(token))]
 
 
 def borders(token: str) -> list[float | None]:
     """Cost of reading each character as a border of words (None for letters)."""
-    return [None if c in CODE else 0.0 if c == " " else DROP_LEET if c in LEET else DROP_MARK for c in token]
+    letters = CODE.keys() | SEEMS.keys()
+    return [None if c in letters else 0.0 if c == " " else DROP_LEET if c in LEET else DROP_MARK for c in token]
 
 
 def joined(token: str) -> list[list[tuple[str, float]]]:
@@ -172,14 +188,14 @@ def viterbi(
     whole: dict[tuple[str, int], tuple[float, str]] = {}
     ends, settled = borders(token) if split else [None] * len(token), []
     fresh = True  # whether a border has just been read
-    for i, options in enumerate(joined(token) if split else readings(token)):
+    for i, letters in enumerate(joined(token) if split else readings(token)):
         if known and fresh and (0, 0) in states:
             total, text = states[0, 0]
-            for word in {w for letter, _ in options for w in known.get(letter, ())}:
+            for word in {w for letter, _ in letters for w in known.get(letter, ())}:
                 whole[word, 0] = total + WHOLE_WORD, text
         new: dict[tuple[int, int], tuple[float, str]] = {}
         for (a, b), (total, text) in states.items():
-            for letter, noise in options:
+            for letter, noise in letters:
                 if letter:
                     c = CODE[letter]
                     key, value, plain = (b, c), total + noise + cost[a, b, c], text + letter
@@ -193,7 +209,7 @@ def viterbi(
                     new[0, 0] = done
         taken: dict[tuple[str, int], tuple[float, str]] = {}
         for (word, n), (total, text) in whole.items():
-            for letter, noise in options:
+            for letter, noise in letters:
                 if not letter or word[n : n + 1] == letter:
                     key, value = (word, n + len(letter)), (total + noise, text)
                     if key not in taken or value < taken[key]:
@@ -202,8 +218,6 @@ def viterbi(
                 done = (total + ends[i], text + word + " ")
                 if (0, 0) not in new or done < new[0, 0]:
                     new[0, 0] = done
-        if len(new) > BEAM:
-            new = dict(sorted(new.items(), key=lambda s: s[1])[:BEAM])
         states, whole, fresh = new, taken, ends[i] is not None
         if i % SETTLE == SETTLE - 1:
             texts = [t for _, t in (*states.values(), *whole.values())]
@@ -220,9 +234,9 @@ def viterbi(
 def noise_of(token: str, word: str) -> float:
     """Cheapest noise that turns ``word`` into ``token`` (infinite if none does)."""
     best = [0.0] + [math.inf] * len(word)
-    for options in readings(token):
+    for letters in readings(token):
         new = [math.inf] * len(best)
-        for letter, noise in options:
+        for letter, noise in letters:
             if not letter:
                 new = [min(x, y + noise) for x, y in zip(new, best)]
             else:
@@ -233,7 +247,32 @@ def noise_of(token: str, word: str) -> float:
     return best[-1]
 
 
-class Starts(dict):
+class Store(dict):
+    """What has been found for texts; emptied when its keys get long together."""
+
+    chars = 0
+
+    def keep(self, key, found, size: int):
+        self.chars += size + 20
+        if self.chars > CACHE_CHARS:
+            self.clear()
+            self.chars = size + 20
+        self[key] = found
+        return found
+
+
+def spelled(token: str, before: str, allowed: set[str]) -> set[str]:
+    """What the readings of a token, put behind ``before``, may spell within ``allowed``."""
+    token = MORE.sub(r"\1\1\1", token)
+    found = {before}
+    for i in range(len(token)):
+        found = {f + letter for f in found for letter, _ in options(token, i)} & allowed
+        if not found:
+            break
+    return found - {before}
+
+
+class Starts(Store):
     """Beginnings of known words that a token, put behind another beginning, may spell."""
 
     def __init__(self, known: list[str]):
@@ -241,23 +280,46 @@ class Starts(dict):
         self.begun = {w[:i] for w in known for i in range(len(w) + 1)}
 
     def __missing__(self, key: tuple[str, str]) -> frozenset[str]:
-        if len(self) >= CACHE_TOKENS:
-            self.clear()
         before, token = key
-        if token.isalpha() and not TWICE.search(token) and CODE.keys() >= set(token):
-            whole = before + token  # its only reading
-            self[key] = out = frozenset([whole]) & self.begun
-            return out
-        found = {before}
-        for options in readings(MORE.sub(r"\1\1\1", token)):
-            found = {f + letter for f in found for letter, _ in options} & self.begun
-            if not found:
-                break
-        self[key] = out = frozenset(found - {before})
-        return out
+        if is_plain(token):
+            found = frozenset([before + token]) & self.begun  # its only reading
+        else:
+            found = frozenset(spelled(token, before, self.begun))
+        return self.keep(key, found, len(before) + len(token))
+
+
+def is_plain(token: str) -> bool:
+    """Whether a token can be read in one way only."""
+    return token.isalpha() and not TWICE.search(token) and CODE.keys() >= set(token)
+
+
+def is_single(token: str) -> bool:
+    """Whether a token may be one letter of a word set apart by blanks."""
+    return len(token) == 1 or (len(token) == 2 and not token.isalnum())
 
 
-class Restorer(dict):
+def runs_of(single: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and end of each run of two or more single tokens of one text."""
+    if not len(single):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    joins = single[1:] & single[:-1] & (owner[1:] == owner[:-1])
+    begin, end = np.flatnonzero(single & ~np.append(False, joins)), np.flatnonzero(single & ~np.append(joins, False)) + 1
+    long = end - begin >= 2
+    return begin[long], end[long]
+
+
+def core_of(token: str) -> str:
+    """A token without the marks around it."""
+    if token.isalpha():
+        return token
+    while True:
+        cut = EDGE.sub("", token)
+        if cut == token:
+            return cut
+        token = cut
+
+
+class Restorer(Store):
     """Plain form of lower-case tokens, remembered within a Python worker.
 
     A form of several words has blanks between them. ``known`` words may also be
@@ -272,80 +334,65 @@ class Restorer(dict):
             self.known.setdefault(w[:1], []).append(w)
         self.complete = frozenset(known)
         self.starts = Starts(list(known))
-        self.runs: dict[str, str] = {}
+        self.runs = Store()
 
     def decode(self, core: str) -> str:
         core = MORE.sub(r"\1\1\1", core)
         return viterbi(core, self.cost, self.known, split=True)[1].strip()
 
+    @staticmethod
+    def is_noisy(core: str) -> bool:
+        """Whether a token without its edges has to be decoded."""
+        if core.isalpha() and not TWICE.search(core) and not ODD.search(core):
+            return False
+        return any(c in CODE or c in WIDE for c in core)
+
     def __missing__(self, token: str) -> str:
-        if len(self) >= CACHE_TOKENS:
-            self.clear()
-        core = token
-        while True:
-            cut = EDGE.sub("", core)
-            if cut == core:
-                break
-            core = cut
-        plain = core
-        if (not core.isalpha() or TWICE.search(core)) and any(c in CODE for c in core):
-            plain = self.decode(core)
-        self[token] = plain
-        return plain
+        core = core_of(token)
+        plain = self.decode(core) if self.is_noisy(core) else core
+        return self.keep(token, plain, 2 * len(token))
 
     def run(self, tokens: list[str]) -> str:
         """Plain form of tokens that may belong together."""
         text = " ".join(tokens)
-        if text not in self.runs:
-            if len(self.runs) >= CACHE_TOKENS // 10:
-                self.runs.clear()
-            self.runs[text] = self.decode(text)
-        return self.runs[text]
-
-    def pieces(self, tokens: list[str], begin: set[str]) -> list[tuple[int, int]]:
-        """Ranges of tokens that spell a known word one after the other."""
-        out, starts = [], self.starts
-        for i, t in enumerate(tokens):
-            if t not in begin:
-                continue
-            found, j = starts["", t], i + 1
-            while found and j < len(tokens):
-                found = frozenset().union(*(starts[f, tokens[j]] for f in found))
-                j += 1
-                if found & self.complete:
-                    out.append((i, j))
-        return out
+        return self.runs[text] if text in self.runs else self.runs.keep(text, self.decode(text), 2 * len(text))
+
+    def pieces(self, tokens: list[str], first: int, end: int) -> Iterator[tuple[int, int]]:
+        """Ranges of tokens from ``first`` on that spell a known word one after the other."""
+        found, j = self.starts["", tokens[first]], first + 1
+        while found and j < end:
+            found = frozenset().union(*(self.starts[f, tokens[j]] for f in found))
+            j += 1
+            if found & self.complete:
+                yield first, j
+
+    def joined_ranges(
+        self, tokens: list[str], end: int, singles: list[tuple[int, int]], first: list[int]
+    ) -> set[tuple[int, int]]:
+        """Ranges of the tokens of a text (which ``end`` there) that are read as one.
+
+        ``singles`` are its runs of two and more single characters; a range that starts
+        or ends in one takes it whole. ``first`` are the tokens that may begin a known
+        word spelled by several.
+        """
+        edges = {k: (i, j) for i, j in singles for k in range(i, j)} if first else {}
+        ranges = {(i, j) for i, j in singles if j - i >= 3 and sum(t[0] in CODE or t[0] in WIDE for t in tokens[i:j]) >= 2}
+        for k in first:
+            for i, j in self.pieces(tokens, k, end):
+                ranges.add((edges.get(i, (i, j))[0], edges.get(j - 1, (i, j))[1]))
+        return ranges
 
     def words(self, text: str | None) -> set[str]:
         """Distinct restored words, with those set apart by blanks put together."""
         tokens = (text or "").lower().split()
-        distinct = set(tokens)
         plain: set[str] = set()
-        for t in distinct:
-            form = self[t]
-            plain.update(form.split()) if " " in form else plain.add(form)
-        single = {t for t in distinct if len(t) == 1 or (len(t) == 2 and not t.isalnum())}
-        ranges = []
-        if single:
-            # The run of single characters in which a token stands is read as one.
-            edges, i = {}, 0
-            while i < len(tokens):
-                j = i
-                while j < len(tokens) and tokens[j] in single:
-                    j += 1
-                if j - i >= 2:
-                    edges |= {k: (i, j) for k in range(i, j)}
-                if j - i >= 3 and sum(t[0] in CODE for t in tokens[i:j]) >= 2:
-                    ranges.append((i, j))
-                i = max(j, i + 1)
-        else:
-            edges = {}
-        begin = {t for t in distinct if self.starts["", t]} if self.complete else set()
-        for i, j in self.pieces(tokens, begin) if begin else ():
-            ranges.append((edges.get(i, (i, j))[0], edges.get(j - 1, (i, j))[1]))
-        for i, j in set(ranges):
+        for t in set(tokens):
+            plain.update(self[t].split())
+        first = [i for i, t in enumerate(tokens) if self.starts["", t]] if self.complete else []
+        single = np.fromiter(map(is_single, tokens), bool, len(tokens))
+        singles = list(zip(*(x.tolist() for x in runs_of(single, np.zeros(len(tokens), np.int64)))))
+        for i, j in self.joined_ranges(tokens, len(tokens), singles, first):
             plain.update(self.run(tokens[i:j]).split())
-        plain.discard("")
         return plain
 
 
@@ -399,37 +446,123 @@ class Model:
         return [f for f in self.weights if " " not in f]
 
 
-class Marker(dict):
-    """The telling parts of a word: itself, and its stems (mostly nothing)."""
-
-    def __init__(self, model: Model):
-        super().__init__()
-        self.model = model
-
-    def __missing__(self, word: str) -> tuple:
-        if len(self) >= CACHE_TOKENS:
-            self.clear()
-        m = self.model
-        stems = tuple(word[:k] for k in STEMS if len(word) > k and word[:k] in m.stems)
-        self[word] = found = (m.weights.get(word, 0.0), stems) if stems or word in m.weights else ()
-        return found
+def log_odds(model: Model, words: set[str]) -> float:
+    """The score of a text's restored words, before it is squeezed into 0 to 1."""
+    weights = model.weights
+    stems = Counter(w[:k] for w in words for k in STEMS if len(w) > k and w[:k] in model.stems)
+    shared = (weights.get(f"{p} x{n}", 0.0) for p, m in stems.items() for n in (2, 3) if m >= n)
+    return model.intercept + math.fsum(weights.get(w, 0.0) for w in words) + math.fsum(shared)
 
-    def log_odds(self, words: set[str]) -> float:
-        hits = [h for h in map(self.__getitem__, words) if h]
-        weights = self.model.weights
-        stems = Counter(s for _, own in hits for s in own)
-        shared = (weights.get(f"{p} x{n}", 0.0) for p, m in stems.items() for n in (2, 3) if m >= n)
-        return self.model.intercept + math.fsum(w for w, _ in hits) + math.fsum(shared)
 
+class Scorer:
+    """Scores of many texts at once, the same as ``log_odds`` of each text's ``words``.
 
-_WORKER: dict[str, tuple[Restorer, Marker]] = {}
+    Tokens of a piece of text are numbered, so what a token tells is found once for
+    each distinct one. Only restored words count that are telling or begin with a
+    telling stem; a token that can't be read as one isn't decoded.
+    """
 
+    def __init__(self, model: Model):
+        self.model = model
+        self.restorer = Restorer(model.cost, model.words())
+        self.telling = {w for w in model.weights if " " not in w}
+        self.beginnings = self.telling | model.stems
+        #: Runs of letters in the words are one letter here, as any letter may be a repetition.
+        self.once_telling = {RUNS.sub(r"\1", w) for w in self.telling}
+        self.once_stems = {RUNS.sub(r"\1", w) for w in model.stems}
+        self.once_lengths = sorted({len(w) for w in self.once_stems})
+        self.inside = {w[i:j] for w in self.telling for i in range(1, len(w) + 1) for j in range(i, len(w) + 1)}
+        self.begun = {w[:i] for w in self.beginnings for i in range(len(w) + 1)}
+        self.seen = Store()
+
+    def tells(self, word: str) -> bool:
+        stems = self.model.stems
+        return word in self.telling or any(len(word) > k and word[:k] in stems for k in STEMS)
+
+    def may_tell(self, core: str) -> bool:
+        """Whether any reading of a token has a word that tells something."""
+        if core.isalpha() and CODE.keys() >= set(core):
+            once = RUNS.sub(r"\1", core)
+            return once in self.once_telling or any(once[:k] in self.once_stems for k in self.once_lengths)
+        core = MORE.sub(r"\1\1\1", core)
+        found: set[str] = {""}
+        for i, end in enumerate(borders(core)):
+            found = {f + letter for f in found for letter, _ in options(core, i)} & self.begun
+            if found & self.beginnings:
+                return True
+            if end is not None:
+                found.add("")
+        return False
+
+    def told(self, token: str) -> tuple[tuple[str, ...], bool, bool, bool]:
+        """Of a token: its telling words, whether it is single, and may begin or continue a telling word."""
+        if token in self.seen:
+            return self.seen[token]
+        core = core_of(token)
+        words: tuple[str, ...] = ()
+        if not self.restorer.is_noisy(core):
+            words = tuple(w for w in core.split() if self.tells(w))
+        elif self.may_tell(core):
+            words = tuple(w for w in self.restorer.decode(core).split() if self.tells(w))
+        first = inner = False
+        if self.telling:
+            if is_plain(token):
+                first, inner = token in self.restorer.starts.begun, token in self.inside
+            else:
+                first = bool(self.restorer.starts["", token])
+                inner = bool(spelled(token, "", self.inside | {""}))
+        return self.seen.keep(token, (words, is_single(token), first, inner), len(token) + 40)
+
+    def scores(self, texts: list[str | None]) -> np.ndarray:
+        out, at = np.zeros(len(texts)), 0
+        while at < len(texts):
+            to, size = at, 0
+            while to < len(texts) and (to == at or size < PIECE_CHARS):
+                size += len(texts[to] or "")
+                to += 1
+            out[at:to] = self.piece(texts[at:to])
+            at = to
+        return out
 
-def worker_tools(model: Model) -> tuple[Restorer, Marker]:
-    """One restorer and marker in each Python worker, for the latest model."""
+    def piece(self, texts: list[str | None]) -> list[float]:
+        tokens: list[str] = []
+        ends = [0]
+        for t in texts:
+            if t:
+                tokens += t.lower().split()
+            ends.append(len(tokens))
+        words: list[set[str]] = [set() for _ in texts]
+        if tokens:
+            coded = pa.array(tokens, pa.string()).dictionary_encode()
+            code = coded.indices.to_numpy()
+            told = [self.told(t) for t in coded.dictionary.to_pylist()]
+            hit, single, first, inner = (np.fromiter((bool(x[i]) for x in told), bool, len(told))[code] for i in range(4))
+            owner = np.searchsorted(ends, np.arange(len(code)), "right") - 1
+            at = np.flatnonzero(hit)
+            for i, c in zip(owner[at].tolist(), code[at].tolist()):
+                words[i].update(told[c][0])
+            # A telling word spelled by several tokens needs one that begins it and one that goes on.
+            first[:-1] &= inner[1:] & (owner[1:] == owner[:-1])
+            first[-1] = False
+            found: dict[int, tuple[list, list]] = {}
+            for k in np.flatnonzero(first).tolist():
+                found.setdefault(int(owner[k]), ([], []))[1].append(k)
+            for i, j in zip(*(x.tolist() for x in runs_of(single, owner))):
+                found.setdefault(int(owner[i]), ([], []))[0].append((i, j))
+            for i, (runs, begins) in found.items():
+                for a, b in self.restorer.joined_ranges(tokens, ends[i + 1], runs, begins):
+                    words[i].update(w for w in self.restorer.run(tokens[a:b]).split() if self.tells(w))
+        return [log_odds(self.model, w) for w in words]
+
+
+_WORKER: dict[str, Scorer] = {}
+
+
+def worker_scorer(model: Model) -> Scorer:
+    """One scorer in each Python worker, for the latest model."""
     if model.key not in _WORKER:
         _WORKER.clear()
-        _WORKER[model.key] = Restorer(model.cost, model.words()), Marker(model)
+        _WORKER[model.key] = Scorer(model)
     return _WORKER[model.key]
 
 
@@ -503,9 +636,7 @@ def scorer(spark, model: Model):
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
-        m = sent.value
-        restorer, marker = worker_tools(m)
-        z = np.array([marker.log_odds(restorer.words(t)) for t in texts], float)
+        z = worker_scorer(sent.value).scores(texts.tolist())
         return pd.Series(1 / (1 + np.exp(-np.clip(z, -500, 500))))
 
     return score
