@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tidyloom.operators.gram import correlations
 from tidyloom.operators import chained, encode, metrics, missing, neighbors, numeric, profile, ranking, sampling
 from tidyloom.operators.aggregates import exact_quantiles, order_statistics
 
@@ -141,6 +142,31 @@ def test_chained_stops_alike_on_both_ways(spark):
     assert len(one["steps"]) < 40
 
 
+def test_chained_reads_the_rows_once_for_many_patterns(spark):
+    """Statistics and pattern sums: two passes, however many rounds and columns."""
+    rng = np.random.default_rng(7)
+    n, cols = 4000, [f"x{i}" for i in range(12)]
+    data = rng.normal(size=(n, 3)) @ rng.normal(size=(3, 12)) + rng.normal(0, 0.1, (n, 12))
+    data[rng.random((n, 12)) < 0.3] = np.nan
+    assert len(np.unique(np.isnan(data), axis=0)) > 512
+    df = spark.createDataFrame(pd.DataFrame(data, columns=cols))
+    df = df.select(*[F.when(~F.isnan(c), F.col(c)).alias(c) for c in cols]).repartition(6)
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    counted = df.mapInArrow(count, df.schema)
+    state = chained.fit_chained(counted, cols, rounds=2, tol=0.0)
+    assert read.value == 2 * n and state["maps"] is None
+    few = chained.fit_chained(df, cols, rounds=2, tol=0.0, max_patterns=100_000)
+    assert len(state["steps"]) == len(few["steps"]) == 24
+    for (j, icept, coef), (k, icept2, coef2) in zip(state["steps"], few["steps"]):
+        assert j == k and icept == pytest.approx(icept2, abs=1e-8) and coef == pytest.approx(coef2, abs=1e-8)
+
+
 def test_chained_fills_patterns_never_seen(spark):
     train = spark.createDataFrame([(1.0, 2.0), (2.0, None), (3.0, 6.0), (4.0, 8.1)], "a double, b double")
     state = chained.fit_chained(train, ["a", "b"])
@@ -270,6 +296,39 @@ def test_correlation_filter_is_not_greedy_and_survives_constants(spark):
     assert {"column": "flat", "reason": "variance"} in drops
 
 
+def test_correlations_of_a_wide_table_in_one_scan(spark, tmp_path):
+    """Pairwise-complete over 200 columns with gaps, large offsets and constants."""
+    rng = np.random.default_rng(3)
+    n, p = 500, 200
+    data = rng.normal(size=(n, 8)) @ rng.normal(size=(8, p)) + rng.normal(size=(n, p))
+    data = data * 10.0 ** rng.integers(-3, 4, p) + 10.0 ** rng.integers(0, 7, p)
+    data[rng.random((n, p)) < 0.2] = np.nan
+    data[:, 5], data[:, 6], data[3:, 7] = 0.1, np.nan, np.nan
+    cols = [f"v {i}.x" for i in range(p)]
+    pdf = pd.DataFrame(data, columns=cols)
+    path = str(tmp_path / "wide")
+    df = spark.createDataFrame(pdf)
+    df.select(*[F.when(~F.isnan(f"`{c}`"), F.col(f"`{c}`")).alias(c) for c in cols]).repartition(7).write.parquet(path)
+    df = spark.read.parquet(path)
+    found = correlations(df, cols)
+    assert found._jdf.queryExecution().simpleString().count("FileScan") == 1
+    got = {(r["x"], r["y"]): r for r in found.collect()}
+    assert len(got) == p * (p - 1) // 2
+    want, present = pdf.corr().to_numpy(), pdf.notna().to_numpy().astype(int)
+    both = present.T @ present
+    for (x, y), r in got.items():
+        assert r["n"] == both[x, y]
+        if {x, y} & {5, 6} or both[x, y] < 2:
+            assert r["corr"] is None
+        else:
+            assert r["corr"] == pytest.approx(want[x, y], abs=1e-7)
+    near = {(r["x"], r["y"]) for r in correlations(df, cols, at_least=0.9).collect()}
+    assert near == {k for k, r in got.items() if r["corr"] is not None and abs(r["corr"]) > 0.9}
+    later = {cols[y] for _, y in near}
+    assert numeric.correlated(df, cols, 0.9) == [c for c in cols if c in later]
+    assert correlations(df.limit(0), cols).collect() == []
+
+
 def test_auc_with_ties(spark):
     rng = np.random.default_rng(1)
     y = rng.integers(0, 2, 400)

@@ -7,25 +7,33 @@ affine function of the observed values, whatever the round. The sums of
 products of the observed values per pattern - one aggregate over the table -
 therefore determine all rounds exactly, and the rounds run on small matrices.
 
-Tables with very many patterns take the other exact way: one pass per
-regression, in which each partition returns its own Gram matrix. Both ways stop
-by the same rule, a bound on how far a round moves any imputed value, so they
-give the same fit.
+With few patterns their sums come to the driver. With very many they stay a
+distributed table, made by one pass over the rows: executors take each pattern's
+map through the regressions so far, and only one Gram matrix a regression comes
+back. Both ways stop by the same rule, a bound on how far a round moves any
+imputed value, so they give the same fit.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidyloom.functions.scalar import col
 from tidyloom.operators.aggregates import CHUNK, one_row
+from tidyloom.operators.gram import matrix_of
+from tidyloom.session import cut_lineage
 
 MAX_PATTERNS = 512
 CLOSED_FORM_PATTERNS = 32
+#: Numbers of pattern sums that a task holds before it sends them on.
+HELD_CELLS = 2_000_000
 ROUNDS = 10
 TOLERANCE = 1e-3
 # The Gamma priors of the regression and its iteration limits.
@@ -129,7 +137,7 @@ def fit_chained(
         rounds = min(rounds, 1)
     # The sketch only chooses between two ways to the same numbers.
     if got["patterns"] > max_patterns:
-        return _fit_by_passes(df, state, order, rounds, tol * widest, reach)
+        return _fit_many_patterns(df, state, order, rounds, tol * widest, reach)
 
     moments = _pattern_moments(df, cols, means)
     maps = {m: _start_map(m) for m in moments}
@@ -155,26 +163,97 @@ def fit_chained(
     return state
 
 
-def _fit_by_passes(
+def _pattern_table(df: DataFrame, cols: list[str], means: np.ndarray) -> DataFrame:
+    """``pattern, moments`` (a flag for each column; a matrix as bytes), from one pass over the rows."""
+    width = len(cols) + 1
+
+    def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[bytes, np.ndarray] = {}
+        for batch in batches:
+            raw = matrix_of(batch) - means
+            gaps = np.isnan(raw)
+            z = np.column_stack([np.ones(len(raw)), np.where(gaps, 0.0, raw)])
+            patterns, which = np.unique(gaps, axis=0, return_inverse=True)
+            order = np.argsort(which, kind="stable")
+            ends = np.searchsorted(which[order], np.arange(len(patterns) + 1))
+            for i, pattern in enumerate(patterns):
+                rows = z[order[ends[i] : ends[i + 1]]]
+                key = pattern.astype(np.uint8).tobytes()
+                found[key] = found.get(key, 0.0) + rows.T @ rows
+            if len(found) * width * width > HELD_CELLS:
+                yield pattern_batch(found)
+                found = {}
+        yield pattern_batch(found)
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, total = None, None
+        for batch in batches:
+            done: dict[bytes, np.ndarray] = {}
+            for pattern, data in zip(*(c.to_pylist() for c in batch.columns)):
+                part = np.frombuffer(data, float).reshape(width, width)
+                if pattern != now:
+                    if now is not None:
+                        done[now] = total
+                    now, total = pattern, part
+                else:
+                    total = total + part
+            yield pattern_batch(done)
+        if now is not None:
+            yield pattern_batch({now: total})
+
+    def pattern_batch(found: dict[bytes, np.ndarray]) -> pa.RecordBatch:
+        data = [m.tobytes() for m in found.values()]
+        return pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(data, pa.binary())], ["pattern", "moments"])
+
+    schema = "pattern binary, moments binary"
+    block = df.select(*[col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
+    parts = block.mapInArrow(grouped, schema).repartition("pattern").sortWithinPartitions("pattern")
+    return cut_lineage(parts.mapInArrow(summed, schema))
+
+
+def _maps_after(gaps: np.ndarray, steps) -> np.ndarray:
+    """The affine maps of several patterns after some regressions."""
+    width = gaps.shape[1] + 1
+    maps = np.zeros((len(gaps), width, width))
+    maps[:, 0, 0] = 1.0
+    for j in range(1, width):
+        maps[:, j, j] = ~gaps[:, j - 1]
+    return _advance_all(maps, gaps, steps)
+
+
+def _advance_all(maps: np.ndarray, gaps: np.ndarray, steps) -> np.ndarray:
+    for j, icept, coef in steps:
+        rows = np.flatnonzero(gaps[:, j - 1])
+        others = np.delete(np.arange(1, maps.shape[1]), j - 1)
+        maps[rows, j] = np.einsum("k,rkw->rw", np.asarray(coef), maps[np.ix_(rows, others)])
+        maps[rows, j, 0] += icept
+    return maps
+
+
+def _fit_many_patterns(
     df: DataFrame, state: dict, order: list[int], rounds: int, enough: float, reach: np.ndarray
 ) -> dict:
+    """The rounds on a table of patterns; only a matrix or a number returns for each."""
     cols = state["columns"]
     width = len(cols) + 1
-    block = df.select(*[col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
-    means = np.array(state["means"])
+    patterns = _pattern_table(df, cols, np.array(state["means"]))
+
+    def read(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        gaps = np.array([np.frombuffer(p, np.uint8) for p in batch.column(0).to_pylist()], bool).reshape(-1, width - 1)
+        moments = np.array([np.frombuffer(m, float) for m in batch.column(1).to_pylist()]).reshape(-1, width, width)
+        return gaps, moments
 
-    def gram_of(steps, j):
+    def gram_of(steps, j: int) -> np.ndarray:
         def run(batches):
             total = np.zeros((width, width))
-            for pdf in batches:
-                raw = pdf.to_numpy(dtype=float)
-                keep = ~np.isnan(raw[:, j - 1])
-                full = _replay(raw[keep], means, steps)
-                z = np.column_stack([np.ones(len(full)), full])
-                total += z.T @ z
-            yield pd.DataFrame({"pos": np.arange(width * width), "v": total.ravel()})
-
-        rows = block.mapInPandas(run, "pos int, v double").groupBy("pos").agg(F.sum("v").alias("v"))
+            for batch in batches:
+                gaps, moments = read(batch)
+                seen = ~gaps[:, j - 1]
+                maps = _maps_after(gaps[seen], steps)
+                total += np.einsum("rab,rbc,rdc->ad", maps, moments[seen], maps, optimize=True)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(width * width), pa.int32()), pa.array(total.ravel())], ["pos", "v"])
+
+        rows = patterns.mapInArrow(run, "pos int, v double").groupBy("pos").agg(F.sum("v").alias("v"))
         flat = np.zeros(width * width)
         for r in rows.collect():
             flat[r["pos"]] = r["v"]
@@ -184,20 +263,15 @@ def _fit_by_passes(
         """How far the regressions after the first ``done`` move any pattern met."""
 
         def run(batches):
-            most, met = 0.0, set()
-            for pdf in batches:
-                gaps = np.unique(np.isnan(pdf.to_numpy(dtype=float)), axis=0)
-                new = {"".join("1" if g else "0" for g in row) for row in gaps} - met
-                met |= new
-                for m in new:
-                    a = _start_map(m)
-                    _advance(a, m, steps[:done])
-                    before = a.copy()
-                    _advance(a, m, steps[done:])
-                    most = max(most, _moved(before, a, reach))
-            yield pd.DataFrame({"v": [most]})
-
-        return block.mapInPandas(run, "v double").agg(F.max("v")).first()[0] or 0.0
+            most = 0.0
+            for batch in batches:
+                gaps, _ = read(batch)
+                before = _maps_after(gaps, steps[:done])
+                d = np.abs(_advance_all(before.copy(), gaps, steps[done:]) - before)
+                most = max(most, float((d[:, :, 0] + d[:, :, 1:] @ reach).sum(1).max(initial=0.0)))
+            yield pa.RecordBatch.from_arrays([pa.array([most])], ["v"])
+
+        return patterns.mapInArrow(run, "v double").agg(F.max("v")).first()[0] or 0.0
 
     for _ in range(rounds):
         done = len(state["steps"])

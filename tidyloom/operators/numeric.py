@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from tidyloom.functions.scalar import (
     clip,
     col,
-    guarded_corr,
     is_numeric,
     log1p_clipped,
     numeric_columns,
@@ -21,6 +20,7 @@ from tidyloom.functions.scalar import (
 )
 from tidyloom.operators.aggregates import exact_quantiles, long_form, one_row
 from tidyloom.operators.columns import append_columns
+from tidyloom.operators.gram import correlations
 from tidyloom.operators.ranking import smallest
 
 
@@ -470,21 +470,18 @@ def low_variance(df: DataFrame, cols: list[str], threshold: float = 0.01) -> lis
 
 
 def correlation_pairs(df: DataFrame, cols: list[str]) -> dict[tuple[str, str], float | None]:
-    """Pairwise-complete correlations of the upper triangle, a chunk of pairs per pass."""
-    pairs = [(a, b) for j, b in enumerate(cols) for a in cols[:j]]
-    if not pairs:
+    """Pairwise-complete correlations of the upper triangle, from one scan."""
+    if len(cols) < 2:
         return {}
-    got = one_row(df, {f"{i}": guarded_corr(col(a), col(b)) for i, (a, b) in enumerate(pairs)})
-    return {p: got[f"{i}"] for i, p in enumerate(pairs)}
+    return {(cols[r["x"]], cols[r["y"]]): r["corr"] for r in correlations(df, cols).collect()}
 
 
 def correlated(df: DataFrame, cols: list[str], threshold: float = 0.95) -> list[str]:
     """The later column of every pair above the threshold (a dropped one still counts)."""
     if len(cols) < 2 or threshold >= 1.0:
         return []
-    pairs = correlation_pairs(df, cols)
-    hit = {b for (a, b), r in pairs.items() if r is not None and abs(r) > threshold}
-    return [c for c in cols if c in hit]
+    hit = {r["y"] for r in correlations(df, cols, at_least=threshold).select("y").distinct().collect()}
+    return [c for i, c in enumerate(cols) if i in hit]
 
 
 def select_features(
