@@ -2,11 +2,14 @@
 
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tidyloom.plans import PlanCleaner, fallback_plan, fixed_plan, policy, raw_plan, register_action, run_fixed, run_plan
+from tidyloom.operators.sampling import assign_folds
 from tidyloom.plans.evaluate import cross_validate
+from tidyloom.plans.fold_statistics import fold_scores
 from tidyloom.plans.model import PlanModel
 from tidyloom.plans.normalise import plan_actions, plan_notes
 from tidyloom.plans.search import search_preparation
@@ -379,6 +382,68 @@ def test_preparation_search(spark):
     assert out.count() == 4 and out.agg(F.min("value")).first()[0] > 0.9
 
 
+def _mixed_table(spark, n=160):
+    """Numbers with gaps and outliers, categories with gaps and rare values, a target with gaps."""
+    rng = np.random.default_rng(11)
+    a, b = rng.normal(50, 10, n), rng.exponential(3.0, n)
+    b[::17] *= 40
+    kind = rng.choice(["x", "y", "zz", "Ä"], n, p=[0.5, 0.3, 0.15, 0.05])
+    y = 1e4 + 3 * a - 2 * np.minimum(b, 9) + np.where(kind == "x", 25, 0) + rng.normal(0, 4, n)
+    gap = rng.random((n, 4)) < [0.15, 0.1, 0.2, 0.03]
+    flat = np.where(np.arange(n) % 40, 1.0, 1.001)
+    rows = [
+        (i, None if gap[i, 0] else float(a[i]), None if gap[i, 1] else float(b[i]), float(flat[i]), 7.5,
+         None if gap[i, 2] else str(kind[i]), "one" if i == 3 else "all", None if gap[i, 3] else float(y[i]))
+        for i in range(n)
+    ]
+    return spark.createDataFrame(rows, "id long, a double, `b.c` double, flat double, same double, kind string, rare string, y double")
+
+
+def test_fold_statistics_equal_fits_for_each_fold(spark):
+    """Scores from matrices against cleaning, fitting and predicting the rows of every fold."""
+    df = _mixed_table(spark)
+    configs = [
+        {"missing_num": m, "missing_cat": c, "outlier": o, "scaling": s, "feat_sel": f}
+        for m, c, o, s, f in [
+            ("median", "most_frequent", "none", "none", "none"), ("mean", "constant", "iqr_1.5", "standard", "variance"),
+            ("knn", "most_frequent", "iqr_3.0", "minmax", "variance"), ("knn", "constant", "none", "standard", "none"),
+            ("median", "constant", "iqr_1.5", "none", "variance"),
+        ]
+    ]
+    got = fold_scores(df, "id", "y", configs, folds=3)
+    for config, (value, sd) in zip(configs, got):
+        row = cross_validate(df, "id", "y", "regression", None, "ridge", config, folds=3).first()
+        assert value == pytest.approx(row["r2"], abs=1e-8), config
+        assert sd == pytest.approx(row["r2_std"], abs=1e-8), config
+
+
+def test_whole_grid(spark):
+    df = _mixed_table(spark)
+    out = {r["name"]: r for r in search_preparation(df, "id", "y", "regression", "ridge", (0.5, 0.01), folds=4).collect()}
+    assert len(out) == 108 and all(r["value"] > 0.5 and r["verdict"] == "WIN" for r in out.values())
+    assert len({round(r["value"], 9) for r in out.values()}) > 30
+
+
+def test_wide_categories_are_fitted_one_by_one(spark):
+    df = spark.range(1200).select("id", F.col("id").cast("string").alias("k"), (F.col("id") % 5 * 1.0).alias("y"))
+    assert fold_scores(df, "id", "y", [{}]) is None
+    assert fold_scores(df.limit(0), "id", "y", [{}]) is None
+
+
+def test_ridge_has_a_unit_penalty(spark):
+    df = _mixed_table(spark).select("id", F.coalesce("a", F.lit(0.0)).alias("a"), "y").where("y IS NOT NULL")
+    rows = assign_folds(df, "id", None, 2).toPandas()
+    want = []
+    for fold in (0, 1):
+        train, test = rows[rows.fold != fold], rows[rows.fold == fold]
+        x, y = train.a - train.a.mean(), train.y - train.y.mean()
+        w = (x @ y) / (x @ x + 1.0)
+        guess = train.y.mean() + w * (test.a - train.a.mean())
+        want.append(1 - ((test.y - guess) ** 2).sum() / ((test.y - test.y.mean()) ** 2).sum())
+    row = cross_validate(df, "id", "y", "regression", None, "ridge", {"scaling": "none"}, folds=2).first()
+    assert row["r2"] == pytest.approx(np.mean(want), abs=1e-9)
+
+
 # ---------------------------------------------------------------- streams
 def test_stream(spark, raw, tmp_path):
     plan = {"actions": [a for a in PLAN["actions"] if a["action"] != "select_features"]}

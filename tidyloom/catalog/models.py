@@ -153,8 +153,7 @@ def plan_search(spark, d):
 
 @query("preparation_search")
 def preparation_search(spark, d):
-    """Part of the preparation grid, every configuration cross-validated."""
-    space = {"missing_num": ["median", "mean"], "outlier": ["none", "iqr_3.0"]}
+    """The whole preparation grid, every configuration cross-validated."""
     df = _parts(spark, d).drop("grade")
-    out = search_preparation(df, "p_partkey", "p_retailprice", "regression", "ridge", space=space)
+    out = search_preparation(df, "p_partkey", "p_retailprice", "regression", "ridge")
     return rounded(out, value=6, sd=6, delta=6)

@@ -5,12 +5,14 @@ from __future__ import annotations
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import inheritable_thread_target
+from pyspark.ml import Pipeline
 from pyspark.ml.classification import (
     GBTClassifier,
     LogisticRegression,
     OneVsRest,
     RandomForestClassifier,
 )
+from pyspark.ml.feature import VarianceThresholdSelector
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
@@ -54,16 +56,24 @@ def balanced_weights(train: DataFrame, label: str, n_classes: int) -> tuple[Data
     return weighted.drop("__y", "__n"), total
 
 
-def build_estimator(model: str, task: str, n_rows: int, n_classes: int, options: dict | None = None):
-    """Spark ML estimator with the penalties a single-node library would use by default."""
+def build_estimator(
+    model: str, task: str, n_rows: int, n_classes: int, options: dict | None = None, spread: float = 1.0
+):
+    """Spark ML estimator with the penalties a single-node library would use by default.
+
+    ``spread`` is the population sd of a numeric label, by which Spark divides the
+    penalty of a linear regression.
+    """
     # 30 is the deepest tree Spark grows.
     o = {"trees": 100, "depth": 30, "rounds": 50, **(options or {})}
     if task == "regression":
         if model == "ridge":
             # A unit penalty on the summed squared error is 1/n on the mean.
-            return LinearRegression(
-                regParam=1.0 / max(n_rows, 1), elasticNetParam=0.0, standardization=False
+            ridge = LinearRegression(
+                featuresCol="varied", regParam=spread / max(n_rows, 1), elasticNetParam=0.0, standardization=False
             )
+            # Spark puts no penalty on constant columns and can't solve for them; their weight is 0.
+            return Pipeline(stages=[VarianceThresholdSelector(featuresCol="features", outputCol="varied"), ridge])
         if model == "rf":
             return RandomForestRegressor(
                 numTrees=o["trees"], maxDepth=o["depth"], seed=SEED, featureSubsetStrategy="all"
@@ -141,11 +151,12 @@ def fold_predictions(
             train, test = train.persist(), test.persist()
             held += [train, test]
         return _knn_predict(train, test, key, task).withColumn("fold", F.lit(fold))
+    spread = 1.0
     if task == "classification":
         train, n = balanced_weights(train, "label", n_classes)
     else:
-        n = train.count()
-    fitted = build_estimator(model, task, n, n_classes, options).fit(train)
+        n, spread = train.agg(F.count("*"), F.coalesce(F.stddev_pop("label"), F.lit(0.0))).first()
+    fitted = build_estimator(model, task, n, n_classes, options, spread).fit(train)
     out = fitted.transform(test)
     cols = [key, "fold", "label", "prediction"]
     if "probability" in out.columns:

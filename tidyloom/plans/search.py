@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidyloom.operators.scorecard import verdict
 from tidyloom.plans.evaluate import cross_validate
+from tidyloom.plans.fold_statistics import fold_scores
 from tidyloom.plans.preparation import grid
 
 PRIMARY = {"classification": "f1_macro", "regression": "r2"}
@@ -72,8 +73,18 @@ def search_preparation(
     parallel: int = 2,
     **options,
 ) -> DataFrame:
-    """Exhaustive search over the preparation grid (108 configurations by default)."""
+    """Exhaustive search over the preparation grid (108 configurations by default).
+
+    For ridge regression all configurations are scored from statistics of the folds,
+    which few jobs gather; other models are fitted for each.
+    """
     configs = grid(space)
-    fixed = {"key": key, "target": target, "task": task, "model": model, **options}
-    named = [("|".join(f"{k}={v}" for k, v in c.items()), {"prep": c}) for c in configs]
-    return _ranked(_score_all(df, named, parallel, **fixed), *baseline)
+    named = [("|".join(f"{k}={v}" for k, v in c.items()), c) for c in configs]
+    scores = None
+    if model == "ridge" and task == "regression" and options.keys() <= {"folds"}:
+        scores = fold_scores(df, key, target, configs, **options)
+    if scores is None:
+        fixed = {"key": key, "target": target, "task": task, "model": model, **options}
+        return _ranked(_score_all(df, [(n, {"prep": c}) for n, c in named], parallel, **fixed), *baseline)
+    rows = [(n, *s) for (n, _), s in zip(named, scores)]
+    return _ranked(df.sparkSession.createDataFrame(rows, "name string, value double, sd double"), *baseline)
