@@ -88,3 +88,36 @@ def test_odd_vectors(spark):
     assert got == {0: [(7, 2.0), (20, 0.5)], 20: [(7, 2.0), (0, 0.5)]}
     assert nearest_inner(df.where("false"), F.col("vec_id") % 20 == 0).count() == 0
     assert nearest_inner(df.where("vec_id = 0"), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_null_and_repeated_ids(spark):
+    big = 2**60
+    rows = [
+        (20, [1.0, 0.0]), (20, [1.0, 0.0]), (20, [0.0, 2.0]), (None, [3.0, 1.0]), (None, [3.0, 1.0]), (None, None), (big + 1, [2.0, 0.5]),
+        (big + 3, [2.0, 0.5]), (40, [1.0, 0.0]),
+    ]
+    df = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<double>, rank int")
+    found = nearest_inner(df, F.col("vec_id") % 20 == 0, k=4).collect()
+    by = {}
+    for r in sorted(found, key=lambda r: (r.query_id, r.rank)):
+        by.setdefault((r.query_id, r.rank), []).append((r.vec_id, r.score))
+    flat = [(None, 3.0), (None, 3.0), (big + 1, 2.0), (big + 3, 2.0)]
+    # Two equal rows ask as 20, another row asks as 20 with its own vector.
+    for rank, answer in enumerate(flat, 1):
+        tall = [(None, 2.0), (None, 2.0), (big + 1, 1.0), (big + 3, 1.0)][rank - 1]
+        assert sorted(by[20, rank], key=str) == sorted([answer, answer, tall], key=str)
+        assert by[40, rank] == [answer]
+    assert len(found) == 16
+    few = nearest_inner(df.where("vec_id = 20"), F.col("vec_id") % 20 == 0, k=4).collect()
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in few) == [
+        (20, 1, 20, 0.0), (20, 1, 20, 1.0), (20, 1, 20, 1.0), (20, 2, 20, 0.0), (20, 2, 20, 0.0), (20, 2, 20, 0.0)
+    ]
+
+
+def test_queries_in_chunks(spark):
+    draw = np.random.default_rng(9)
+    x = draw.normal(0, 1, (600, 6)).round(3)
+    ids = np.arange(600)
+    df = spark.createDataFrame([(int(i), [float(v) for v in row]) for i, row in zip(ids, x)], "vec_id long, embedding array<double>")
+    got = answers(nearest_inner(df, F.lit(True), k=5, cell_rows=100, block_rows=60, chunk_rows=16).collect())
+    assert recall(got, brute(ids, x, np.ones(600, bool), 5)) >= 0.9 and len(got) == 600

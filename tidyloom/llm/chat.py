@@ -8,8 +8,9 @@ number of tokens it expands to, and notes where loss is taken. A turn becomes
     ### <role>: <body></turn>\\n
 
 Inside texts a backslash is doubled, and one is put into every control string
-(``</turn>``, ``###``, ``<|``), so no text can close a turn, open one or pass for
-a placeholder; dropping the first of each backslash and its follower restores it.
+(``</turn>``, ``###``, ``<|``) and before a text that follows another, so neither
+a text nor several one after the other can close a turn, open one or pass for a
+placeholder; dropping the first of each backslash and its follower restores them.
 
 Everything is DataFrame functions: turns are formatted row by row, and only the
 finished segments of one conversation meet. A NULL role or text counts as empty,
@@ -64,7 +65,11 @@ def visit(parts: Column) -> Column:
         tokens = F.lit(0).cast("bigint")
         for name, each in TOKENS_PER_UNIT.items():
             tokens = F.when(kind == name, units * each).otherwise(tokens)
-        body = F.when(kind == "text", escape(F.coalesce(p["text"], F.lit("")))).otherwise(
+        text = escape(F.coalesce(p["text"], F.lit("")))
+        # A border between two texts, where a control string might come about.
+        border = (i > 0) & (kind_of(F.get(shown, i - 1)) == "text") & (text != "") & ~text.startswith("\\")
+        text = F.when(border, F.concat(F.lit("\\"), text)).otherwise(text)
+        body = F.when(kind == "text", text).otherwise(
             F.concat(F.lit("<|"), kind, F.lit(":"), number.cast("string"), F.lit("|>"))
         )
         return F.struct(

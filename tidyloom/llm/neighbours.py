@@ -12,13 +12,17 @@ met with that probability.
 The top of the k-d tree is fitted on a bounded sample (``sample_rows``) of
 projections; its cells then hold every row, in blocks of at most ``block_rows``
 rows, and each block is a tree of its own. A query first searches its home cell;
-the k-th distance found there tells which other cells pass the test. Of rows
-with the same vector only the k + 1 smallest ids can be in an answer, and equal
-queries are searched once.
+the k-th distance found there tells which other cells pass the test. Queries that
+reach a cell are dealt in chunks of at most about ``chunk_rows``, each of which
+meets the cell's blocks in tasks of its own. Of rows with the same vector only the
+k + 1 smallest ids can be in an answer, and equal queries are searched once.
 
 Vectors that are NULL, zero, of another length than most, or that hold NULL or
-non-finite components take no part. Repeated ids are rows like others. An empty
-table gives no rows; other columns are ignored.
+non-finite components take no part. Repeated ids are rows like others: a query
+leaves out one row with its id and vector, itself, and rows that ask with the same
+id and vector get the same answers each. A NULL id is no query unless
+``is_query`` says so; as an answer it counts as the smallest. An empty table gives
+no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,6 +38,8 @@ from tidyloom.llm.common import col, seeded, values
 from tidyloom.session import cut_lineage
 
 LEAF = 64
+#: Stands for a NULL id inside.
+NO_ID = -(2**63)
 
 
 def chi_square(p: float, dims: int) -> float:
@@ -120,17 +126,17 @@ def project(x: np.ndarray, norm: float, axes: np.ndarray, query: bool) -> np.nda
 
 def search_block(base: pa.Table, asked: pa.Table, k: int, norm: float, axes: np.ndarray, limit: float) -> pa.Table:
     """The k best rows of a block for each query that may be better than its bound."""
-    x, ids = matrix(base.column("vec")), base.column("id").to_numpy()
+    x, ids, marks = matrix(base.column("vec")), base.column("id").to_numpy(), base.column("mark").to_numpy()
     q = matrix(asked.column("vec"))
     bound = asked.column("bound").to_numpy()
     inner = project(x, norm, axes, False)
     tree = Tree(inner, max(1, len(x) // LEAF))
     gaps = tree.nearest(project(q, norm, axes, True))
     far = np.einsum("ij,ij->i", q, q) + norm
-    key, found, score = [], [], []
+    key, found, score, mark = [], [], [], []
     for i in range(len(q)):
         order = np.argsort(gaps[i], kind="stable")
-        best_id, best = np.empty(0, np.int64), np.empty(0)
+        best_row, best = np.empty(0, np.int64), np.empty(0)
         worst, at, step = bound[i], 0, 4
         while at < len(order):
             # The distance of the k-th so far; the projected order goes on from here.
@@ -139,20 +145,22 @@ def search_block(base: pa.Table, asked: pa.Table, k: int, norm: float, axes: np.
             rows = np.concatenate([tree.rows[j] for j in order[at : at + step]])
             s = np.einsum("ij,j->i", x[rows], q[i])
             keep = s >= worst
-            best_id, best = np.append(best_id, ids[rows[keep]]), np.append(best, s[keep])
+            best_row, best = np.append(best_row, rows[keep]), np.append(best, s[keep])
             if len(best) > k:
-                top = np.lexsort((best_id, -best))[:k]
-                best_id, best = best_id[top], best[top]
+                top = np.lexsort((ids[best_row], -best))[:k]
+                best_row, best = best_row[top], best[top]
             if len(best) == k:
                 worst = max(worst, best.min())
             at, step = at + step, step * 2
         key += [i] * len(best)
-        found.append(best_id)
+        found.append(ids[best_row])
+        mark.append(marks[best_row])
         score.append(best)
     rows = pa.array(key, pa.int64())
     return pa.table({
         "h1": asked.column("h1").take(rows), "h2": asked.column("h2").take(rows),
         "id": pa.array(np.concatenate(found) if found else [], pa.int64()),
+        "mark": pa.array(np.concatenate(mark) if mark else [], pa.int64()),
         "score": pa.array(np.concatenate(score) if score else [], pa.float64()),
     })
 
@@ -173,13 +181,14 @@ def nearest_inner(
     confidence: float = 0.95,
     cell_rows: int = 4096,
     block_rows: int = 8192,
+    chunk_rows: int = 2048,
     sample_rows: int = 20_000,
     seed: int = 3,
 ) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` best found for each query row."""
     spark = df.sparkSession
     vectors = df.select(
-        col(id_col).cast("bigint").alias("id"), col(vec_col).alias("vec"), is_query.alias("asks")
+        F.coalesce(col(id_col).cast("bigint"), F.lit(NO_ID)).alias("id"), col(vec_col).alias("vec"), is_query.alias("asks")
     ).where(F.coalesce(usable(col("vec")), F.lit(False)))
     square = F.aggregate("vec", F.lit(0.0), lambda a, v: a + v.cast("double") * v.cast("double"))
     lengths = vectors.groupBy(F.size("vec").alias("d")).agg(F.count("*").alias("n"), F.max(square).alias("m"))
@@ -193,7 +202,8 @@ def nearest_inner(
 
     # Equal vectors tie, so only their smallest ids can be among the k and the query.
     same = Window.partitionBy("h1", "h2").orderBy("id")
-    base = keyed.withColumn("r", F.row_number().over(same)).where(F.col("r") <= k + 1).select("id", "vec")
+    base = keyed.withColumn("r", F.row_number().over(same)).where(F.col("r") <= k + 1)
+    base = base.select("id", "vec", F.col("h1").alias("mark"))
 
     drawn = base.where(seeded(F.col("id"), seed) < int(2147483647 * min(1.0, sample_rows / n)))
     sample = drawn.select("vec").limit(2 * sample_rows).toArrow()
@@ -204,15 +214,15 @@ def nearest_inner(
         for b in batches:
             if b.num_rows:
                 cell = tree.find(project(matrix(b.column(1)), norm, axes, False))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cell)], ["id", "vec", "cell"])
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell)], ["id", "vec", "mark", "cell"])
 
     kind = dict(base.dtypes)["vec"]
-    placed = cut_lineage(base.mapInArrow(locate, f"id bigint, vec {kind}, cell bigint"))
+    placed = cut_lineage(base.mapInArrow(locate, f"id bigint, vec {kind}, mark bigint, cell bigint"))
     counts = placed.groupBy("cell").count().collect()
     parts = {r["cell"]: -(-r["count"] // block_rows) for r in counts}
     blocks = values(spark, ["cell", "parts"], sorted(parts.items()))
     in_blocks = placed.join(blocks, "cell").select(
-        "cell", F.pmod(F.xxhash64("id"), F.col("parts")).alias("part"), "id", "vec"
+        "cell", F.pmod(F.xxhash64("id", "mark"), F.col("parts")).alias("part"), "id", "mark", "vec"
     )
     queries = keyed.where("asks").groupBy("h1", "h2").agg(F.first("vec").alias("vec"))
 
@@ -245,13 +255,23 @@ def nearest_inner(
         return run
 
     def search(asked: DataFrame) -> DataFrame:
-        routed = asked.join(blocks, "cell").select(
-            "cell", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"),
+        asked = cut_lineage(asked)
+        chunks = values(spark, ["cell", "chunks"], sorted(
+            (r["cell"], -(-r["count"] // chunk_rows)) for r in asked.groupBy("cell").count().collect()
+        ) or [(-1, 1)])
+
+        def all_of(count: str) -> Column:
+            return F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(count) - 1))
+
+        routed = asked.join(blocks, "cell").join(chunks, "cell").select(
+            "cell", all_of("parts").alias("part"), F.pmod(F.xxhash64("h1", "h2"), F.col("chunks")).alias("chunk"),
             "h1", "h2", "vec", "bound",
         )
-        return in_blocks.groupBy("cell", "part").cogroup(routed.groupBy("cell", "part")).applyInArrow(
+        met = in_blocks.join(chunks, "cell").select("cell", "part", all_of("chunks").alias("chunk"), "id", "mark", "vec")
+        keys = ("cell", "part", "chunk")
+        return met.groupBy(*keys).cogroup(routed.groupBy(*keys)).applyInArrow(
             lambda left, right: search_block(left, right, k + 1, norm, axes, limit)
-            if len(left) and len(right) else EMPTY, "h1 bigint, h2 bigint, id bigint, score double",
+            if len(left) and len(right) else EMPTY, "h1 bigint, h2 bigint, id bigint, mark bigint, score double",
         )
 
     schema = f"h1 bigint, h2 bigint, vec {kind}, bound double"
@@ -264,19 +284,23 @@ def nearest_inner(
     )
     others = search(bounded.mapInArrow(visit(False), schema + ", cell bigint"))
     top = best(first.unionByName(others), ["h1", "h2"], k + 1)
-    asked = keyed.where("asks").select(F.col("id").alias("query_id"), "h1", "h2")
-    answers = asked.join(top, ["h1", "h2"]).where(~F.col("query_id").eqNullSafe(F.col("id")))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return (
-        answers.withColumn("rank", rank.cast("int"))
-        .where(F.col("rank") <= k)
-        .select("query_id", "rank", F.col("id").alias("vec_id"), "score")
-    )
+    asked = keyed.where("asks").groupBy(F.col("id").alias("query_id"), "h1", "h2").agg(F.count("*").alias("times"))
+    row = ("query_id", "h1", "h2")
+    # Of the rows that equal the query one is the query itself.
+    own = (F.col("query_id") == F.col("id")) & (F.col("h1") == F.col("mark"))
+    copies = F.row_number().over(Window.partitionBy(*row, "own").orderBy("id"))
+    answers = asked.join(top, ["h1", "h2"]).withColumn("own", own).withColumn("copy", copies)
+    answers = answers.where(~F.col("own") | (F.col("copy") > 1))
+    rank = F.row_number().over(Window.partitionBy(*row).orderBy(F.desc("score"), "id"))
+    ranked = answers.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k)
+    each = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("times")))
+    told = F.nullif(F.col("query_id"), F.lit(NO_ID)), "rank", F.nullif(F.col("id"), F.lit(NO_ID)), "score", each
+    return ranked.select(*told).toDF("query_id", "rank", "vec_id", "score", "_").drop("_")
 
 
 EMPTY = pa.table({
     "h1": pa.array([], pa.int64()), "h2": pa.array([], pa.int64()),
-    "id": pa.array([], pa.int64()), "score": pa.array([], pa.float64()),
+    "id": pa.array([], pa.int64()), "mark": pa.array([], pa.int64()), "score": pa.array([], pa.float64()),
 })
 
 
