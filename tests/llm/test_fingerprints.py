@@ -16,7 +16,7 @@ def plain_winnow(text, k, w):
         return []
     k = min(k, len(code))
     h = [int(gram_hashes(code[i : i + k], k)[0]) for i in range(len(code) - k + 1)]
-    w, kept = min(w, len(h)), []
+    w, kept = min(w, max(1, len(h) // 6)), []
     for a in range(len(h) - w + 1):
         best = min(range(a, a + w), key=lambda i: (h[i], -i))
         if not kept or kept[-1] != (h[best], best):
@@ -42,11 +42,31 @@ def test_shared_passages_share_a_fingerprint():
     rnd = random.Random(2)
     noise = lambda n: "".join(rnd.choice("abcdefgh") for _ in range(n))
     for _ in range(20):
-        passage = noise(24 + 96 - 1)
+        passage = noise(12 + 16 - 1)
         a, b = winnow(noise(300) + passage + noise(50)), winnow(noise(20) + passage + noise(400))
         assert set(a[:, 0]) & set(b[:, 0])
 
 
+def test_short_texts_have_degrees_of_likeness(spark):
+    """Of the documents with three quarters unchanged hardly one looks like a stranger."""
+    rows = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").collect()]
+    rnd = random.Random(4)
+    rows += ["".join(rnd.choice("abcdefghij klm") for _ in range(n)) for n in range(40, 300)]
+    unlike, short = 0, 0
+    for a, b in zip(rows, rows[1:]):
+        a, q = a or "", len(a or "") // 4
+        if len("".join(a.split())) < 24:
+            continue
+        own = winnow(a)
+        assert len(own) >= 3
+        unlike += likeness(own, winnow(a[: len(a) - q] + (b or "")[:q])) == 0
+        short += 1
+    assert unlike < 0.01 * short
+    # A text and the start of it share all hashes that the start keeps, whatever their windows.
+    long = "".join(rnd.choice("abcdefgh") for _ in range(2000))
+    assert set(winnow(long)[:, 0]) & set(winnow(long[500:560])[:, 0])
+
+
 def expected(rows):
     rows = sorted((k, t or "") for k, t in rows)
     out = []

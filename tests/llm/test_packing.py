@@ -94,3 +94,28 @@ def test_odd_texts(spark):
     assert pack_documents(df.where("false")).count() == 0
     twice = pack_documents(df.where("doc_id = 2").union(df.where("doc_id = 2"))).collect()
     assert sum(r.length for r in twice) == 2 * twice[0].doc_tokens
+
+
+def test_repeated_rows_and_long_texts_are_spread(spark):
+    """A third of the rows are one NULL key with an empty text, a third one text; some texts are very long."""
+    rows = [(None, "")] * 2000 + [(3, "same words again")] * 2000 + [(10 + i, f"text {i} " * 5) for i in range(2000)]
+    rows += [(100_000 + i, "word " * 30_000) for i in range(4)]
+    df = spark.createDataFrame([(k, t, "x") for k, t in rows], "doc_id long, text string, ids string").repartition(6)
+    got = pack_documents(df, max_len=256, group_bytes=60_000).select("doc_id", "start", "length", "sequence_id", "offset").collect()
+    sizes = defaultdict(int)
+    for r in got:
+        sizes[r.sequence_id >> 24] += 1
+    mean = sum(sizes.values()) / len(sizes)
+    assert len(sizes) >= 12 and max(sizes.values()) < 2 * mean
+    assert sum(r.doc_id is None for r in got) == 2000 and sum(r.length for r in got if r.doc_id == 100_000) > 30_000
+    seqs = defaultdict(list)
+    for r in got:
+        seqs[r.sequence_id].append((r.offset, r.length))
+    for parts in seqs.values():
+        at = 0
+        for offset, n in sorted(parts):
+            assert offset == at
+            at += n
+        assert at == 256 or at & (at - 1) == 0
+    again = pack_documents(df, max_len=256, group_bytes=60_000).select("doc_id", "start", "length", "sequence_id", "offset").collect()
+    assert sorted(map(str, got)) == sorted(map(str, again))

@@ -4,7 +4,9 @@ A text is lower-cased and its white space dropped; every run of ``k`` characters
 gets a rolling hash; from every window of ``window`` hashes the smallest is kept,
 the rightmost one if several tie. Any two texts that share a run of at least
 k + window - 1 characters therefore share a fingerprint, and its kept positions
-say where. A text of fewer hashes than a window is one window, a text shorter
+say where. In a text of few hashes the window shrinks to a ``SHARES``-th of them,
+so that it keeps several and has degrees of likeness too; what a window keeps, a
+smaller one keeps as well, so the guarantee holds across lengths. A text shorter
 than ``k`` is one run, an empty text has no fingerprint.
 
 A fingerprint is a hex string with sixteen digits for each kept hash: eight of
@@ -21,6 +23,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,11 +31,14 @@ from pyspark.sql import functions as F
 from tidyloom.llm.common import col, values
 from tidyloom.session import cut_lineage
 
-K = 24
-WINDOW = 96
+K = 12
+WINDOW = 16
+#: A text of at least so many hashes keeps at least so many.
+SHARES = 6
 SLICE = 2_000_000
+#: Text of a range of keys, and the most ranges whose edges are looked up (beyond it ranges grow, still read as streams).
 RANGE_BYTES = 8_000_000
-RANGE_LIMIT = 4096
+RANGE_LIMIT = 65_536
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -81,7 +87,7 @@ def winnow(text: str, k: int = K, window: int = WINDOW) -> np.ndarray:
     code = np.frombuffer(plain.encode("utf-32-le", "surrogatepass"), np.uint32)
     k = min(k, len(code))
     total = len(code) - k + 1
-    window = min(window, total)
+    window = min(window, max(1, total // SHARES))
     kept = []
     for a in range(0, total - window + 1, SLICE):
         hashes = gram_hashes(code[a : a + SLICE + window + k - 2], k)
@@ -146,10 +152,13 @@ def with_next(df: DataFrame, id_col: str, text_col: str, visit, schema: str) ->
     ranges = max(1, min(RANGE_LIMIT, size["w"] // RANGE_BYTES, size["n"] // 8))
     probs = [i / ranges for i in range(1, ranges)]
     edges = rows.agg(F.percentile_approx("id", probs, 10 * ranges)).first()[0] if probs else []
-    edges = sorted(set(edges))
-    grid = F.array(*[F.lit(e).cast("bigint") for e in edges]) if edges else None
-    where = lower_bound(F.col("id"), edges) if grid is not None else F.lit(0).cast("bigint")
-    placed = rows.withColumn("range", where)
+    edges = np.array(sorted(set(edges)), np.int64)
+
+    @F.pandas_udf("bigint")
+    def range_of(ids: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(edges, ids.to_numpy(), "right"))
+
+    placed = rows.withColumn("range", range_of("id"))
     firsts = sorted(placed.groupBy("range").agg(F.min("id").alias("id")).collect(), key=lambda r: r["range"])
     if len(firsts) > 1:
         to = [(firsts[i - 1]["range"], r["id"]) for i, r in enumerate(firsts)]
@@ -183,18 +192,6 @@ def rows_to_batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict(dict(zip(names, map(list, zip(*rows)))))
 
 
-def lower_bound(value, edges: list[int]):
-    """Number of ``edges`` not above ``value``, as nested comparisons (a binary search)."""
-
-    def search(a: int, b: int):
-        if a == b:
-            return F.lit(a).cast("bigint")
-        mid = (a + b) // 2
-        return F.when(value >= F.lit(edges[mid]).cast("bigint"), search(mid + 1, b)).otherwise(search(a, mid))
-
-    return search(0, len(edges))
-
-
 def edited_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, window: int = WINDOW):
     """Fingerprint of every text, of its edited form, and their likenesses.
 

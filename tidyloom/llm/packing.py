@@ -2,7 +2,8 @@
 
 A document's cost is estimated as ``linear`` x n + n x n for n tokens. Documents
 longer than a sequence are cut first. Pieces are dealt by hash to groups of about
-``docs_per_group`` documents, which is the unit of the greedy step: a group of T
+``docs_per_group`` documents, and no more than about ``group_bytes`` of text,
+which is the unit of the greedy step: a group of T
 tokens opens T // max_len full sequences and, for the rest, one sequence for each
 power of two in it, so that nothing is padded. Pieces go in descending order to
 the lowest-cost sequence that still has room for them; where none has, the piece
@@ -10,9 +11,10 @@ is cut at the room of the lowest-cost open sequence and its rest queues again.
 
 Tokenizing goes by blank-separated chunks and remembers words in each Python
 worker; their ids do not depend on their neighbours in the word-level vocabularies
-this is meant for (``chunked=False`` tokenizes whole texts). Groups are bounded, so no task grows
-with the data, and all placement follows from ids and hashes, so a lost task
-gives the same rows again.
+this is meant for (``chunked=False`` tokenizes whole texts). The hash takes in a
+piece's key, start, ids, partition and its number among equal pieces of the
+partition, so rows that repeat are spread like others, groups are bounded, and a
+lost task gives the same rows again, in whatever order it reads them.
 
 NULL and empty texts are a lone end token; rows with equal keys are packed as
 separate documents; an empty table gives no rows; other columns are ignored.
@@ -20,6 +22,7 @@ separate documents; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import os
 from array import array
@@ -30,7 +33,8 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidyloom.llm.common import col
@@ -40,6 +44,8 @@ MAX_LEN = 4096
 CACHE_WORDS = 100_000
 #: Bytes of text tokenized at once.
 GATHER_BYTES = 4_000_000
+#: Text of a group of the greedy step.
+GROUP_BYTES = 4_000_000
 #: A chunk as a word and ASCII marks after it, where word-level tokenizers always cut.
 WORD_AND_MARKS = r"(?s)^(?P<w>.*?)(?P<m>[!-&(-/:-@\[-^`{-~]*)$"
 #: What is left to the whole tokenizer: anything but Latin, and letters lowered by rules of their own.
@@ -190,21 +196,31 @@ def slices(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBa
 def token_pieces(
     df: DataFrame, id_col: str, text_col: str, tokenizer: str, end_id: int, max_len: int, chunked: bool, width: int
 ) -> DataFrame:
-    """``id_col, start, doc_tokens, ids``: documents cut to at most ``max_len`` ids of ``width`` bytes."""
+    """``id, start, doc_tokens, ids, deal``: documents cut to at most ``max_len`` ids of ``width`` bytes.
+
+    ``deal`` is a hash of the piece in which equal pieces differ.
+    """
 
     kind = pa.from_numpy_dtype(np.int64)
     id_type = df.schema[id_col].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = worker_tokenizer(tokenizer, chunked)
+        partition = TaskContext.get().partitionId()
+        met: dict[bytes, int] = {}
         end = np.asarray([end_id], f"<u{width}").tobytes()
         for batch in slices(batches, GATHER_BYTES):
             keys, texts = batch.column(0), batch.column(1).to_pylist()
-            row, start, size, ids, held = [], [], [], [], 0
+            names = keys.cast(pa.string()).to_pylist()
+            row, start, size, ids, deal, held = [], [], [], [], [], 0
             for i, encoded in enumerate(tok.encode([t or "" for t in texts])):
                 encoded = np.frombuffer(encoded, "<u4").astype(f"<u{width}").tobytes() + end
                 n = len(encoded) // width
+                mark = hashlib.blake2b(repr(names[i]).encode("utf-8", "surrogatepass") + encoded, digest_size=16).digest()
+                met[mark] = copy = met.get(mark, 0) + 1
                 for a in range(0, n, max_len):
+                    place = hashlib.blake2b(mark + b"%d %d %d" % (a, partition, copy), digest_size=8).digest()
+                    deal.append(int.from_bytes(place, "little", signed=True))
                     row.append(i)
                     start.append(a)
                     size.append(n)
@@ -212,14 +228,14 @@ def token_pieces(
                 held += len(encoded)
                 if held > 16_000_000 or i + 1 == len(texts):
                     yield pa.RecordBatch.from_arrays(
-                        [keys.take(pa.array(row, kind)), pa.array(start, kind), pa.array(size, kind), pa.array(ids, pa.binary())],
-                        ["id", "start", "doc_tokens", "ids"],
+                        [keys.take(pa.array(row, kind)), pa.array(start, kind), pa.array(size, kind), pa.array(ids, pa.binary()), pa.array(deal, kind)],
+                        ["id", "start", "doc_tokens", "ids", "deal"],
                     )
-                    row, start, size, ids, held = [], [], [], [], 0
+                    row, start, size, ids, deal, held = [], [], [], [], [], 0
 
     narrow = df.select(col(id_col).alias("id"), col(text_col).cast("string").alias("text"))
     return narrow.mapInArrow(
-        run, f"id {id_type.simpleString()}, start bigint, doc_tokens bigint, ids binary"
+        run, f"id {id_type.simpleString()}, start bigint, doc_tokens bigint, ids binary, deal bigint"
     )
 
 
@@ -264,18 +280,20 @@ def pack_documents(
     docs_per_group: int = 512,
     linear: float = LINEAR,
     chunked: bool = True,
+    group_bytes: int = GROUP_BYTES,
 ) -> DataFrame:
     """A row per piece: ``id_col, start, length, ids, doc_tokens, sequence_id, offset``.
 
     ``ids`` are little-endian unsigned 32-bit; ``sequence_id`` is the group's
     number times 2^24 plus the place in the group.
     """
-    groups = max(1, -(-df.count() // docs_per_group))
+    size = df.agg(F.count("*").alias("n"), F.sum(F.octet_length(col(text_col).cast("string"))).alias("b")).first()
+    groups = max(1, -(-size["n"] // docs_per_group), -(-(size["b"] or 0) // group_bytes))
     path = tokenizer or default_tokenizer()
     # Ids travel in two bytes where the vocabulary allows.
     width = 2 if worker_tokenizer(path, chunked).tokenizer.get_vocab_size() <= 65_536 else 4
     pieces = token_pieces(df, id_col, text_col, path, end_id, max_len, chunked, width)
-    dealt = pieces.withColumn("grp", group_of(groups))
+    dealt = pieces.withColumn("grp", F.pmod("deal", F.lit(groups).cast("bigint"))).drop("deal")
     kind = dict(pieces.dtypes)["id"]
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -303,6 +321,3 @@ def pack_documents(
     )
     return packed.withColumnRenamed("id", id_col)
 
-
-def group_of(groups: int) -> Column:
-    return F.pmod(F.xxhash64("id", "start", "ids"), F.lit(groups)).cast("bigint")
