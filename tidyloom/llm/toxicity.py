@@ -67,6 +67,8 @@ SETTLE = 64
 CACHE_CHARS = 4_000_000
 #: Text whose tokens are looked up together, in characters.
 PIECE_CHARS = 4 << 20
+#: Beginnings of tokens (three characters) remembered.
+HEADS = 100_000
 FIT_ROWS = 20_000
 #: Evidence (G²) from which a word counts as telling, and its least number of texts.
 EVIDENCE, LEAST_TEXTS = 18.0, 3
@@ -75,6 +77,8 @@ STEMS = (4, 5, 6, 7)
 EDGE = re.compile(r"^([^\w\s])\1+|([^\w\s])\2+$|[.,;:?!\"')\]}>]+$|^[\"'(\[{<]+(?=\w)")
 TWICE = re.compile(r"(.)\1")
 RUNS = re.compile(r"(.)\1+")
+CLOSING = ".,;:?!\"')]}>"
+ONLY_LETTERS = re.compile(f"[{LETTERS}]+").fullmatch
 ODD = re.compile(f"[{''.join(SEEMS)}]")
 MORE = re.compile(r"(.)\1{3,}")
 
@@ -262,16 +266,24 @@ class Store(dict):
 
 
 def spelled(token: str, before: str, allowed: set[str]) -> set[str]:
-    """What the readings of a token, put behind ``before``, may spell within ``allowed``."""
+    """What the readings of a token, put behind ``before``, may spell within ``allowed`` (and ``before``)."""
     token = MORE.sub(r"\1\1\1", token)
     found = {before}
     for i in range(len(token)):
-        found = {f + letter for f in found for letter, _ in options(token, i)} & allowed
+        found = {w for f in found for letter, _ in options(token, i) if (w := f + letter) == before or w in allowed}
         if not found:
             break
     return found - {before}
 
 
+def can_begin(head: str, allowed: set[str]) -> bool:
+    """Whether readings of a token with this beginning may stay within ``allowed``."""
+    found = {""}
+    for i in range(len(head)):
+        found = {w for f in found for letter, _ in options(head, i) if not (w := f + letter) or w in allowed}
+    return bool(found) and bool(allowed)
+
+
 class Starts(Store):
     """Beginnings of known words that a token, put behind another beginning, may spell."""
 
@@ -290,7 +302,7 @@ class Starts(Store):
 
 def is_plain(token: str) -> bool:
     """Whether a token can be read in one way only."""
-    return token.isalpha() and not TWICE.search(token) and CODE.keys() >= set(token)
+    return ONLY_LETTERS(token) is not None and not TWICE.search(token)
 
 
 def is_single(token: str) -> bool:
@@ -467,23 +479,26 @@ class Scorer:
         self.restorer = Restorer(model.cost, model.words())
         self.telling = {w for w in model.weights if " " not in w}
         self.beginnings = self.telling | model.stems
+        self.four = {w[:4] for w in self.beginnings}
         #: Runs of letters in the words are one letter here, as any letter may be a repetition.
         self.once_telling = {RUNS.sub(r"\1", w) for w in self.telling}
         self.once_stems = {RUNS.sub(r"\1", w) for w in model.stems}
         self.once_lengths = sorted({len(w) for w in self.once_stems})
-        self.inside = {w[i:j] for w in self.telling for i in range(1, len(w) + 1) for j in range(i, len(w) + 1)}
         self.begun = {w[:i] for w in self.beginnings for i in range(len(w) + 1)}
-        self.seen = Store()
+        #: Beginnings of telling words, and what may follow a beginning.
+        self.opening = self.restorer.starts.begun if self.telling else set()
+        self.inside = {w[i:j] for w in self.telling for i in range(1, len(w)) for j in range(i, len(w) + 1)}
+        self.heads: dict[str, tuple[bool, bool]] = {}
+        self.cores = Store()
 
     def tells(self, word: str) -> bool:
+        if word[:4] not in self.four:
+            return False
         stems = self.model.stems
         return word in self.telling or any(len(word) > k and word[:k] in stems for k in STEMS)
 
     def may_tell(self, core: str) -> bool:
-        """Whether any reading of a token has a word that tells something."""
-        if core.isalpha() and CODE.keys() >= set(core):
-            once = RUNS.sub(r"\1", core)
-            return once in self.once_telling or any(once[:k] in self.once_stems for k in self.once_lengths)
+        """Whether any reading of a token that has several has a word that tells something."""
         core = MORE.sub(r"\1\1\1", core)
         found: set[str] = {""}
         for i, end in enumerate(borders(core)):
@@ -494,24 +509,46 @@ class Scorer:
                 found.add("")
         return False
 
+    def words_of(self, core: str) -> tuple[str, ...]:
+        """The telling words of a token without its edges."""
+        if ONLY_LETTERS(core):
+            if not TWICE.search(core):
+                return (core,) if self.tells(core) else ()
+            # Its readings differ in repetitions alone.
+            once = RUNS.sub(r"\1", core)
+            if once not in self.once_telling and not any(once[:k] in self.once_stems for k in self.once_lengths):
+                return ()
+        elif not self.restorer.is_noisy(core):
+            return tuple(w for w in core.split() if self.tells(w))
+        elif not self.may_tell(core):
+            return ()
+        if core in self.cores:
+            return self.cores[core]
+        found = tuple(w for w in self.restorer.decode(core).split() if self.tells(w))
+        return self.cores.keep(core, found, len(core))
+
+    def place_of(self, token: str) -> tuple[bool, bool]:
+        """Whether a token may begin a telling word spelled by several, and whether it may go on with one."""
+        head = token[:3]
+        known = self.heads.get(head)
+        if known is None:
+            known = tuple(can_begin(head, allowed) for allowed in (self.opening, self.inside))
+            if len(self.heads) < HEADS:
+                self.heads[head] = known
+        first, inner = known
+        if first or inner:
+            if is_plain(token):
+                return first and token in self.opening, inner and token in self.inside
+            first = first and bool(self.restorer.starts["", token])
+            inner = inner and bool(spelled(token, "", self.inside))
+        return first, inner
+
     def told(self, token: str) -> tuple[tuple[str, ...], bool, bool, bool]:
         """Of a token: its telling words, whether it is single, and may begin or continue a telling word."""
-        if token in self.seen:
-            return self.seen[token]
-        core = core_of(token)
-        words: tuple[str, ...] = ()
-        if not self.restorer.is_noisy(core):
-            words = tuple(w for w in core.split() if self.tells(w))
-        elif self.may_tell(core):
-            words = tuple(w for w in self.restorer.decode(core).split() if self.tells(w))
-        first = inner = False
-        if self.telling:
-            if is_plain(token):
-                first, inner = token in self.restorer.starts.begun, token in self.inside
-            else:
-                first = bool(self.restorer.starts["", token])
-                inner = bool(spelled(token, "", self.inside | {""}))
-        return self.seen.keep(token, (words, is_single(token), first, inner), len(token) + 40)
+        core = token if token.isalpha() else token.rstrip(CLOSING)
+        if not core.isalpha():
+            core = core_of(token)
+        return self.words_of(core), is_single(token), *self.place_of(token)
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         out, at = np.zeros(len(texts)), 0
