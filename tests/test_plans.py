@@ -10,6 +10,7 @@ from tidyloom.plans import PlanCleaner, fallback_plan, fixed_plan, policy, raw_p
 from tidyloom.operators.sampling import assign_folds
 from tidyloom.plans.evaluate import cross_validate
 from tidyloom.plans.fold_statistics import fold_scores
+from tidyloom.plans import runner
 from tidyloom.plans.model import PlanModel
 from tidyloom.plans.normalise import plan_actions, plan_notes
 from tidyloom.plans.search import search_preparation
@@ -359,6 +360,58 @@ def test_load_raw(spark):
         load_raw(df, "absent", "regression", "id")
 
 
+SIX = {
+    "actions": [
+        {"action": "fix_column_names"},
+        {"action": "normalize_text", "params": {"columns": ["kind"], "ops": ["strip", "lower"]}},
+        {"action": "cast_type", "params": {"columns": ["n"], "dtype": "int", "errors": "coerce"}},
+        {"action": "handle_missing", "params": {"columns": ["n"], "strategy": "drop_rows"}},
+        {"action": "deduplicate"},
+        {"action": "drop_column", "params": {"columns": ["spare"]}},
+    ]
+}
+
+
+def test_audit_reads_the_source_once(spark):
+    """Six steps with counts: one pass over the rows, and the same records as step by step."""
+    rows = [(i % 40, f" Kind{i % 3} " if i % 2 else "kind", str(i % 40) if i % 4 else "no", 1) for i in range(200)]
+    df = spark.createDataFrame(rows, "ID long, Kind string, N string, Spare int").repartition(5)
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    out, log = run_plan(df.mapInArrow(count, df.schema), SIX)
+    assert read.value == 200
+    assert out.count() == 70 and read.value == 200  # the table is stored
+    found = {s["action_name"]: s for s in log.steps}
+    assert all(s["status"] == "applied" for s in log.steps)
+    assert found["normalize_text"]["diff_summary"]["values_changed_count"] == {"kind": 100}
+    assert found["cast_type"]["diff_summary"]["invalid_values_coerced"] == {"n": 50}
+    assert len(found["cast_type"]["warnings"]) == 1 and found["drop_column"]["warnings"] == []
+    assert found["handle_missing"]["diff_summary"]["dropped_rows"] == 50
+    counts = [found["deduplicate"]["diff_summary"][f"rows_{k}"] for k in ("before", "after", "removed")]
+    assert counts == [150, out.count(), 150 - out.count()]
+    _, slow = runner._run(df, SIX, "", None, False, True)
+    for a, b in zip(log.steps, slow.steps):
+        assert {k: v for k, v in a.items() if k != "timestamp"} == {k: v for k, v in b.items() if k != "timestamp"}
+
+
+def test_audit_of_failing_steps(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (2, "b")], "n long, s string")
+    steps = [
+        {"action": "cast_type", "params": {"columns": ["s"], "dtype": "when"}},
+        {"action": "deduplicate", "params": {"subset": ["n"]}},
+        {"action": "deduplicate", "params": {"subset": ["n"], "keep": "none"}},
+    ]
+    out, log = run_plan(df, {"actions": steps})
+    assert [s["status"] for s in log.steps] == ["failed", "failed", "applied"]
+    assert log.steps[2]["diff_summary"]["duplicate_key_examples"] == [{"n": 2, "n_rows": 2}]
+    assert [r["n"] for r in out.collect()] == [1]
+
+
 # ---------------------------------------------------------------- models
 @pytest.mark.parametrize("model", ["logreg", "rf", "gbm", "knn"])
 def test_cross_validation_learns(spark, model):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidyloom.functions.scalar import col, is_numeric, is_text
 from tidyloom.operators.aggregates import exact_quantiles, missing_counts, one_row, value_counts
+from tidyloom.operators.audit import Tally, counted
 from tidyloom.operators.chained import apply_chained, fit_chained
 from tidyloom.operators.columns import resolve_names
 
@@ -61,7 +62,7 @@ def drop_rows(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.na.drop(how="any", subset=columns)
 
 
-def handle_missing(df: DataFrame, params: dict, audit: bool = True):
+def handle_missing(df: DataFrame, params: dict, audit: bool | Tally = True):
     """Drop incomplete rows, or impute numeric and categorical columns.
 
     ``impute.numeric`` is honoured: ``median``, ``mean`` or chained (default).
@@ -72,13 +73,11 @@ def handle_missing(df: DataFrame, params: dict, audit: bool = True):
     if not params.get("columns"):
         return df, diff, []
     if strategy == "drop_rows":
-        out = drop_rows(df, wanted)
-        if audit:
-            whole = F.lit(True)
-            for c in wanted:
-                whole = whole & col(c).isNotNull()
-            diff["dropped_rows"] = one_row(df, {"n": F.count_if(~whole)})["n"]
-        return out, diff, []
+        whole = F.lit(True)
+        for c in wanted:
+            whole = whole & col(c).isNotNull()
+        df = counted(df, {"dropped_rows": F.count_if(~whole)}, audit, diff.update)
+        return drop_rows(df, wanted), diff, []
     if strategy not in (*CHAINED, "median", "mean"):
         raise ValueError(f"handle_missing: unknown strategy '{strategy}'")
 

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidyloom.functions.scalar import nan_to_null
+from tidyloom.operators.audit import Tally
 from tidyloom.operators.columns import (
     cast_type,
     choose_columns,
@@ -118,7 +119,7 @@ def complete_params(action: dict, df: DataFrame, target: str | None) -> tuple[di
     return params, invented
 
 
-def _execute(name: str, df: DataFrame, params: dict, target: str | None, audit: bool):
+def _execute(name: str, df: DataFrame, params: dict, target: str | None, audit: bool | Tally):
     if name in EAGER:
         return EAGER[name](df, params, audit)
     handler = registered(name)
@@ -139,13 +140,28 @@ def run_plan(
 ) -> tuple[DataFrame, ProvenanceLog]:
     """Apply a plan; an action that does not fit its table is logged and left out.
 
-    ``audit=False`` skips the counting jobs and keeps the frame lazy.
+    The records' counts are taken by one job over the finished table, which is
+    stored in the checkpoint folder. If that job fails by a step's fault, the plan
+    is run again with counts after each step, which tells the step.
+    ``audit=False`` counts nothing and keeps the frame lazy.
     """
+    if not audit:
+        return _run(df, plan, dataset_id, target, reorder, False)
+    try:
+        return _run(df, plan, dataset_id, target, reorder, Tally())
+    except BAD_STEP:
+        return _run(df, plan, dataset_id, target, reorder, True)
+
+
+def _run(
+    df: DataFrame, plan: dict, dataset_id: str, target: str | None, reorder: bool, audit: bool | Tally
+) -> tuple[DataFrame, ProvenanceLog]:
     log = ProvenanceLog()
     current = nan_to_null(df)
     actions = [a for a in plan.get("actions") or [] if a and a.get("action")]
     if reorder:
         actions = in_canonical_order(actions)
+    late: list[tuple[dict, list[str], list[str]]] = []
     for i, action in enumerate(actions, start=1):
         name = action["action"]
         entry = {
@@ -155,6 +171,9 @@ def run_plan(
             "rationale": action.get("rationale", ""),
             "before_schema": schema_of(current),
         }
+        waiting = len(audit.waiting) if isinstance(audit, Tally) else 0
+        notes: list[str] = []
+        warned: list[str] = []
         try:
             params, invented = complete_params(action, current, target)
             notes = [f"unknown columns discarded: {invented}"] if invented else []
@@ -164,19 +183,24 @@ def run_plan(
                 log.add_step(log_step(**entry))
                 continue
             after, diff, warned = _execute(name, current, params, target, audit)
-            entry |= {
-                "status": "applied",
-                "after_schema": schema_of(after),
-                "diff_summary": diff,
-                "warnings": notes + warned,
-            }
+            entry |= {"status": "applied", "after_schema": schema_of(after), "diff_summary": diff, "warnings": notes}
             current = after
             if name == "fix_column_names" and target is not None:
                 target = standard_name(target)
         except BAD_STEP as error:
+            if isinstance(audit, Tally):
+                # Counters of a step that is left out are never run.
+                del audit.waiting[waiting:]
             entry.setdefault("params", action.get("params") or {})
             entry |= {"status": "failed", "error": str(error)}
-        log.add_step(log_step(**entry))
+        step = log_step(**entry)
+        log.add_step(step)
+        if step["status"] == "applied":
+            late.append((step, notes, warned))
+    if isinstance(audit, Tally):
+        current = audit.settle(current)
+    for step, notes, warned in late:
+        step["warnings"] = notes + warned
     return current, log
 
 
