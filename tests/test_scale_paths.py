@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidyloom.operators.gram import correlations
-from tidyloom.operators import chained, encode, metrics, missing, neighbors, numeric, profile, ranking, sampling
+from tidyloom.operators import aggregates, chained, dedup, encode, metrics, missing, neighbors, numeric, profile, ranking, sampling
 from tidyloom.operators.aggregates import exact_quantiles, order_statistics
 
 
@@ -444,3 +444,40 @@ def test_infrastructure_errors_stop_a_plan(spark, monkeypatch):
     monkeypatch.setitem(EAGER, "deduplicate", lost)
     with pytest.raises(ConnectionError):
         run_plan(spark.range(3), {"actions": [{"action": "deduplicate"}]}, audit=False)
+
+
+# ---------------------------------------------------------------- values by digest
+def test_values_found_by_digest(spark, monkeypatch):
+    """Long, alike, tied, unique and missing values: the same as from the values themselves."""
+    monkeypatch.setattr(aggregates, "FETCH_LIMIT", 5)
+    rng = np.random.default_rng(5)
+    long = [f"https://example.org/a/very/long/path/{i:04d}" for i in range(60)]
+    rows = []
+    for i in range(400):
+        rows.append((
+            long[i % 60], f"row {i:05d} " * 20, ["b", "a", "é", "Ünder", "𝔄"][int(rng.integers(5))], None if i % 3 else long[i % 7],
+            float(rng.integers(30)), None, "x" * 40 if i % 2 else "y" * 40, i % 2 == 0,
+        ))
+    df = spark.createDataFrame(rows, "url string, text string, `k.1` string, gaps string, n double, void string, two string, flag boolean")
+    cols = df.columns
+    digests = aggregates.digest_counts(df, cols)
+    counts = {}
+    for r in aggregates.value_counts(df, cols).where("value IS NOT NULL").collect():
+        counts.setdefault(r["column"], {})[r["value"]] = r["n"]
+    figures = {r["column"]: (r["n_unique"], r["top_count"], r["n_values"]) for r in aggregates.value_figures(digests).collect()}
+    assert figures == {c: (len(v), max(v.values()), sum(v.values())) for c, v in counts.items()}
+    order = lambda v: v.encode()
+    for k in (1, 3, 8):
+        small = aggregates.smallest_values(df, digests, cols, k)
+        assert small == {c: sorted(counts.get(c, {}), key=order)[:k] for c in cols}
+    top = aggregates.top_values(df, digests, cols)
+    assert top == {c: min(v.items(), key=lambda x: (-x[1], order(x[0]))) for c, v in counts.items()}
+    plan = spark._jvm.PythonSQLUtils.explainString(digests._jdf.queryExecution(), "formatted")
+    moved = [part for part in plan.split("\n\n") if ") Exchange" in part]
+    assert moved and not any("value#" in part for part in moved)
+
+
+def test_duplicate_rows_by_digest(spark):
+    rows = [(None, "a"), ("a", None), ("a", None), (None, None), (None, None), (None, None), ("a", "a"), ("aa", ""), ("a", "a")]
+    df = spark.createDataFrame(rows, "x string, `y.z` string")
+    assert dedup.duplicate_row_count(df).first()["duplicate_rows"] == 4

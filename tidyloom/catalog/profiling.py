@@ -297,7 +297,7 @@ def audit_text_counts(spark, d):
     s AS (SELECT max(n) / sum(n) AS share, count(*) AS k FROM c)
     SELECT CAST(0 AS INTEGER) AS position, 'check_target_distribution' AS code,
            CASE WHEN share >= 0.9 THEN 'critical' WHEN share >= 0.7 THEN 'warning' ELSE 'info' END AS severity,
-           format('Target appears categorical (nunique={}). Max class share is {:.2f}.', k, share) AS message,
+           format('the target has {} classes, the largest with {:.0f} % of the rows', k, 100 * share) AS message,
            round(share, 8) AS max_share
     FROM s
     """,

@@ -179,6 +179,109 @@ def value_counts(df: DataFrame, cols: list[str]) -> DataFrame:
     return long_form(df, cols).groupBy("column", "value").agg(F.count("*").alias("n"))
 
 
+# ---------------------------------------------------------------- values by digest
+#: Bytes of a value that travel with its digest.
+HEAD = 16
+#: Values that are fetched at once, per column.
+FETCH_LIMIT = 200
+
+
+def _digest(value: Column) -> tuple[Column, Column]:
+    return F.xxhash64(value), F.xxhash64(F.lit(1), value)
+
+
+def digest_counts(df: DataFrame, cols: list[str]) -> DataFrame:
+    """``column, h1, h2, n, head, size``: a row per distinct value other than NULL.
+
+    Values are told apart by 128 bits; the first bytes and the length come along, so
+    whatever is shuffled has a fixed size, however long the texts are.
+    """
+    h1, h2 = _digest(F.col("value"))
+    head = F.substring(F.encode("value", "UTF-8"), 1, HEAD)
+    cells = long_form(df, cols).where(F.col("value").isNotNull())
+    cells = cells.select("column", h1.alias("h1"), h2.alias("h2"), head.alias("head"), F.octet_length("value").alias("size"))
+    return cells.groupBy("column", "h1", "h2").agg(
+        F.count("*").alias("n"), F.min("head").alias("head"), F.min("size").alias("size")
+    )
+
+
+def value_figures(digests: DataFrame) -> DataFrame:
+    """``column, n_unique, top_count, n_values``: distinct values, rows of the most frequent one, rows."""
+    return digests.groupBy("column").agg(
+        F.count("*").alias("n_unique"), F.max("n").alias("top_count"), F.sum("n").alias("n_values")
+    )
+
+
+def _fetched(df: DataFrame, wanted: list) -> dict[tuple[str, int, int], str]:
+    """The values of some digests; long ones by one more scan, a minimum each."""
+    short = {(r["column"], r["h1"], r["h2"]): bytes(r["head"]).decode("utf-8", "replace") for r in wanted if r["size"] <= HEAD}
+    exprs = {}
+    for r in wanted:
+        if r["size"] > HEAD:
+            value = col(r["column"]).cast("string")
+            h1, h2 = _digest(value)
+            key = r["column"], r["h1"], r["h2"]
+            exprs[key] = F.min(F.when((h1 == F.lit(r["h1"])) & (h2 == F.lit(r["h2"])), value))
+    return short | (one_row(df, exprs) if exprs else {})
+
+
+def smallest_values(df: DataFrame, digests: DataFrame, cols: list[str], k: int) -> dict[str, list[str]]:
+    """The ``k`` smallest distinct values of each column, found by their first bytes.
+
+    Columns with very many values that begin alike are asked for the values themselves.
+    """
+    from tidyloom.operators.ranking import smallest
+
+    order = [F.asc("head"), F.asc("size"), F.asc("h1"), F.asc("h2")]
+    some = smallest(digests, ["column"], order, max(k, FETCH_LIMIT) + 1).collect()
+    found, crowded = _smallest_of(df, some, cols, k, max(k, FETCH_LIMIT))
+    if crowded:
+        rows = smallest(value_counts(df, crowded).where(F.col("value").isNotNull()), ["column"], [F.asc("value")], k).collect()
+        found |= {c: sorted(r["value"] for r in rows if r["column"] == c) for c in crowded}
+    return found
+
+
+def _smallest_of(df: DataFrame, rows: list, cols: list[str], k: int, limit: int) -> tuple[dict, list[str]]:
+    wanted, crowded = [], []
+    for c in cols:
+        own = sorted((r for r in rows if r["column"] == c), key=lambda r: bytes(r["head"]))
+        last = bytes(own[min(k, len(own)) - 1]["head"]) if own and k else b""
+        # Values that begin like the last one wanted compete with it.
+        near = [r for r in own if bytes(r["head"]) <= last] if k else []
+        if len(near) > limit:
+            crowded.append(c)
+        else:
+            wanted += near
+    values = _fetched(df, wanted)
+    found: dict[str, list[str]] = {c: [] for c in cols if c not in crowded}
+    for (c, _, _), v in values.items():
+        found[c].append(v)
+    return {c: sorted(v)[:k] for c, v in found.items()}, crowded
+
+
+def top_values(df: DataFrame, digests: DataFrame, cols: list[str]) -> dict[str, tuple[str, int]]:
+    """The most frequent value of each column and its rows, ties to the smallest; NULL counts for nothing."""
+    from tidyloom.operators.ranking import smallest
+
+    rows = smallest(digests, ["column"], [F.desc("n"), F.asc("head"), F.asc("size"), F.asc("h1"), F.asc("h2")], FETCH_LIMIT + 1).collect()
+    most = {c: max((r["n"] for r in rows if r["column"] == c), default=0) for c in cols}
+    tied = [r for r in rows if r["n"] == most[r["column"]]]
+    # Where all values are different, the smallest of all is wanted.
+    unlike = [c for c in cols if most[c] == 1 and sum(r["column"] == c for r in tied) > FETCH_LIMIT]
+    out = {}
+    if unlike:
+        least = one_row(df, {c: F.min(col(c).cast("string")) for c in unlike})
+        out = {c: (least[c], 1) for c in unlike}
+    found, crowded = _smallest_of(df, tied, [c for c in cols if most[c] and c not in out], 1, FETCH_LIMIT)
+    out |= {c: (v[0], most[c]) for c, v in found.items()}
+    if crowded:
+        best = value_counts(df, crowded).where(F.col("value").isNotNull()).groupBy("column").agg(
+            F.min(F.struct((-F.col("n")).alias("n"), "value")).alias("b")
+        )
+        out |= {r["column"]: (r["b"]["value"], -r["b"]["n"]) for r in best.collect()}
+    return out
+
+
 def missing_counts(df: DataFrame, cols: list[str] | None = None) -> tuple[int, dict[str, int]]:
     cols = list(df.columns if cols is None else cols)
     exprs = {"*": F.count(F.lit(1))} | {c: F.count(col(c)) for c in cols}

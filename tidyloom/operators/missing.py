@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidyloom.functions.scalar import col, is_numeric, is_text
-from tidyloom.operators.aggregates import exact_quantiles, missing_counts, one_row, value_counts
+from tidyloom.operators.aggregates import digest_counts, exact_quantiles, missing_counts, one_row, top_values
 from tidyloom.operators.audit import Tally, counted
 from tidyloom.operators.chained import apply_chained, fit_chained
 from tidyloom.operators.columns import resolve_names
+from tidyloom.session import cut_lineage
 
 CHAINED = ("impute", "mice", "iterative")
 
@@ -28,18 +29,11 @@ def fit_center(df: DataFrame, cols: list[str], strategy: str, empty=0.0) -> dict
 
 
 def fit_mode(df: DataFrame, cols: list[str], empty: str = "MISSING") -> dict[str, str]:
-    """Most frequent value per column, ties to the smallest; counted with map-side combine."""
+    """Most frequent value per column, ties to the smallest; counted by digest with map-side combine."""
     if not cols:
         return {}
-    best = (
-        value_counts(df, cols)
-        .where(F.col("value").isNotNull())
-        .groupBy("column")
-        .agg(F.min(F.struct((-F.col("n")).alias("n"), "value")).alias("best"))
-        .select("column", "best.value")
-        .collect()
-    )
-    return {c: empty for c in cols} | {r["column"]: r["value"] for r in best}
+    found = top_values(df, cut_lineage(digest_counts(df, cols)), cols)
+    return {c: found[c][0] if c in found else empty for c in cols}
 
 
 def fill(df: DataFrame, values: dict) -> DataFrame:

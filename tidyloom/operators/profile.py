@@ -7,10 +7,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidyloom.functions.scalar import col, is_numeric, is_text, text_columns
-from tidyloom.operators.aggregates import exact_quantiles, missing_counts, one_row, value_counts
+from tidyloom.operators.aggregates import (
+    digest_counts,
+    exact_quantiles,
+    missing_counts,
+    one_row,
+    smallest_values,
+    top_values,
+    value_figures,
+)
 from tidyloom.operators.dedup import duplicate_row_count
 from tidyloom.operators.numeric import outlier_cells
-from tidyloom.operators.ranking import smallest
+from tidyloom.session import cut_lineage
 
 _SIMPLE = (T.NumericType, T.StringType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
 
@@ -20,19 +28,18 @@ def profiled_columns(df: DataFrame) -> list[str]:
 
 
 def distinct_counts(df: DataFrame, cols: list[str], approx: bool = False) -> DataFrame:
-    """``column, n_unique``: exact through one pre-aggregated shuffle, or a sketch."""
+    """``column, n_unique``: exact through one pre-aggregated shuffle of digests, or a sketch."""
     if approx:
         got = one_row(df, {c: F.approx_count_distinct(col(c)) for c in cols})
         return df.sparkSession.createDataFrame(list(got.items()), "column string, n_unique bigint")
-    counts = value_counts(df, cols).where(F.col("value").isNotNull())
-    return counts.groupBy("column").agg(F.count("*").alias("n_unique"))
+    return value_figures(digest_counts(df, cols)).select("column", "n_unique")
 
 
 def profile_columns(df: DataFrame, max_examples: int = 5, approx: bool = False) -> DataFrame:
     """One row per column: type, missing, distinct, samples, flags and numeric summary.
 
     Counts and moments of all columns come from one aggregate. Distinct counts
-    and the (smallest) sample values share one shuffle of pre-aggregated values.
+    and the (smallest) sample values share one shuffle of pre-aggregated digests.
     """
     spark = df.sparkSession
     cols = profiled_columns(df)
@@ -74,16 +81,10 @@ def profile_columns(df: DataFrame, max_examples: int = 5, approx: bool = False)
         "position int, name string, dtype string, missing_count bigint, missing_ratio double, "
         "is_numeric boolean, is_text boolean, min double, max double, mean double, median double",
     )
-    counts = value_counts(df, cols).where(F.col("value").isNotNull())
-    if approx:
-        distinct = distinct_counts(df, cols, approx=True)
-    else:
-        distinct = counts.groupBy("column").agg(F.count("*").alias("n_unique"))
-    samples = (
-        smallest(counts, ["column"], [F.asc("value")], max_examples)
-        .groupBy("column")
-        .agg(F.sort_array(F.collect_list("value")).alias("sample_values"))
-    )
+    digests = cut_lineage(digest_counts(df, cols))
+    distinct = distinct_counts(df, cols, approx=True) if approx else value_figures(digests).select("column", "n_unique")
+    found = list(smallest_values(df, digests, cols, max_examples).items())
+    samples = spark.createDataFrame(found, "column string, sample_values array<string>")
     facts = distinct.join(samples, "column", "left").withColumnRenamed("column", "name")
     n_unique = F.coalesce("n_unique", F.lit(0))
     return (
@@ -157,15 +158,11 @@ def describe(df: DataFrame) -> DataFrame:
         return numbers.withColumns(
             {"unique": null.cast("bigint"), "top": null.cast("string"), "freq": null.cast("bigint")}
         )
-    counts = value_counts(df, others).where(F.col("value").isNotNull())
-    top = counts.groupBy("column").agg(
-        F.count("*").alias("unique"),
-        F.min(F.struct((-F.col("n")).alias("n"), "value")).alias("b"),
-    )
-    top = top.select(
-        F.col("column").alias("name"), "unique", F.col("b.value").alias("top"), (-F.col("b.n")).alias("freq")
-    )
-    return numbers.join(top, "name", "left")
+    digests = cut_lineage(digest_counts(df, others))
+    best = [(c, *v) for c, v in top_values(df, digests, others).items()]
+    top = spark.createDataFrame(best, "name string, top string, freq bigint")
+    unique = value_figures(digests).select(F.col("column").alias("name"), F.col("n_unique").alias("unique"))
+    return numbers.join(unique.join(top, "name", "left"), "name", "left")
 
 
 def cardinality(df: DataFrame) -> DataFrame:
