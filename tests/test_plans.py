@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidyloom.plans import PlanCleaner, fallback_plan, fixed_plan, policy, raw_plan, register_action, run_fixed, run_plan
 from tidyloom.operators.sampling import assign_folds
-from tidyloom.plans.evaluate import cross_validate
+from tidyloom.plans.evaluate import class_codes, cross_validate, fold_predictions
 from tidyloom.plans.fold_statistics import fold_scores
 from tidyloom.plans import runner
 from tidyloom.plans.model import PlanModel
@@ -17,7 +17,7 @@ from tidyloom.plans.search import search_preparation
 from tidyloom.session import ensure_checkpoint_dir
 from tidyloom.sources.documents import close_brackets, read_context_files, read_plan_files, recover_json
 from tidyloom.sources import detect_separator, load_raw, read_csv
-from tidyloom.streaming import clean_stream, dedup_stream, write_stream
+from tidyloom.streaming import clean_stream, dedup_stream, last_profile, profile_stream, write_stream
 
 PLAN = {
     "actions": [
@@ -428,6 +428,31 @@ def test_cross_validation_learns(spark, model):
         assert row["roc_auc"] > 0.7
 
 
+def test_boosting_over_three_classes(spark):
+    """Probabilities of every class, and the ROC AUC by counting pairs."""
+    rng = np.random.default_rng(2)
+    v = rng.random(150)
+    kind = np.where(v + rng.normal(0, 0.15, 150) < 0.3, "a", np.where(v + rng.normal(0, 0.15, 150) < 0.6, "b", "c"))
+    df = spark.createDataFrame([(i, float(x), float(rng.random()), str(k)) for i, (x, k) in enumerate(zip(v, kind))], "id long, v double, w double, y string")
+    options = {"rounds": 3}
+    placed = assign_folds(df, "id", "y", 2).persist()
+    classes = class_codes(placed, "y")
+    scores = []
+    for fold in (0, 1):
+        rows = fold_predictions(placed, fold, "id", "y", "classification", None, "gbm", None, options, classes).collect()
+        for r in rows:
+            assert sorted(r["share"]) == [0, 1, 2] and sum(r["share"].values()) == pytest.approx(1)
+            assert r["share"][int(r["prediction"])] == max(r["share"].values())
+        total = 0.0
+        for c in range(3):
+            good, bad = ([r["share"][c] for r in rows if (r["label"] == c) == own] for own in (True, False))
+            total += len(good) / len(rows) * np.mean([(g > b) + 0.5 * (g == b) for g in good for b in bad])
+        scores.append(total)
+    row = cross_validate(df, "id", "y", "classification", None, "gbm", None, options, folds=2).first()
+    assert row["roc_auc"] == pytest.approx(np.mean(scores), abs=1e-9) and row["roc_auc"] > 0.75
+    placed.unpersist()
+
+
 def test_preparation_search(spark):
     df = spark.range(80).select("id", (F.col("id") % 7).cast("double").alias("v"), (F.col("id") % 7 * 2.0).alias("y"))
     space = {"missing_num": ["median"], "scaling": ["none", "minmax"], "feat_sel": ["none", "variance"]}
@@ -510,6 +535,50 @@ def test_stream(spark, raw, tmp_path):
         clean_stream(raw, model)
 
 
+def test_stream_profile_equals_the_table(spark, tmp_path):
+    """Many batches, a restart from the checkpoint, and a repeated batch: each row counts once."""
+    from tidyloom.streaming import profile as sp
+
+    rng = np.random.default_rng(6)
+    rows = [(int(i), None if i % 7 == 0 else float(rng.normal(1e6, 2.0)), None if i % 5 else f"t{i % 13}", None) for i in range(900)]
+    schema = "id long, `v.x` double, t string, void int"
+    parts = [rows[:10], rows[10:400], [], rows[400:], [(1, None, None, None)] * 3]
+    source, state, check = (str(tmp_path / n) for n in ("in", "state", "check"))
+
+    def add(part):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(source)
+
+    def go():
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+        profile_stream(stream, state, check).awaitTermination()
+
+    for part in parts[:2]:
+        add(part)
+    go()
+    for part in parts[2:]:
+        add(part)
+    go()
+    batches = sp.stored_batches(spark, state)
+    assert len(batches) == sp.KEPT_STATES and batches[-1] >= 3
+    want = spark.createDataFrame([r for p in parts for r in p], schema)
+    whole = {r["column"]: r for r in sp.profile_of(sp.batch_state(want)).collect()}
+    got = {r["column"]: r for r in last_profile(spark, state).collect()}
+    assert set(got) == set(want.columns)
+    for c, r in got.items():
+        for name in ("n_rows", "n_missing", "missing_share", "min_value", "max_value", "min", "max"):
+            assert r[name] == whole[c][name], (c, name)
+        assert r["distinct_estimate"] == pytest.approx(whole[c]["distinct_estimate"], rel=0.03)
+        for name in ("mean", "sd"):
+            assert r[name] == (whole[c][name] if whole[c][name] is None else pytest.approx(whole[c][name], rel=1e-9))
+    assert got["v.x"]["sd"] == pytest.approx(2.0, rel=0.1) and got["void"]["n_missing"] == 903
+    # A batch that is repeated starts from the state before it and gives the same again.
+    before = spark.read.schema(sp.STATE).parquet(sp._path(state, batches[-2]))
+    assert before.agg(F.max("n_rows")).first()[0] < 903
+    with pytest.raises(ValueError):
+        profile_stream(want, state, check)
+    assert last_profile(spark, str(tmp_path / "none")).collect() == []
+
+
 def test_stream_duplicates(spark, tmp_path):
     rows = spark.range(20).select((F.col("id") % 5).alias("k"), F.timestamp_seconds("id").alias("ts"))
     rows.coalesce(1).write.parquet(str(tmp_path / "in"))

@@ -481,3 +481,28 @@ def test_duplicate_rows_by_digest(spark):
     rows = [(None, "a"), ("a", None), ("a", None), (None, None), (None, None), (None, None), ("a", "a"), ("aa", ""), ("a", "a")]
     df = spark.createDataFrame(rows, "x string, `y.z` string")
     assert dedup.duplicate_row_count(df).first()["duplicate_rows"] == 4
+
+
+@pytest.mark.parametrize("method", ["mean", "median", "chained"])
+def test_imputation_errors_at_all_rates(spark, method):
+    """Each column and rate by itself: gaps injected, the table fitted and filled."""
+    rng = np.random.default_rng(8)
+    base = rng.normal(0, 1, (300, 2))
+    data = np.column_stack([base[:, 0] * 3 + 1e4, base @ [1, 2] + rng.normal(0, 0.1, 300), rng.exponential(2, 300)])
+    pdf = pd.DataFrame(data, columns=["a", "b", "c d"])
+    pdf.insert(0, "id", np.arange(300))
+    df = spark.createDataFrame(pdf).repartition(5)
+    cols, rates = ["a", "b", "c d"], [0.2, 0.01, 0.1]
+    got = {(r["column"], r["missing_rate"]): r for r in sampling.imputation_errors(df, cols, "id", rates, method).collect()}
+    assert len(got) == 9
+    for c in cols:
+        for rate in rates:
+            gaps = sampling.inject_missing(df, c, "id", rate)
+            if method == "chained":
+                filled = chained.apply_chained(gaps, chained.fit_chained(gaps, cols), closed_form=True)
+            else:
+                filled = missing.fill(gaps, missing.fit_center(gaps, [c], method))
+            assert got[c, rate]["n_injected"] == int(300 * rate)
+            assert got[c, rate]["mae"] == pytest.approx(sampling.imputation_error(filled, c), rel=1e-6)
+    with pytest.raises(ValueError):
+        sampling.imputation_errors(df, cols, "id", rates, "guess")

@@ -89,38 +89,20 @@ def _inject_sql() -> str:
 @query("imputation_mae", _inject_sql())
 def imputation_mae(spark, d):
     """Mean imputation error over injected gaps, per column and rate."""
-    from tidyloom.operators.missing import fill, fit_center
-
     df = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
-    rows = []
-    for c in sampling.complete_numeric(df, ["o_custkey", "o_totalprice"]):
-        for rate in _RATES:
-            gaps = sampling.inject_missing(df, c, "o_orderkey", rate)
-            filled = fill(gaps, fit_center(gaps, [c], "mean"))
-            n = gaps.where("__injected").count()
-            rows.append((c, rate, n, sampling.imputation_error(filled, c)))
-    out = spark.createDataFrame(
-        rows, "column string, missing_rate double, n_injected bigint, mae_mean double"
-    )
-    return rounded(out, mae_mean=4)
+    cols = sampling.complete_numeric(df, ["o_custkey", "o_totalprice"])
+    out = sampling.imputation_errors(df, cols, "o_orderkey", list(_RATES))
+    return rounded(out.withColumnRenamed("mae", "mae_mean"), mae_mean=4)
 
 
 @query("imputation_mae_chained")
 def imputation_mae_chained(spark, d):
     """The same with chained imputation from the other numeric columns."""
-    from tidyloom.operators.chained import apply_chained, fit_chained
-
     df = table(spark, d, "lineitem").selectExpr(
         "l_orderkey * 8 + l_linenumber AS k", "l_quantity", "l_extendedprice", "l_discount"
     )
-    rows = []
     cols = sampling.complete_numeric(df, ["l_quantity", "l_extendedprice", "l_discount"])
-    for c in cols:
-        for rate in _RATES:
-            gaps = sampling.inject_missing(df, c, "k", rate)
-            filled = apply_chained(gaps, fit_chained(gaps, cols), closed_form=True)
-            rows.append((c, rate, sampling.imputation_error(filled, c)))
-    return spark.createDataFrame(rows, "column string, missing_rate double, mae double")
+    return sampling.imputation_errors(df, cols, "k", list(_RATES), "chained").drop("n_injected")
 
 
 @query(

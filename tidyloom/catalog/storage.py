@@ -18,7 +18,7 @@ from tidyloom.plans.model import PlanModel
 from tidyloom.session import ensure_checkpoint_dir
 from tidyloom.sources import cached_table, load_raw, preview, read_csv, scan_results, write_csv, write_json
 from tidyloom.sources.tables import SEPARATORS
-from tidyloom.streaming import clean_stream, write_stream
+from tidyloom.streaming import clean_stream, dedup_stream, last_profile, profile_stream, write_stream
 
 
 def _folder(spark, name: str) -> str:
@@ -173,3 +173,50 @@ def stream_clean(spark, d):
     out = _folder(spark, "stream")
     write_stream(stream, out, f"{out}-checkpoint").awaitTermination()
     return rounded(spark.read.parquet(out), o_totalprice=6)
+
+
+_FIRST_SEEN = "user_id, event_type"
+
+
+@query("stream_dedup", f"SELECT DISTINCT {_FIRST_SEEN} FROM events")
+def stream_dedup(spark, d):
+    """Kinds of events of each user as they come, once each within the watermark's hundred years."""
+    schema = table(spark, d, "events").schema
+    source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    keys = _FIRST_SEEN.split(", ")
+    out = _folder(spark, "first-seen")
+    timed = source.withColumn("ts", F.col("ts").cast("timestamp"))
+    seen = dedup_stream(timed, "ts", "36500 days", keys).select(*keys)
+    write_stream(seen, out, f"{out}-checkpoint").awaitTermination()
+    return spark.read.schema(seen.schema).parquet(out)
+
+
+_STREAM_PROFILE = {"o_totalprice": "DOUBLE", "o_orderpriority": "VARCHAR", "o_orderstatus": "VARCHAR", "o_custkey": "BIGINT"}
+
+
+def _profile_sql(c: str, kind: str) -> str:
+    number = kind != "VARCHAR"
+    stats = [f"{f}({c}::DOUBLE)" if number else "NULL::DOUBLE" for f in ("min", "max", "avg", "stddev_pop")]
+    return (
+        f"SELECT '{c}' AS \"column\", count(*) AS n_rows, count(*) - count({c}) AS n_missing, "
+        f"round((count(*) - count({c})) / count(*), 8) AS missing_share, "
+        + ("NULL::VARCHAR AS min_value, NULL::VARCHAR AS max_value, " if number else f"min({c}) AS min_value, max({c}) AS max_value, ")
+        + f"{stats[0]} AS min, {stats[1]} AS max, round({stats[2]}, 4) AS mean, round({stats[3]}, 4) AS sd FROM t"
+    )
+
+
+@query(
+    "stream_profile",
+    f"WITH t AS ({DIRTY_ORDERS_SQL}) " + " UNION ALL ".join(_profile_sql(*c) for c in _STREAM_PROFILE.items()),
+)
+def stream_profile(spark, d):
+    """The last state of a profile kept up over a stream of the dirty orders."""
+    from tidyloom.catalog.common import DIRTY_ORDERS
+
+    source = spark.readStream.schema(table(spark, d, "orders").schema).option("pathGlobFilter", "orders.parquet").parquet(d)
+    out = _folder(spark, "profile")
+    profile_stream(source.selectExpr(*DIRTY_ORDERS).select(*_STREAM_PROFILE), out, f"{out}-checkpoint").awaitTermination()
+    found = last_profile(spark, out).drop("distinct_estimate")
+    number = F.col("min").isNotNull()
+    texts = {c: F.when(~number, F.col(c)) for c in ("min_value", "max_value")}
+    return rounded(found.withColumns(texts), missing_share=8, mean=4, sd=4)

@@ -139,13 +139,20 @@ def fit_chained(
     if got["patterns"] > max_patterns:
         return _fit_many_patterns(df, state, order, rounds, tol * widest, reach)
 
-    moments = _pattern_moments(df, cols, means)
+    return _fit_patterns(state, _pattern_moments(df, cols, means), order, rounds, tol * widest, reach)
+
+
+def _fit_patterns(
+    state: dict, moments: dict[str, np.ndarray], order: list[int], rounds: int, enough: float, reach: np.ndarray
+) -> dict:
+    """The rounds on sums of products by pattern, all on small matrices."""
+    width = len(state["columns"]) + 1
     maps = {m: _start_map(m) for m in moments}
     grams = {m: maps[m] @ s @ maps[m].T for m, s in moments.items()}
     for _ in range(rounds):
         before = {m: a.copy() for m, a in maps.items()}
         for j in order:
-            others = [k for k in range(1, len(cols) + 1) if k != j]
+            others = [k for k in range(1, width) if k != j]
             seen = [g for m, g in grams.items() if m[j - 1] == "0"]
             coef, icept = bayesian_ridge(sum(seen), j, others)
             step = [j, icept, coef.tolist()]
@@ -156,13 +163,42 @@ def fit_chained(
                     grams[m] = a @ moments[m] @ a.T
         change = max(_moved(before[m], a, reach) for m, a in maps.items()) if maps else 0.0
         # The bound holds for every row, so stopping is never too early.
-        if change < tol * widest:
+        if change < enough:
             break
     if len(maps) <= CLOSED_FORM_PATTERNS:
         state["maps"] = {m: a.tolist() for m, a in maps.items()}
     return state
 
 
+def fit_one_gap(
+    cols: list[str], gap: int, seen: np.ndarray, blank: np.ndarray, origin: np.ndarray, largest: np.ndarray,
+    rounds: int = ROUNDS, tol: float = TOLERANCE,
+) -> dict:
+    """The fit for a table whose only gaps are in one column, from sums alone.
+
+    ``seen`` and ``blank`` are the sums of products of (1, values less ``origin``) over
+    the rows with and without a value there (the values as they were), ``largest`` the
+    largest sizes of the values that count. The same numbers as ``fit_chained`` on the
+    rows.
+    """
+    total = seen + blank
+    off = np.where(np.arange(len(cols)) == gap, seen[0, 1:] / seen[0, 0], total[0, 1:] / total[0, 0])
+    means = origin + off
+    move = np.eye(len(cols) + 1)
+    move[1:, 0] = -off
+    moments = {"0" * len(cols): move @ seen @ move.T}
+    if blank[0, 0]:
+        part = move @ blank @ move.T
+        part[gap + 1, :] = part[:, gap + 1] = 0.0
+        moments["".join("1" if i == gap else "0" for i in range(len(cols)))] = part
+    missing = [float(blank[0, 0]) if i == gap else 0.0 for i in range(len(cols))]
+    order = sorted(range(1, len(cols) + 1), key=lambda j: (missing[j - 1], j))
+    if len(cols) == 1 or not blank[0, 0]:
+        rounds = min(rounds, 1)
+    state = {"columns": list(cols), "means": means.tolist(), "steps": [], "maps": None}
+    return _fit_patterns(state, moments, order, rounds, tol * float(largest.max(initial=0.0)), largest + np.abs(means))
+
+
 def _pattern_table(df: DataFrame, cols: list[str], means: np.ndarray) -> DataFrame:
     """``pattern, moments`` (a flag for each column; a matrix as bytes), from one pass over the rows."""
     width = len(cols) + 1

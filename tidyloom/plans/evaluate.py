@@ -15,7 +15,7 @@ from pyspark.ml.classification import (
 from pyspark.ml.feature import VarianceThresholdSelector
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidyloom.functions.scalar import col
@@ -91,7 +91,7 @@ def build_estimator(
             )
         if model == "gbm":
             gbt = GBTClassifier(maxIter=o["rounds"], maxDepth=3, stepSize=0.1, seed=SEED)
-            return gbt if n_classes == 2 else OneVsRest(classifier=gbt)
+            return gbt if n_classes == 2 else OneVsRest(classifier=gbt, parallelism=min(n_classes, 4))
     raise ValueError(f"unknown model '{model}' for {task}")
 
 
@@ -161,11 +161,23 @@ def fold_predictions(
     cols = [key, "fold", "label", "prediction"]
     if "probability" in out.columns:
         p = vector_to_array("probability")
-        share = F.map_from_entries(
-            F.transform(p, lambda v, i: F.struct(i.alias("k"), v.alias("v")))
-        )
-        return out.select(*cols, share.alias("share"))
-    return out.select(*cols)
+    elif task == "classification" and model == "gbm":
+        p = class_shares(vector_to_array("rawPrediction"))
+    else:
+        return out.select(*cols)
+    share = F.map_from_entries(F.transform(p, lambda v, i: F.struct(i.alias("k"), v.alias("v"))))
+    return out.select(*cols, share.alias("share"))
+
+
+def class_shares(margins: Column) -> Column:
+    """Class probabilities from the margins of boosted trees, one against the rest each.
+
+    A margin m stands for 1 / (1 + exp(-2 m)), as the trees are fitted to that loss;
+    the probabilities are brought to a sum of one, which keeps their order.
+    """
+    own = F.transform(margins, lambda m: 1.0 / (1.0 + F.exp(-2.0 * m)))
+    total = F.aggregate(own, F.lit(0.0), lambda a, v: a + v)
+    return F.transform(own, lambda v: v / total)
 
 
 def cross_validate(
