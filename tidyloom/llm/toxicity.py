@@ -31,6 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -79,6 +80,9 @@ TWICE = re.compile(r"(.)\1")
 RUNS = re.compile(r"(.)\1+")
 CLOSING = ".,;:?!\"')]}>"
 ONLY_LETTERS = re.compile(f"[{LETTERS}]+").fullmatch
+# The same for columns, without references back.
+ALL_LETTERS = f"^[{LETTERS}]+$"
+SOME_TWICE = "|".join(c + c for c in LETTERS)
 ODD = re.compile(f"[{''.join(SEEMS)}]")
 MORE = re.compile(r"(.)\1{3,}")
 
@@ -527,28 +531,48 @@ class Scorer:
         found = tuple(w for w in self.restorer.decode(core).split() if self.tells(w))
         return self.cores.keep(core, found, len(core))
 
-    def place_of(self, token: str) -> tuple[bool, bool]:
-        """Whether a token may begin a telling word spelled by several, and whether it may go on with one."""
-        head = token[:3]
-        known = self.heads.get(head)
-        if known is None:
+    def head(self, head: str) -> tuple[bool, bool]:
+        """Whether tokens with this beginning may begin, or go on with, a telling word spelled by several."""
+        if head not in self.heads:
             known = tuple(can_begin(head, allowed) for allowed in (self.opening, self.inside))
-            if len(self.heads) < HEADS:
-                self.heads[head] = known
-        first, inner = known
-        if first or inner:
-            if is_plain(token):
-                return first and token in self.opening, inner and token in self.inside
-            first = first and bool(self.restorer.starts["", token])
-            inner = inner and bool(spelled(token, "", self.inside))
-        return first, inner
-
-    def told(self, token: str) -> tuple[tuple[str, ...], bool, bool, bool]:
-        """Of a token: its telling words, whether it is single, and may begin or continue a telling word."""
-        core = token if token.isalpha() else token.rstrip(CLOSING)
-        if not core.isalpha():
-            core = core_of(token)
-        return self.words_of(core), is_single(token), *self.place_of(token)
+            if len(self.heads) >= HEADS:
+                return known
+            self.heads[head] = known
+        return self.heads[head]
+
+    def begins(self, token: str) -> bool:
+        """Whether a token may begin a telling word spelled by several."""
+        return token in self.opening if is_plain(token) else bool(self.restorer.starts["", token])
+
+    def goes_on(self, token: str) -> bool:
+        """Whether a token may be a later part of such a word."""
+        return token in self.inside if is_plain(token) else bool(spelled(token, "", self.inside))
+
+    def told(self, tokens: pa.Array) -> tuple[dict[int, tuple[str, ...]], np.ndarray, np.ndarray, np.ndarray]:
+        """Of distinct tokens: the telling words of those that have any; which are single, which begin, which might go on.
+
+        A token whose only reading does not begin like a telling word is passed over
+        by vector; the others are looked at one by one.
+        """
+        core = pc.utf8_rtrim(tokens, characters=CLOSING)
+        once = pc.and_not(pc.match_substring_regex(core, ALL_LETTERS), pc.match_substring_regex(core, SOME_TWICE))
+        begins = pc.is_in(pc.utf8_slice_codeunits(core, 0, 4), value_set=pa.array(sorted(self.four), pa.string()))
+        look = np.flatnonzero(~once.to_numpy(zero_copy_only=False) | begins.to_numpy(zero_copy_only=False))
+        words = {}
+        for i, token in zip(look.tolist(), tokens.take(pa.array(look)).to_pylist()):
+            own = token if token.isalpha() else token.rstrip(CLOSING)
+            found = self.words_of(own if own.isalpha() else core_of(token))
+            if found:
+                words[i] = found
+        single = np.zeros(len(tokens), bool)
+        short = np.flatnonzero(pc.less_equal(pc.utf8_length(tokens), 2).to_numpy(zero_copy_only=False))
+        single[short] = [is_single(t) for t in tokens.take(pa.array(short)).to_pylist()]
+        heads = pc.utf8_slice_codeunits(tokens, 0, 3).dictionary_encode()
+        known = np.array([self.head(h) for h in heads.dictionary.to_pylist()], bool).reshape(-1, 2)
+        first, inner = known[heads.indices.to_numpy()].T.copy()
+        some = np.flatnonzero(first)
+        first[some] = [self.begins(t) for t in tokens.take(pa.array(some)).to_pylist()]
+        return words, single, first, inner
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         out, at = np.zeros(len(texts)), 0
@@ -572,17 +596,24 @@ class Scorer:
         if tokens:
             coded = pa.array(tokens, pa.string()).dictionary_encode()
             code = coded.indices.to_numpy()
-            told = [self.told(t) for t in coded.dictionary.to_pylist()]
-            hit, single, first, inner = (np.fromiter((bool(x[i]) for x in told), bool, len(told))[code] for i in range(4))
+            told, single, first, inner = self.told(coded.dictionary)
+            single, first = single[code], first[code]
+            hit = np.zeros(len(coded.dictionary), bool)
+            hit[list(told)] = True
+            hit = hit[code]
             owner = np.searchsorted(ends, np.arange(len(code)), "right") - 1
             at = np.flatnonzero(hit)
             for i, c in zip(owner[at].tolist(), code[at].tolist()):
-                words[i].update(told[c][0])
+                words[i].update(told[c])
             # A telling word spelled by several tokens needs one that begins it and one that goes on.
-            first[:-1] &= inner[1:] & (owner[1:] == owner[:-1])
+            first[:-1] &= inner[code[1:]] & (owner[1:] == owner[:-1])
             first[-1] = False
+            begins = np.flatnonzero(first)
+            after, which = np.unique(code[begins + 1], return_inverse=True)
+            goes_on = np.array([self.goes_on(t) for t in coded.dictionary.take(pa.array(after)).to_pylist()], bool)
+            begins = begins[goes_on[which]]
             found: dict[int, tuple[list, list]] = {}
-            for k in np.flatnonzero(first).tolist():
+            for k in begins.tolist():
                 found.setdefault(int(owner[k]), ([], []))[1].append(k)
             for i, j in zip(*(x.tolist() for x in runs_of(single, owner))):
                 found.setdefault(int(owner[i]), ([], []))[0].append((i, j))
