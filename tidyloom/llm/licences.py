@@ -6,9 +6,12 @@ The digests of entire texts are joined with the digests of known licences; the
 lines of a document are looked up in the same way, which finds one-line notices.
 The known table is a parameter of a few rows, so Spark broadcasts it by its size.
 
+Of short licences the texts are kept, of longer ones the digests. A digest that a
+given table has twice counts for the first of its names.
+
 Only DataFrame functions are used. NULL texts count as empty and match nothing,
-rows with equal keys share their notices, an empty table gives no rows; other
-columns are ignored.
+rows with equal keys are looked up each by its own text, an empty table gives no
+rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -78,9 +81,17 @@ PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR B
 HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING
 NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE
 POSSIBILITY OF SUCH DAMAGE."""
+BSD_3 = BSD_2.replace(
+    "provided with the distribution.",
+    """provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or
+promote products derived from this software without specific prior written permission.""",
+)
 LICENCES = [
     ("0BSD", ZERO_BSD),
     ("BSD-2-Clause", BSD_2),
+    ("BSD-3-Clause", BSD_3),
     ("ISC", ISC),
     ("MIT", MIT),
     ("Unlicense", UNLICENSE),
@@ -97,6 +108,28 @@ LICENCES = [
     ("MPL-2.0", "Licensed under the Mozilla Public License, Version 2.0."),
     ("all-rights-reserved", "All rights reserved."),
 ]
+# Canonical digests of the entire texts of longer licences.
+LONG_LICENCES = [
+    ("Apache-2.0", "2e4cf807a79011815071f287c09c05ece57adeb9a42c2805ad7e2137d24f995b"),
+    ("Apache-2.0", "fb4f4bd6555f68982aa5e186fc7923cf0e3225a151c20f7695fbd65b3c5c1396"),  # without what follows the terms
+    ("Artistic-1.0-Perl", "2d660626e0c71ec2936f0c39b004baf073f7a8d645b56b6191daca4bb56a0e3a"),
+    ("CC0-1.0", "bd0e52fb1af40ab9797ba72f1d627b83d449e9926f66d21c51209413ac988137"),
+    ("GFDL-1.2-only", "763fd67087ee54c1928a00c7e66bd59138dfa48fb7cf636fe42a828b1c489bcd"),
+    ("GFDL-1.3-only", "d76fb8c45f11b761aa1870334672b79fa828bbbd142bbd27f820e7f118b97ad6"),
+    ("GPL-1.0-only", "3b7c00b08d5c6de2349faf7a31bb6e49ff8a2273a7cfdd16f96859720b00d9ef"),
+    ("GPL-1.0-only", "f4d5622e8488e9135bbad4562a4dddb47eb06044ce19b0c0d2064503f5933de5"),  # without what follows the terms
+    ("GPL-2.0-only", "9aae015a6322bbdec1a61c624a33b2c7d3b56283db1642e6e18d7820d4957b61"),
+    ("GPL-2.0-only", "3c9f4977ae65ec51dce2737640196c8c2d45aa4ba394ba71168fae3b8a4cc93f"),  # without what follows the terms
+    ("GPL-3.0-only", "ab75edbf73a72121bdba9fb3af792f1b33a1533edb22a286043c7478d958ee63"),
+    ("GPL-3.0-only", "5d527914d4539f34149cd198edb1e5de52322047d37781b3bd66403f12dc40e1"),  # without what follows the terms
+    ("LGPL-2.0-only", "2f0a8618627c179dd830ddb8fa74635ae037468a5880f3b46a73915ae1990c24"),
+    ("LGPL-2.0-only", "d449b5d838ee652333de62d88304ddcf67663cda782f1c7257ee9c9dae33dfb4"),  # without what follows the terms
+    ("LGPL-2.1-only", "56d21d93f6012cbd7f1195b72528da245ccf843598ff833a87101eb36863f95b"),
+    ("LGPL-2.1-only", "a7bd7bcc6f59de5c915482fc3cacdd5a1b6b27c24354df724c2ef3672dce9475"),  # without what follows the terms
+    ("LGPL-3.0-only", "f0cae4b317f4f263dca8e79625f8d9c7618c87e0ca6665c79b0f1c12ac856938"),
+    ("MPL-1.1", "8cbbea784c9804a75443faef524d80ac16912119458f901b18d4acb567a2b128"),
+    ("MPL-2.0", "a90ba5346ad1927fede05edb2d96afdd4948d68d16cef5d29e84239426134356"),
+]
 # Spellings that count as equal.
 SPELLINGS = [
     ("acknowledgement", "acknowledgment"),
@@ -139,10 +172,17 @@ def digest(text: Column) -> Column:
     return F.sha2(canonical(text), 256)
 
 
-def known_licences(spark: SparkSession, licences: list[tuple[str, str]] = LICENCES) -> DataFrame:
-    """``licence, digest`` of the known texts."""
-    rows = F.inline(F.array(*[F.struct(F.lit(n).alias("licence"), F.lit(t).alias("text")) for n, t in licences]))
-    return spark.range(1).select(rows).select("licence", digest(F.col("text")).alias("digest")).distinct()
+def known_licences(
+    spark: SparkSession, licences: list[tuple[str, str]] = LICENCES, digests: list[tuple[str, str]] = LONG_LICENCES
+) -> DataFrame:
+    """``licence, digest`` of the known texts and digests."""
+
+    def rows(pairs: list[tuple[str, str]]) -> DataFrame:
+        listed = F.array(*[F.struct(F.lit(n).alias("licence"), F.lit(t).alias("text")) for n, t in pairs])
+        return spark.range(1).select(F.inline(listed.cast("array<struct<licence: string, text: string>>")))
+
+    texts = rows(licences).select("licence", digest(F.col("text")).alias("digest"))
+    return texts.unionByName(rows(digests).withColumnRenamed("text", "digest")).distinct()
 
 
 def scan_licences(
@@ -154,13 +194,18 @@ def scan_licences(
     """
     spark = df.sparkSession
     known = known if known is not None else known_licences(spark)
+    known = known.groupBy("digest").agg(F.min("licence").alias("licence"))
     rows = df.select(col(id_col).alias("id"), col(text_col).cast("string").alias("text"))
-    lines = rows.select("id", F.explode(F.split("text", "\n")).alias("line"))
-    hits = lines.select("id", digest(F.col("line")).alias("digest")).join(known, "digest")
-    notices = hits.groupBy("id").agg(F.array_sort(F.collect_set("licence")).alias("notices"))
-    whole = rows.select("id", digest(F.col("text")).alias("digest")).join(known, "digest", "left")
-    n = notices.withColumnRenamed("id", "__id")
-    return whole.join(n, F.col("id").eqNullSafe(F.col("__id")), "left").select(
+    # Rows of one key are told apart by a hash of their text.
+    mark = F.xxhash64("text").alias("mark")
+    lines = rows.select("id", mark, F.explode(F.split("text", "\n")).alias("line"))
+    hits = lines.select("id", "mark", digest(F.col("line")).alias("digest")).join(known, "digest")
+    notices = hits.groupBy(F.col("id").alias("__id"), F.col("mark").alias("__mark")).agg(
+        F.array_sort(F.collect_set("licence")).alias("notices")
+    )
+    whole = rows.select("id", mark, digest(F.col("text")).alias("digest")).join(known, "digest", "left")
+    own = F.col("id").eqNullSafe(F.col("__id")) & (F.col("mark") == F.col("__mark"))
+    return whole.join(notices, own, "left").select(
         F.col("id").alias(id_col), "digest", "licence",
         F.coalesce("notices", F.array().cast("array<string>")).alias("notices"),
     )
@@ -180,8 +225,10 @@ def oracle() -> str:
         return f"sha256({out})"
 
     table = ", ".join(f"({quoted(n)}, {quoted(t)})" for n, t in LICENCES)
+    long = ", ".join(f"({quoted(n)}, {quoted(d)})" for n, d in LONG_LICENCES)
     return f"""
-WITH known AS (SELECT DISTINCT licence, {canon("text")} AS digest FROM (VALUES {table}) AS v(licence, text)),
+WITH known AS (SELECT DISTINCT licence, {canon("text")} AS digest FROM (VALUES {table}) AS v(licence, text)
+    UNION SELECT licence, digest FROM (VALUES {long}) AS v(licence, digest)),
   lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
   hits AS (SELECT DISTINCT doc_id, licence FROM lines JOIN known ON {canon("line")} = digest),
   notices AS (SELECT doc_id, string_agg(licence, ',' ORDER BY licence) AS notices FROM hits GROUP BY doc_id)
