@@ -65,9 +65,9 @@ WHOLE_WORD = 8.0
 #: Characters after which a search moves what all its states share to its result.
 SETTLE = 64
 #: Characters remembered in each store of a Python worker (other operators share its memory).
-CACHE_CHARS = 4_000_000
+CACHE_CHARS = 1_500_000
 #: Text whose tokens are looked up together, in characters.
-PIECE_CHARS = 4 << 20
+PIECE_CHARS = 2 << 20
 #: Beginnings of tokens (three characters) remembered.
 HEADS = 100_000
 FIT_ROWS = 20_000
