@@ -506,3 +506,64 @@ def test_imputation_errors_at_all_rates(spark, method):
             assert got[c, rate]["mae"] == pytest.approx(sampling.imputation_error(filled, c), rel=1e-6)
     with pytest.raises(ValueError):
         sampling.imputation_errors(df, cols, "id", rates, "guess")
+
+
+def test_lambda_from_cells(spark):
+    """Skewed, shifted, negative, repeated and nearly constant columns against the rows themselves, in one scan."""
+    rng = np.random.default_rng(12)
+    n = 3000
+    data = {
+        "exp": rng.exponential(5, n), "log": np.exp(rng.normal(0, 1.5, n)), "neg": -np.exp(rng.normal(1, 1, n)), "both": rng.normal(0.5, 2, n) ** 3,
+        "far": 1e6 + rng.gamma(2.0, 2.0, n), "few": rng.integers(0, 4, n).astype(float) ** 3, "low": rng.beta(5, 1, n),
+    }
+    pdf = pd.DataFrame(data)
+    df = spark.createDataFrame(pdf).repartition(6)
+    df = df.withColumn("exp", F.when(F.col("few") != 1, F.col("exp")))
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    got = numeric.fit_yeo_johnson(df.mapInArrow(count, df.schema), list(data))
+    assert read.value == n
+
+    def exact(x, lam):
+        up, down = np.maximum(x, 0) + 1, 1 - np.minimum(x, 0)
+        pos = np.log(up) if abs(lam) < 1e-12 else np.expm1(lam * np.log(up)) / lam
+        neg = -np.log(down) if abs(2 - lam) < 1e-12 else -np.expm1((2 - lam) * np.log(down)) / (2 - lam)
+        t = np.where(x >= 0, pos, neg)
+        return -0.5 * len(x) * math.log(t.var()) + (lam - 1) * (np.sign(x) * np.log1p(np.abs(x))).sum()
+
+    for c, x in data.items():
+        x = x[data["few"] != 1] if c == "exp" else x
+        cells = numeric.log_cells(df, [c])[c]
+        # Far out, transforms below 0.5 differ by less than doubles can tell.
+        for lam in (0.5, 1.0, 2.0, 3.1) if c == "far" else (-2.0, -0.3, 0.0, 0.5, 1.0, 2.0, 3.1):
+            assert numeric.yeo_johnson_likelihood(cells, lam) == pytest.approx(exact(x, lam), rel=1e-7, abs=1e-3), (c, lam)
+        if c == "far":  # its maximum is beyond what doubles can tell
+            assert math.isfinite(got[c])
+            continue
+        slope = (exact(x, got[c] + 1e-4) - exact(x, got[c] - 1e-4)) / 2e-4
+        bend = (exact(x, got[c] + 1e-2) - 2 * exact(x, got[c]) + exact(x, got[c] - 1e-2)) / 1e-4
+        assert abs(slope / bend) < 2e-6, c
+    assert numeric.fit_yeo_johnson(df.limit(0), ["exp"]) == {"exp": 0.0}
+
+
+def test_difference_of_tables_by_digest(spark):
+    rows = [(i, f"t{i % 5}", None if i % 4 else i * 1.5) for i in range(200)] + [(7, "again", 1.0), (7, "more", None), (None, "x", 1.0)]
+    a = spark.createDataFrame(rows, "id long, `s.t` string, v double")
+    b = a.withColumn("s.t", F.when(F.col("id") % 50 == 3, "new").otherwise(F.col("`s.t`"))).withColumn("v", F.when(F.col("id") != 8, F.col("v")))
+    b = b.where("id IS NULL OR id != 20").withColumn("w", F.lit(1))
+
+    def plain(x, y):
+        both = x.alias("x").join(y.alias("y"), F.col("x.id") == F.col("y.id")).collect()
+        return {"s.t": sum(r[1] != r[4] for r in both), "v": sum(r[2] != r[5] for r in both)}
+
+    got = {r["column"]: r["changed_cells"] for r in profile.cell_diff(a, b, "id").collect()}
+    assert got == plain(a, b.select("id", "`s.t`", "v")) and min(got.values()) > 0
+    one = a.dropDuplicates(["id"])
+    assert {r["changed_cells"] for r in profile.cell_diff(one, one, "id").collect()} == {0}
+    assert profile.cell_diff(one.select("id"), one, "id").count() == 0
+    assert {r["changed_cells"] for r in profile.cell_diff(one, one.where("id < 0"), "id").collect()} == {0}

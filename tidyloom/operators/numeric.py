@@ -6,6 +6,7 @@ import math
 from bisect import bisect_right
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -168,54 +169,104 @@ def more_distinct(df: DataFrame, cols: list[str], k: int) -> set[str]:
     return {r["column"] for r in counts if r["n"] > k}
 
 
-def fit_yeo_johnson(df: DataFrame, cols: list[str], rounds: int = 4) -> dict[str, float]:
-    """Maximum-likelihood lambda per column.
+#: Cells for each unit of log(1 + |x|), and the power sums that a cell keeps.
+CELLS, POWERS = 64, 6
 
-    The likelihood is smooth with one maximum, so it is evaluated on a grid of
-    lambdas in one aggregate (all columns together) and the grid is narrowed
-    around the best point, or moved when the best point lies on its edge. A
-    parabola through the last three points gives the rest.
+
+def log_cells(df: DataFrame, cols: list[str]) -> dict[str, np.ndarray]:
+    """Counts and moments of log(1 + |x|) in narrow cells of either sign, from one scan.
+
+    For each column an array with a row per cell: sign, count, mean, and the central
+    moments (as sums) from the second on. The cells of a column are bounded by the
+    range of doubles, whatever the rows.
     """
-    base = {}
-    for c in cols:
-        x = col(c).cast("double")
-        base[f"n:{c}"] = F.count(x)
-        base[f"j:{c}"] = F.sum(F.signum(x) * F.log1p(F.abs(x)))
-    got = one_row(df, base)
-    grids = {c: (0.0, 0.5) for c in cols}  # centre, step
-    peak: dict[str, float] = {}
-    done = 0
-    while done < rounds:
-        points = {c: [mid + step * i for i in range(-6, 7)] for c, (mid, step) in grids.items()}
-        spread = one_row(
-            df,
-            {
-                f"{c}|{i}": F.var_pop(yeo_johnson(col(c), lam))
-                for c, lams in points.items()
-                for i, lam in enumerate(lams)
-            },
-        )
-        moved = False
-        for c, lams in points.items():
-            n = got[f"n:{c}"]
-            score = []
-            for i, lam in enumerate(lams):
-                var = spread[f"{c}|{i}"]
-                fit = -0.5 * n * math.log(var) if var and var > 0 else -math.inf
-                score.append(fit + (lam - 1.0) * got[f"j:{c}"])
-            best = max(range(len(lams)), key=score.__getitem__)
-            step = grids[c][1]
-            on_edge = best in (0, len(lams) - 1) and abs(lams[best]) < 50
-            moved |= on_edge
-            grids[c] = (lams[best], step if on_edge else step / 5)
-            peak[c] = lams[best]
-            if 0 < best < len(lams) - 1:
-                left, mid, right = score[best - 1 : best + 2]
-                bend = left - 2 * mid + right
-                if math.isfinite(bend) and bend < 0:
-                    peak[c] += 0.5 * step * (left - right) / bend
-        done += 0 if moved else 1
-    return peak
+    x = F.col("value")
+    size = F.log1p(F.abs(x))
+    sign = F.when(x < 0, -1).otherwise(1)
+    cells = long_form(df, cols, "double").where(x.isNotNull())
+    cells = cells.select("column", sign.alias("sign"), size.alias("u"), F.floor(size * CELLS).alias("cell"))
+    off = F.col("u") - (F.col("cell") + 0.5) / CELLS
+    power, sums = F.lit(1.0), [F.count("*").alias("s0")]
+    for k in range(1, POWERS + 1):
+        power = power * off
+        sums.append(F.sum(power).alias(f"s{k}"))
+    found: dict[str, list] = {c: [] for c in cols}
+    for r in cells.groupBy("column", "sign", "cell").agg(*sums).collect():
+        n = r["s0"]
+        raw = [r[f"s{k}"] / n for k in range(1, POWERS + 1)]
+        mean = raw[0]
+        # From moments about the cell's centre to those about its mean.
+        central = [
+            sum(math.comb(m, j) * ([1.0, *raw][j]) * (-mean) ** (m - j) for j in range(m + 1)) for m in range(2, POWERS + 1)
+        ]
+        found[r["column"]].append([r["sign"], n, (r["cell"] + 0.5) / CELLS + mean, *(n * c for c in central)])
+    return {c: np.array(sorted(rows), float).reshape(-1, 2 + POWERS) for c, rows in found.items()}
+
+
+def yeo_johnson_likelihood(cells: np.ndarray, lam: float) -> float:
+    """Log-likelihood of lambda: the transform is expanded about each cell's mean."""
+    sign, n, mean = cells[:, 0], cells[:, 1], cells[:, 2]
+    a = np.where(sign > 0, lam, 2.0 - lam)
+    with np.errstate(over="ignore", invalid="ignore"):
+        middle = sign * np.where(np.abs(a) < 1e-12, mean, np.expm1(a * mean) / np.where(np.abs(a) < 1e-12, 1.0, a))
+        slope = np.exp(a * mean)
+        first = np.zeros(len(a))
+        second = np.zeros(len(a))
+        for m in range(2, POWERS + 1):
+            central = cells[:, 1 + m]
+            first += a ** (m - 1) * central / math.factorial(m)
+            second += a ** (m - 2) * (2.0**m - 2.0) * central / math.factorial(m)
+        first, second = sign * slope * first, slope * slope * second
+        total = n.sum()
+        off = middle - (n @ middle + first.sum()) / total
+        variance = (second + 2 * off * first + n * off * off).sum() / total
+    if not math.isfinite(variance) or variance <= 0:
+        return -math.inf
+    return float(-0.5 * total * math.log(variance) + (lam - 1.0) * (sign * n) @ mean)
+
+
+def fit_yeo_johnson(df: DataFrame, cols: list[str], widest: float = 50.0) -> dict[str, float]:
+    """Maximum-likelihood lambda per column, from one scan.
+
+    The likelihood is smooth with one maximum, and the cells give it at any lambda, so
+    the maximum is bracketed and narrowed on the driver.
+    """
+    return {c: _likeliest(cells, widest) for c, cells in log_cells(df, cols).items()}
+
+
+def _likeliest(cells: np.ndarray, widest: float) -> float:
+    if not len(cells):
+        return 0.0
+
+    def score(lam: float) -> float:
+        return yeo_johnson_likelihood(cells, lam)
+
+    step, best = 0.5, max((i * 0.5 for i in range(-6, 7)), key=score)
+    while abs(best) < widest and score(best) > -math.inf:
+        other = max(best - step, best + step, key=score)
+        if score(other) <= score(best):
+            break
+        best = other
+    low, high = best - step, best + step
+    ratio = (math.sqrt(5) - 1) / 2
+    a, b = high - ratio * (high - low), low + ratio * (high - low)
+    fa, fb = score(a), score(b)
+    while high - low > 1e-5:
+        if fa < fb:
+            low, a, fa = a, b, fb
+            b = low + ratio * (high - low)
+            fb = score(b)
+        else:
+            high, b, fb = b, a, fa
+            a = high - ratio * (high - low)
+            fa = score(a)
+    # Rounding hides what is left; a parabola over a wider stretch does not.
+    mid, wide = (low + high) / 2, 2e-3
+    left, top, right = score(mid - wide), score(mid), score(mid + wide)
+    bend = left - 2 * top + right
+    if math.isfinite(bend) and bend < 0:
+        return mid + 0.5 * wide * (left - right) / bend
+    return mid
 
 
 def apply_deskew(df: DataFrame, state: dict[str, dict]) -> DataFrame:
