@@ -16,7 +16,8 @@ from tidyloom.plans.normalise import plan_actions, plan_notes
 from tidyloom.plans.search import search_preparation
 from tidyloom.session import ensure_checkpoint_dir
 from tidyloom.sources.documents import close_brackets, read_context_files, read_plan_files, recover_json
-from tidyloom.sources import detect_separator, load_raw, read_csv
+from tidyloom.sources import cached_table, detect_separator, load_raw, read_csv
+from tidyloom.sources.tables import table_digest
 from tidyloom.streaming import clean_stream, dedup_stream, last_profile, profile_stream, write_stream
 
 PLAN = {
@@ -412,6 +413,25 @@ def test_audit_of_failing_steps(spark):
     assert [r["n"] for r in out.collect()] == [1]
 
 
+def test_cache_knows_its_input(spark, tmp_path):
+    path, calls = str(tmp_path / "cache"), []
+    one = spark.createDataFrame([(1, "a"), (2, None)], "k long, v string")
+
+    def get(df, refresh=False):
+        def compute():
+            calls.append(1)
+            return df.groupBy().count()
+
+        return cached_table(spark, path, compute, refresh, df).first()[0]
+
+    assert get(one) == get(one.repartition(3)) == 2 and len(calls) == 1
+    more = one.union(one.limit(1))
+    assert get(more) == 3 and get(one) == 2 and len(calls) == 2
+    assert get(one, refresh=True) == 2 and len(calls) == 3
+    swapped = spark.createDataFrame([(1, None), (2, "a")], "k long, v string")
+    assert len({table_digest(x) for x in (one, more, swapped, one.withColumnRenamed("v", "w"), one.limit(0))}) == 5
+
+
 # ---------------------------------------------------------------- models
 @pytest.mark.parametrize("model", ["logreg", "rf", "gbm", "knn"])
 def test_cross_validation_learns(spark, model):

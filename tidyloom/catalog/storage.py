@@ -88,8 +88,9 @@ def baseline_cache(spark, d):
             F.round(F.avg("o_totalprice"), 4).alias("f1_macro")
         )
 
-    cached_table(spark, path, compute)
-    return cached_table(spark, path, compute)
+    source = table(spark, d, "orders").select("o_orderpriority", "o_totalprice")
+    cached_table(spark, path, compute, source=source)
+    return cached_table(spark, path, compute, source=source)
 
 
 @query(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
@@ -152,10 +153,26 @@ def scan_results(
     return df.where(~F.col("tag").isin(list(skip)))
 
 
+def table_digest(df: DataFrame) -> str:
+    """A digest of the columns and rows of a table, in whatever order the rows come (one scan)."""
+    cells = [col(c) for c in df.columns]
+    gaps = F.concat(*[F.when(c.isNull(), "1").otherwise("0") for c in cells]) if cells else F.lit("")
+    sums = [F.sum(F.xxhash64(F.lit(k), gaps, *cells).cast("decimal(38,0)")) for k in (1, 2)]
+    row = df.agg(F.count(F.lit(1)), *sums).first()
+    kinds = [(f.name, f.dataType.simpleString()) for f in df.schema]
+    return hashlib.sha256(repr((kinds, *map(str, row))).encode()).hexdigest()[:32]
+
+
 def cached_table(
-    spark: SparkSession, path: str, compute: Callable[[], DataFrame], refresh: bool = False
+    spark: SparkSession, path: str, compute: Callable[[], DataFrame], refresh: bool = False, source: DataFrame | None = None
 ) -> DataFrame:
-    """Read the Parquet table at ``path``, computing and writing it first where needed."""
+    """Read the Parquet table at ``path``, computing and writing it first where needed.
+
+    With ``source``, the table that the result is made from, each content of it has a
+    result of its own under ``path``: new rows are never answered by an old result.
+    """
+    if source is not None:
+        path = f"{path}/input-{table_digest(source)}"
     if not refresh:
         try:
             return spark.read.parquet(path)
