@@ -1,9 +1,12 @@
 import random
+import zlib
+from collections import defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidyloom.llm.kd_shards import kd_shards
+from tidyloom.llm.queries import QUERIES
 
 SCHEMA = "doc_id long, x double, y double, w long, c long, shard string"
 
@@ -84,3 +87,28 @@ def test_odd_rows(spark):
     assert len(got) == 3 and all(0 <= r.shard < 4 for r in got)
     empty = spark.createDataFrame([], SCHEMA)
     assert kd_shards(empty, {"x": F.col("x")}, F.col("w"), F.col("c"), leaves=4).count() == 0
+
+
+@pytest.mark.parametrize("sf", ["0.001", "0.01"])
+def test_query_on_documents(spark, sf):
+    """Whole table: sizes and checksums by hand, gapless slots, equal texts together, near equal bytes."""
+    folder = f"/root/testdata/sf{sf}"
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    rows = QUERIES["op4_kd_shards"](spark, folder).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(texts)
+    by_shard, by_text = defaultdict(list), defaultdict(set)
+    for r in rows:
+        data = texts[r.doc_id].encode()
+        assert (r.size, r.text_crc32, r.law, r.grown_shard) == (len(data) + 1, zlib.crc32(data), "bytes", None)
+        assert 0 <= r.shard < 16
+        by_shard[r.shard].append(r)
+        by_text[texts[r.doc_id]].add(r.shard)
+    for own in by_shard.values():
+        assert sorted(r.slot for r in own) == list(range(len(own)))
+    mean = sum(r.size for r in rows) / 16
+    sizes = [sum(r.size for r in own) for own in by_shard.values()]
+    assert len(sizes) == 16 and max(abs(s - mean) for s in sizes) <= max(0.1 * mean, 1.01 * max(r.size for r in rows))
+    total = defaultdict(int)
+    for r in rows:
+        total[texts[r.doc_id]] += r.size
+    assert all(len(s) == 1 for t, s in by_text.items() if total[t] <= mean)
