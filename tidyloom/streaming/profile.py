@@ -66,7 +66,9 @@ def profile_of(state: DataFrame) -> DataFrame:
         "column", "n_rows", (F.col("n_rows") - F.col("n_values")).alias("n_missing"),
         F.coalesce(F.try_divide(F.col("n_rows") - F.col("n_values"), F.col("n_rows")), F.lit(0.0)).alias("missing_share"),
         F.hll_sketch_estimate("sketch").alias("distinct_estimate"), "min_value", "max_value", "min", "max", "mean",
-        F.sqrt(F.try_divide(F.greatest(F.col("square"), F.lit(0.0)), F.col("n_values"))).alias("sd"),
+        F.when(
+            F.col("square").isNotNull(), F.sqrt(F.try_divide(F.greatest(F.col("square"), F.lit(0.0)), F.col("n_values")))
+        ).alias("sd"),
     )
 
 
