@@ -413,6 +413,21 @@ def test_audit_of_failing_steps(spark):
     assert [r["n"] for r in out.collect()] == [1]
 
 
+def test_audit_of_tables_that_get_empty(spark):
+    df = spark.createDataFrame([(1, None, "x"), (2, None, "y")], "id long, n long, s string")
+    steps = [
+        {"action": "handle_missing", "params": {"columns": ["n"], "strategy": "drop_rows"}},
+        {"action": "deduplicate"},
+        {"action": "normalize_text", "params": {"columns": ["s"], "ops": ["strip"]}},
+    ]
+    for rows, dropped in ((df, 2), (df.limit(0), 0), (df.where("id < 0").repartition(3), 0)):
+        out, log = run_plan(rows, {"actions": steps})
+        assert out.count() == 0 and [s["status"] for s in log.steps] == ["applied"] * 3
+        assert log.steps[0]["diff_summary"]["dropped_rows"] == dropped
+        assert log.steps[1]["diff_summary"]["rows_removed"] == 0
+        assert log.steps[2]["diff_summary"]["values_changed_count"] == {"s": 0}
+
+
 def test_cache_knows_its_input(spark, tmp_path):
     path, calls = str(tmp_path / "cache"), []
     one = spark.createDataFrame([(1, "a"), (2, None)], "k long, v string")

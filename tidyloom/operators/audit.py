@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation
 
 from tidyloom.functions.scalar import is_numeric
@@ -69,6 +70,10 @@ def columns_of(action: str, df: DataFrame, params: dict | None, numeric: bool =
     return names
 
 
+class Uncounted(Exception):
+    """Spark left out a counter: it drops what lies below a step that turned out to have no rows."""
+
+
 class Tally:
     """Counts of several steps, taken by one job at the end of a run.
 
@@ -90,8 +95,12 @@ class Tally:
             return df
         done = cut_lineage(df)
         for seen, names, tell in self.waiting:
-            found = seen.get
-            tell({n: found[f"m{i}"] for i, n in enumerate(names)})
+            try:
+                found = seen.get
+                counts = {n: found[f"m{i}"] for i, n in enumerate(names)}
+            except (Py4JJavaError, KeyError) as error:
+                raise Uncounted("a counter was optimised away") from error
+            tell(counts)
         self.waiting.clear()
         return done
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidyloom.functions.scalar import nan_to_null
-from tidyloom.operators.audit import Tally
+from tidyloom.operators.audit import Tally, Uncounted
 from tidyloom.operators.columns import (
     cast_type,
     choose_columns,
@@ -141,15 +141,16 @@ def run_plan(
     """Apply a plan; an action that does not fit its table is logged and left out.
 
     The records' counts are taken by one job over the finished table, which is
-    stored in the checkpoint folder. If that job fails by a step's fault, the plan
-    is run again with counts after each step, which tells the step.
+    stored in the checkpoint folder. If that job fails by a step's fault, or leaves
+    out counters of a table that got empty, the plan is run again with counts after
+    each step.
     ``audit=False`` counts nothing and keeps the frame lazy.
     """
     if not audit:
         return _run(df, plan, dataset_id, target, reorder, False)
     try:
         return _run(df, plan, dataset_id, target, reorder, Tally())
-    except BAD_STEP:
+    except (Uncounted, *BAD_STEP):
         return _run(df, plan, dataset_id, target, reorder, True)
 
 
