@@ -8,10 +8,10 @@ finished table fills in the records of every step.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from py4j.protocol import Py4JJavaError
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 
 from tidyloom.functions.scalar import is_numeric
 from tidyloom.operators.aggregates import one_row
@@ -82,25 +82,26 @@ class Tally:
     """
 
     def __init__(self) -> None:
-        self.waiting: list[tuple[Observation, list[str], Callable[[dict], None]]] = []
+        self.waiting: list[tuple[str, list[str], Callable[[dict], None]]] = []
 
     def watch(self, df: DataFrame, counts: dict[str, Column], tell: Callable[[dict], None]) -> DataFrame:
-        seen = Observation()
-        self.waiting.append((seen, list(counts), tell))
-        return df.observe(seen, *[e.alias(f"m{i}") for i, e in enumerate(counts.values())])
+        name = f"tally-{uuid.uuid4().hex}"
+        self.waiting.append((name, list(counts), tell))
+        return df.observe(name, *[e.alias(f"m{i}") for i, e in enumerate(counts.values())])
 
     def settle(self, df: DataFrame) -> DataFrame:
         """Store the finished table, which takes all counts, and hand them out."""
         if not self.waiting:
             return df
         done = cut_lineage(df)
-        for seen, names, tell in self.waiting:
-            try:
-                found = seen.get
-                counts = {n: found[f"m{i}"] for i, n in enumerate(names)}
-            except (Py4JJavaError, KeyError) as error:
-                raise Uncounted("a counter was optimised away") from error
-            tell(counts)
+        # Read from the plan that has just run. An Observation object would do it too, but
+        # leaves a listener in the session that later jobs of it can't serialise.
+        found = df._jdf.queryExecution().observedMetrics()
+        for name, counts, tell in self.waiting:
+            if not found.contains(name):
+                raise Uncounted("a counter was optimised away")
+            row = found.apply(name)
+            tell({n: row.get(i) for i, n in enumerate(counts)})
         self.waiting.clear()
         return done
 
