@@ -201,11 +201,93 @@ def test_nearest_with_a_hot_vector(spark, skip_self):
         assert list(mine["payload"]) == [j % 4 for j in ids]
 
 
+def _mixed_vectors(n):
+    """Two numbers and a category of 20 values as ones and zeros, with some equal rows."""
+    rng = np.random.default_rng(5)
+    kind = rng.integers(0, 20, n)
+    x = np.column_stack([rng.uniform(-1.7, 1.7, (n, 2)), np.eye(20)[kind]])
+    x[::50] = x[3]
+    return x
+
+
+def test_nearest_visits_few_cells_of_mixed_rows(spark, monkeypatch):
+    x, visited, spread = _mixed_vectors(3000), [], neighbors._spread
+    rows = [(i, list(map(float, v)), i % 3) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "id long, v array<double>, y int").repartition(6).persist()
+    train, test = df.where("id % 5 > 0"), df.where("id % 5 = 0")
+
+    def counted(visits, *rest):
+        visited.append(visits.count())
+        return spread(visits, *rest)
+
+    monkeypatch.setattr(neighbors, "_spread", counted)
+    got = neighbors.knn_join(test, train, 5, "id", "id", "v", "v", "y", n_pivots=60).toPandas()
+    assert sum(visited) < 600 * 60 / 4
+    ids = np.array([i for i in range(3000) if i % 5])
+    for i, near in enumerate(_brute(x[::5], x[ids], 5)):
+        mine = got[got["qid"] == 5 * i].sort_values(["distance", "tid"])
+        assert list(mine["tid"]) == list(ids[near])
+    df.unpersist()
+
+
+def _worker_memory(spark):
+    """MB that the largest of the workers has held at once so far."""
+    def peak(batches):
+        import resource
+
+        for _ in batches:
+            pass
+        yield pd.DataFrame({"mb": [resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024]})
+
+    return spark.range(0, 64, 1, 64).mapInPandas(peak, "mb double").agg(F.max("mb")).first()[0]
+
+
+def test_nearest_sends_visits_in_small_pieces(spark):
+    """Directions without clusters: every query visits every cell, a worker holds few of the copies."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(1500, 64))
+    rows = [(i, list(map(float, v)), 0) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "id long, v array<double>, y int").coalesce(1).persist()
+    df.count()
+    before = _worker_memory(spark)
+    got = neighbors.knn_join(df, df, 3, "id", "id", "v", "v", "y", skip_self=True, n_pivots=400)
+    assert got.count() == 4500
+    assert _worker_memory(spark) - before < 250
+    df.unpersist()
+
+
+def test_nearest_with_repeated_and_missing_query_keys(spark):
+    t = spark.createDataFrame([(i, [float(i % 7), float(i)], i) for i in range(90)], "id long, v array<double>, y int")
+    q = spark.createDataFrame([(1, [0.0, 3.0]), (1, [2.0, 70.0]), (None, [1.0, 40.0])], "id long, v array<double>")
+    got = neighbors.knn_join(q, t, 3, "id", "id", "v", "v", "y", n_pivots=9, block_rows=7).toPandas()
+    x = np.array([[i % 7, i] for i in range(90)], float)
+    d = [np.sqrt(((x - p) ** 2).sum(1)) for p in ([0, 3], [2, 70], [1, 40])]
+    for mine, want in ((got[got["qid"] == 1], np.concatenate(d[:2])), (got[got["qid"].isna()], d[2])):
+        assert sorted(mine["distance"]) == pytest.approx(np.sort(want)[:3])
+
+
 def test_vote_ties_take_the_smallest_class(spark):
     df = spark.createDataFrame([(1, "b"), (1, "a"), (1, "c")], "qid int, payload string")
     assert neighbors.knn_vote(df).collect()[0]["prediction"] == "a"
 
 
+def test_knn_impute_by_patterns_of_gaps(spark, monkeypatch):
+    """Groups that share columns are joined; the fills are those of all pairs."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(400, 3))
+    x[:, :2][rng.random((400, 2)) < 0.2] = np.nan
+    rows = [(i, *[None if math.isnan(v) else float(v) for v in r]) for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, c double").repartition(4)
+    want = neighbors.knn_impute(df, "id", ["a", "b", "c"]).toPandas().sort_values("id").to_numpy()
+
+    def refused(*_):
+        raise AssertionError("all pairs")
+
+    monkeypatch.setattr(neighbors, "_top_nan_euclidean", refused)
+    got = neighbors.knn_impute(df, "id", ["a", "b", "c"], block_rows=50, chunk_rows=50)
+    assert got.toPandas().sort_values("id").to_numpy() == pytest.approx(want)
+
+
 def test_knn_impute_against_brute_force(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(60, 3))

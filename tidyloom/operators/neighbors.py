@@ -1,17 +1,17 @@
 """Exact k-nearest-neighbour join.
 
-Rows are placed in cells around pivots. Per query, the pivot distances bound
-the k-th neighbour from above and the distance to every cell from below
-(triangle inequality), so only cells that can still hold a neighbour are
-visited (Lu et al., "Efficient processing of k nearest neighbor joins using
-MapReduce", 2012). Cells are split into blocks of bounded size and the
-queries of a cell into chunks, so neither a dense cell nor a vector repeated
-over a third of the table lands in one task, and a block returns k rows per
-query, never its pairs.
+Train rows are placed in the cells of a k-d tree fitted on a bounded sample.
+Every query first searches its own cell; the k-th distance found there bounds
+the answer, and only cells whose bounding box (or ball) comes that near are
+visited after that. Cells are split into blocks of bounded size and the queries
+of a cell into chunks, so neither a dense cell nor a vector repeated over a
+third of the table lands in one task, and a block returns k rows per query,
+never its pairs.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 
 import numpy as np
@@ -23,11 +23,20 @@ from pyspark.sql import types as T
 from tidyloom.functions.scalar import col
 from tidyloom.operators.aggregates import one_row
 from tidyloom.operators.ranking import hash_order, smallest
+from tidyloom.session import cut_lineage
 
 BLOCK_ROWS = 8192
 CHUNK_ROWS = 16384
-MAX_PIVOTS = 2048
+MAX_CELLS = 2048
+# Rows the tree is fitted on, and numbers they hold at most.
+SAMPLE_ROWS = 16384
+SAMPLE_NUMBERS = 2_000_000
+# Numbers a worker holds at once while it compares rows with boxes, and rows it sends at once.
+SLAB_NUMBERS = 1_000_000
+SENT_ROWS = 4096
 MOSTLY_DISTINCT = 0.9
+# Joins of patterns that one column's gaps may take; with more, all pairs are compared.
+PATTERN_JOINS = 16
 _SLAB = 256
 _SLACK = 1e-9
 
@@ -120,6 +129,106 @@ def _top_nan_euclidean(q: np.ndarray, t: np.ndarray, ids: np.ndarray, k: int):
             yield start + i, near[pick], np.sqrt(d[pick])
 
 
+def _cut(part: np.ndarray) -> tuple[int, float] | None:
+    """The widest dimension (of equally wide ones the most varied) and its median."""
+    low, high = np.quantile(part, [0.02, 0.98], axis=0)
+    spread = high - low
+    if spread.max() <= 0:
+        spread = part.max(0) - part.min(0)
+    if spread.max() <= 0:
+        return None
+    wide = np.flatnonzero(spread >= spread.max() * (1 - _SLACK))
+    dim = int(wide[part[:, wide].var(0).argmax()])
+    values = part[:, dim]
+    middle, top = float(np.median(values)), values.max()
+    return dim, middle if middle < top else float(values[values < top].max())
+
+
+class Cells:
+    """A k-d tree over a sample, the largest cell cut first; a cell's centre is its sample's mean."""
+
+    def __init__(self, sample: np.ndarray, n_cells: int):
+        self.nodes: list[tuple[int, float, int, int]] = [(-1, 0.0, 0, 0)]
+        held = {0: np.arange(len(sample))}
+        open_nodes = [(-len(sample), 0)]
+        while open_nodes and len(held) < n_cells:
+            _, at = heapq.heappop(open_nodes)
+            cut = _cut(sample[held[at]])
+            if cut is None:
+                continue
+            rows, left = held.pop(at), len(self.nodes)
+            right = sample[rows, cut[0]] > cut[1]
+            self.nodes[at] = (*cut, left, left + 1)
+            for node, part in ((left, rows[~right]), (left + 1, rows[right])):
+                self.nodes.append((-1, 0.0, 0, 0))
+                held[node] = part
+                heapq.heappush(open_nodes, (-len(part), node))
+        self.cell = {node: i for i, node in enumerate(sorted(held))}
+        self.centre = np.array([sample[held[node]].mean(0) for node in sorted(held)])
+
+    def place(self, x: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(x), dtype="int32")
+        todo = [(0, np.arange(len(x)))]
+        while todo:
+            at, rows = todo.pop()
+            if not len(rows):
+                continue
+            dim, threshold, left, right = self.nodes[at]
+            if dim < 0:
+                out[rows] = self.cell[at]
+                continue
+            above = x[rows, dim] > threshold
+            todo += [(left, rows[~above]), (right, rows[above])]
+        return out
+
+
+def _boxes(placed: DataFrame, centre: np.ndarray) -> list:
+    """``cell, n, lo, hi, radius`` of every cell, from all its rows."""
+    schema = "cell int, n bigint, lo array<double>, hi array<double>, radius double"
+
+    def frame(found: dict) -> pd.DataFrame:
+        rows = [(c, n, list(lo), list(hi), r) for c, (n, lo, hi, r) in found.items()]
+        return pd.DataFrame(rows, columns=["cell", "n", "lo", "hi", "radius"])
+
+    def add(found: dict, cell: int, n: int, lo: np.ndarray, hi: np.ndarray, radius: float) -> None:
+        if cell in found:
+            m, a, b, r = found[cell]
+            n, lo, hi, radius = n + m, np.minimum(lo, a), np.maximum(hi, b), max(radius, r)
+        found[cell] = (n, lo, hi, radius)
+
+    def partial(batches):
+        found: dict = {}
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            order = np.argsort(pdf["cell"].to_numpy(), kind="stable")
+            x, cell = _matrix(pdf["vec"])[order], pdf["cell"].to_numpy()[order]
+            cells, first, sizes = np.unique(cell, return_index=True, return_counts=True)
+            radius = np.sqrt(((x - centre[cell]) ** 2).sum(1))
+            groups = zip(cells, sizes, np.minimum.reduceat(x, first), np.maximum.reduceat(x, first), np.maximum.reduceat(radius, first))
+            for c, n, lo, hi, r in groups:
+                add(found, int(c), int(n), lo, hi, float(r))
+        yield frame(found)
+
+    def merged(pdf: pd.DataFrame) -> pd.DataFrame:
+        found: dict = {}
+        for r in pdf.itertuples(index=False):
+            add(found, int(r.cell), int(r.n), np.asarray(r.lo), np.asarray(r.hi), float(r.radius))
+        return frame(found)
+
+    return placed.mapInPandas(partial, schema).groupBy("cell").applyInPandas(merged, schema).collect()
+
+
+def _floors(x: np.ndarray, lo: np.ndarray, hi: np.ndarray, centre: np.ndarray, radius: np.ndarray) -> np.ndarray:
+    """Least distance that each row can have to the rows of each cell: by box and by ball."""
+    gap = np.maximum(lo[None] - x[:, None], x[:, None] - hi[None])
+    np.maximum(gap, 0.0, out=gap)
+    box = np.sqrt(np.einsum("qcw,qcw->qc", gap, gap))
+    size = 1.0 + np.sqrt((x * x).sum(1))[:, None] + np.sqrt((centre * centre).sum(1))[None]
+    # The fast distance is rounded where both are long.
+    return np.maximum(box, _distances(x, centre) - radius[None] - 1e-6 * size)
+
+
 def _blocked(queries: DataFrame, train: DataFrame, k: int, payload: str, skip_self: bool, finder):
     """Top-k of every (cell, block, chunk) group, then top-k per query."""
     schema = (
@@ -204,87 +313,76 @@ def knn_join(
     )
     need = k + int(skip_self)
     sizes = one_row(
-        t, {"n": F.count(F.lit(1)), "k": F.approx_count_distinct(F.xxhash64("vec"))}
+        t,
+        {
+            "n": F.count(F.lit(1)),
+            "k": F.approx_count_distinct(F.xxhash64("vec")),
+            "width": F.max(F.size("vec")),
+        },
     )
     n = sizes["n"]
     if n * MOSTLY_DISTINCT > sizes["k"]:
         # Of equal vectors only the smallest ids can ever be among the nearest;
         # the others go before anything is shuffled by cell.
-        t = smallest(t, ["vec"], [F.asc("tid")], need)
+        t = cut_lineage(smallest(t, ["vec"], [F.asc("tid")], need))
         n = min(n, sizes["k"] * need)
     if n_pivots is None:
-        n_pivots = max(1, min(MAX_PIVOTS, math.isqrt(max(n, 1)) // 4))
+        n_pivots = max(1, min(MAX_CELLS, math.isqrt(max(n, 1)) // 4))
     whole = isinstance(t.schema["tid"].dataType, T.IntegralType)
     order = hash_order(F.col("tid") if whole else F.xxhash64("tid"), 1)
-    picked = t.orderBy(order, "tid").limit(n_pivots).select("vec").collect()
-    pivots = np.unique(np.array([r["vec"] for r in picked], dtype=float), axis=0)
-    if not len(pivots):
+    most = min(SAMPLE_ROWS, max(n_pivots, SAMPLE_NUMBERS // max(sizes["width"] or 1, 1)))
+    picked = t.orderBy(order, "tid").limit(most).select("vec").collect()
+    if not picked:
         fields = [q.schema["qid"], t.schema["tid"], T.StructField("distance", T.DoubleType()), t.schema["payload"]]
         return train.sparkSession.createDataFrame([], T.StructType(fields))
+    tree = Cells(np.array([r["vec"] for r in picked], dtype=float), n_pivots)
 
     id_type = t.schema["tid"].dataType.simpleString()
     load_type = t.schema["payload"].dataType.simpleString()
+    q_type = q.schema["qid"].dataType.simpleString()
 
     def place(batches):
         for pdf in batches:
-            d = _distances(_matrix(pdf["vec"]), pivots) if len(pdf) else np.zeros((0, 1))
-            cell = d.argmin(1) if len(pdf) else np.zeros(0, dtype=int)
-            yield pdf.assign(cell=cell.astype("int32"), d=d[np.arange(len(pdf)), cell])
-
-    placed = t.mapInPandas(
-        place, f"tid {id_type}, vec {vector}, payload {load_type}, cell int, d double"
-    )
-    cells = {
-        r["cell"]: (r["n"], r["lo"], r["hi"])
-        for r in placed.groupBy("cell")
-        .agg(F.count("*").alias("n"), F.min("d").alias("lo"), F.max("d").alias("hi"))
-        .collect()
-    }
-    near: dict[int, list[float]] = {c: [] for c in cells}
-    for r in smallest(placed.select("cell", "d"), ["cell"], [F.asc("d")], need).collect():
-        near[r["cell"]].append(r["d"])
-
-    ids = sorted(cells)
-    lo = np.array([cells[c][1] for c in ids])
-    hi = np.array([cells[c][2] for c in ids])
-    offers = [(i, d) for i, c in enumerate(ids) for d in near[c]]
-    offer_cell = np.array([i for i, _ in offers])
-    offer_d = np.array([d for _, d in offers])
-    centre = pivots[ids]
-    between = _distances(centre, centre)
-    between[between == 0] = np.inf
-    cell_ids = np.array(ids, dtype="int32")
+            yield pdf.assign(cell=tree.place(_matrix(pdf["vec"])))
+
+    placed = t.mapInPandas(place, f"tid {id_type}, vec {vector}, payload {load_type}, cell int")
+    own = q.mapInPandas(place, f"qid {q_type}, vec {vector}, cell int")
+    boxes = sorted(_boxes(placed, tree.centre))
+    ids = np.array([r["cell"] for r in boxes], dtype="int32")
+    lo, hi = np.array([r["lo"] for r in boxes]), np.array([r["hi"] for r in boxes])
+    centre, radius = tree.centre[ids], np.array([r["radius"] for r in boxes])
+    blocks = {r["cell"]: -(-r["n"] // block_rows) for r in boxes}
+
+    def searched(visits: DataFrame) -> DataFrame:
+        load = {r["cell"]: r["count"] for r in visits.groupBy("cell").count().collect()}
+        chunks = {c: -(-m // chunk_rows) for c, m in load.items()}
+        left, right = _spread(visits, placed, blocks, chunks)
+        return _blocked(left, right, k, "payload", skip_self, _top_euclidean)
+
+    first = cut_lineage(searched(own))
+    reach = first.groupBy(F.col("qid").alias("__q")).agg(F.when(F.count(F.lit(1)) >= k, F.max("distance")).alias("reach"))
+    slab = max(1, SLAB_NUMBERS // max(lo.size, 1))
 
     def visit(batches):
         for pdf in batches:
             if not len(pdf):
                 continue
-            d = _distances(_matrix(pdf["vec"]), centre)
-            bound = d[:, offer_cell] + offer_d[None, :]
-            kth = min(need, bound.shape[1]) - 1
-            reach = np.partition(bound, kth, axis=1)[:, kth] if bound.shape[1] >= need else np.inf
-            own = d.argmin(1)
-            rows = np.arange(len(pdf))
-            plane = (d**2 - d[rows, own][:, None] ** 2) / (2 * between[own])
-            floor = np.maximum.reduce([d - hi[None, :], lo[None, :] - d, plane])
-            slack = _SLACK * (1.0 + d)
-            hit = floor <= np.broadcast_to(np.reshape(reach, (-1, 1)), d.shape) + slack
-            at, which = np.nonzero(hit)
-            yield pd.DataFrame(
-                {
-                    "qid": pdf["qid"].to_numpy()[at],
-                    "vec": pdf["vec"].to_numpy()[at],
-                    "cell": cell_ids[which],
-                }
-            )
-
-    q_type = q.schema["qid"].dataType.simpleString()
-    visits = q.mapInPandas(visit, f"qid {q_type}, vec {vector}, cell int")
-    load = {r["cell"]: r["count"] for r in visits.groupBy("cell").count().collect()}
-    blocks = {c: -(-cells[c][0] // block_rows) for c in ids}
-    chunks = {c: -(-load[c] // chunk_rows) for c in load}
-    left, right = _spread(visits, placed.drop("d"), blocks, chunks)
-    return _blocked(left, right, k, "payload", skip_self, _top_euclidean)
+            x, here = _matrix(pdf["vec"]), pdf["cell"].to_numpy()
+            far = pdf["reach"].fillna(np.inf).to_numpy(dtype=float)
+            qid, vec = pdf["qid"].to_numpy(), pdf["vec"].to_numpy()
+            for start in range(0, len(x), slab):
+                part = slice(start, start + slab)
+                floor = _floors(x[part], lo, hi, centre, radius)
+                near = floor <= (far[part] * (1 + _SLACK) + _SLACK)[:, None]
+                at, which = np.nonzero(near & (here[part][:, None] != ids[None]))
+                at += start
+                for a in range(0, len(at), SENT_ROWS):
+                    b = slice(a, a + SENT_ROWS)
+                    yield pd.DataFrame({"qid": qid[at[b]], "vec": vec[at[b]], "cell": ids[which[b]]})
+
+    bounded = own.join(reach, F.col("qid").eqNullSafe(F.col("__q")), "left").drop("__q")
+    second = searched(bounded.mapInPandas(visit, f"qid {q_type}, vec {vector}, cell int"))
+    return smallest(first.unionByName(second), ["qid"], [F.asc("distance"), F.asc("tid")], k)
 
 
 def knn_vote(neighbours: DataFrame) -> DataFrame:
@@ -298,15 +396,69 @@ def knn_mean(neighbours: DataFrame) -> DataFrame:
     return neighbours.groupBy("qid").agg(F.avg("payload").alias("prediction"))
 
 
+def _pattern(vec: str):
+    """One character for each coordinate: 1 where there is a value."""
+    return F.array_join(F.transform(vec, lambda v: F.when(v.isNull() | F.isnan(v), "0").otherwise("1")), "")
+
+
+def _shared_columns(q: DataFrame, t: DataFrame) -> dict[str, dict[str, list[str]]] | None:
+    """For each pattern of the queries the donors' patterns by what both have; None if there are many."""
+    met = []
+    for side in (q, t):
+        found = side.select(_pattern("vec").alias("p")).distinct().limit(PATTERN_JOINS + 1).collect()
+        met.append(sorted(r["p"] for r in found))
+    if max(len(m) for m in met) > PATTERN_JOINS:
+        return None
+    out: dict[str, dict[str, list[str]]] = {}
+    for mine in met[0]:
+        out[mine] = {}
+        for other in met[1]:
+            both = "".join("1" if a == b == "1" else "0" for a, b in zip(mine, other))
+            if "1" in both:
+                out[mine].setdefault(both, []).append(other)
+    return out if sum(len(v) for v in out.values()) <= PATTERN_JOINS else None
+
+
+def _by_pattern(q: DataFrame, t: DataFrame, shared: dict, k: int, width: int) -> DataFrame:
+    """The k nearest under the nan-euclidean distance: a join for each set of shared columns."""
+    parts = []
+    for mine, groups in shared.items():
+        for both, others in groups.items():
+            at = [i for i, b in enumerate(both) if b == "1"]
+            vec = F.array(*[F.col("vec")[i] for i in at]).alias("vec")
+            found = knn_join(
+                q.where(_pattern("vec") == mine).select("qid", vec),
+                t.where(_pattern("vec").isin(others)).select("tid", vec, "payload"),
+                k, "qid", "tid", "vec", "vec", "payload",
+            )
+            parts.append(found.withColumn("distance", F.col("distance") * math.sqrt(width / len(at))))
+    if not parts:
+        fields = [q.schema["qid"], t.schema["tid"], T.StructField("distance", T.DoubleType()), t.schema["payload"]]
+        return q.sparkSession.createDataFrame([], T.StructType(fields))
+    together = parts[0]
+    for p in parts[1:]:
+        together = together.unionByName(p)
+    return together if len(parts) == 1 else smallest(together, ["qid"], [F.asc("distance"), F.asc("tid")], k)
+
+
 def knn_impute(
-    df: DataFrame, key: str, columns: list[str], k: int = 5, donors: DataFrame | None = None
+    df: DataFrame,
+    key: str,
+    columns: list[str],
+    k: int = 5,
+    donors: DataFrame | None = None,
+    block_rows: int = BLOCK_ROWS,
+    chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """Fill each gap with the mean of its k nearest donors (nan-euclidean distance).
 
     ``donors`` are the rows values are taken from (the training rows); by default
     the table itself. A row with nothing in common with any donor gets the
-    donors' column mean. This distance obeys no triangle inequality, so no cell
-    can be skipped; the work is still split into bounded blocks.
+    donors' column mean. This distance obeys no triangle inequality, but between
+    rows of one pattern of gaps and donors that share the same columns with it,
+    it is a Euclidean distance times a constant: each such pair of groups is a
+    ``knn_join``. Small tables, and those with many patterns, compare all pairs
+    in bounded blocks.
     """
     from tidyloom.operators.aggregates import missing_counts
 
@@ -322,16 +474,18 @@ def knn_impute(
     for c in columns:
         if not gaps[c] or absent[c] == total:
             continue
-        cell = F.lit(0).alias("cell")
-        q = base.where(col(c).isNull()).select("qid", "vec", cell)
-        t = source.where(col(c).isNotNull()).select(
-            "tid", "vec", col(c).cast("double").alias("payload"), cell
-        )
-        n_blocks = F.lit(-(-(total - absent[c]) // BLOCK_ROWS))
-        n_chunks = F.lit(-(-gaps[c] // CHUNK_ROWS))
-        left = _copies(q, "chunk", n_chunks, "block", n_blocks, "qid")
-        right = _copies(t, "block", n_blocks, "chunk", n_chunks, "tid")
-        found = knn_mean(_blocked(left, right, k, "payload", False, _top_nan_euclidean))
+        q = base.where(col(c).isNull()).select("qid", "vec")
+        t = source.where(col(c).isNotNull()).select("tid", "vec", col(c).cast("double").alias("payload"))
+        n_blocks = -(-(total - absent[c]) // block_rows)
+        n_chunks = -(-gaps[c] // chunk_rows)
+        shared = _shared_columns(q, t) if n_blocks * n_chunks > 1 else None
+        if shared is None:
+            left = _copies(q.withColumn("cell", F.lit(0)), "chunk", F.lit(n_chunks), "block", F.lit(n_blocks), "qid")
+            right = _copies(t.withColumn("cell", F.lit(0)), "block", F.lit(n_blocks), "chunk", F.lit(n_chunks), "tid")
+            nearest = _blocked(left, right, k, "payload", False, _top_nan_euclidean)
+        else:
+            nearest = _by_pattern(q, t, shared, k, len(columns))
+        found = knn_mean(nearest)
         found = found.select(F.col("qid").alias("__q"), F.col("prediction").alias("__fill"))
         kept = [col(x) for x in out.columns]
         filled = F.coalesce(col(c).cast("double"), F.col("__fill"), F.lit(means[c]))
