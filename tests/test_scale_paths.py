@@ -478,6 +478,25 @@ def test_large_vocabulary_codes_with_a_hot_value(spark):
     assert all(r["code"] == want[r["word"]] for r in got.collect())
 
 
+def test_only_frequent_values_of_a_vocabulary_are_dealt_out(spark):
+    """Rows that the coded side brings to the join: one a value, more for a frequent one."""
+    df = _wide(spark, 1100).withColumn("word", F.when(F.col("id") % 3 == 0, "word5").otherwise(F.col("word")))
+    frame = encode.code_frame(df, "word")
+    explodes = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            explodes.add(b.num_rows)
+            yield b
+
+    right = encode.dealt_codes(frame, "code").select("__value", "code", "__salt")
+    right.mapInArrow(count, right.schema).count()
+    n = frame.count()
+    assert explodes.value == n - 1 + encode.SALTS
+    plain = _wide(spark, 1100)
+    assert encode.dealt_codes(encode.code_frame(plain, "word"), "code").count() == plain.select("word").distinct().count()
+
+
 def test_findings_list_everything(spark):
     from tidyloom.operators.findings import flag_constant_features
 

@@ -18,8 +18,10 @@ LITERAL_LIMIT = 64
 # Categories brought to the driver. Within Spark's per-group limit (1000), so
 # finding out that a column has more costs no full sort.
 DRIVER_LIMIT = 999
-# Tasks that share a value of a joined vocabulary.
+# Tasks that share a frequent value of a joined vocabulary, and the share of all
+# rows (one in so many) from which a value is frequent.
 SALTS = 8
+HOT_SHARE = 256
 
 
 def as_category(c: Column, missing_token: str | None = None) -> Column:
@@ -81,10 +83,17 @@ def fit_categories(
 def code_frame(
     df: DataFrame, column: str, order: str = "alphabetical", missing_token: str | None = None
 ) -> DataFrame:
-    """``value, code`` for a column with too many categories for the driver."""
+    """``value, code, hot`` for a column with too many categories for the driver."""
     counts = _counts(df, [column], missing_token).select("value", "n")
     sort = [F.asc("value")] if order == "alphabetical" else [F.desc("n"), F.asc("value")]
-    return global_row_number(counts, sort, "code").select("value", "code")
+    coded = global_row_number(counts, sort, "code")
+    total = coded.agg(F.sum("n")).first()[0] or 0
+    return coded.select("value", "code", _hot(total))
+
+
+def _hot(total: int) -> Column:
+    """Whether a value fills a good part of ``total`` rows; at most ``HOT_SHARE`` values do."""
+    return (F.col("n") * HOT_SHARE > F.lit(total)).alias("hot")
 
 
 def literal_codes(c: Column, categories: list[str]) -> Column:
@@ -96,28 +105,34 @@ def literal_codes(c: Column, categories: list[str]) -> Column:
     return F.lit(None).cast("bigint") if out is None else out
 
 
+def dealt_codes(frame: DataFrame, out: str) -> DataFrame:
+    """``__value``, its code and ``__salt``: a row for each task that gets rows of the value."""
+    salts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return frame.select(
+        F.col("value").alias("__value"), F.col("code").alias(out), F.explode(salts).alias("__salt")
+    )
+
+
 def join_codes(df: DataFrame, value: Column, codes, out: str) -> DataFrame:
     """Left join of a category table.
 
     A list (at most ``DRIVER_LIMIT`` entries) is broadcast. A table that never
     came to the driver is joined without a hint: Spark broadcasts it only if
-    its measured size allows. Else both sides are shuffled, each value dealt to
-    ``SALTS`` tasks, so that no task gets all rows of a frequent value.
+    its measured size allows. Else both sides are shuffled, and each value that
+    is ``hot`` is dealt to ``SALTS`` tasks, so that no task gets all rows of a
+    frequent value; the others are sent once.
     """
     if isinstance(codes, list):
         rows = [(v, i) for i, v in enumerate(codes)]
-        frame = df.sparkSession.createDataFrame(rows, "value string, code bigint")
-        frame = F.broadcast(frame)
-    else:
-        frame = codes
-    right = frame.select(F.col("value").alias("__value"), F.col("code").alias(out))
-    if isinstance(codes, list):
-        return df.join(right, value == F.col("__value"), "left").drop("__value")
-    right = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        frame = F.broadcast(df.sparkSession.createDataFrame(rows, "__value string, code bigint"))
+        return df.join(frame.withColumnRenamed("code", out), value == F.col("__value"), "left").drop("__value")
+    right = dealt_codes(codes, out)
+    hot = F.broadcast(codes.where("hot").select(F.col("value").alias("__hot")))
     hashed = [col(f.name) for f in df.schema if can_hash(f.dataType)]
-    salt = F.pmod(F.xxhash64(*hashed), F.lit(SALTS))
-    return df.join(right, (value == F.col("__value")) & (salt == F.col("__salt")), "left").drop(
-        "__value", "__salt"
+    salt = F.when(F.col("__hot").isNotNull(), F.pmod(F.xxhash64(*hashed), F.lit(SALTS))).otherwise(F.lit(0))
+    dealt = df.join(hot, value == F.col("__hot"), "left").withColumn("__own", salt)
+    return dealt.join(right, (value == F.col("__value")) & (F.col("__own") == F.col("__salt")), "left").drop(
+        "__value", "__salt", "__hot", "__own"
     )
 
 
@@ -296,7 +311,8 @@ def fit_rare(
     state = {"label": label, "keep": {c: [] for c in cols}, "frames": {}}
     if not cols:
         return state
-    least = max(int(min_abs), round(float(min_pct) * df.count()))
+    total = df.count()
+    least = max(int(min_abs), round(float(min_pct) * total))
     sort = [F.desc("n"), F.asc("value")]
     frequent = _counts(df, cols, None).where(F.col("n") >= least)
     cap = DRIVER_LIMIT if max_categories is None else min(int(max_categories), DRIVER_LIMIT)
@@ -309,7 +325,7 @@ def fit_rare(
             one = frequent.where(F.col("column") == c).select("value", "n")
             if max_categories is not None:
                 one = one.orderBy(*sort).limit(int(max_categories))
-            state["frames"][c] = one.select("value", F.lit(0).cast("bigint").alias("code"))
+            state["frames"][c] = one.select("value", F.lit(0).cast("bigint").alias("code"), _hot(total))
             state["keep"][c] = None
     return state
 
