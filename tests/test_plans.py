@@ -557,6 +557,64 @@ def test_fold_statistics_equal_fits_for_each_fold(spark):
         assert sd == pytest.approx(row["r2_std"], abs=1e-8), config
 
 
+def test_plans_share_folds_and_ridge_takes_one_pass(spark, monkeypatch):
+    """Neither the folds nor Spark ML's passes are repeated for every plan."""
+    from tidyloom.plans import evaluate
+    from tidyloom.plans.search import search_plans
+
+    dealt, df = [], _mixed_table(spark)
+    plain = {r["name"]: r for r in search_plans(df, {"fixed": fixed_plan(), "raw": raw_plan()}, "id", "y", "regression", "ridge", folds=2).collect()}
+    assert plain["raw"]["delta"] == pytest.approx(0.0, abs=1e-12) and plain["fixed"]["value"] > 0.5
+
+    def counted(*args, **kwargs):
+        dealt.append(args)
+        return assign_folds(*args, **kwargs)
+
+    def unwanted(*args, **kwargs):
+        raise AssertionError("ridge regression was fitted by several passes")
+
+    monkeypatch.setattr(evaluate, "assign_folds", counted)
+    monkeypatch.setattr(evaluate, "build_estimator", unwanted)
+    again = search_plans(df, {"fixed": fixed_plan(), "raw": raw_plan()}, "id", "y", "regression", "ridge", folds=2).collect()
+    assert len(dealt) == 1
+    for r in again:
+        assert r["value"] == pytest.approx(plain[r["name"]]["value"], abs=1e-12)
+
+
+def test_one_pass_ridge_equals_spark_ml(spark):
+    from pyspark.ml.feature import VectorAssembler
+
+    from tidyloom.plans.evaluate import build_estimator
+    from tidyloom.plans.ridge import fit_ridge, predict_ridge
+
+    rng = np.random.default_rng(5)
+    names = ["f0", "f1", "f2", "f3"]
+    schema = "id long, f0 double, f1 double, f2 double, f3 double, label double"
+    noise = rng.normal(size=(300, 3))
+    for offset in (5.0, 1e6):
+        # A constant, and a copy that only the penalty tells apart.
+        rows = [(i, float(offset + a), float(b), float(b), 3.25, float(10 * offset + 2 * a - 3 * b + e)) for i, (a, b, e) in enumerate(noise)]
+        df = spark.createDataFrame(rows, schema).repartition(7)
+        fitted = fit_ridge(df, names, "label")
+        assert fitted[0][3] == 0.0 and fitted[0][1] == pytest.approx(fitted[0][2])
+        got = {r["id"]: r["prediction"] for r in predict_ridge(df, fitted, names, ["id", "label"]).collect()}
+        assert len(got) == 300
+        x, y = np.array([r[1:4] for r in rows]), np.array([r[5] for r in rows])
+        z = x - x.mean(0)
+        guess = y.mean() + z @ np.linalg.solve(z.T @ z + np.eye(3), z.T @ (y - y.mean()))
+        assert np.allclose([got[i] for i in range(300)], guess, rtol=0, atol=1e-7)
+        if offset == 5.0:
+            wide = VectorAssembler(inputCols=names, outputCol="features").transform(df)
+            n, spread = df.agg(F.count("*"), F.stddev_pop("label")).first()
+            model = build_estimator("ridge", "regression", n, 0, None, spread).fit(wide)
+            assert all(got[r["id"]] == pytest.approx(r["prediction"], abs=1e-7) for r in model.transform(wide).collect())
+    with pytest.raises(ValueError):
+        fit_ridge(df.limit(0), names, "label")
+    bad = df.withColumn("f1", F.when(F.col("id") == 7, F.lit(float("nan"))).otherwise(F.col("f1")))
+    with pytest.raises(Exception, match="not finite"):
+        fit_ridge(bad, names, "label")
+
+
 def test_whole_grid(spark):
     df = _mixed_table(spark)
     out = {r["name"]: r for r in search_preparation(df, "id", "y", "regression", "ridge", (0.5, 0.01), folds=4).collect()}

@@ -104,8 +104,8 @@ def fit_preparation(df: DataFrame, config: dict | None = None, exclude=(), key:
     return state
 
 
-def apply_preparation(df: DataFrame, state: dict, keep=()) -> DataFrame:
-    """``keep`` columns plus a ``features`` vector."""
+def apply_preparation(df: DataFrame, state: dict, keep=(), assemble: bool = True) -> DataFrame:
+    """``keep`` columns plus a ``features`` vector, or without ``assemble`` a column ``f<i>`` for each feature."""
     config = state["config"]
     work = df.select(
         *[col(c) for c in keep],
@@ -130,5 +130,7 @@ def apply_preparation(df: DataFrame, state: dict, keep=()) -> DataFrame:
             for i, c in enumerate(state["features"])
         ],
     )
+    if not assemble:
+        return plain
     names = [f"f{i}" for i in range(len(state["features"]))]
     return VectorAssembler(inputCols=names, outputCol="features").transform(plain).drop(*names)

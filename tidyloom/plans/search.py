@@ -8,8 +8,9 @@ from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidyloom.operators.sampling import FOLDS
 from tidyloom.operators.scorecard import verdict
-from tidyloom.plans.evaluate import cross_validate
+from tidyloom.plans.evaluate import cross_validate, place_folds
 from tidyloom.plans.fold_statistics import fold_scores
 from tidyloom.plans.preparation import grid
 
@@ -53,10 +54,16 @@ def search_plans(
     Without a given baseline the raw table is scored first.
     """
     fixed = {"key": key, "target": target, "task": task, "model": model, **options}
-    if baseline is None:
-        raw = cross_validate(df, **fixed, plan=None).first()
-        baseline = (raw[PRIMARY[task]], raw[f"{PRIMARY[task]}_std"])
-    scores = _score_all(df, [(n, {"plan": p}) for n, p in plans.items()], parallel, **fixed)
+    # All plans are scored on the same folds, so the rows are dealt once.
+    placed = place_folds(df, key, target, task, options.get("folds", FOLDS))
+    fixed["placed"] = placed
+    try:
+        if baseline is None:
+            raw = cross_validate(df, **fixed, plan=None).first()
+            baseline = (raw[PRIMARY[task]], raw[f"{PRIMARY[task]}_std"])
+        scores = _score_all(df, [(n, {"plan": p}) for n, p in plans.items()], parallel, **fixed)
+    finally:
+        placed.unpersist()
     ranked = _ranked(scores, *baseline)
     top = ranked.agg(F.min(F.struct((-F.col("value")).alias("v"), "name")).alias("b")).first()["b"]
     return ranked.withColumn("best", F.col("name") == (top["name"] if top else None))
