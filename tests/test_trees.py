@@ -6,6 +6,7 @@ import pytest
 from pyspark.ml.classification import DecisionTreeClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import functions as F
 
 from tidyloom.plans import evaluate, trees
@@ -54,6 +55,22 @@ def test_tree_of_classes_is_spark_mls(spark, table):
         assert got[r["id"]] == pytest.approx(r["p"], abs=1e-9)
 
 
+def test_tree_of_values_is_spark_mls(spark, table, monkeypatch):
+    """Cells are summed up in many batches, and their rows are not moved to the tree."""
+    monkeypatch.setattr(trees, "PIECE_ROWS", 400)
+    train, test, bins, asked, rows = _cells(table, "z")
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = _by_id(asked, trees.bagged_votes(rows, bins, 1, 5, 0.5, bootstrap=False))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    want = DecisionTreeRegressor(maxDepth=5).fit(train).transform(test).collect()
+    assert len(want) == len(got) == 300
+    for r in want:
+        assert got[r["id"]][0] == pytest.approx(r["prediction"], abs=1e-9)
+
+
 def _folded(spark, n=1200):
     rng = np.random.default_rng(5)
     v, k = rng.normal(0, 1, n), rng.integers(0, 3, n)
@@ -85,6 +102,15 @@ def test_large_forest_of_classes(spark, monkeypatch):
     assert again["roc_auc"] == pytest.approx(large["roc_auc"], abs=1e-9)  # however they are dealt
 
 
+def test_large_forest_of_values(spark, monkeypatch):
+    df, options = _folded(spark).drop("y"), {"trees": 20}
+    small = evaluate.cross_validate(df, "id", "z", "regression", None, "rf", None, options, folds=2).first()
+    _without_spark_ml(monkeypatch)
+    large = evaluate.cross_validate(df, "id", "z", "regression", None, "rf", None, options, folds=2).first()
+    assert large["r2"] == pytest.approx(small["r2"], abs=0.02) and large["r2"] > 0.7
+    assert large["mae"] == pytest.approx(small["mae"], rel=0.1)
+
+
 def test_too_varied_tables_use_spark_ml(spark, monkeypatch):
     df, options = _folded(spark).drop("z"), {"trees": 3, "depth": 3}
     monkeypatch.setattr(evaluate, "LARGE_ROWS", 100)
