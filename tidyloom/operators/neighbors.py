@@ -16,6 +16,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,6 +38,8 @@ SENT_ROWS = 4096
 MOSTLY_DISTINCT = 0.9
 # Joins of patterns that one column's gaps may take; with more, all pairs are compared.
 PATTERN_JOINS = 16
+# Rows of a cell into which a task cuts its block.
+LEAF_ROWS = 256
 _SLAB = 256
 _SLACK = 1e-9
 
@@ -60,7 +63,7 @@ def _pick(dist: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 
 
 def _top_euclidean(q: np.ndarray, t: np.ndarray, ids: np.ndarray, k: int):
-    """Per query row: (positions, distances) of its k nearest rows of the block.
+    """Per query row: positions and distances of its k nearest rows of the block, of many rows at once.
 
     A fast form of the squared distance shortlists a few rows; their distances
     are then taken exactly. Rows that might be missing from the shortlist (many
@@ -80,16 +83,82 @@ def _top_euclidean(q: np.ndarray, t: np.ndarray, ids: np.ndarray, k: int):
         best, dist = short[rows, order], exact[rows, order]
         last = np.take_along_axis(sq, short, 1).max(1)
         sure = (wide == len(t)) | (dist[:, -1] + margin < last - margin)
-        for i in range(len(part)):
-            if sure[i]:
-                yield start + i, best[i], np.sqrt(dist[i])
-                continue
+        yield start + np.repeat(np.flatnonzero(sure), best.shape[1]), best[sure].ravel(), np.sqrt(dist[sure]).ravel()
+        for i in np.flatnonzero(~sure):
             near = np.flatnonzero(sq[i] <= dist[i, -1] + margin[i])
             d = ((t[near] - part[i]) ** 2).sum(1)
             pick = _pick(d, ids[near], k)
             yield start + i, near[pick], np.sqrt(d[pick])
 
 
+def _gathered(found):
+    """What a search yields for one query or many as arrays sorted by query: query, position, distance."""
+    rows, places, dists = [], [], []
+    for i, pos, d in found:
+        rows.append(np.broadcast_to(i, len(pos)))
+        places.append(pos)
+        dists.append(d)
+    if not rows:
+        return np.zeros(0, dtype=int), np.zeros(0, dtype=int), np.zeros(0)
+    row = np.concatenate(rows)
+    order = np.argsort(row, kind="stable")
+    return row[order], np.concatenate(places)[order], np.concatenate(dists)[order]
+
+
+def _first_of(row: np.ndarray, k: int) -> np.ndarray:
+    """Which entries are among the first k of their row; entries of a row lie together."""
+    start = np.flatnonzero(np.append(True, row[1:] != row[:-1])) if len(row) else np.zeros(0, dtype=int)
+    size = np.diff(np.append(start, len(row)))
+    return np.arange(len(row)) - np.repeat(start, size) < k
+
+
+def _refined(q: np.ndarray, t: np.ndarray, ids: np.ndarray, k: int, far: np.ndarray):
+    """As ``_top_euclidean``, but rows farther than ``far`` may be left out; as arrays query, position, distance.
+
+    A large block is cut into small cells, and a query is compared with those that
+    its bound does not rule out. Where that rules out little, all pairs are compared.
+    """
+    tree = Cells(t, len(t) // LEAF_ROWS) if len(t) >= 4 * LEAF_ROWS and len(q) >= LEAF_ROWS else None
+    if tree is None or len(tree.cell) < 2:
+        return _gathered(_top_euclidean(q, t, ids, k))
+    home, n_cells = tree.place(t), len(tree.cell)
+    members = np.split(np.argsort(home, kind="stable"), np.cumsum(np.bincount(home, minlength=n_cells))[:-1])
+    lo, hi = np.array([t[m].min(0) for m in members]), np.array([t[m].max(0) for m in members])
+    radius = np.array([np.sqrt(((t[m] - tree.centre[c]) ** 2).sum(1)).max() for c, m in enumerate(members)])
+    reach, found = far.astype(float), []
+
+    def search(rows: np.ndarray, cell: int) -> None:
+        if len(rows):
+            m = members[cell]
+            row, pos, dist = _gathered(_top_euclidean(q[rows], t[m], ids[m], k))
+            found.append((rows[row], m[pos], dist))
+
+    mine = tree.place(q)
+    blind = np.isinf(reach)
+    for c in range(n_cells):
+        search(np.flatnonzero(blind & (mine == c)), c)
+    for row, _, dist in found:
+        full, last = np.unique(row, return_index=True)
+        size = np.diff(np.append(last, len(row)))
+        reach[full] = np.where(size >= k, np.maximum.reduceat(dist, last), np.inf)
+    near = np.empty((len(q), n_cells), dtype=bool)
+    slab = max(1, SLAB_NUMBERS // max(lo.size, 1))
+    for a in range(0, len(q), slab):
+        part = slice(a, a + slab)
+        near[part] = _floors(q[part], lo, hi, tree.centre, radius) <= (reach[part] * (1 + _SLACK) + _SLACK)[:, None]
+    if near.mean() > 0.5:
+        return _gathered(_top_euclidean(q, t, ids, k))
+    near[np.flatnonzero(blind), mine[blind]] = False
+    for c in range(n_cells):
+        search(np.flatnonzero(near[:, c]), c)
+    if not found:
+        return _gathered(())
+    row, pos, dist = (np.concatenate(x) for x in zip(*found))
+    order = np.lexsort((ids[pos], dist, row))
+    order = order[_first_of(row[order], k)]
+    return row[order], pos[order], dist[order]
+
+
 def _top_nan_euclidean(q: np.ndarray, t: np.ndarray, ids: np.ndarray, k: int):
     """Distance over coordinates present in both rows, scaled up to all coordinates.
 
@@ -182,7 +251,7 @@ class Cells:
         return out
 
 
-def _boxes(placed: DataFrame, centre: np.ndarray) -> list:
+def _boxes(placed: DataFrame, centre: np.ndarray, unpack) -> list:
     """``cell, n, lo, hi, radius`` of every cell, from all its rows."""
     schema = "cell int, n bigint, lo array<double>, hi array<double>, radius double"
 
@@ -202,7 +271,7 @@ def _boxes(placed: DataFrame, centre: np.ndarray) -> list:
             if not len(pdf):
                 continue
             order = np.argsort(pdf["cell"].to_numpy(), kind="stable")
-            x, cell = _matrix(pdf["vec"])[order], pdf["cell"].to_numpy()[order]
+            x, cell = unpack(pdf["vec"])[order], pdf["cell"].to_numpy()[order]
             cells, first, sizes = np.unique(cell, return_index=True, return_counts=True)
             radius = np.sqrt(((x - centre[cell]) ** 2).sum(1))
             groups = zip(cells, sizes, np.minimum.reduceat(x, first), np.maximum.reduceat(x, first), np.maximum.reduceat(radius, first))
@@ -219,6 +288,81 @@ def _boxes(placed: DataFrame, centre: np.ndarray) -> list:
     return placed.mapInPandas(partial, schema).groupBy("cell").applyInPandas(merged, schema).collect()
 
 
+_ENTRY = np.dtype([("at", "<i4"), ("value", "<f8")])
+
+
+def _packed_rows(x: np.ndarray) -> pa.BinaryArray:
+    """Rows as bytes: their places and numbers other than zero, or all numbers where that is shorter."""
+    n, width = x.shape
+    own = (x != 0).sum(1)
+    dense = own * _ENTRY.itemsize >= width * 8
+    lens = np.where(dense, width * 8, own * _ENTRY.itemsize)
+    offsets = np.append(0, np.cumsum(lens))
+    out = np.empty(offsets[-1], dtype=np.uint8)
+    part = np.repeat(dense, lens)
+    out[part] = x[dense].reshape(-1).view(np.uint8)
+    row, at = np.nonzero(x[~dense])
+    entries = np.empty(len(row), dtype=_ENTRY)
+    entries["at"], entries["value"] = at, x[~dense][row, at]
+    out[~part] = entries.view(np.uint8)
+    return pa.BinaryArray.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(out.tobytes())])
+
+
+def _unpacked(packed: pd.Series | pa.BinaryArray | list, width: int) -> np.ndarray:
+    rows = packed if isinstance(packed, list) else packed.tolist()
+    lens = np.array([len(r) for r in rows], dtype=int)
+    out, dense = np.zeros((len(rows), width)), lens == width * 8
+    out[dense] = np.frombuffer(b"".join(r for r, d in zip(rows, dense) if d)).reshape(-1, width)
+    entries = np.frombuffer(b"".join(r for r, d in zip(rows, dense) if not d), dtype=_ENTRY)
+    out[np.repeat(np.flatnonzero(~dense), lens[~dense] // _ENTRY.itemsize), entries["at"]] = entries["value"]
+    return out
+
+
+def _dense(column: pa.Array, width: int) -> np.ndarray:
+    """Rows of a column of arrays, or of packed ones."""
+    if pa.types.is_binary(column.type):
+        return _unpacked(column, width)
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float, copy=False).reshape(len(column), -1)
+
+
+class Boxes:
+    """Boxes of the nodes of a k-d tree, and of its cells also the balls, from all rows."""
+
+    def __init__(self, tree: Cells, found: list):
+        n, width = len(tree.nodes), tree.centre.shape[1]
+        self.tree, self.lo, self.hi = tree, np.full((n, width), np.inf), np.full((n, width), -np.inf)
+        self.radius = {r["cell"]: r["radius"] for r in found}
+        node = {cell: at for at, cell in tree.cell.items()}
+        for r in found:
+            self.lo[node[r["cell"]]], self.hi[node[r["cell"]]] = r["lo"], r["hi"]
+        for at in range(n - 1, -1, -1):  # children come after their parent
+            dim, _, left, right = tree.nodes[at]
+            if dim >= 0:
+                self.lo[at] = np.minimum(self.lo[left], self.lo[right])
+                self.hi[at] = np.maximum(self.hi[left], self.hi[right])
+
+    def near(self, x: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of a row and a cell that may hold rows within its reach."""
+        rows, cells = [], []
+        todo = [(0, np.arange(len(x)))]
+        while todo:
+            at, some = todo.pop()
+            cell = self.tree.cell.get(at)
+            if not len(some) or (cell is not None and cell not in self.radius):
+                continue
+            part, lo, hi = x[some], self.lo[at : at + 1], self.hi[at : at + 1]
+            if cell is None:
+                gap = np.maximum(np.maximum(lo - part, part - hi), 0.0)
+                some = some[np.sqrt(np.einsum("qw,qw->q", gap, gap)) <= reach[some] * (1 + _SLACK) + _SLACK]
+                todo += [(child, some) for child in self.tree.nodes[at][2:]]
+                continue
+            floor = _floors(part, lo, hi, self.tree.centre[cell : cell + 1], np.array([self.radius[cell]]))[:, 0]
+            some = some[floor <= reach[some] * (1 + _SLACK) + _SLACK]
+            rows.append(some)
+            cells.append(np.full(len(some), cell, dtype="int32"))
+        return (np.concatenate(rows), np.concatenate(cells)) if rows else (np.zeros(0, dtype=int), np.zeros(0, dtype="int32"))
+
+
 def _floors(x: np.ndarray, lo: np.ndarray, hi: np.ndarray, centre: np.ndarray, radius: np.ndarray) -> np.ndarray:
     """Least distance that each row can have to the rows of each cell: by box and by ball."""
     gap = np.maximum(lo[None] - x[:, None], x[:, None] - hi[None])
@@ -229,8 +373,11 @@ def _floors(x: np.ndarray, lo: np.ndarray, hi: np.ndarray, centre: np.ndarray, r
     return np.maximum(box, _distances(x, centre) - radius[None] - 1e-6 * size)
 
 
-def _blocked(queries: DataFrame, train: DataFrame, k: int, payload: str, skip_self: bool, finder):
-    """Top-k of every (cell, block, chunk) group, then top-k per query."""
+def _blocked(queries: DataFrame, train: DataFrame, k: int, payload: str, skip_self: bool, finder=None, unpack=_matrix):
+    """Top-k of every (cell, block, chunk) group, then top-k per query.
+
+    Without a ``finder`` by Euclidean distance, within the queries' ``reach`` if they have one.
+    """
     schema = (
         f"qid {queries.schema['qid'].dataType.simpleString()}, "
         f"tid {train.schema['tid'].dataType.simpleString()}, distance double, "
@@ -238,22 +385,21 @@ def _blocked(queries: DataFrame, train: DataFrame, k: int, payload: str, skip_se
     )
 
     def nearest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        rows, places, dists = [], [], []
-        if len(left) and len(right):
-            q, t = _matrix(left["vec"]), _matrix(right["vec"])
-            qid, tid = left["qid"].to_numpy(), right["tid"].to_numpy()
-            load = right[payload].to_numpy()
-            for i, pos, d in finder(q, t, tid, k + skip_self):
-                if skip_self:
-                    other = tid[pos] != qid[i]
-                    pos, d = pos[other][:k], d[other][:k]
-                rows.append(np.full(len(pos), i))
-                places.append(pos)
-                dists.append(d)
-        if not rows:
+        if not len(left) or not len(right):
             return pd.DataFrame({"qid": [], "tid": [], "distance": [], "payload": []})
-        row, pos = np.concatenate(rows), np.concatenate(places)
-        dist = np.concatenate(dists)
+        q, t = unpack(left["vec"]), unpack(right["vec"])
+        qid, tid = left["qid"].to_numpy(), right["tid"].to_numpy()
+        load, need = right[payload].to_numpy(), k + skip_self
+        if finder is None:
+            far = left["reach"].fillna(np.inf).to_numpy(dtype=float) if "reach" in left else np.full(len(q), np.inf)
+            row, pos, dist = _refined(q, t, tid, need, far)
+        else:
+            row, pos, dist = _gathered(finder(q, t, tid, need))
+        if skip_self:
+            other = tid[pos] != qid[row]
+            row, pos, dist = row[other], pos[other], dist[other]
+            first = _first_of(row, k)
+            row, pos, dist = row[first], pos[first], dist[first]
         return pd.DataFrame({"qid": qid[row], "tid": tid[pos], "distance": dist, "payload": load[pos]})
 
     keys = ["cell", "block", "chunk"]
@@ -321,67 +467,82 @@ def knn_join(
         },
     )
     n = sizes["n"]
+    width = sizes["width"] or 1
+    id_type = t.schema["tid"].dataType.simpleString()
+    load_type = t.schema["payload"].dataType.simpleString()
+    q_type = q.schema["qid"].dataType.simpleString()
     if n * MOSTLY_DISTINCT > sizes["k"]:
         # Of equal vectors only the smallest ids can ever be among the nearest;
         # the others go before anything is shuffled by cell.
+        def pack(batches):
+            for b in batches:
+                vec = _packed_rows(_dense(b.column("vec"), width))
+                yield pa.RecordBatch.from_arrays([b.column("tid"), b.column("payload"), vec], names=["tid", "payload", "vec"])
+
+        t = t.mapInArrow(pack, f"tid {id_type}, payload {load_type}, vec binary")
         t = cut_lineage(smallest(t, ["vec"], [F.asc("tid")], need))
         n = min(n, sizes["k"] * need)
     if n_pivots is None:
         n_pivots = max(1, min(MAX_CELLS, math.isqrt(max(n, 1)) // 4))
     whole = isinstance(t.schema["tid"].dataType, T.IntegralType)
     order = hash_order(F.col("tid") if whole else F.xxhash64("tid"), 1)
-    most = min(SAMPLE_ROWS, max(n_pivots, SAMPLE_NUMBERS // max(sizes["width"] or 1, 1)))
-    picked = t.orderBy(order, "tid").limit(most).select("vec").collect()
+    most = min(SAMPLE_ROWS, max(n_pivots, SAMPLE_NUMBERS // width))
+    # The first rows in that order; those far behind need not be sorted.
+    ahead = t.where(order < F.lit(int(2147483647 * min(1.0, 2.0 * most / max(n, 1)))))
+    picked = ahead.orderBy(order, "tid").limit(most).select("vec").collect() if n > 2 * most else []
+    if len(picked) < most:
+        picked = t.orderBy(order, "tid").limit(most).select("vec").collect()
     if not picked:
         fields = [q.schema["qid"], t.schema["tid"], T.StructField("distance", T.DoubleType()), t.schema["payload"]]
         return train.sparkSession.createDataFrame([], T.StructType(fields))
-    tree = Cells(np.array([r["vec"] for r in picked], dtype=float), n_pivots)
-
-    id_type = t.schema["tid"].dataType.simpleString()
-    load_type = t.schema["payload"].dataType.simpleString()
-    q_type = q.schema["qid"].dataType.simpleString()
+    sample = [r["vec"] for r in picked]
+    packed = isinstance(t.schema["vec"].dataType, T.BinaryType)
+    tree = Cells(_unpacked(sample, width) if packed else np.array(sample, dtype=float), n_pivots)
 
     def place(batches):
-        for pdf in batches:
-            yield pdf.assign(cell=tree.place(_matrix(pdf["vec"])))
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = _dense(b.column("vec"), width)
+            kept = [c for c in b.schema.names if c != "vec"]
+            columns = [*[b.column(c) for c in kept], _packed_rows(x), pa.array(tree.place(x))]
+            yield pa.RecordBatch.from_arrays(columns, names=[*kept, "vec", "cell"])
 
-    placed = t.mapInPandas(place, f"tid {id_type}, vec {vector}, payload {load_type}, cell int")
-    own = q.mapInPandas(place, f"qid {q_type}, vec {vector}, cell int")
-    boxes = sorted(_boxes(placed, tree.centre))
-    ids = np.array([r["cell"] for r in boxes], dtype="int32")
-    lo, hi = np.array([r["lo"] for r in boxes]), np.array([r["hi"] for r in boxes])
-    centre, radius = tree.centre[ids], np.array([r["radius"] for r in boxes])
-    blocks = {r["cell"]: -(-r["n"] // block_rows) for r in boxes}
+    def unpack(series: pd.Series) -> np.ndarray:
+        return _unpacked(series, width)
+
+    # Both are read several times.
+    placed = cut_lineage(t.select("tid", "payload", "vec").mapInArrow(place, f"tid {id_type}, payload {load_type}, vec binary, cell int"))
+    own = cut_lineage(q.mapInArrow(place, f"qid {q_type}, vec binary, cell int"))
+    found = sorted(_boxes(placed, tree.centre, unpack))
+    boxes = Boxes(tree, found)
+    blocks = {r["cell"]: -(-r["n"] // block_rows) for r in found}
 
     def searched(visits: DataFrame) -> DataFrame:
         load = {r["cell"]: r["count"] for r in visits.groupBy("cell").count().collect()}
         chunks = {c: -(-m // chunk_rows) for c, m in load.items()}
         left, right = _spread(visits, placed, blocks, chunks)
-        return _blocked(left, right, k, "payload", skip_self, _top_euclidean)
+        return _blocked(left, right, k, "payload", skip_self, None, unpack)
 
     first = cut_lineage(searched(own))
     reach = first.groupBy(F.col("qid").alias("__q")).agg(F.when(F.count(F.lit(1)) >= k, F.max("distance")).alias("reach"))
-    slab = max(1, SLAB_NUMBERS // max(lo.size, 1))
+    slab = max(1, SLAB_NUMBERS // width)
 
     def visit(batches):
         for pdf in batches:
-            if not len(pdf):
-                continue
-            x, here = _matrix(pdf["vec"]), pdf["cell"].to_numpy()
-            far = pdf["reach"].fillna(np.inf).to_numpy(dtype=float)
-            qid, vec = pdf["qid"].to_numpy(), pdf["vec"].to_numpy()
-            for start in range(0, len(x), slab):
-                part = slice(start, start + slab)
-                floor = _floors(x[part], lo, hi, centre, radius)
-                near = floor <= (far[part] * (1 + _SLACK) + _SLACK)[:, None]
-                at, which = np.nonzero(near & (here[part][:, None] != ids[None]))
-                at += start
+            for start in range(0, len(pdf), slab):
+                part = pdf.iloc[start : start + slab]
+                far = part["reach"].fillna(np.inf).to_numpy(dtype=float)
+                at, which = boxes.near(unpack(part["vec"]), far)
+                other = part["cell"].to_numpy()[at] != which
+                at, which = at[other], which[other]
+                qid, vec = part["qid"].to_numpy(), part["vec"].to_numpy()
                 for a in range(0, len(at), SENT_ROWS):
                     b = slice(a, a + SENT_ROWS)
-                    yield pd.DataFrame({"qid": qid[at[b]], "vec": vec[at[b]], "cell": ids[which[b]]})
+                    yield pd.DataFrame({"qid": qid[at[b]], "vec": vec[at[b]], "cell": which[b], "reach": far[at[b]]})
 
     bounded = own.join(reach, F.col("qid").eqNullSafe(F.col("__q")), "left").drop("__q")
-    second = searched(bounded.mapInPandas(visit, f"qid {q_type}, vec {vector}, cell int"))
+    second = searched(bounded.mapInPandas(visit, f"qid {q_type}, vec binary, cell int, reach double"))
     return smallest(first.unionByName(second), ["qid"], [F.asc("distance"), F.asc("tid")], k)
 
 
